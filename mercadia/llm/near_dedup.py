@@ -8,12 +8,13 @@ similarity; what passes is confirmed on the full sets. Only then are links turne
 
 Large groups: documents with equal sets become one class before any pair is made; a bucket first holds its
 members against two pivots (its smallest and its largest member); only buckets whose members are then still in
-several components are compared pair by pair, inside tasks, in blocks of bounded size, and such a task
-returns a spanning forest of the links it has found, never the pairs.
+several components are compared pair by pair, inside tasks, in blocks of bounded size: first on the sketches,
+which leaves the members that have a likely partner in another component, then those on their full sets. Such
+a task returns a spanning forest of the links it has found, never the pairs.
 
 Defined results: a null or blank text has an empty set (n_shingles 0), links with nothing and is its own
-component. Repeated rows have equal sets and so one component; each comes out. A null doc_id keeps null
-component and kept. Other columns of the input, whatever their names, are ignored.
+component. Repeated rows have equal sets and so one component; each comes out. Rows that share a doc_id are
+one node, which has the links of each. A null doc_id keeps null component and kept. Other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,15 +29,15 @@ from pyspark.sql import functions as F
 from mercadia.llm.common import broadcast_if, byte_table, slices, spool, table, utf8_of, word_spans
 
 SHINGLE = 5
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 28, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.1, 20.0, 254
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Pairs whose estimate is this far below the threshold are not verified: over five standard errors of 96 registers.
-SLACK = 0.2
+#: Pairs whose estimate is this far below the threshold are not verified: five standard errors of 140 registers.
+SLACK = 0.15
 #: Members of a bucket that one task compares with one another come in blocks of about this many.
-BLOCK = 192
+BLOCK = 1024
 CHUNK = 4 << 20
 ID_BROADCAST = 1_000_000
 
@@ -176,13 +177,20 @@ def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGISTERS)
 
 
+def _fits(left: np.ndarray, right: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Which pairs can be links, by their sizes and the estimate."""
+    fits = 100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b)
+    left, right = left[fits], right[fits]
+    j = estimate(n_a[fits], n_b[fits], (left > right).sum(axis=1), (left < right).sum(axis=1))
+    fits[fits] = j >= PERCENT / 100 - SLACK
+    return fits
+
+
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            left, right = _registers(batch.column("registers_a")), _registers(batch.column("registers_b"))
             n_a, n_b = (batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
-            j = estimate(n_a, n_b, (left > right).sum(axis=1), (left < right).sum(axis=1))
-            fits = (j >= PERCENT / 100 - SLACK) & (100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b))
+            fits = _fits(_registers(batch.column("registers_a")), _registers(batch.column("registers_b")), n_a, n_b)
             yield batch.select(["a", "b"]).filter(pa.array(fits))
 
 
@@ -198,25 +206,47 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
 
-def _forest(group: pa.Table) -> pa.Table:
-    """Links that join the components of one block pair of a bucket: all its pairs are compared on full sets, and a spanning forest of the links is returned."""
-    reps, comps = (group.column(c).to_numpy() for c in ("rep", "comp"))
-    order = np.unique(reps, return_index=True)[1]
-    reps, comps = reps[order], comps[order]
-    sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").take(pa.array(order)).to_pylist()]
-    sizes = np.array([len(s) for s in sets], dtype=np.float64)
+def _flagged(group: pa.Table) -> pa.Table:
+    """Of one block pair of a bucket, the members with a likely partner in another component. Pairs of two members already flagged need no look."""
+    sizes = group.column("n_shingles").to_numpy().astype(float)
+    comps = group.column("comp").to_numpy()
+    keep = np.zeros(len(sizes), bool)
+    if (comps != comps[0]).any():
+        registers = _registers(group.column("registers"))
+        for i in range(len(sizes) - 1):
+            there = i + 1 + np.flatnonzero((comps[i + 1 :] != comps[i]) & ~(keep[i] & keep[i + 1 :]))
+            if len(there):
+                there = there[_fits(np.broadcast_to(registers[i], (len(there), REGISTERS)), registers[there], np.full(len(there), sizes[i]), sizes[there])]
+            if len(there):
+                keep[i] = True
+                keep[there] = True
+    return group.select(["key", "i", "j", "rep", "comp"]).filter(pa.array(keep))
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two sets share: products of slices of the incidence matrix."""
     n = len(sets)
     shingles, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(n), sizes.astype(np.int64))
-    common = np.zeros((n, n))
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
     by = np.argsort(column, kind="stable")
     row, column = row[by], column[by]
-    for low in range(0, len(shingles), 8192):
-        a, b = np.searchsorted(column, [low, low + 8192])
-        has = np.zeros((n, min(8192, len(shingles) - low)), np.float32)
+    common = np.zeros((n, n), np.float32)  # counts under 2**24 are exact
+    width = max(256, (4 << 20) // n)
+    for low in range(0, len(shingles), width):
+        a, b = np.searchsorted(column, [low, low + width])
+        has = np.zeros((n, min(width, len(shingles) - low)), np.float32)
         has[row[a:b], column[a:b] - low] = 1
         common += has @ has.T
-    link = 100 * common >= PERCENT * (sizes[:, None] + sizes[None, :] - common)
+    return common
+
+
+def _forest(group: pa.Table) -> pa.Table:
+    """Links that join the components of one block pair of a bucket: all its members of different components are compared on full sets, and a spanning forest of the links is returned."""
+    reps, comps = (group.column(c).to_numpy() for c in ("rep", "comp"))
+    sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+    sizes = np.array([len(s) for s in sets], dtype=np.float64)
+    common = _common(sets)
+    link = 100.0 * common >= PERCENT * (sizes[:, None] + sizes[None, :] - common)
     out_a, out_b = [], []
     seen = {int(c): int(c) for c in comps}
 
@@ -253,30 +283,51 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return roots.union(roots.select(F.col("comp").alias("node"), "comp").distinct())
 
 
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(rep, shingles) of the documents whose id is in ids(doc_id): their full sets, made from the text anew."""
+    wanted = broadcast_if(ids, ids.count(), ID_BROADCAST)
+    return spool(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_batches, "rep long, shingles binary"), "sets")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
-    sketched = spool(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sketch_batches, "doc_id long, n_shingles long, print_a long, print_b long, registers binary"), "sketches")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sketched = spool(docs.mapInArrow(_sketch_batches, "doc_id long, n_shingles long, print_a long, print_b long, registers binary"), "sketches")
+
+    # classes of equal sets
     prints = ["n_shingles", "print_a", "print_b"]
-    classes = spool(sketched.where("n_shingles > 0 and doc_id is not null").groupBy(*prints).agg(F.min(F.struct("doc_id", "registers")).alias("r")).select(*prints, F.col("r.doc_id").alias("rep"), F.col("r.registers").alias("registers")), "classes")
+    grouped = sketched.where("n_shingles > 0 and doc_id is not null").groupBy(*prints)
+    classes = spool(grouped.agg(F.min(F.struct("doc_id", "registers")).alias("r")).select(*prints, F.col("r.doc_id").alias("rep"), F.col("r.registers").alias("registers")), "classes")
+
+    # buckets of classes that agree in a band
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("registers", k * ROWS + 1, ROWS)) for k in range(BANDS)])
-    members = spool(classes.select("rep", F.explode(bands).alias("key")), "bands")
-    buckets = spool(members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("size")).where("low < high"), "buckets")
+    members = classes.select("rep", F.explode(bands).alias("key"))
+    buckets = members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("size")).where("low < high")
     crowded = spool(members.join(buckets, "key"), "crowded")
+
+    # members against the pivots
     pairs = crowded.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.a", "p.b").where("a < b").distinct()
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"registers_{x}"))
     likely = spool(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "registers_a", "registers_b").mapInArrow(_likely, "a long, b long"), "likely")
-    ids = spool(crowded.select("rep").distinct(), "ids")
-    wanted = broadcast_if(ids.withColumnRenamed("rep", "doc_id"), ids.count(), ID_BROADCAST)
-    sets = spool(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi").mapInArrow(_set_batches, "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
+    ids = spool(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), "ids")
+    sets = _sets_of(docs, ids)
     of = lambda x: sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"shingles_{x}"))
     links = spool(likely.join(of("a"), "a").join(of("b"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirmed, "a long, b long"), "links")
     first = spool(components(links), "first")
+
+    # buckets that still hold several components
     placed = spool(crowded.join(first, crowded["rep"] == first["node"], "left").select("key", "size", "rep", F.coalesce("comp", "rep").alias("comp")), "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    dealt = placed.join(mixed, "key").withColumn("mine", mine).select("key", "rep", "comp", "mine", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select("key", "rep", "comp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    more = spool(dealt.join(sets, "rep").select("key", "i", "j", "rep", "comp", "shingles").groupBy("key", "i", "j").applyInArrow(_forest, "a long, b long"), "more")
+    dealt = placed.join(mixed, "key").withColumn("mine", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", "rep", "comp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    sketch = classes.select("rep", "n_shingles", "registers")
+    flagged = dealt.join(sketch, "rep").select("key", "i", "j", "rep", "comp", "n_shingles", "registers").groupBy("key", "i", "j").applyInArrow(_flagged, "key long, i int, j int, rep long, comp long")
+    flagged = spool(flagged, "flagged")
+    late = flagged.select(F.col("rep").alias("doc_id")).distinct().join(ids, "doc_id", "left_anti")
+    sets = sets.union(_sets_of(docs, spool(late, "late")))
+    more = spool(flagged.join(sets, "rep").select("key", "i", "j", "rep", "comp", "shingles").groupBy("key", "i", "j").applyInArrow(_forest, "a long, b long"), "more")
+
     final = spool(components(links.union(more)), "final")
     named = classes.join(final, classes["rep"] == final["node"], "left").select(*prints, F.coalesce("comp", "rep").alias("comp"))
     joined = sketched.drop("registers").join(named, prints, "left")
