@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from mercadia.llm.near_dedup import op4_near_dedup
+from mercadia.llm.quality_rules import op3_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rules": op3_quality_rules,
     "op4_near_dedup": op4_near_dedup,
 }
 
