@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mercadia.llm import licenses
+from mercadia.llm.bpe import op5_bpe
+from mercadia.llm.mixing import op7_mixing
 from mercadia.llm.near_dedup import op4_near_dedup
 from mercadia.llm.quality_rules import op3_quality_rules
+from mercadia.llm.sharding import op9_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_licenses": licenses.op2_licenses,
     "op3_quality_rules": op3_quality_rules,
     "op4_near_dedup": op4_near_dedup,
+    "op5_bpe": op5_bpe,
+    "op7_mixing": op7_mixing,
+    "op9_sharding": op9_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_licenses": licenses.ORACLE}
