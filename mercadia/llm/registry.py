@@ -6,20 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mercadia.llm import licenses
+from mercadia.llm import licenses, topk, warc
 from mercadia.llm.bpe import op5_bpe
+from mercadia.llm.html_text import op8_html_text
+from mercadia.llm.lm_score import op10_lm_score
 from mercadia.llm.mixing import op7_mixing
 from mercadia.llm.near_dedup import op4_near_dedup
 from mercadia.llm.quality_rules import op3_quality_rules
 from mercadia.llm.sharding import op9_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_top_k": topk.op1_top_k,
     "op2_licenses": licenses.op2_licenses,
     "op3_quality_rules": op3_quality_rules,
     "op4_near_dedup": op4_near_dedup,
     "op5_bpe": op5_bpe,
+    "op6_warc": warc.op6_warc,
     "op7_mixing": op7_mixing,
+    "op8_html_text": op8_html_text,
     "op9_sharding": op9_sharding,
+    "op10_lm_score": op10_lm_score,
 }
 
-ORACLES: dict[str, str] = {"op2_licenses": licenses.ORACLE}
+ORACLES: dict[str, str] = {"op1_top_k": topk.ORACLE, "op2_licenses": licenses.ORACLE, "op6_warc": warc.ORACLE}
