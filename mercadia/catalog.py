@@ -1,10 +1,458 @@
-"""The engine's named queries and their oracle SQL."""
+"""The engine's named queries over the test tables. Each takes (spark, folder of tables); oracles.py has their SQL."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from mercadia import fixtures as fx
+from mercadia import oracles, samples
+from mercadia.config import EngineConfig
+from mercadia.functions import scalars as sc
+from mercadia.functions import textnorm as tn
+from mercadia.lexicon import DEFAULT as LEXICON
+from mercadia.operators import compare, report, state
+from mercadia.operators.relevance import for_product_pattern, match_queries, overlaps, relevant, relevant_offers, with_tokens
+from mercadia.plans import query as plans
+from mercadia.sources import landed, payloads
+
+QUERY = "widget rojo"
+QUERIES_TO_MATCH = ["widget rojo", "anvil azul", "ring 28", "brand 17", "plat", "gizmo", "plate", "de para"]
+BATCH = ["widget rojo", "anvil azul", "gizmo", "plat"]
+PLAN = plans.QueryPlan(QUERY, QUERY, [], [["gizmo"], ["azul"]], ["small"])
+ORIGIN = 1_704_067_200
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_brand", "p_name", "p_type", F.col("p_size").cast("string")).alias("name"), "p_name", "p_retailprice")
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select("doc_id", "text")
+
+
+def _best(spark: SparkSession, d: str) -> DataFrame:
+    return compare.best_per_store(fx.offers(spark, d), fx.fetches(spark, d), QUERY)
+
+
+# Scalars
+
+
+@query
+def text_normalize(spark, d):
+    return _documents(spark, d).select("doc_id", tn.normalized(F.col("text")).alias("norm"))
+
+
+@query
+def text_tokens(spark, d):
+    toks = tn.token_list(tn.normalized(F.col("text")))
+    return _documents(spark, d).select("doc_id", F.size(toks).cast("long").alias("n"), F.md5(F.array_join(toks, " ").cast("binary")).alias("digest"))
+
+
+@query
+def content_tokens(spark, d):
+    toks = tn.content_list(tn.token_list(tn.normalized(F.col("text"))))
+    return _documents(spark, d).select("doc_id", F.size(toks).cast("long").alias("n"), F.md5(F.array_join(toks, " ").cast("binary")).alias("digest"))
+
+
+@query
+def synonym_expand(spark, d):
+    groups = spark.createDataFrame([(t, sorted(g)) for g in LEXICON.synonyms for t in g], "token string, syn array<string>")
+    toks = _parts(spark, d).select("p_partkey", F.explode(F.array_distinct(tn.token_list(tn.normalized(F.col("name"))))).alias("token"))
+    found = toks.join(F.broadcast(groups), "token", "left")  # a token of the lexicon in each row: a fixed number
+    return found.select("p_partkey", "token", F.array_join(F.coalesce("syn", F.array("token")), ",").alias("synonyms"))
+
+
+@query
+def price_parse(spark, d):
+    raw = F.concat(F.lit(" "), F.format_number("l_extendedprice", 2), F.lit(" "))
+    raw = F.when(F.col("l_linenumber") == 1, "").when(F.col("l_linenumber") == 2, "abc").otherwise(raw)
+    return _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", sc.as_price(raw).alias("price"))
+
+
+@query
+def price_cents_rule(spark, d):
+    p = F.col("p_retailprice") * 100
+    return _parts(spark, d).select("p_partkey", sc.normalize_price(p).alias("off"), sc.normalize_price(p, EngineConfig(normalize_cents=True)).alias("with_rule"))
+
+
+@query
+def price_minor_units(spark, d):
+    digits = F.when(F.col("p_partkey") % 3 == 0, None).otherwise((F.col("p_partkey") % 4).cast("int"))
+    return _parts(spark, d).select("p_partkey", sc.minor_units(F.round(F.col("p_retailprice") * 100), digits).alias("price"))
+
+
+@query
+def stock_flag(spark, d):
+    return _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", sc.stock_flag(F.concat(F.lit("Estado: "), F.when(F.col("l_returnflag") == "R", "AGOTADO").when(F.col("l_returnflag") == "A", "Sin Existencia").otherwise("ok")), "agotado", "sin existencia").alias("flag"))
+
+
+@query
+def html_text(spark, d):
+    return _table(spark, d, "pages").select("page_id", sc.html_text(F.col("html"), full=False).alias("text"))
+
+
+@query
+def html_chunks(spark, d):
+    chunks = _table(spark, d, "pages").select("page_id", F.posexplode(F.split("html", "(?i)<li><a")).alias("pos", "chunk")).where("pos > 0")
+    return chunks.select("page_id", "pos", F.regexp_extract("chunk", 'href="([^"]+)"', 1).alias("href"), F.regexp_extract("chunk", ">([^<]*)</a>", 1).alias("label"))
+
+
+@query
+def html_escape(spark, d):
+    return _table(spark, d, "pages").select("page_id", F.md5(sc.html_escape(F.col("html")).cast("binary")).alias("digest"))
+
+
+@query
+def money_format(spark, d):
+    return fx.offers(spark, d).select("store_key", "url", "price", sc.money(F.col("price")).alias("web"), sc.money(F.col("price"), sc.NO_NAME).alias("cli"))
+
+
+@query
+def url_encode(spark, d):
+    return spark.createDataFrame(samples.URLS, "raw string").select("raw", sc.url_quote(F.col("raw")).alias("strict"), sc.url_quote(F.col("raw"), True).alias("with_slash"))
+
+
+@query
+def ws_collapse(spark, d):
+    return fx.searches(spark, d).select("event_id", tn.collapsed(F.col("query")).alias("query"))
+
+
+@query
+def plan_clamp(spark, d):
+    raw = F.when(F.col("p_partkey") % 5 == 0, "x").otherwise(((F.col("p_retailprice") - 1000) / 500).cast("string"))
+    return _parts(spark, d).select("p_partkey", sc.clamp(raw, 0.0, 1.0).alias("confidence"))
+
+
+@query
+def cache_path(spark, d):
+    key = sc.cache_key(F.col("client").cast("string"), F.col("query"))
+    return fx.searches(spark, d).select("event_id", key.alias("key"), sc.cache_file(key).alias("file"))
+
+
+@query
+def client_key(spark, d):
+    return spark.createDataFrame(samples.CLIENTS, "forwarded string, host string").select("forwarded", "host", sc.client_key(F.col("forwarded"), F.col("host")).alias("client"))
+
+
+# Relevance
+
+
+@query
+def relevance_match(spark, d):
+    return match_queries(_parts(spark, d), QUERIES_TO_MATCH).select("query_id", "p_partkey")
+
+
+@query
+def relevance_accessory(spark, d):
+    named = with_tokens(_parts(spark, d).select("p_partkey", F.concat_ws(" ", F.when(F.col("p_partkey") % 3 == 0, "Soporte").when(F.col("p_partkey") % 3 == 1, "Kit"), "p_name").alias("name")))
+    return named.select("p_partkey", overlaps(F.col("name_toks"), LEXICON.accessories).alias("accessory"))
+
+
+@query
+def relevance_para(spark, d):
+    named = with_tokens(_parts(spark, d).select("p_partkey", F.concat(F.lit("Motor para "), F.when(F.col("p_partkey") % 2 == 0, "la ").otherwise("uso con "), "p_name").alias("name")))
+    pattern = for_product_pattern(plans.query_variants("red rojo azul"))
+    return named.select("p_partkey", F.col("name_norm").rlike(pattern).alias("for_product"))
+
+
+@query
+def relevance_plan(spark, d):
+    parts = with_tokens(_parts(spark, d))
+    return parts.where(relevant(QUERY, F.col("name_norm"), F.col("name_toks"), PLAN)).select("p_partkey")
+
+
+@query
+def relevance_golden(spark, d):
+    names = with_tokens(spark.createDataFrame([(k, q, n) for k, (q, n, _) in enumerate(samples.RELEVANCE)], "id int, query string, name string"))
+    verdict = F.lit(None).cast("boolean")
+    for q in dict.fromkeys(q for q, _, _ in samples.RELEVANCE):
+        verdict = F.when(F.col("query") == q, relevant(q, F.col("name_norm"), F.col("name_toks"))).otherwise(verdict)
+    return names.select("id", verdict.alias("fits"))
+
+
+@query
+def relevant_offers_(spark, d):
+    return relevant_offers(fx.offers(spark, d), QUERY).select("store_key", "name", "price", "available", "url")
+
+
+QUERIES["relevant_offers"] = QUERIES.pop("relevant_offers_")
+
+
+@query
+def search_aliases(spark, d):
+    return spark.createDataFrame([(q, k, t) for q in samples.ALIASES for k, t in enumerate(plans.search_queries(q))], "query string, alias_ord int, text string")
+
+
+@query
+def query_variants(spark, d):
+    return spark.createDataFrame([(q, k, " ".join(v)) for q in samples.ALIASES for k, v in enumerate(plans.query_variants(q))], "query string, variant int, text string")
+
+
+@query
+def plan_sanitize(spark, d):
+    return spark.createDataFrame([(k, json.dumps(vars(plans.sanitize(p)), ensure_ascii=False)) for k, p in enumerate(samples.PLANS)], "id int, plan string")
+
+
+@query
+def plan_merge(spark, d):
+    merged = [plans.plan_for("tenis nike", p) for p in samples.PLANS]
+    return spark.createDataFrame([(k, n, t) for k, m in enumerate(merged) for n, t in enumerate(m.search_queries)], "id int, n int, text string")
+
+
+@query
+def plan_extract(spark, d):
+    return spark.createDataFrame([(k, plans.output_text(r)) for k, r in enumerate(samples.RESPONSES)], "id int, text string")
+
+
+# Sources
+
+
+def _source(kind: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        landed_rows = spark.createDataFrame([(kind, "s", "S", "shop.example", samples.PAYLOADS[kind])], "kind string, store_key string, store_name string, domain string, body string")
+        return payloads._KINDS[kind](landed_rows).select("name", "price", "available", "url", "image")
+
+    return run
+
+
+for _key, _kind in {"src_vtex": "vtex", "src_magento": "magento", "src_kemik": "kemik", "src_pricesmart": "pricesmart", "src_intelaf": "intelaf", "src_novex": "novex", "src_woocommerce": "woocommerce", "src_max": "max_constructor"}.items():
+    QUERIES[_key] = _source(_kind)
+
+
+@query
+def offers_union(spark, d):
+    rows = [(k, k, k.upper(), "shop.example", body) for k, body in samples.PAYLOADS.items()]
+    return payloads.parse(spark.createDataFrame(rows, "kind string, store_key string, store_name string, domain string, body string")).select("store_key", "name", "price", "available", "url")
+
+
+def _stores(spark: SparkSession, d: str) -> DataFrame:
+    s = _table(spark, d, "supplier")
+    return s.select(F.col("s_suppkey").cast("string").alias("key"), F.col("s_name").alias("name"), (F.col("s_acctbal") >= 0).alias("enabled"))
+
+
+@query
+def stores_enabled(spark, d):
+    return landed.select_stores(_stores(spark, d)).select("key", "name")
+
+
+@query
+def stores_only(spark, d):
+    return landed.select_stores(_stores(spark, d), "7").select("key", "name", "enabled")
+
+
+@query
+def config_merge(spark, d):
+    defaults = landed.stores(spark, samples.DEFAULT_STORES).withColumn("replaces", F.when(F.col("key") == "max", "vtex"))
+    return landed.merge_config(landed.stores(spark, samples.USER_STORES), defaults).select("key", "name", "domain", "kind", "enabled")
+
+
+@query
+def batch_items(spark, d):
+    return landed.batch_items(spark.createDataFrame([(t,) for t in samples.LINES], "value string"))
+
+
+# Fetches, union, dedupe
+
+
+def _alias_fetches(spark: SparkSession, d: str) -> DataFrame:
+    line = _table(spark, d, "lineitem")
+    return line.groupBy(F.col("l_suppkey").alias("store_key"), F.col("l_linenumber").alias("alias_ord")).agg(F.min("l_discount").alias("m")).select(
+        "store_key", "alias_ord", ((F.col("store_key") + F.col("alias_ord")) % 3 != 0).alias("ok"), F.concat(F.lit("e"), F.col("alias_ord").cast("string")).alias("error"),
+        F.when(F.col("store_key") % 50 == 7, "ftp").otherwise("vtex").alias("kind"),
+    )
+
+
+@query
+def fetch_status(spark, d):
+    return compare.fetch_status(_alias_fetches(spark, d), payloads.kinds())
+
+
+@query
+def dedupe_offers(spark, d):
+    return compare.keep_first(fx.offers_dup(spark, d), "alias_ord", "l_orderkey", "l_partkey", "url").select("store_key", "alias_ord", "l_orderkey", "l_partkey", "price")
+
+
+@query
+def alias_union(spark, d):
+    rows = fx.offers_dup(spark, d).withColumn("ok", (F.col("store_key") + F.col("alias_ord")) % 3 != 0).withColumn("n_aliases", F.when(F.col("store_key") % 2 == 0, 1).otherwise(7))
+    return compare.alias_union(rows, "l_orderkey", "l_partkey", "url").select("store_key", "alias_ord", "l_orderkey", "l_partkey", "price")
+
+
+@query
+def zero_result_fallback(spark, d):
+    offers = fx.offers(spark, d).select("store_key", "name", "price", "url")
+    return compare.with_fallback(offers.where(F.contains("name", F.lit("red widget"))), offers.where(F.contains("name", F.lit("widget"))), ["store_key"])
+
+
+@query
+def offer_items(spark, d):
+    return fx.offers(spark, d).select("name", "price", (F.col("available") > 0).alias("available"), "url")
+
+
+@query
+def priced_offers(spark, d):
+    return fx.offers(spark, d).where(sc.is_priced(F.col("price"))).select("store_key", "name", "price", "url")
+
+
+@query
+def offers_by_store(spark, d):
+    return fx.offers(spark, d).groupBy("store_key", "store_name").agg(F.count("*").alias("n"), F.count_if(sc.is_priced(F.col("price"))).alias("n_priced"))
+
+
+# Comparison
+
+
+@query
+def best_match_per_store(spark, d):
+    return compare.best_match_per_store(fx.offers(spark, d), QUERY)
+
+
+@query
+def best_per_store(spark, d):
+    return _best(spark, d)
+
+
+@query
+def store_items(spark, d):
+    return compare.store_items(fx.offers(spark, d), QUERY)
+
+
+@query
+def nested_items(spark, d):
+    return compare.nested_items(fx.offers(spark, d), QUERY).select("store_key", F.size("items").cast("long").alias("n"), F.col("items")[0]["price"].alias("first_price"), F.array_max(F.transform("items", lambda x: x["price"])).alias("top_price"))
+
+
+@query
+def unmatched_stores(spark, d):
+    offers, fetches = fx.offers(spark, d), fx.fetches(spark, d)
+    return compare.unmatched_stores(offers, fetches, compare.best_match_per_store(compare.only_ok(offers, fetches), QUERY)).select("store_key", "reason")
+
+
+@query
+def store_reasons(spark, d):
+    rows = fx.fetches(spark, d).join(compare._reasons(fx.offers(spark, d)), "store_key", "left")
+    return rows.select("store_key", compare.reason().alias("reason"))
+
+
+@query
+def cli_view(spark, d):
+    return compare.cli_view(fx.offers(spark, d), fx.fetches(spark, d), QUERY)
+
+
+@query
+def all_view(spark, d):
+    return compare.all_view(compare.store_items(fx.offers(spark, d), QUERY), 3)
+
+
+@query
+def compare_meta(spark, d):
+    return compare.compare_meta(_best(spark, d))
+
+
+@query
+def cheapest_store(spark, d):
+    return compare.cheapest_store(_best(spark, d))
+
+
+@query
+def batch_total(spark, d):
+    return compare.batch_total(compare.batch(fx.offers(spark, d), BATCH))
+
+
+@query
+def api_response(spark, d):
+    best = _best(spark, d)
+    doc = compare.api_response(QUERY, best)
+    rows = F.from_json("results", "array<struct<rank int, ok boolean, price double>>")
+    return doc.select("query", F.size(rows).cast("long").alias("n"), F.size(F.filter(rows, lambda r: r["ok"])).cast("long").alias("n_ok"), F.round(F.aggregate(rows, F.lit(0.0), lambda a, r: a + F.coalesce(r["price"], F.lit(0.0))), 2).alias("sum_price"), "cheapest")
+
+
+@query
+def jsonld_items(spark, d):
+    return compare.list_items(_best(spark, d))
+
+
+@query
+def search_log_rows(spark, d):
+    ok = _best(spark, d).agg(F.count_if("ok").alias("stores_with_price"), F.min_by("store_key", F.when(F.col("ok"), F.col("rank"))).alias("cheapest"))
+    return ok.select(F.lit(QUERY).alias("query"), "stores_with_price", "cheapest")
+
+
+# State
+
+
+@query
+def popular_queries(spark, d):
+    return state.popular(fx.searches(spark, d).select("query", F.col("event_id").alias("seq")), 20)
+
+
+@query
+def popular_by_hour(spark, d):
+    return state.popular_by_window(fx.searches(spark, d), "1 hour")
+
+
+@query
+def sessions(spark, d):
+    return state.sessions(fx.searches(spark, d).select("client", "ts"), "6 hours")
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    return fx.searches(spark, d).select("client", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("id")).select("client", (F.col("us") / 1e6).alias("t"), "id")
+
+
+@query
+def rate_limit(spark, d):
+    return state.rate_limit(_hits(spark, d), 86_400.0, 2)
+
+
+@query
+def attempts_in_window(spark, d):
+    return state.attempts_in_window(_hits(spark, d), 86_400).select("client", "id", "attempts")
+
+
+@query
+def cache_hit_sim(spark, d):
+    return state.cache_hits(_hits(spark, d).select(F.col("client").cast("string").alias("key"), "t", "id"), 43_200.0)
+
+
+@query
+def cache_lookup(spark, d):
+    entries = _hits(spark, d).select(F.col("client").cast("string").alias("key"), F.col("t").alias("ts"), F.when(F.col("id") % 7 == 0, "null").otherwise(F.concat(F.lit("["), F.col("id").cast("string"), F.lit("]"))).alias("data"))
+    return landed.lookup(entries, float(ORIGIN + 29 * 86_400), 86_400.0).select("key", "data", "file")
+
+
+# Reports
+
+
+def _pages(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(samples.PAGES, report.PAGE)
+
+
+@query
+def page_lookup(spark, d):
+    slugs = _table(spark, d, "nation").select(F.lower("n_name").alias("slug"))
+    pages = _table(spark, d, "nation").where("n_regionkey < 3").select(F.lower("n_name").alias("slug"), F.concat(F.lit("q "), "n_name").alias("query"))
+    return report.page_lookup(pages, slugs)
+
+
+@query
+def sitemap_rows(spark, d):
+    return report.sitemap_rows(_pages(spark), "https://shop.example", "2024-01-31")
+
+
+ORACLES: dict[str, str] = oracles.ORACLES
