@@ -56,12 +56,13 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     started = spool(counted.select("_bucket", "_n", F.coalesce(start, F.lit(0)).cast("long").alias("_start")), "bucket-starts")
     drawn = started.repartition(DRAWS, "_bucket").sortWithinPartitions("_bucket").withColumn("_order", F.shuffle(F.sequence(F.lit(0), F.col("_n") - 1), seed=SEED))
     drawn = spool(drawn, "bucket-orders")
-    within = Window.partitionBy("_bucket").orderBy("_draw", "doc_id", "_crc")
-    ranked = docs.drop("shard", "slot").withColumns({"_bucket": bucket, "_draw": _draw(1), "_crc": crc_of()}).withColumn("_rank", F.row_number().over(within) - 1)
+    within = Window.partitionBy("_bucket").orderBy("_draw", "_doc", "_crc")
+    whole = F.struct(*[c for c in docs.columns if c not in ("shard", "slot")]).alias("_all")
+    ranked = docs.select(whole, bucket.alias("_bucket"), _draw(1).alias("_draw"), F.col("doc_id").alias("_doc"), crc_of().alias("_crc")).withColumn("_rank", F.row_number().over(within) - 1)
     placed = ranked.join(drawn, "_bucket").withColumn("_place", F.col("_start") + F.get("_order", F.col("_rank")))
-    shard = F.expr(f"(_place * {shards}) div {at['n'] or 1}")
+    placed = placed.withColumn("shard", F.expr(f"(_place * {shards}) div {at['n'] or 1}").cast("int"))
     first = F.expr(f"(shard * {at['n']} + {shards - 1}) div {shards}")
-    return placed.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("_place") - first).drop("_bucket", "_draw", "_crc", "_rank", "_n", "_start", "_order", "_place")
+    return placed.select("_all.*", "shard", (F.col("_place") - first).alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
