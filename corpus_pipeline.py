@@ -20,8 +20,8 @@ VOCABULARY = "byte_bpe_50k.json"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep."""
-    return judged(docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
+    """The documents that the rules keep. The verdicts are written first: a filter pushed into their nested expressions makes planning endless."""
+    return spool(judged(docs, table(spark, sf_dir, "labels")), "judged").where("kept").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
