@@ -119,6 +119,10 @@ def test_sketch_estimates():
             x, y = near_dedup.sketches([a[:n], a[n - common :]])
             seen.append(near_dedup.estimate(np.array([n]), np.array([n]), np.array([(x > y).sum()]), np.array([(x < y).sum()]))[0])
         assert abs(np.mean(seen) - j) < 0.03
+    n_a, n_b = draw.uniform(90, 100, (2, 3000))
+    above, below = draw.integers(0, 50, (2, 3000)).astype(float)
+    exact, reaches = near_dedup.estimate(n_a, n_b, above, below), near_dedup._reaches(n_a, n_b, above, below, 0.7)
+    assert (reaches == (exact >= 0.7))[abs(exact - 0.7) > 0.011].all()
     a = draw.integers(0, 1 << 63, 500, dtype=np.uint64)
     whole, left, right = near_dedup.sketches([a, a[:300], a[200:]])
     assert (np.maximum(left, right) == whole).all()  # sketches merge by the greater register
@@ -314,7 +318,7 @@ def test_pipeline(spark, small, docs, tokenizer):
     """Each stage against brute force on what the one before it left."""
     columns = docs.columns
     kept = corpus_pipeline.quality(spark, docs, small).cache()
-    good = {r["doc_id"] for r in quality_rules.op3_quality_rules(spark, small).where("kept").collect()}
+    good = {r["doc_id"] for r in quality_rules.op3_quality_rules(spark, small).collect() if r["kept"]}
     assert kept.columns == columns and {r["doc_id"] for r in kept.collect()} == good
     unique = corpus_pipeline.near_dedup(spark, kept, small).cache()
     groups = brute_components(pairs_of(kept))
