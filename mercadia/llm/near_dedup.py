@@ -177,12 +177,23 @@ def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGISTERS)
 
 
+def _reaches(n_a: np.ndarray, n_b: np.ndarray, above: np.ndarray, below: np.ndarray, bound: float) -> np.ndarray:
+    """Whether the similarity of greatest likelihood is at least `bound`: the log-likelihood is concave, so its slope there tells. The bound lies under both size ratios."""
+    u = n_a / (n_a + n_b)
+    v = 1 - u
+    c = (BASE - 1) / BASE
+    x, y = u - v * bound, v - u * bound
+    p, q = _mass(x), _mass(y)
+    dp, dq = -v * c / ((1 - c * x) * np.log(BASE)), -u * c / ((1 - c * y) * np.log(BASE))
+    return above * dp / p + below * dq / q - (REGISTERS - above - below) * (dp + dq) / (1 - p - q) >= 0
+
+
 def _fits(left: np.ndarray, right: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Which pairs can be links, by their sizes and the estimate."""
     fits = 100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b)
     left, right = left[fits], right[fits]
-    j = estimate(n_a[fits], n_b[fits], (left > right).sum(axis=1), (left < right).sum(axis=1))
-    fits[fits] = j >= PERCENT / 100 - SLACK
+    above, below = ((x.sum(axis=1, dtype=np.uint8)).astype(float) for x in (left > right, left < right))
+    fits[fits] = _reaches(n_a[fits], n_b[fits], above, below, PERCENT / 100 - SLACK)
     return fits
 
 
