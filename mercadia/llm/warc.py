@@ -10,8 +10,8 @@ table of revisits is broadcast if its counted rows are within a limit, and joine
 
 Reading: archives come in whole, through Spark's binary reader. Each record must start with a version line, have a
 length that ends where the next record or the file ends, and fit its digests. Where a check fails, the reader looks for the next
-valid record (the next version line; in compressed archives the next gzip member), goes on there, and reports the bytes between
-as quarantined.
+valid record (the nearer of the next version line and the next gzip member, over the whole file), goes on there, and reports the
+bytes between as quarantined. A file may hold plain records and gzip members of one record each, in any mixture.
 
 Defined results: null html counts as an empty payload, which like any other can be revisited. Repeated rows of the
 smallest page_id are all responses. A null page_id comes last in the choice of the response. URLs are percent-encoded
@@ -41,6 +41,9 @@ READ_SCHEMA = "file string, at long, bytes long, kind string, page_id long, url
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
+_START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
+#: A gzip member is opened in steps of this many bytes.
+_FEED = 1 << 16
 
 
 def base32_sha1(data: Column) -> Column:
@@ -139,61 +142,43 @@ def _record(data: bytes, at: int) -> tuple[dict | None, int]:
     }, end + 4
 
 
-def _plain(data: bytes) -> Iterator[tuple[dict | None, int, int]]:
-    """Records and gaps (None) of an uncompressed archive, each with where it starts and ends."""
-    at, bad = 0, None
-    while at < len(data):
-        record, end = _record(data, at)
-        if record is not None:
-            if bad is not None:
-                yield None, bad, at
-                bad = None
-            yield record, at, end
-            at = end
-            continue
-        bad = at if bad is None else bad
-        m = _VERSION.search(data, at + 1)
-        at = m.start() if m else len(data)
-    if bad is not None:
-        yield None, bad, len(data)
+def _member(data: bytes, at: int) -> tuple[dict | None, int]:
+    """The one record of the gzip member at `at` and where the member ends; None if any check fails."""
+    opened, view, body, end = zlib.decompressobj(31), memoryview(data), [], at
+    try:
+        while not opened.eof and end < len(data):
+            body.append(opened.decompress(view[end : end + _FEED]))
+            end = min(end + _FEED, len(data))
+    except zlib.error:
+        return None, at
+    whole = b"".join(body)
+    record, length = _record(whole, 0)
+    if record is None or not opened.eof or length != len(whole):
+        return None, at
+    return record, end - len(opened.unused_data)
 
 
-def _compressed(data: bytes) -> Iterator[tuple[dict | None, int, int]]:
-    """The same for an archive of gzip members, one record each; places are those of the members."""
+def salvage(data: bytes) -> Iterator[tuple[dict | None, int, int]]:
+    """Every record that passes its checks, and every gap between them as None, each with where it starts and ends, in file order."""
     at, bad = 0, None
     while at < len(data):
-        record = None
-        if data.startswith(_MEMBER, at):
-            opened = zlib.decompressobj(31)
-            try:
-                body = opened.decompress(data[at:])
-                if opened.eof:
-                    record, end = _record(body, 0)
-                    record = record if end == len(body) else None
-            except zlib.error:
-                record = None
+        record, end = _member(data, at) if data.startswith(_MEMBER, at) else _record(data, at)
         if record is not None:
             if bad is not None:
                 yield None, bad, at
                 bad = None
-            end = len(data) - len(opened.unused_data)
             yield record, at, end
             at = end
             continue
         bad = at if bad is None else bad
-        at = data.find(_MEMBER, at + 1)
-        at = len(data) if at < 0 else at
+        m = _START.search(data, at + 1)
+        at = m.start() if m else len(data)
     if bad is not None:
         yield None, bad, len(data)
 
 
-def salvage(data: bytes) -> Iterator[tuple[dict | None, int, int]]:
-    """Every record that passes its checks, and every gap between them as None, in file order."""
-    yield from _compressed(data) if _MEMBER in data[: 1 << 16] and not _VERSION.match(data) else _plain(data)
-
-
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """READ_SCHEMA: one row for each record, and one of kind `quarantined` for each gap. Archives that other tools wrote may be gzipped."""
+def read_archives(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
+    """READ_SCHEMA: one row for each record, and one of kind `quarantined` for each gap, of the files whose names fit the glob. Archives that other tools wrote may be gzipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("file", pa.string()), ("at", pa.int64()), ("bytes", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
@@ -208,7 +193,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(path)
     return files.select("path", "content").mapInArrow(run, READ_SCHEMA)
 
 

@@ -117,6 +117,26 @@ def test_salvage(archive, pack):
     assert ends == len(data) + (len(kept[5]) if pack else 0)
 
 
+@pytest.mark.parametrize("pack", [False, True])
+def test_salvage_beyond_a_damaged_start(archive, pack):
+    """The first record is damaged at its start, is long, or is of the other kind: all others come out."""
+    records = [b"WARC/1.1\r\nWARC-Type" + r for r in whole(archive).split(b"WARC/1.1\r\nWARC-Type") if r]
+    kept = [gzip.compress(r) if pack else r for r in records]
+    start = b"XX" + (np.random.default_rng(5).bytes(100_000) if pack else b"\x1f\x8b\x08" + kept[0])
+    for head in (start, bytes(80_000), records[0] if pack else gzip.compress(records[0])):
+        found = list(warc.salvage(head + b"".join(kept[1:])))
+        assert sum(r is not None for r, a, _ in found if a >= len(head)) == len(kept) - 1
+        assert [a for _, a, _ in found] == [0, *(b for _, _, b in found)][:-1] and found[-1][2] == len(head) + sum(map(len, kept[1:]))
+
+
+def test_warc_names(spark, archive, tmp_path):
+    data = whole(archive)
+    (tmp_path / "x.warc").write_bytes(data)
+    (tmp_path / "y.warc.gz").write_bytes(gzip.compress(data[: data.index(b"WARC/1.1", 1)]))
+    assert warc.read_archives(spark, str(tmp_path)).where("kind <> 'quarantined'").count() == len(PAGES) + 1
+    assert warc.read_archives(spark, str(tmp_path), "*.gz").count() == 1
+
+
 PAGE = """<html><head><title>T</title></head><body class="has-sidebar"><header><h1>Site</h1><a href=/>Home</a></header><div id="cookie-notice"><p>We use cookies here for things.</p></div>
 <main><article><header><h1>Head &lt;line&gt;</h1></header><p>First&nbsp;para <a href=x>with link</a> a < b &amp; c.<p>Second<br>line<div class="ad">Buy now</div><ul><li>one<li>two</ul><blockquote>q</blockquote>
 <section class="comments"><h2>Comments</h2><p>nice long comment that goes on and on</p></section></article></main><aside><p>Side text with many words in it so that it looks like text</p></aside><form><label>Mail</label><input></form><footer>(c)</footer><script>var x="<p>no</p>"</script></body>"""
