@@ -12,12 +12,14 @@ labels: those of the phrases found, and of each valid expression its identifiers
 allows; 0 where nothing is found.
 
 Defined results: a null text counts as empty: no words, no findings, null first_word and last_word, empty labels.
-A tag without a valid expression adds neither label nor finding. Repeated rows each come out. Texts are scanned
+An expression
+ends with its line or at the next tag. A tag without a valid expression adds neither label nor finding. Repeated rows each come out. Texts are scanned
 whole. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -51,19 +53,20 @@ TAG = "spdx license identifier"
 #: The default policy: identifiers and labels that are allowed.
 ALLOWED = frozenset("mit apache-2 apache-2.0 bsd bsd-2-clause bsd-3-clause isc cc0 cc0-1.0 unlicense zlib".split())
 
-_TAG_RAW = re.compile(r"spdx[^a-z0-9\x80-\U0010ffff]+license[^a-z0-9\x80-\U0010ffff]+identifier(?:[ \t]*:)?([^\r\n]*)", re.I)
+_TAG_RAW = re.compile(r"(?<![a-z0-9\x80-\U0010ffff])spdx[^a-z0-9\x80-\U0010ffff]+license[^a-z0-9\x80-\U0010ffff]+identifier(?![a-z0-9\x80-\U0010ffff])(?:[ \t]*:)?", re.I)
+_LINE_END = re.compile(r"[\r\n]|\Z")
 _TOKEN = re.compile(r"\s*([A-Za-z0-9][A-Za-z0-9.+:-]*|\(|\))")
 _RANK = {"or": 1, "and": 2, "with": 3}
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
-def postfix(text: str) -> list[str] | None:
-    """The longest licence expression that `text` starts with, in postfix order (shunting yard); None if there is none."""
+def postfix(text: str, at: int = 0, end: int | None = None) -> list[str] | None:
+    """The longest licence expression that text[at:end] starts with, in postfix order (shunting yard); None if there is none."""
     out: list[str] = []
     ops: list[str] = []
-    at, operand = 0, True
+    end, operand = len(text) if end is None else end, True
     best: list[str] | None = None
-    while m := _TOKEN.match(text, at):
+    while m := _TOKEN.match(text, at, end):
         token = m[1].lower()
         at = m.end()
         if operand and token == "(":
@@ -132,8 +135,12 @@ def scan(text: str, find: ahocorasick.Automaton) -> tuple:
             base.add(label)
             places.append(plain.count(" ", 0, end + 1 - length))
     if tagged:
-        for m in _TAG_RAW.finditer(text):
-            if expression := postfix(m[1]):
+        tags = [m.span() for m in _TAG_RAW.finditer(text)]
+        line = -1
+        for (_, at), (following, _) in itertools.pairwise([*tags, (len(text), 0)]):
+            if line < at:
+                line = _LINE_END.search(text, at).start()
+            if expression := postfix(text, at, min(line, following)):
                 named, good = evaluate(expression)
                 labels |= named
                 findings.append(good)

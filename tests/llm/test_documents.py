@@ -210,6 +210,20 @@ def test_expressions(text, postfix, labels, good):
     assert licenses.postfix(text) == postfix and licenses.evaluate(postfix) == (labels, good)
 
 
+@pytest.mark.parametrize(
+    ("text", "labels", "score"),
+    [
+        ("SPDX-License-Identifier: MIT ... SPDX-License-Identifier: GPL-2.0", "gpl-2.0,mit", 0.5),
+        ("SPDX-License-Identifier: MIT AND spdx license identifier ISC\nSPDX-License-Identifier:\nZlib", "isc,mit", 1.0),
+        ("SPDX-License-Identifier: MIT xSPDX-License-Identifier: A SPDX-License-Identifiers: B", "mit", 1.0),
+        ("SPDX-License-Identifier: " * 3 + "MIT", "mit", 1.0),
+        ("x SPDX-License-Identifier: MIT " * 20_000, "mit", 1.0),
+    ],
+)
+def test_tags_of_one_line(text, labels, score):
+    assert licenses.scan(text, licenses.automaton())[-2:] == (labels, score)
+
+
 @pytest.mark.parametrize("text", ["", "AND MIT", "(", "( MIT"])
 def test_bad_expressions(text):
     assert licenses.postfix(text) is None
