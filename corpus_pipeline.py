@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercadia.llm.bpe import encoded
-from mercadia.llm.common import spool, table
+from mercadia.llm.common import broadcast_if, spool, table
 from mercadia.llm.mixing import mixed
-from mercadia.llm.near_dedup import near_duplicates
+from mercadia.llm.near_dedup import ID_BROADCAST, near_duplicates
 from mercadia.llm.quality_rules import judged
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -24,16 +24,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return spool(judged(docs, table(spark, sf_dir, "labels")), "judged").where("kept").select(docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row, _row, written once so that every use sees the same keys."""
+    return spool(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id; rows with a null doc_id stay."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near-duplicate rows one row with the smallest doc_id; rows with a null doc_id stay. Rows that share a doc_id are told apart."""
+    rows = keyed(docs)
+    named = rows.where("doc_id is not null")
+    grouped = near_duplicates(named.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_comp"))
+    grouped = spool(grouped.join(named.select("_row", "doc_id"), "_row"), "grouped")
+    stays = grouped.groupBy("_comp").agg(F.min(F.struct("doc_id", "_row")).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_comp", F.col("_first._row").alias("_stays"))
+    stays = spool(stays, "stays")
+    gone = grouped.join(broadcast_if(stays, stays.count(), ID_BROADCAST), "_comp").where("_row <> _stays").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: 0, 1 or 2 rows. Documents are told apart by doc_id, which the stage before left unique."""
-    copies = mixed(docs).where("copies > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    taken = docs.join(copies, "doc_id")
+    """Each row as often as the mix takes it: 0, 1 or 2 rows, whatever its doc_id."""
+    rows = keyed(docs)
+    copies = mixed(rows, ("_row",)).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
+    taken = rows.join(copies, "_row")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
 
 

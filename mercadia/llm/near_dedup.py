@@ -324,6 +324,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = _sets_of(docs, ids)
     of = lambda x: sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"shingles_{x}"))
     links = spool(likely.join(of("a"), "a").join(of("b"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirmed, "a long, b long"), "links")
+
+    # doc_ids that rows with different sets share: one node, linked with the class of each
+    prints_of = F.struct(*prints)
+    several = sketched.where("doc_id is not null").groupBy("doc_id").agg(F.min(prints_of).alias("p0"), F.max(prints_of).alias("p1")).where("p0 < p1")
+    shared = spool(several.select("doc_id"), "shared")
+    shared = broadcast_if(shared, shared.count(), ID_BROADCAST)
+    own = sketched.join(shared, "doc_id", "left_semi").join(classes.drop("registers"), prints).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    links = spool(links.union(own.distinct()), "all-links")
     first = spool(components(links), "first")
 
     # buckets that still hold several components
@@ -341,8 +349,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     final = spool(components(links.union(more)), "final")
     named = classes.join(final, classes["rep"] == final["node"], "left").select(*prints, F.coalesce("comp", "rep").alias("comp"))
+    placed = shared.join(final, shared["doc_id"] == final["node"]).select(F.col("doc_id").alias("_shared"), F.col("comp").alias("_comp"))
     joined = sketched.drop("registers").join(named, prints, "left")
-    found = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
+    joined = joined.join(broadcast_if(placed, placed.count(), ID_BROADCAST), joined["doc_id"] == F.col("_shared"), "left")  # a shared doc_id's empty rows too
+    found = F.when(F.col("doc_id").isNotNull(), F.coalesce("_comp", "comp", "doc_id"))
     return joined.select("doc_id", "n_shingles", found.alias("component_id"), (F.col("doc_id") == found).alias("kept"))
 
 

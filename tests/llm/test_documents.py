@@ -106,6 +106,14 @@ def test_near_dedup_odd(odd, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_dedup_shared_ids(spark):
+    """Rows that share a doc_id join the groups of their texts, also where one is empty."""
+    x, y, z = (" ".join(f"{c}{k}" for k in range(60)) for c in "xyz")
+    rows = [(5, x), (3, x), (5, y), (7, y), (8, z), (1, z), (8, ""), (6, z + " more"), (6, ""), (9, ""), (9, None), (9, "solo")]
+    got = check_near(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got} == {5: 3, 3: 3, 7: 3, 8: 1, 1: 1, 6: 1, 9: 9}
+
+
 def test_sketch_estimates():
     import numpy as np
 
@@ -343,3 +351,19 @@ def test_pipeline(spark, small, docs, tokenizer):
     by = dict(pairs_of(docs))
     out = Counter((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, small).collect())
     assert out == Counter({(i, tuple(tokenizer.encode(by[i], add_special_tokens=False).ids)): k for i, k in copies.items() if k})
+
+
+def test_pipeline_odd(odd):
+    """Null, shared and repeated doc_ids: no row is lost or multiplied."""
+    more = odd.union(odd.where("doc_id = 9").withColumn("doc_id", F.lit(4).cast("long"))).cache()
+    near = corpus_pipeline.near_dedup(None, more, "")
+    got = Counter((r["doc_id"], r["text"]) for r in near.collect())
+    same = "a b c d e f g"
+    expect = Counter((i, t) for i, t, _ in ODD if i not in (5, 7, 8, 9))  # of five rows of equal text that of the smallest doc_id stays, and the one without
+    assert got == expect + Counter({(4, same): 1}) and near.columns == more.columns
+    copies = Counter()
+    for r in mixing.mixed(odd.withColumn("row", F.monotonically_increasing_id()), ("row",)).collect():
+        copies[r["doc_id"], r["size"]] += r["copies"]
+    mix = corpus_pipeline.mix(None, odd, "")
+    out = Counter((r["doc_id"], len(WORD.findall(r["text"]))) for r in mix.collect())
+    assert out == +copies and out[None, 7] > 0 and mix.columns == odd.columns
