@@ -2,11 +2,14 @@
 
 A page is cut into flat text blocks at its block-level tags. Each block has its word count and link density, those of
 the blocks before and after it, and what its open elements say: inside an article or main element, inside page
-furniture, or under a class, id or role that names furniture. A decision tree, trained on the small labelled table
+furniture, or under a class, id or role that names furniture (the class or id of a wrapper that holds a main element or the
+longest article is about the layout and names nothing). A decision tree, trained on the small labelled table
 below, keeps or drops each block; the kept ones, one to a line, are the text.
 
 Within a block, inline tags vanish, line breaks count as white space, character references are decoded after the tags are gone, and
-white space becomes one space. Scripts, styles and other elements without running text are left out whole.
+white space becomes one space. Scripts, styles and other elements without running text are left out whole; of those other than
+raw text, one whose end tag is missing ends at the next block-level tag. A head without end tag ends before the first tag or text
+that can't be in it.
 
 Defined results: null or blank html gives an empty text. Unclosed and truncated markup is read as far as it goes:
 a cut-off tag at the end is dropped. Repeated rows each come out; page_id and url may be null. Pages are read whole.
@@ -63,9 +66,12 @@ _NAMES = set(
     "breadcrumbs footer masthead toolbar pagination pager comment comments commentlist disqus reply replies respond discussion share sharing social related recommended "
     "recommendations trending teaser outbrain taboola skip search".split()
 )
-_SKIPPED = "script|style|noscript|template|textarea|select|button|svg|iframe|object|canvas|head"
+_RAW = "script|style|textarea|iframe"
+_SKIPPED = set("noscript template select button svg object canvas".split())
+_IN_HEAD = set("title meta link base script style noscript template head html".split())
+_HEAD_END = re.compile(r"</(noscript|template)\s*>|<body\b|</head\b", re.I)
 _PIECE = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_SKIPPED})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*'|[\"'])*)>|<[!?][^>]*(?:>|\Z)|<[/a-zA-Z][^<>]*\Z",
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*'|[\"'])*)>|<[!?][^>]*(?:>|\Z)|<[/a-zA-Z][^<>]*\Z",
     re.S | re.I,
 )
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -104,8 +110,8 @@ def classify(tree: tuple, row: tuple) -> int:
     return tree[0]
 
 
-def _hint(name: str, attributes: str) -> tuple[bool, bool]:
-    """Do the attributes name furniture? Is the element hidden?"""
+def _hint(name: str, attributes: str, holds: bool) -> tuple[bool, bool]:
+    """Do the attributes name furniture, unless the element holds the text? Is the element hidden?"""
     hinted = hidden = False
     for key, value in _NAMED.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
@@ -115,11 +121,65 @@ def _hint(name: str, attributes: str) -> tuple[bool, bool]:
             hidden = True
         elif key == "style":
             hidden |= "display:none" in value.replace(" ", "")
-        elif key in ("class", "id") and name not in ("html", "body", "article", "main"):
+        elif key in ("class", "id") and not holds and name not in ("html", "body", "article", "main"):
             hinted |= not _NAMES.isdisjoint(_PARTS.findall(value))
     return hinted, hidden
 
 
+def layout(page: str) -> tuple[dict[int, int], set[int]]:
+    """Where each head and each closed skipped element ends, by where it starts; and where the elements start that hold a main element or the longest article."""
+    ends: dict[int, int] = {}
+    holders: set[int] = set()
+    around: list[int] = []
+    longest = -1
+    stack: list[tuple[str, int]] = []  # name and start
+    head, after, last, resume = -1, 0, "", 0
+
+    def pop(depth: int, end: int) -> None:
+        nonlocal longest, around
+        for k in range(depth, len(stack)):
+            name, start = stack[k]
+            if name == "article" and end - start > longest:
+                longest, around = end - start, [x[1] for x in stack[:k]]
+        del stack[depth:]
+
+    for m in _PIECE.finditer(page):
+        if m.start() < resume:
+            continue
+        name, close = (m[3] or m[1] or "").lower(), bool(m[2])
+        if head >= 0:
+            if last != "title" and page[after : m.start()].strip():
+                ends[head], head = after, -1
+            elif close and name == "head":
+                ends[head], head = m.end(), -1
+                continue
+            elif name and not close and name not in _IN_HEAD:
+                ends[head], head = m.start(), -1
+            else:
+                after, last = m.end(), name if not close else ""
+                if name in ("noscript", "template") and not close and (found := _HEAD_END.search(page, after)) and (found[1] or "").lower() == name:
+                    resume = after = found.end()
+                continue
+        if not m[3]:
+            continue
+        if close:
+            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
+            if depth >= 0:
+                if name in _SKIPPED:
+                    ends[stack[depth][1]] = m.end()
+                pop(depth, m.start())
+        elif name == "head":
+            head, after, last = m.start(), m.end(), ""
+        elif name not in _VOID and name != "p" and not m[4].endswith("/"):
+            if name == "main":
+                holders.update(x[1] for x in stack)
+            stack.append((name, m.start()))
+    if head >= 0:
+        ends[head] = after if last != "title" and page[after:].strip() else len(page)
+    pop(0, len(page))
+    return ends, holders | set(around)
+
+
 def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
     """Text, words, link density, article, furniture and hinted of each block of the page that has text."""
     out = []
@@ -145,24 +205,40 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
             if state[3]:
                 linked += len(text.split())
 
+    ends, holders = layout(page)
     at = 0
+    quiet = -1  # how many elements were open where a skipped element began that has no end tag
     for m in _PIECE.finditer(page):
-        take(page[at : m.start()])
+        if m.start() < at:
+            continue
+        if quiet < 0:
+            take(page[at : m.start()])
         at = m.end()
         if m[3] is None:
             if m[1]:
-                end_block() if m[1].lower() == "head" else take(" ")
+                take(" ")
             continue
         name = m[3].lower()
+        if not m[2] and m.start() in ends:
+            at = ends[m.start()]
+            end_block() if name == "head" else take(" ")
+            continue
+        if name in _SKIPPED:
+            take(" ")
+            if not m[2] and not m[4].endswith("/"):
+                quiet = len(stack)
+            continue
         if name == "br":
             take(" ")
             continue
         block = name in _BLOCK
         if block:
             end_block()
+            quiet = -1
         if m[2]:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
             if depth >= 0:
+                quiet = -1 if depth < quiet else quiet
                 del stack[depth:]
                 state = stack[-1][1:] if stack else (0, 0, 0, 0, 0)
             continue
@@ -175,12 +251,13 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
             stack.pop()
         state = stack[-1][1:] if stack else (0, 0, 0, 0, 0)
         a, f, h, links, hidden = state
-        hinted, hides = _hint(name, m[4]) if m[4] else (False, False)
+        hinted, hides = _hint(name, m[4], m.start() in holders) if m[4] else (False, False)
         if not m[4].endswith("/"):
             furniture = name in _FURNITURE or name == "header" and not a
             state = (a + (name in _ARTICLE), f + furniture, h + hinted, links + (name == "a"), hidden + hides)
             stack.append((name, *state))
-    take(page[at:])
+    if quiet < 0:
+        take(page[at:])
     end_block()
     return out
 

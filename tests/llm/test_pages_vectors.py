@@ -146,6 +146,24 @@ def test_html_page():
     assert html_text.extract(PAGE, html_text.trained()) == "Head <line>\nFirst para with link a < b & c.\nSecond line\none\ntwo\nq"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>t</title><body><article><p>text</article>", "text"),
+        ("<head><title>t</title><noscript><img src=x></noscript><meta x><article><p>text</article>", "text"),
+        ("<head><meta x></head><article><p>text</article>", "text"),
+        ("<article><p>one</p><button>Share<p>two</p><select><option>a<option>b<p>three</p></article>", "one\ntwo\nthree"),
+        ("<article><p>one <button><div>no</div>Share</button> two</p><template><p>no</template><svg><title>no</title></svg></article>", "one two"),
+        ("<article><p>one <span><button>Share</span> two <object data=x>no</p><p>three<noscript>no", "one two\nthree"),
+        ("<article><p>one</p><script>var x = '<p>no</p>'", "one"),
+        ("<div class='with-sidebar'><main><div id=search><article><p>text</p></article></div></main></div>", "text"),
+        ("<div class='with-sidebar'><article><p>some text</p></article><div class=related><article><p>no</p></article></div></div>", "some text"),
+    ],
+)
+def test_html_unclosed_and_wrapped(page, text):
+    assert html_text.extract(page, html_text.trained()) == text
+
+
 def test_tree_fits_its_table():
     tree = html_text.trained()
     assert [r for r in html_text.LABELLED if html_text.classify(tree, r[:-1]) != r[-1]] == []
