@@ -164,6 +164,27 @@ def test_quality_odd(spark, odd, empty):
     assert quality_rules.judged(empty, some).count() == 0
 
 
+def test_quality_rejects_what_labels_call_bad(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
+    got = [r for r in quality_rules.op3_quality_rules(spark, folder).join(labels, "doc_id").collect() if not r["base_failed"]]
+    bad, good = ([r["kept"] for r in got if (r["q"], r["t"] * r["q"]) == x] for x in ((0, 0), (1, 0)))
+    assert len(bad) == 27 and sum(bad) <= 4 and len(good) > 250 and sum(good) >= 0.99 * len(good)
+
+
+def test_quality_bar():
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    good, bad = draw.normal(0.5, 0.1, 1000), draw.normal(-0.5, 0.1, 300)
+    assert bad.max() < quality_rules.bar_of(good, bad) < good.min()
+    assert (good < quality_rules.bar_of(good, good[:1])).sum() <= 1  # one wrong label moves little
+    none = np.zeros(0)
+    bars = [quality_rules.bar_of(good[:n], none) for n in (1, 5, 19, 20, 1000)]
+    assert quality_rules.bar_of(none, bad) == float("-inf") and all(math.isfinite(x) for x in bars) and bars[0] < bars[1] < bars[2] < bars[4]
+    assert abs(bars[2] - bars[3]) < 0.2  # no step at 20
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
