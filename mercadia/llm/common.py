@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the contracts: a word is a run of anything else.
@@ -43,6 +43,14 @@ def broadcast_if(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def salted_join(many: DataFrame, few: DataFrame, rows: int, limit: int, keys: list[str], by: Column, salts: int) -> DataFrame:
+    """many joined with few, which has each key once. Beyond `limit` counted rows few goes to each of `salts` parts of a key, so a crowd of one key spreads over as many tasks."""
+    if rows <= limit:
+        return many.join(F.broadcast(few), keys)
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

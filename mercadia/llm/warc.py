@@ -5,13 +5,16 @@ others are revisits that name it and carry no payload. Records are built by Data
 own text writer, whose separator is the two line ends that close a WARC record; so commits, retries and remote stores
 are Spark's affair. One file is an archive of whole records.
 
-Finding equal payloads takes a shuffle of digests only, pre-aggregated, so a crowd of equal pages meets as one row for each task; the
-table of revisits is broadcast if its counted rows are within a limit, and joined by a shuffle beyond it.
+Finding equal payloads takes a shuffle of digests only, pre-aggregated, so a crowd of equal pages meets as one row for each task. The
+digests that repeat, and the revisits, go back by broadcast if their counted rows are within a limit; beyond it they are salted, so that a
+crowd is spread over SALTS tasks. An archive holds ARCHIVE_BYTES on average and never more than Spark's binary reader takes.
 
-Reading: archives come in whole, through Spark's binary reader. Each record must start with a version line, have a
-length that ends where the next record or the file ends, and fit its digests. Where a check fails, the reader looks for the next
-valid record (the nearer of the next version line and the next gzip member, over the whole file), goes on there, and reports the
-bytes between as quarantined. A file may hold plain records and gzip members of one record each, in any mixture.
+Reading: archives come in whole, through Spark's binary reader, so a file may have 2 GB at most. Each record must start with a
+version line, have a length that ends where the next record or the file ends, and fit its block digest, or its payload digest where it
+has no block digest and its payload isn't chunked. Digests of other algorithms than SHA-1 are not checked, and an HTTP length
+that differs from the payload's is no damage. Where a check fails, the reader looks for the next valid record (the nearer of the
+next version line and the next gzip member, over the whole file), goes on there, and reports the bytes between as quarantined. A file
+may hold plain records and gzip members, in any mixture; a member may hold several records and gaps between them.
 
 Defined results: null html counts as an empty payload, which like any other can be revisited. Repeated rows of the
 smallest page_id are all responses. A null page_id comes last in the choice of the response. URLs are percent-encoded
@@ -30,14 +33,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercadia.llm.common import broadcast_if, fresh_path, spool, table
+from mercadia.llm.common import broadcast_if, fresh_path, salted_join, spool, table
 
 END = "\r\n"
 GAP = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REVISIT_BROADCAST = 200_000
-READ_SCHEMA = "file string, at long, bytes long, kind string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+SALTS = 32
+ARCHIVE_BYTES, MOST_BYTES = 256 << 20, (1 << 31) - (1 << 20)
+READ_SCHEMA = "file string, at long, bytes long, inner long, kind string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
@@ -61,8 +66,8 @@ def with_payload(pages: DataFrame) -> DataFrame:
 def revisits(payloads: DataFrame) -> DataFrame:
     """page_id, digest, refers_to of the pages that are no response."""
     digests = spool(payloads.select("page_id", "digest"), "digests")
-    first = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return digests.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
+    first = spool(digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+    return salted_join(digests, first, first.count(), REVISIT_BROADCAST, ["digest"], F.col("page_id"), SALTS).where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
 
 
 def _line(name: str, value: Column) -> Column:
@@ -76,8 +81,11 @@ def _urn(page: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """One record for each page, in as many archives as the input has partitions."""
+    """One record for each page, in as many archives as the input has partitions, or more where those would be too large."""
     payloads = with_payload(pages)
+    seen = payloads.agg(F.avg("length").alias("mean"), F.max("length").alias("most"), F.max(F.coalesce(F.octet_length("url"), F.lit(0))).alias("url")).first()
+    head = 2048 + 3 * (seen["url"] or 0)
+    rows = max(1, min(int(ARCHIVE_BYTES / (head + (seen["mean"] or 0))), MOST_BYTES // (head + (seen["most"] or 0))))
     again = spool(revisits(payloads), "revisits")
     known = broadcast_if(again.withColumnsRenamed({"page_id": "_p", "digest": "_d"}), again.count(), REVISIT_BROADCAST)
     joined = payloads.join(known, payloads["page_id"].eqNullSafe(F.col("_p")) & (F.col("digest") == F.col("_d")), "left").withColumn("again", F.col("_d").isNotNull())
@@ -101,13 +109,21 @@ def write_archives(pages: DataFrame, path: str) -> None:
         F.lit(END),
         F.col("block"),
     )
-    joined.withColumn("block", block).select(record.alias("value")).write.option("lineSep", GAP).text(path)
+    joined.withColumn("block", block).select(record.alias("value")).write.option("lineSep", GAP).option("maxRecordsPerFile", rows).text(path)
 
 
 def _sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def _stated(digest: str | None) -> str | None:
+    """A SHA-1 of a header in upper-case base32, whether given so or in hex; None for other algorithms or none."""
+    name, _, value = (digest or "").partition(":")
+    if name.lower() != "sha1" or not value:
+        return None
+    return base64.b32encode(bytes.fromhex(value)).decode() if re.fullmatch(r"[0-9A-Fa-f]{40}", value) else value.upper()
+
+
 def _record(data: bytes, at: int) -> tuple[dict | None, int]:
     """The record at `at` and where it ends; None if any check fails."""
     if not _VERSION.match(data, at) or (head := data.find(b"\r\n\r\n", at)) < 0:
@@ -125,69 +141,95 @@ def _record(data: bytes, at: int) -> tuple[dict | None, int]:
     block = data[head + 4 : end]
     if data[end : end + 4] != b"\r\n\r\n":
         return None, at
-    if (digest := fields.get("warc-block-digest", "").removeprefix("sha1:")) and digest != _sha1(block):
+    if (stated := _stated(fields.get("warc-block-digest"))) and stated != _sha1(block):
         return None, at
-    kind, payload, full = fields.get("warc-type", ""), block, len(block)
+    kind, payload, http = fields.get("warc-type", ""), block, b""
     if fields.get("content-type", "").startswith("application/http"):
-        http, found, payload = block.partition(b"\r\n\r\n")
+        http, _, payload = block.partition(b"\r\n\r\n")
+    full, digest = len(payload), _stated(fields.get("warc-payload-digest"))
+    if kind == "revisit":
         size = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", http)
-        full = int(size[1]) if size else len(payload)
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    if kind == "response" and digest and (full != len(payload) or digest != _sha1(payload)):
-        return None, at
+        full = int(size[1]) if size else full
+    else:
+        own = _sha1(payload)
+        if not stated and digest and digest != own and not re.search(rb"(?im)^transfer-encoding:", http):
+            return None, at
+        digest = own
     number = lambda x: int(x) if x and re.fullmatch(r"-?\d+", x) else None
     return {
         "kind": kind, "page_id": number(fields.get("x-page-id")), "url": fields.get("warc-target-uri"), "payload_bytes": full,
-        "payload_digest": digest or _sha1(payload), "refers_to": number(fields.get("x-refers-to-page")), "payload": payload if kind == "response" else None,
+        "payload_digest": digest, "refers_to": number(fields.get("x-refers-to-page")), "payload": payload if kind == "response" else None,
     }, end + 4
 
 
-def _member(data: bytes, at: int) -> tuple[dict | None, int]:
-    """The one record of the gzip member at `at` and where the member ends; None if any check fails."""
+def _member(data: bytes, at: int) -> tuple[list[tuple[dict | None, int, int]], int]:
+    """What the gzip member at `at` holds, as `_plain` gives it, and where the member ends; nothing if it can't be opened or holds no valid record."""
     opened, view, body, end = zlib.decompressobj(31), memoryview(data), [], at
     try:
         while not opened.eof and end < len(data):
             body.append(opened.decompress(view[end : end + _FEED]))
             end = min(end + _FEED, len(data))
     except zlib.error:
-        return None, at
-    whole = b"".join(body)
-    record, length = _record(whole, 0)
-    if record is None or not opened.eof or length != len(whole):
-        return None, at
-    return record, end - len(opened.unused_data)
+        return [], at
+    found = list(_plain(b"".join(body))) if opened.eof else []
+    return (found, end - len(opened.unused_data)) if any(x[0] for x in found) else ([], at)
 
 
-def salvage(data: bytes) -> Iterator[tuple[dict | None, int, int]]:
-    """Every record that passes its checks, and every gap between them as None, each with where it starts and ends, in file order."""
-    at, bad = 0, None
+def _plain(data: bytes) -> Iterator[tuple[dict | None, int, int]]:
+    """Every valid record of plain data and every gap as None, each with where it starts and ends."""
+    at = bad = 0
     while at < len(data):
-        record, end = _member(data, at) if data.startswith(_MEMBER, at) else _record(data, at)
-        if record is not None:
-            if bad is not None:
-                yield None, bad, at
-                bad = None
-            yield record, at, end
-            at = end
+        record, end = _record(data, at)
+        if record is None:
+            m = _VERSION.search(data, at + 1)
+            at = m.start() if m else len(data)
             continue
-        bad = at if bad is None else bad
-        m = _START.search(data, at + 1)
-        at = m.start() if m else len(data)
-    if bad is not None:
-        yield None, bad, len(data)
+        if bad < at:
+            yield None, bad, at
+        yield record, at, end
+        at = bad = end
+    if bad < at:
+        yield None, bad, at
+
+
+def salvage(data: bytes) -> Iterator[tuple[dict | None, int, int, tuple[int, int] | None]]:
+    """Every record that passes its checks, and every gap between them as None, each with where it starts and ends, in file order.
+    What comes out of a gzip member has the member's place, and its own within the opened member last."""
+    at = bad = 0
+    while at < len(data):
+        if data.startswith(_MEMBER, at):
+            inside, end = _member(data, at)
+            found = [(record, at, end, (a, b)) for record, a, b in inside]
+        else:
+            record, end = _record(data, at)
+            found = [(record, at, end, None)] if record else []
+        if not found:
+            m = _START.search(data, at + 1)
+            at = m.start() if m else len(data)
+            continue
+        if bad < at:
+            yield None, bad, at, None
+        yield from found
+        at = bad = end
+    if bad < at:
+        yield None, bad, at, None
 
 
 def read_archives(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
-    """READ_SCHEMA: one row for each record, and one of kind `quarantined` for each gap, of the files whose names fit the glob. Archives that other tools wrote may be gzipped."""
+    """READ_SCHEMA: one row for each record, and one of kind `quarantined` for each gap, of the files whose names fit the glob. Archives that other tools wrote may be gzipped.
+
+    at and bytes are the place in the file; for what a gzip member holds, at is the member's, and inner and bytes are the place in the opened member.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("file", pa.string()), ("at", pa.int64()), ("bytes", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+        schema = pa.schema([("file", pa.string()), ("at", pa.int64()), ("bytes", pa.int64()), ("inner", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
         for batch in batches:
             for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
                 rows, held = [], 0
-                for record, at, end in salvage(content.as_py()):
-                    rows.append({"file": name.as_py(), "at": at, "bytes": end - at} | (record or {"kind": "quarantined"}))
-                    held += end - at
+                for record, at, end, inner in salvage(content.as_py()):
+                    size = end - at if inner is None else inner[1] - inner[0]
+                    rows.append({"file": name.as_py(), "at": at, "bytes": size, "inner": inner and inner[0]} | (record or {"kind": "quarantined"}))
+                    held += size
                     if held >= 4 << 20:
                         yield pa.RecordBatch.from_pylist(rows, schema)
                         rows, held = [], 0

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mercadia.llm import html_text, licenses, topk, warc
+from mercadia.llm.common import salted_join
 
 NAN, INF = float("nan"), float("inf")
 
@@ -102,16 +103,16 @@ def test_salvage(archive, pack):
     assert len(records) == len(PAGES)
     kept = [gzip.compress(r) if pack else r for r in records]
     good = list(warc.salvage(b"".join(kept)))
-    assert len(good) == len(PAGES) and all(r is not None for r, _, _ in good)
+    assert len(good) == len(PAGES) and all(r is not None for r, *_ in good)
     broken = bytearray(kept[3])
     broken[len(broken) // 2 if pack else -5] ^= 0x7F  # a byte of the block: digests don't cover the header
     data = b"junk" * 5 + kept[0] + kept[1][:-9] + kept[2] + bytes(broken) + kept[4]
     found = list(warc.salvage(data if not pack else kept[5] + data))
-    ok = [r["page_id"] for r, _, _ in found if r]
+    ok = [r["page_id"] for r, *_ in found if r]
     at = [good[k][0]["page_id"] for k in ([5] if pack else []) + [0, 2, 4]]
     assert ok == at
     ends = 0
-    for _, a, b in found:
+    for _, a, b, _ in found:
         assert a == ends and b > a
         ends = b
     assert ends == len(data) + (len(kept[5]) if pack else 0)
@@ -125,16 +126,53 @@ def test_salvage_beyond_a_damaged_start(archive, pack):
     start = b"XX" + (np.random.default_rng(5).bytes(100_000) if pack else b"\x1f\x8b\x08" + kept[0])
     for head in (start, bytes(80_000), records[0] if pack else gzip.compress(records[0])):
         found = list(warc.salvage(head + b"".join(kept[1:])))
-        assert sum(r is not None for r, a, _ in found if a >= len(head)) == len(kept) - 1
-        assert [a for _, a, _ in found] == [0, *(b for _, _, b in found)][:-1] and found[-1][2] == len(head) + sum(map(len, kept[1:]))
+        assert sum(r is not None for r, a, *_ in found if a >= len(head)) == len(kept) - 1
+        assert [x[1] for x in found] == [0, *(x[2] for x in found)][:-1] and found[-1][2] == len(head) + sum(map(len, kept[1:]))
 
 
 def test_warc_names(spark, archive, tmp_path):
     data = whole(archive)
     (tmp_path / "x.warc").write_bytes(data)
-    (tmp_path / "y.warc.gz").write_bytes(gzip.compress(data[: data.index(b"WARC/1.1", 1)]))
-    assert warc.read_archives(spark, str(tmp_path)).where("kind <> 'quarantined'").count() == len(PAGES) + 1
-    assert warc.read_archives(spark, str(tmp_path), "*.gz").count() == 1
+    (tmp_path / "y.warc.gz").write_bytes(gzip.compress(data))
+    (tmp_path / "z.warc.gz").write_bytes(gzip.compress(data[: data.index(b"WARC/1.1", 1)]))
+    assert warc.read_archives(spark, str(tmp_path)).where("kind <> 'quarantined'").count() == 2 * len(PAGES) + 1
+    assert warc.read_archives(spark, str(tmp_path), "z*.gz").count() == 1
+
+
+def record(head, body):
+    lines = ["WARC/1.0", "WARC-Type: response", "Content-Type: application/http", *head, f"Content-Length: {len(body)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def test_foreign_records():
+    """Digests of other algorithms, SHA-1 in hex, HTTP lengths that don't fit, several records in a member with junk between them."""
+    body = b"HTTP/1.1 200 OK\r\nContent-Length: 99\r\n\r\nhello"
+    sha = hashlib.sha1(b"hello").hexdigest()
+    good = [record([h], body) for h in ("WARC-Block-Digest: sha256:00", "WARC-Payload-Digest: md5:1", f"WARC-Payload-Digest: sha1:{sha}", f"WARC-Block-Digest: SHA1:{hashlib.sha1(body).hexdigest()}", "X: y")]
+    bad = [record([h], body) for h in ("WARC-Block-Digest: sha1:" + "A" * 32, "WARC-Payload-Digest: sha1:" + "0" * 40)]
+    for data in (b"".join(good), gzip.compress(b"".join(good))):
+        found = list(warc.salvage(data))
+        assert len(found) == 5 and all(r["payload"] == b"hello" and r["payload_bytes"] == 5 for r, *_ in found)
+    assert [x[0] for x in warc.salvage(b"".join(bad))] == [None]
+    mixed = gzip.compress(good[0] + bad[0] + good[1] + b"junk") + good[2] + gzip.compress(b"nothing here") + good[3]
+    kinds = [x[0] is not None for x in warc.salvage(mixed)]
+    assert kinds == [True, False, True, False, True, False, True]
+
+
+def test_many_members_take_linear_time():
+    import time
+
+    member = gzip.compress(record([], b"x" * 20_000 + np.random.default_rng(1).bytes(20_000)))
+    began = time.perf_counter()
+    assert len(list(warc.salvage(member * 1600))) == 1600
+    assert time.perf_counter() - began < 30  # 32 MB of members
+
+
+def test_salted_join(spark):
+    many = spark.range(1000).select("id", (F.col("id") % 3).alias("k"))
+    few = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
+    plain = sorted(many.join(few, "k").collect())
+    assert [sorted(salted_join(many, few, 2, limit, ["k"], F.col("id"), 8).collect()) for limit in (2, 1)] == [plain, plain]
 
 
 PAGE = """<html><head><title>T</title></head><body class="has-sidebar"><header><h1>Site</h1><a href=/>Home</a></header><div id="cookie-notice"><p>We use cookies here for things.</p></div>
