@@ -2,17 +2,20 @@
 
 A log-bilinear model predicts each token's class from the two tokens before it: the context's word vectors, each through a matrix
 of its place, sum to a vector whose products with the classes' vectors, plus biases, are the logits. It is trained by
-noise-contrastive estimation in numpy, on all training tokens: in each of ROUNDS rounds every task runs over its share of the
-documents from the common parameters, and the results are averaged by training tokens, as a sum per parameter in
-Spark. The normaliser of every context is one entry of a product of two matrices, so probabilities are exact.
+noise-contrastive estimation in numpy, on all training tokens: a hash of doc_id and text deals the documents into lots of about
+LOT tokens, as many as the corpus needs. In each of ROUNDS rounds its share of the lots starts from the common parameters, each
+lot in an order fixed by the hash, and the results are averaged by training tokens, in a tree of a fixed order. So neither the files
+nor the partitions nor a lost executor change the scores. The normaliser of every context is one entry of a product of two matrices,
+so probabilities are exact.
 
 Classes: the end token, the WORDS commonest words one by one, and for all other words TAILS classes by their last three
 characters. A word of a tail class has the class's probability times its add-one share of the class, where one further
-share is for words never seen; so the model is a distribution over words.
+share is for words never seen; so the model is a distribution over words. What the neural part learns has a fixed size; counts and
+shares within the tail classes grow with the corpus.
 
-Counts: every training word is counted, in tasks first, then by a shuffle. The KNOWN commonest words with their
-counts are broadcast (their number is fixed); the rarer words of each document meet their counts in a join, and only
-sums return to the documents. No rare word can be a hot key.
+Counts: every word is counted, in tasks first, then by a shuffle, with its places in training and in held-out texts. The KNOWN words
+with the most places are broadcast (their number is fixed); the rarer words of each document meet their counts in a join, and only
+sums return to the documents. So no word of the join has more than one KNOWN-th of all places.
 
 Defined results: a null or blank text is one end token. A null doc_id counts as training (its text form is empty).
 Repeated rows are documents of their own in training; in the result each comes out. Without training documents N and
@@ -21,6 +24,7 @@ V are 0, every known count is 0, and the model is uniform over classes. Other co
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -35,6 +39,8 @@ from mercadia.llm.common import spool, table
 WORDS, TAILS, KNOWN = 1023, 256, 65_536
 CLASSES = 1 + WORDS + TAILS
 DEPTH, NOISE, BATCH, STEP, ROUNDS = 16, 20, 4096, 0.15, 2
+#: Training tokens of a lot, and how many lots' parameters meet in one sum.
+LOT, FAN = 1 << 20, 32
 FLUSH = 400_000
 SEED = 11
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -51,23 +57,24 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
+    seen: tuple[Counter, Counter] = (Counter(), Counter())
 
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
-        seen.clear()
-        return out
+    def flush() -> Iterator[pa.RecordBatch]:
+        for k, found in enumerate(seen):
+            none, n = pa.array(np.zeros(len(found), np.int64)), pa.array(list(found.values()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in found], pa.string()), none if k else n, n if k else none], names=["word", "c", "held"])
+            found.clear()
 
     for batch in batches:
-        for text in batch.column("text"):
-            seen.update(tokens_of(text.as_py()))
-            if len(seen) > FLUSH:
-                yield flush()
-    yield flush()
+        for text, held in zip(batch.column("text"), batch.column("held_out").to_pylist(), strict=True):
+            seen[held].update(tokens_of(text.as_py()))
+            if len(seen[held]) > FLUSH:
+                yield from flush()
+    yield from flush()
 
 
 class Lexicon:
-    """The commonest words in descending order, with class, count and tail shares."""
+    """The words with the most places, those commonest in training first, with class, count and tail shares."""
 
     def __init__(self, words: list[tuple[str, int]], tails: dict[int, tuple[int, int]], docs: int, total: int, distinct: int) -> None:
         self.number = {w.encode(): k for k, (w, _) in enumerate(words)}
@@ -138,44 +145,74 @@ def trained(params: dict[str, np.ndarray], share: np.ndarray, chunks: Iterator[t
     return p, n
 
 
-def _contexts(lexicon: Lexicon, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _contexts(texts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Chunks of (token two before, token before, token) of texts, each given by the classes of its words."""
     held, n = [], 0
-    for batch in batches:
-        for text in batch.column("text"):
-            held.append(np.concatenate([[0, 0], lexicon.numbers(text.as_py())[2], [0]]))
-            n += len(held[-1]) - 2
-            if n >= BATCH:
-                row = [np.concatenate([h[k : len(h) - 2 + k] for h in held]) for k in range(3)]
-                for low in range(0, n, BATCH):
-                    yield tuple(x[low : low + BATCH] for x in row)
-                held, n = [], 0
+    for kinds in texts:
+        held.append(np.concatenate([[0, 0], kinds, [0]]))
+        n += len(kinds) + 1
+        if n >= BATCH:
+            row = [np.concatenate([h[k : len(h) - 2 + k] for h in held]) for k in range(3)]
+            for low in range(0, n, BATCH):
+                yield tuple(x[low : low + BATCH] for x in row)
+            held, n = [], 0
     if held:
         yield tuple(np.concatenate([h[k : len(h) - 2 + k] for h in held]) for k in range(3))
 
 
-def fit(train: DataFrame, lexicon) -> dict[str, np.ndarray]:
-    """ROUNDS rounds of local training and averaging; each round's documents are those of one residue of the hash of their text."""
-    spark = train.sparkSession
+def dealt(docs: DataFrame, lexicon, lots: int) -> DataFrame:
+    """lot, draw, doc_id, kinds (the classes of its words) of each training document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                kinds = [lexicon.value.numbers(x.as_py())[2].astype(np.int16) for x in part.column("text")]
+                ends = np.cumsum([0, *map(len, kinds)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(kinds), pa.int16()))
+                yield pa.RecordBatch.from_arrays([part.column("lot"), part.column("draw"), part.column("doc_id"), lists], names=["lot", "draw", "doc_id", "kinds"])
+
+    slim = docs.where("not held_out").withColumn("draw", F.xxhash64(F.lit(SEED), "doc_id", "text")).withColumn("lot", F.pmod("draw", F.lit(lots)).cast("int"))
+    return spool(slim.select("lot", "draw", "doc_id", "text").mapInArrow(run, "lot int, draw long, doc_id long, kinds array<short>"), "lots")
+
+
+def _averaged(group: pa.Table) -> pa.Table:
+    """One row of parameters for those of up to FAN lots, averaged by tokens in the order of the lots."""
+    group = group.sort_by("lot")
+    n = group.column("n").to_numpy()
+    total = sum(k * np.frombuffer(x.as_py(), np.float32).astype(np.float64) for k, x in zip(n, group.column("params"), strict=True))
+    return pa.table({"lot": pa.array([group.column("lot")[0].as_py() // FAN], pa.int32()), "n": pa.array([n.sum()], pa.int64()), "params": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
+
+
+def fit(lots_of: DataFrame, lexicon, lots: int) -> dict[str, np.ndarray]:
+    """ROUNDS rounds of training lot by lot and averaging; lots_of is what `dealt` gave, lots a multiple of ROUNDS."""
+    spark = lots_of.sparkSession
     params = fresh(lexicon.value)
-    size = sum(v.size for v in params.values())
+    ends = np.cumsum([0, *(int(np.prod(s)) for s in _SHAPES.values())])
     for turn in range(ROUNDS):
         sent = spark.sparkContext.broadcast(params)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
-            p, n = trained(sent.value, lexicon.value.share, _contexts(lexicon.value, batches), SEED + turn)
-            if n:
-                flat = np.concatenate([p[k].ravel() for k in _SHAPES]).astype(np.float64) * n
-                for low in range(0, size, 8192):
-                    part = flat[low : low + 8192]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(low, low + len(part)), pa.int32()), pa.array(part), pa.array(np.full(len(part), n, np.int64))], names=["at", "value", "n"])
-
-        share = train.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == turn)
-        means = share.mapInArrow(run, "at int, value double, n long").groupBy("at").agg((F.sum("value") / F.sum("n")).alias("mean"))
-        flat = np.concatenate([params[k].ravel() for k in _SHAPES])
-        for at, mean in means.toLocalIterator():  # one row for each parameter, whatever the corpus
-            flat[at] = mean
-        ends = np.cumsum([0, *(int(np.prod(s)) for s in _SHAPES.values())])
-        params = {k: flat[a:b].reshape(s) for (k, s), a, b in zip(_SHAPES.items(), ends[:-1], ends[1:], strict=True)}
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            def rows() -> Iterator[tuple[int, np.ndarray]]:
+                for batch in batches:
+                    kinds = batch.column("kinds")
+                    at, flat = kinds.offsets.to_numpy(), kinds.values.to_numpy()
+                    for lot, a, b in zip(batch.column("lot").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                        yield lot, flat[a:b]
+
+            for lot, group in itertools.groupby(rows(), lambda r: r[0]):
+                p, n = trained(sent.value, lexicon.value.share, _contexts(r[1] for r in group), SEED + lot)
+                flat = np.concatenate([p[k].ravel() for k in _SHAPES]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([lot // ROUNDS], pa.int32()), pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["lot", "n", "params"])
+
+        schema, left = "lot int, n long, params binary", lots // ROUNDS
+        mine = lots_of.where(F.col("lot") % ROUNDS == turn).repartition(left, "lot").sortWithinPartitions("lot", "draw", "doc_id", "kinds")
+        found = mine.mapInArrow(run, schema)
+        while left > 1:
+            found, left = found.groupBy(F.expr(f"lot div {FAN}").alias("g")).applyInArrow(_averaged, schema), -(-left // FAN)
+        for row in found.select("params").collect():  # one row, or none without training documents
+            flat = np.frombuffer(row["params"], np.float32).astype(np.float64)
+            params = {k: flat[a:b].reshape(s) for (k, s), a, b in zip(_SHAPES.items(), ends[:-1], ends[1:], strict=True)}
     return params
 
 
@@ -188,24 +225,53 @@ def normalised(params: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, n
     return tuple((x / np.log(10)).astype(np.float32) for x in (near, far, norm))
 
 
-def scored(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs(doc_id, text)."""
-    spark = docs.sparkSession
-    code = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (code % 7 == 2).alias("held_out"))
-    train = docs.where("not held_out").select("text")
+def commonest(counts: DataFrame, most: int = KNOWN) -> list[tuple[str, int]]:
+    """(word, c) of the `most` words of counts(word, c, held) with the most places, those with the greatest c first.
+
+    A histogram of the places, in steps of a sixteenth of a power of two, tells where to cut before anything is sorted.
+    """
+    step = F.floor(F.log2(F.col("c") + F.col("held")) * 16).cast("int")
+    steps = sorted(((r["s"], r["n"]) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True)  # 1,024 steps at most
+    held, cut = 0, -1
+    for s, n in steps:
+        held, cut = held + n, s
+        if held >= most:
+            break
+    first = spool(counts.where(step >= cut).orderBy(F.desc(F.col("c") + F.col("held")), "word").limit(most).select("word", "c"), "commonest")
+    return sorted(((r["word"], r["c"]) for r in first.collect()), key=lambda x: (-x[1], x[0]))
+
 
-    counts = spool(train.mapInArrow(_count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
-    n_docs = train.count()
-    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    common = [(r["word"], r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(KNOWN).collect()]  # KNOWN rows at most
+def learned(docs: DataFrame) -> tuple[DataFrame, Lexicon, dict[str, np.ndarray]]:
+    """Counts (word, c, held), lexicon and parameters of docs(doc_id, text, held_out)."""
+    spark = docs.sparkSession
+    counts = spool(docs.mapInArrow(_count, "word string, c long, held long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("held").alias("held")), "counts")
+    n_docs = docs.where("not held_out").count()
+    sums = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    common = commonest(counts)
     lone = spark.createDataFrame([(w,) for w, _ in common[:WORDS]], "word string")
     tail = (F.crc32(F.right("word", F.lit(3)).cast("binary")) % TAILS + 1 + WORDS).cast("int")
-    tails = {r["k"]: (r["c"], r["v"]) for r in counts.join(F.broadcast(lone), "word", "left_anti").groupBy(tail.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()}
+    rest = counts.where("c > 0").join(F.broadcast(lone), "word", "left_anti")
+    tails = {r["k"]: (r["c"], r["v"]) for r in rest.groupBy(tail.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()}  # TAILS rows at most
     lexicon = Lexicon(common, tails, n_docs, sums["n"] + n_docs, sums["v"] + (n_docs > 0))
+    lots = ROUNDS * max(1, -(-lexicon.total // (ROUNDS * LOT)))
+    sent = spark.sparkContext.broadcast(lexicon)
+    return counts, lexicon, fit(dealt(docs, sent, lots), sent, lots)
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """doc_id, text, held_out."""
+    code = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (code % 7 == 2).alias("held_out"))
+
+
+def scored(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs(doc_id, text)."""
+    spark = docs.sparkSession
+    docs = marked(docs)
+    counts, lexicon, params = learned(docs)
     total = lexicon.total
     lexicon = spark.sparkContext.broadcast(lexicon)
-    tables = spark.sparkContext.broadcast(normalised(fit(train, lexicon)))
+    tables = spark.sparkContext.broadcast(normalised(params))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (near, far, norm) = lexicon.value, tables.value
@@ -219,7 +285,7 @@ def scored(docs: DataFrame) -> DataFrame:
                     seen = at >= 0
                     logs = known.logs[at[seen]]
                     n_tokens.append(len(words) + 1)
-                    n_known.append(int(seen.sum()) + (known.docs > 0))
+                    n_known.append(int((logs > 0).sum()) + (known.docs > 0))
                     base.append(float(logs.sum() + end_log - known.norm * (len(words) + 1)))
                     row = np.concatenate([[0, 0], kinds, [0]])
                     j, i, w = row[:-2], row[1:-1], row[2:]
@@ -234,7 +300,7 @@ def scored(docs: DataFrame) -> DataFrame:
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<string>"
     partly = spool(docs.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "scores")
-    found = partly.select("_row", F.explode("rare").alias("word")).join(counts, "word").groupBy("_row").agg(F.sum(F.log10(F.col("c") + 1)).alias("logs"), F.count("*").alias("more"))
+    found = partly.select("_row", F.explode("rare").alias("word")).join(counts.where("c > 0"), "word").groupBy("_row").agg(F.sum(F.log10(F.col("c") + 1)).alias("logs"), F.count("*").alias("more"))
     whole = partly.drop("rare").join(found, "_row", "left")
     logs, more = F.coalesce("logs", F.lit(0.0)), F.coalesce("more", F.lit(0))
     return whole.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + more).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + logs).alias("base_score"), (F.col("score") + logs).alias("score"))

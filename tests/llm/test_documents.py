@@ -342,6 +342,43 @@ def test_lm(docs):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)  # better than the counts on texts it has not seen
 
 
+def test_lm_repeats(spark, docs, monkeypatch):
+    """The same scores whatever the partitions, with many lots and a tree of averages; and they are those of the fitted model, token by token."""
+    import numpy as np
+
+    monkeypatch.setattr(lm_score, "LOT", 1 << 10)
+    monkeypatch.setattr(lm_score, "FAN", 4)
+    got = {r["doc_id"]: r["score"] for r in lm_score.scored(docs).collect()}
+    again = {r["doc_id"]: r["score"] for r in lm_score.scored(docs.repartition(7)).collect()}
+    assert got.keys() == again.keys() and all(math.isclose(got[i], again[i], rel_tol=1e-9) for i in got)
+    _, lexicon, p = lm_score.learned(lm_score.marked(docs))
+    c = Counter(w for i, t in pairs_of(docs) if zlib.crc32(str(i).encode()) % 7 != 2 for w in WORD.findall(t.translate(FOLD)))
+    own = {w: 1 + k for k, (w, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[: lm_score.WORDS])}
+    tail = {}
+    for w, n in c.items():
+        if w not in own:
+            tail.setdefault(lm_score.tail_class(w), []).append(n)
+    by = dict(pairs_of(docs))
+    for i in sorted(by)[:12]:
+        total, a, b = 0.0, 0, 0
+        for w in [*WORD.findall(by[i].translate(FOLD)), None]:
+            k = 0 if w is None else own.get(w) or lm_score.tail_class(w)
+            context = p["words"][b] @ p["place_1"] + p["words"][a] @ p["place_2"]
+            logits = p["classes"] @ context + p["bias"]
+            total += (logits[k] - logits.max() - np.log(np.exp(logits - logits.max()).sum())) / math.log(10)
+            if w is not None and w not in own:
+                total += math.log10((c[w] + 1) / (sum(tail.get(k, [])) + len(tail.get(k, [])) + 1))
+            a, b = b, k
+        assert math.isclose(got[i], total, rel_tol=1e-4)
+
+
+def test_lm_commonest(spark):
+    draw = Counter({f"w{k}": 1 + (k * k) % 50 for k in range(300)})
+    rows = [(w, n, (7 * n) % 31) for w, n in draw.items()]
+    expect = sorted(sorted(rows, key=lambda r: (-r[1] - r[2], r[0]))[:40], key=lambda r: (-r[1], r[0]))
+    assert lm_score.commonest(spark.createDataFrame(rows, "word string, c long, held long"), 40) == [r[:2] for r in expect]
+
+
 def test_lm_odd(odd, empty):
     check_lm(odd)
     assert lm_score.scored(empty).count() == 0
