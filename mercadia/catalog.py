@@ -225,7 +225,7 @@ def plan_extract(spark, d):
 def _source(kind: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         landed_rows = spark.createDataFrame([(kind, "s", "S", "shop.example", samples.PAYLOADS[kind])], "kind string, store_key string, store_name string, domain string, body string")
-        return payloads._KINDS[kind](landed_rows).select("name", "price", "available", "url", "image")
+        return payloads.parse(landed_rows).select("name", "price", "available", "url", "image")
 
     return run
 
@@ -384,7 +384,7 @@ def api_response(spark, d):
 
 @query
 def jsonld_items(spark, d):
-    return compare.list_items(_best(spark, d))
+    return compare.list_items(_best(spark, d)).drop("store_name")
 
 
 @query

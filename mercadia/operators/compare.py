@@ -57,10 +57,16 @@ def unavailable() -> Column:
     return F.col("available") <= 0
 
 
+def _tagged(offers: DataFrame, query: str, plan: QueryPlan | None) -> DataFrame:
+    """offers with _fits and _priced. Kept as columns: as filters, the normalised name would be worked out once for each rule."""
+    return with_tokens(offers).withColumns({"_fits": relevant(query, F.col("name_norm"), F.col("name_toks"), plan), "_priced": is_priced(F.col("price"))})
+
+
 def best_match_per_store(offers: DataFrame, query: str, plan: QueryPlan | None = None) -> DataFrame:
     """The cheapest relevant offer of each store, whatever its stock; the first one on ties."""
-    best = F.min_by(F.struct("store_name", "name", "price", "available", "url"), F.struct("price", "pos"))
-    return relevant_offers(offers, query, plan).groupBy("store_key").agg(best.alias("b")).select("store_key", "b.*")
+    good = F.col("_fits") & F.col("_priced")
+    best = F.min_by(F.when(good, F.struct("store_name", "name", "price", "available", "url")), F.when(good, F.struct("price", "pos")))
+    return _tagged(offers, query, plan).groupBy("store_key").agg(best.alias("b")).where("b IS NOT NULL").select("store_key", "b.*")
 
 
 def _reasons(offers: DataFrame) -> DataFrame:
@@ -81,17 +87,21 @@ def only_ok(offers: DataFrame, fetches: DataFrame) -> DataFrame:
     return offers.join(fetches.where("ok").select("store_key"), "store_key", "left_semi")
 
 
-def cli_view(offers: DataFrame, fetches: DataFrame, query: str) -> DataFrame:
-    """Matches by price, then the other stores in their own order, numbered in line_no."""
-    best = best_match_per_store(only_ok(offers, fetches), query)
-    rows = best.join(fetches.select("store_key", "store_ord"), "store_key").select("store_key", "store_ord", "store_name", "name", "price", (F.col("available") > 0).alias("in_stock"), F.lit(None).cast("string").alias("reason"), F.lit(0).alias("part"))
-    rest = unmatched_stores(offers, fetches, best).select("store_key", "store_ord", "store_name", F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("price"), F.lit(None).cast("boolean").alias("in_stock"), "reason", F.lit(1).alias("part"))
-    line = F.row_number().over(Window.orderBy("part", F.col("price").asc_nulls_last(), "store_ord"))  # one row for each store
-    return rows.unionByName(rest).withColumn("line_no", line).drop("part", "store_ord")
+def cli_view(offers: DataFrame, fetches: DataFrame, query: str, plan: QueryPlan | None = None) -> DataFrame:
+    """Matches by price, then the other stores in their own order, numbered in line_no. One pass over the offers."""
+    good = F.col("_fits") & F.col("_priced")
+    best = F.min_by(F.when(good, F.struct("name", "price", (F.col("available") > 0).alias("in_stock"))), F.when(good, F.struct("price", "pos")))
+    found = _tagged(offers, query, plan).groupBy("store_key").agg(best.alias("b"), F.bool_or("_priced").alias("any_priced"))
+    rows = fetches.join(found, "store_key", "left").withColumn("b", F.when(F.col("ok"), F.col("b")))
+    rows = rows.select("store_key", "store_name", "store_ord", "b.*", F.when(F.col("b").isNull(), reason()).alias("reason"))
+    line = F.row_number().over(Window.orderBy(F.col("reason").isNotNull(), F.col("price").asc_nulls_last(), "store_ord"))  # one row for each store
+    return rows.withColumn("line_no", line).select("store_key", "store_name", "name", "price", "in_stock", "reason", "line_no")
 
 
-def item() -> Column:
-    return F.struct("name", "price", (F.col("available") > 0).alias("available"), "url")
+def item(offers: DataFrame) -> Column:
+    """What the views show of an offer; image is null where the offers have none."""
+    image = F.col("image") if "image" in offers.columns else F.lit(None).cast("string")
+    return F.struct("name", "price", (F.col("available") > 0).alias("available"), "url", image.alias("image"))
 
 
 def rank_key() -> Column:
@@ -100,20 +110,30 @@ def rank_key() -> Column:
 
 
 def best_per_store(offers: DataFrame, fetches: DataFrame, query: str, plan: QueryPlan | None = None) -> DataFrame:
-    """One row for each store asked: its best priced relevant offer and how many there are, or why there is none. rank orders the stores."""
-    tagged = with_tokens(only_ok(offers, fetches)).where(relevant(query, F.col("name_norm"), F.col("name_toks"), plan))
-    priced = is_priced(F.col("price"))
-    found = tagged.groupBy("store_key").agg(
-        F.count_if(priced).alias("n_priced"), F.count("*").alias("n_all"), F.min_by(F.when(priced, item()), F.when(priced, rank_key())).alias("b")
+    """One row for each store asked: its best priced relevant offer and how many there are, or why there is none. rank orders the stores. One pass over the offers."""
+    good = F.col("_fits") & F.col("_priced")
+    found = _tagged(offers, query, plan).groupBy("store_key").agg(
+        F.count_if(good).alias("n_priced"), F.count_if("_fits").alias("n_all"), F.min_by(F.when(good, item(offers)), F.when(good, rank_key())).alias("b"), F.bool_or("_priced").alias("any_priced")
     )
-    rows = fetches.join(found, "store_key", "left").join(_reasons(offers), "store_key", "left")
-    good, bare = F.coalesce(F.col("n_priced") > 0, F.lit(False)), F.coalesce(F.col("n_all") > 0, F.lit(False))
+    rows = fetches.join(found, "store_key", "left")
+    good, bare = F.col("ok") & F.coalesce(F.col("n_priced") > 0, F.lit(False)), F.col("ok") & F.coalesce(F.col("n_all") > 0, F.lit(False))
     rows = rows.select(
         "store_key", "store_name", "store_ord", good.alias("ok"), F.when(good, F.col("n_priced")).when(bare, F.col("n_all")).alias("count"), F.when(good, F.col("b")).alias("b"),
         F.when(good, None).when(bare, NO_PRICE).otherwise(reason()).alias("error"), F.when(~good & bare, True).alias("found_without_price"),
     )
     order = Window.orderBy(~F.col("ok"), ~F.coalesce("available", F.lit(False)), F.coalesce("price", F.lit(FOREVER)), "store_ord")  # one row for each store
-    return rows.select("store_key", "store_name", "store_ord", "ok", "count", "b.name", "b.price", "b.available", "b.url", "error", "found_without_price").withColumn("rank", F.row_number().over(order)).drop("store_ord")
+    rows = rows.select("store_key", "store_name", "store_ord", "ok", "count", "b.name", "b.price", "b.available", "b.url", "b.image", "error", "found_without_price").withColumn("rank", F.row_number().over(order)).drop("store_ord")
+    return rows if "image" in offers.columns else rows.drop("image")
+
+
+def items_of_stores(offers: DataFrame, fetches: DataFrame, query: str, plan: QueryPlan | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
+    """store_key, items: the best priced relevant offers of each store that answered, at most config.items_per_store; of a store without public prices its first relevant ones."""
+    tagged = _tagged(only_ok(offers, fetches), query, plan).select("store_key", "_fits", "_priced", F.struct(~F.col("_priced"), F.when(F.col("_priced"), unavailable()), F.when(F.col("_priced"), F.col("price")), "pos").alias("_order"), item(offers).alias("item"))
+    rank = F.row_number().over(Window.partitionBy("store_key").orderBy("_order"))
+    top = tagged.where("_fits").withColumn("item_no", rank).where(F.col("item_no") <= config.items_per_store)
+    grouped = top.groupBy("store_key").agg(F.array_sort(F.collect_list(F.struct("item_no", "_priced", "item"))).alias("x"))  # items_per_store elements at most
+    some = F.exists("x", lambda v: v["_priced"])
+    return grouped.select("store_key", F.transform(F.filter("x", lambda v: v["_priced"] | ~some), lambda v: v["item"]).alias("items"))
 
 
 def store_items(offers: DataFrame, query: str, plan: QueryPlan | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -146,24 +166,39 @@ def cheapest_store(best: DataFrame) -> DataFrame:
 
 
 def batch(offers: DataFrame, queries: list[str]) -> DataFrame:
-    """The cheapest match of each query over all stores, in one scan, with item numbers; queries without a match are left out."""
-    matched = match_queries(offers.where(is_priced(F.col("price"))), queries)
-    best = F.min_by(F.struct("store_key", "store_name", "price"), F.struct("price", "store_key", "pos"))
-    return matched.groupBy("query_id", "query").agg(best.alias("b")).select("query_id", "query", "b.*")
+    """The cheapest match of each query over all stores, in one pass and without a shuffle of offers; queries without a match are left out. The queries are few: each is a column of the aggregation."""
+    tagged = with_tokens(offers).withColumns({f"_q{k}": relevant(q, F.col("name_norm"), F.col("name_toks")) & is_priced(F.col("price")) for k, q in enumerate(queries)})
+    what, order = F.struct("store_key", "store_name", "price"), F.struct("price", "store_key", "pos")
+    one = tagged.agg(*[F.min_by(F.when(F.col(f"_q{k}"), what), F.when(F.col(f"_q{k}"), order)).alias(f"b{k}") for k in range(len(queries))])
+    rows = one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("query_id"), F.lit(q).alias("query"), F.col(f"b{k}").alias("b")) for k, q in enumerate(queries)])).alias("r"))
+    return rows.where("r.b IS NOT NULL").select("r.query_id", "r.query", "r.b.*")
 
 
 def batch_total(items: DataFrame) -> DataFrame:
-    """The batch's rows, and their sum as the row `TOTAL`."""
-    rows = items.select("query", "store_name", "price")
-    return rows.union(items.agg(F.round(F.sum("price"), 2).alias("p")).select(F.lit("TOTAL"), F.lit(None).cast("string"), "p"))
+    """The batch's rows(query_id, query, store_name, price), and their sum as the row `TOTAL`; items are read once."""
+    summed = items.rollup("query_id").agg(F.first("query").alias("query"), F.first("store_name").alias("store_name"), F.sum("price").alias("price"), F.grouping("query_id").alias("all"))
+    total = F.col("all") == 1
+    return summed.select(F.when(total, "TOTAL").otherwise(F.col("query")).alias("query"), F.when(~total, F.col("store_name")).alias("store_name"), F.when(total, F.round("price", 2)).otherwise(F.col("price")).alias("price"))
+
+
+def api_response(query: str, best: DataFrame, items: DataFrame | None = None, canonical: str | None = None, planner: str = "local") -> DataFrame:
+    """The search answer as one row: query, normalized_query, planner, its results in order (one for each store asked), and the cheapest store."""
+    fields = [c for c in ("rank", "store_key", "store_name", "ok", "count", "name", "price", "available", "url", "image", "error", "found_without_price") if c in best.columns]
+    if items is not None:  # one row for each store on both sides
+        best, fields = best.join(items, "store_key", "left"), [*fields, "items"]
+    answer = best.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("results"), F.min_by("store_key", F.when(F.col("ok"), F.col("rank"))).alias("cheapest"))
+    return answer.select(F.lit(query).alias("query"), F.lit(query if canonical is None else canonical).alias("normalized_query"), F.lit(planner).alias("planner"), F.to_json("results", {"ignoreNullFields": "false"}).alias("results"), "cheapest")
 
 
-def api_response(query: str, best: DataFrame) -> DataFrame:
-    """The search answer as one row: query, its results in order (one for each store asked) and the cheapest store."""
-    row = F.struct("rank", "store_key", "store_name", "ok", "count", "name", "price", "available", "url", "error")
-    return best.agg(F.lit(query).alias("query"), F.array_sort(F.collect_list(row)).alias("results"), F.min_by("store_key", F.when(F.col("ok"), F.col("rank"))).alias("cheapest")).select("query", F.to_json("results", {"ignoreNullFields": "false"}).alias("results"), "cheapest")
+def log_row(query: str, store: str | None, best: DataFrame, ts: int) -> DataFrame:
+    """One row of the search log: ts, query, store, stores_with_price, cheapest."""
+    found = best.agg(F.count_if("ok").alias("stores_with_price"), F.min_by("store_key", F.when(F.col("ok"), F.col("rank"))).alias("cheapest"))
+    return found.select(F.lit(ts).cast("long").alias("ts"), F.lit(query).alias("query"), F.lit(store).cast("string").alias("store"), "stores_with_price", "cheapest")
 
 
 def list_items(best: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """The first ok rows as positions of a ranked list."""
-    return best.where("ok").orderBy("rank").limit(config.list_items).select(F.row_number().over(Window.orderBy("rank")).alias("position"), "store_key", "name", "price", F.when(F.col("available"), "InStock").otherwise("OutOfStock").alias("availability"), "url")
+    first = best.where("ok").orderBy("rank").limit(config.list_items)
+    stock = F.when(F.col("available"), "InStock").otherwise("OutOfStock")
+    shown = [c for c in ("store_name", "image") if c in best.columns]
+    return first.select(F.row_number().over(Window.orderBy("rank")).alias("position"), "store_key", *shown, "name", "price", stock.alias("availability"), "url")

@@ -1,7 +1,7 @@
-"""Parsers of landed search payloads: one kind of retailer endpoint each, from (store_key, store_name, domain, body) to offers.
+"""Parsers of landed search payloads: one kind of retailer endpoint each, from (payload, domain, body) to offers.
 
-Every parser yields store_key, store_name, pos, name, price, available, url, image; pos is the order within the payload.
-A body that can't be read gives no rows, and an element that can't be read gives none of its own: other rows are untouched.
+payload is a struct of the landed row's other columns, and comes out as it went in. Every parser yields payload, pos, name, price,
+available, url, image; pos is the order within the payload. A body that can't be read gives no rows, and an element that can't be read gives none of its own: other rows are untouched.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from mercadia.functions.scalars import NO_NAME, as_price, html_text, minor_units, normalize_price, stock_flag, truthy, unescape, url_quote
 
-OFFER = ["store_key", "store_name", "pos", "name", "price", "available", "url", "image"]
+ITEM = ["pos", "name", "price", "available", "url", "image"]
+#: Kinds that are asked again for the first word where a text of several words finds nothing.
+ASK_AGAIN = ["vtex", "vtex_manual", "kemik", "magento", "woocommerce"]
 
 # Field names and markup of the endpoints' answers.
 CATALOG = (
@@ -49,7 +51,7 @@ def _first(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def _each(df: DataFrame, items: Column) -> DataFrame:
-    return df.select("store_key", "store_name", "domain", F.posexplode(items).alias("pos", "x"))
+    return df.select("payload", "domain", F.posexplode(items).alias("pos", "x"))
 
 
 def _site(path: str, tail: Column) -> Column:
@@ -68,7 +70,7 @@ def catalog(df: DataFrame) -> DataFrame:
     price, stock = offer["Price"], truthy(offer["AvailableQuantity"])
     rows = _each(df, F.from_json("body", CATALOG)).where((price.isNull() | _number(price).isNotNull()) & (stock.isNull() | _number(stock).isNotNull()))
     return rows.select(
-        "store_key", "store_name", "pos", F.coalesce(x["productName"], F.lit(NO_NAME)).alias("name"), normalize_price(_number(price)).alias("price"),
+        "payload", "pos", F.coalesce(x["productName"], F.lit(NO_NAME)).alias("name"), normalize_price(_number(price)).alias("price"),
         F.coalesce(_number(stock).cast("int"), F.lit(0)).alias("available"), F.coalesce(x["link"], F.lit("")).alias("url"), F.get(unit["images"], 0)["imageUrl"].alias("image"),
     )
 
@@ -87,7 +89,7 @@ def minor_unit_search(df: DataFrame, price_field: str = "P", stock_field: str =
     pid = F.coalesce(text(x, "$.pid"), F.lit(""))
     slug, sku = F.coalesce(truthy(text(x, "$.slug")), pid), F.coalesce(master, pid)
     return rows.select(
-        "store_key", "store_name", "pos", F.coalesce(text(x, "$.title"), F.lit(NO_NAME)).alias("name"),
+        "payload", "pos", F.coalesce(text(x, "$.title"), F.lit(NO_NAME)).alias("name"),
         minor_units(_number(of(price_field)), text(x, "$.fractionDigits").try_cast("int")).alias("price"),
         F.when(F.lower(of(stock_field)) == "in stock", 1).otherwise(0).alias("available"),
         _site("/es-gt/producto/", F.concat(slug, F.lit("/"), sku)).alias("url"), text(x, "$.thumb_image").alias("image"),
@@ -104,7 +106,7 @@ def stocked_products(df: DataFrame) -> DataFrame:
     discount = as_price(x["PrecioDescuento"])
     rows = _each(df, inner).where(truthy(x["Codigo"]).isNotNull())
     return rows.select(
-        "store_key", "store_name", "pos", F.trim(unescape(F.coalesce(truthy(x["Descripcion"]), x["Codigo"]))).alias("name"),
+        "payload", "pos", F.trim(unescape(F.coalesce(truthy(x["Descripcion"]), x["Codigo"]))).alias("name"),
         F.when(discount > 0, discount).otherwise(as_price(x["PrecioNormal"])).alias("price"), (held + yes(x["EnBodega"]) + yes(x["EnTransito"])).cast("int").alias("available"),
         _site("/producto/", url_quote(x["Codigo"])).alias("url"), x["Imagen"].alias("image"),
     )
@@ -123,7 +125,7 @@ def first_price_search(df: DataFrame) -> DataFrame:
     sku = F.when(sku == "0", "").otherwise(sku)
     rows = _each(df, F.try_variant_get(F.try_parse_json("body"), "$.results", "array<variant>")).withColumn("sku", sku)
     return rows.select(
-        "store_key", "store_name", "pos", F.trim(unescape(F.coalesce(truthy(text("title")), F.col("sku")))).alias("name"),
+        "payload", "pos", F.trim(unescape(F.coalesce(truthy(text("title")), F.col("sku")))).alias("name"),
         as_price(F.coalesce(given("sale_price"), given("best_price"), text("price"))).alias("price"),
         F.when(F.lower(text("availability")) == "in stock", 1).otherwise(0).alias("available"),
         F.coalesce(truthy(text("link")), _site("/producto/", url_quote(F.col("sku")))).alias("url"), text("image_link").alias("image"),
@@ -139,7 +141,7 @@ def faceted_search(df: DataFrame) -> DataFrame:
     by_facet = F.when(facet.isNull(), 1).when(F.exists(F.coalesce(facet["values"], F.array()), lambda v: F.upper(v) == "IN_STOCK"), 1).otherwise(0)
     address = F.coalesce(truthy(data["url"]), _site("/", truthy(data["url_key"])), F.lit(""))
     return _each(df, F.from_json("body", RESULTS)["response"]["results"]).select(
-        "store_key", "store_name", "pos", F.coalesce(truthy(x["value"]), truthy(data["meta_title"]), F.lit(NO_NAME)).alias("name"),
+        "payload", "pos", F.coalesce(truthy(x["value"]), truthy(data["meta_title"]), F.lit(NO_NAME)).alias("name"),
         F.coalesce(*(F.nullif(p, F.lit(0.0)) for p in prices[:-1]), prices[-1]).alias("price"),
         F.coalesce(_number(data["salable_quantity"]).cast("int"), by_facet).alias("available"), address.alias("url"), data["image_url"].alias("image"),
     )
@@ -150,7 +152,7 @@ def grid_page(df: DataFrame) -> DataFrame:
     x = F.col("x")
     rows = _each(df, F.split("body", GRID_ITEM)).where("pos > 0").withColumn("name", html_text(_first(x, GRID_LINK, 2))).where("name <> ''")
     return rows.select(
-        "store_key", "store_name", (F.col("pos") - 1).alias("pos"), "name", F.round(_number(_first(x, GRID_PRICE)), 2).alias("price"),
+        "payload", (F.col("pos") - 1).alias("pos"), "name", F.round(_number(_first(x, GRID_PRICE)), 2).alias("price"),
         stock_flag(x, "agotado", "sin existencia").alias("available"), _first(x, GRID_LINK).alias("url"), _first(x, GRID_IMAGE).alias("image"),
     )
 
@@ -158,14 +160,14 @@ def grid_page(df: DataFrame) -> DataFrame:
 def card_page(df: DataFrame) -> DataFrame:
     """Pages of titled cards: a segment from each card's anchor to the next, the last at most 4,000 characters; without price no row."""
     x = F.col("x")
-    lead = f"(?={CARD})"
-    rows = _each(df, F.split("body", lead)).where(F.regexp_like(x, F.lit(f"^{CARD}")))
+    cut = df.withColumn("parts", F.split("body", f"(?={CARD})"))
+    rows = cut.select("payload", "domain", F.size("parts").alias("n"), F.posexplode("parts").alias("pos", "x")).where(F.regexp_like(x, F.lit(f"^{CARD}")))
     anchor = F.regexp_extract(x, f"^{CARD}", 0)
-    segment = F.substring(x, F.length(anchor) + 1, F.when(F.col("pos") == F.col("final"), 4000).otherwise(F.length(x)))
-    rows = rows.join(rows.groupBy("store_key", "domain", "store_name").agg(F.max("pos").alias("final")), ["store_key", "store_name", "domain"]).withColumn("segment", segment)
+    segment = F.substring(x, F.length(anchor) + 1, F.when(F.col("pos") == F.col("n") - 1, 4000).otherwise(F.length(x)))
+    rows = rows.withColumn("segment", segment)
     s = F.col("segment")
     return rows.where(F.regexp_like(s, F.lit(CARD_PRICE))).select(
-        "store_key", "store_name", "pos", F.trim(unescape(F.regexp_extract(x, f"^{CARD}", 1))).alias("name"), as_price(_first(s, CARD_PRICE)).alias("price"),
+        "payload", "pos", F.trim(unescape(F.regexp_extract(x, f"^{CARD}", 1))).alias("name"), as_price(_first(s, CARD_PRICE)).alias("price"),
         stock_flag(s, "agotado", "sin stock").alias("available"), _site("", F.regexp_extract(x, f"^{CARD}", 2)).alias("url"), _first(s, CARD_IMAGE).alias("image"),
     )
 
@@ -177,7 +179,7 @@ def list_page(df: DataFrame) -> DataFrame:
     rows = _each(df, F.regexp_extract_all("body", F.lit(LIST_ITEM), F.lit(1)))
     rows = rows.where(_first(x, LIST_LINK).isNotNull()).withColumn("name", html_text(_first(x, LIST_TITLE))).where("name <> ''")
     return rows.select(
-        "store_key", "store_name", "pos", "name", as_price(F.try_element_at(amounts, F.lit(-1))).alias("price"),
+        "payload", "pos", "name", as_price(F.try_element_at(amounts, F.lit(-1))).alias("price"),
         stock_flag(x, "outofstock", "agotado").alias("available"), _first(x, LIST_LINK).alias("url"), _first(x, LIST_IMAGE).alias("image"),
     )
 
@@ -190,7 +192,7 @@ _KINDS: dict[str, Parser] = {
 
 
 def register_source(kind: str, parser: Parser) -> None:
-    """Adds a kind of payload; parser gives the OFFER columns."""
+    """Adds a kind of payload; parser takes (payload, domain, body) and gives payload and the ITEM columns."""
     _KINDS[kind] = parser
 
 
@@ -198,10 +200,11 @@ def kinds() -> list[str]:
     return sorted(_KINDS)
 
 
-def parse(payloads: DataFrame) -> DataFrame:
-    """Offers of all payloads(kind, store_key, store_name, domain, body): one parser for each kind, their rows together. Unknown kinds give none (see fetch_status)."""
+def parse(payloads: DataFrame, *keep: str) -> DataFrame:
+    """Offers of all payloads(kind, store_key, store_name, domain, body): one parser for each kind, their rows together, with the payload's columns `keep`. Unknown kinds give none (see fetch_status)."""
+    wrapped = payloads.select("kind", "domain", "body", F.struct("store_key", "store_name", *keep).alias("payload"))
     out = None
     for kind, parser in _KINDS.items():
-        rows = parser(payloads.where(payloads["kind"] == kind)).select(OFFER)
+        rows = parser(wrapped.where(wrapped["kind"] == kind)).select("payload.*", *ITEM)
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -37,7 +37,7 @@ def test_broken_payloads_are_isolated(spark):
 
 
 def test_register_source(spark):
-    payloads.register_source("plain", lambda df: df.select("store_key", "store_name", F.lit(0).alias("pos"), F.col("body").alias("name"), F.lit(1.0).alias("price"), F.lit(1).alias("available"), F.lit("").alias("url"), F.lit(None).cast("string").alias("image")))
+    payloads.register_source("plain", lambda df: df.select("payload", F.lit(0).alias("pos"), F.col("body").alias("name"), F.lit(1.0).alias("price"), F.lit(1).alias("available"), F.lit("").alias("url"), F.lit(None).cast("string").alias("image")))
     try:
         row = payloads.parse(spark.createDataFrame([("plain", "s", "S", "d", "thing")], "kind string, store_key string, store_name string, domain string, body string")).first()
         assert row["name"] == "thing"
@@ -45,6 +45,15 @@ def test_register_source(spark):
         del payloads._KINDS["plain"]
 
 
+def test_last_card_is_capped_by_payload(spark):
+    """A card whose only price lies beyond 4,000 characters has no row, whatever other payloads of its store hold; columns without a value don't matter."""
+    card = '<a title="{}" href="/{}-abcdefghijklmnopqrst">{}<div data-component="Price"><div>Q10</div></div></a>'
+    far, near = card.format("Far", "far", "x" * 4100), card.format("Near", "near", "")
+    rows = [("kemik", "k", None, None, far, 1), ("kemik", "k", None, None, near + near + far, 2), ("kemik", "k", None, None, far + near, 3)]
+    found = payloads.parse(spark.createDataFrame(rows, "kind string, store_key string, store_name string, domain string, body string, n int"), "n")
+    assert sorted((r["n"], r["name"]) for r in found.collect()) == [(2, "Near"), (2, "Near"), (3, "Far"), (3, "Near")]
+
+
 def test_keep_first(spark):
     data = [(1, "U ", "n", 10.0), (2, "u", "m", 10.0), (3, "", "N", 0.0), (4, None, "n ", None), (5, "u", "m", 11.0)]
     offers = spark.createDataFrame([(1, k, u, n, p) for k, u, n, p in data], "store_key int, k int, url string, name string, price double")
