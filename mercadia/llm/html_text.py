@@ -2,9 +2,12 @@
 
 A page is cut into flat text blocks at its block-level tags. Each block has its word count and link density, those of
 the blocks before and after it, and what its open elements say: inside an article or main element, inside page
-furniture, or under a class, id or role that names furniture (the class or id of a wrapper that holds a main element or the
-longest article is about the layout and names nothing). A decision tree, trained on the small labelled table
-below, keeps or drops each block; the kept ones, one to a line, are the text.
+furniture, or under a class, id or role that names furniture. A decision tree, trained on the small labelled table
+below, keeps or drops each block; the kept ones, one to a line, are the text. On pages without an article the counts of the block
+and its neighbours decide: a short line before a long paragraph is a heading, between links it is a menu.
+
+A class or id names furniture only as a whole (`share-buttons`, not `skip-lines` or `has-sidebar`), not on a wrapper that holds a main
+element or the longest article, and inside an article not on a paragraph, heading, list item or cell.
 
 Within a block, inline tags vanish, line breaks count as white space, character references are decoded after the tags are gone, and
 white space becomes one space. Scripts, styles and other elements without running text are left out whole; of those other than
@@ -30,30 +33,41 @@ from pyspark.sql import functions as F
 from mercadia.llm.common import table
 
 FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "article", "furniture", "hinted"]
-#: The labelled table: FEATURES of a block, then 1 where it belongs to the text. Rows are made up after common page layouts.
-LABELLED = [
-    # running text in article or main elements, long and short, with and without links
-    (60, 0.0, 8, 0.0, 45, 0.0, 1, 0, 0, 1), (1, 0.0, 70, 0.0, 30, 0.0, 1, 0, 0, 1), (8, 0.0, 12, 1.0, 60, 0.0, 1, 0, 0, 1),
-    (3, 0.0, 2, 0.0, 1, 0.0, 1, 0, 0, 1), (25, 0.4, 40, 0.1, 33, 0.0, 1, 0, 0, 1), (5, 1.0, 50, 0.0, 41, 0.0, 1, 0, 0, 1),
-    (2, 1.0, 3, 1.0, 4, 1.0, 1, 0, 0, 1), (90, 0.02, 0, 0.0, 0, 0.0, 1, 0, 0, 1), (14, 0.0, 3, 1.0, 6, 0.2, 1, 0, 0, 1),
-    (1, 0.0, 1, 1.0, 9, 0.0, 1, 0, 0, 1), (200, 0.0, 9, 0.0, 9, 0.1, 1, 0, 0, 1), (6, 0.0, 80, 0.0, 7, 0.3, 1, 0, 0, 1),
-    # menus, headers, footers, sidebars, forms
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0), (2, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 0), (12, 0.0, 60, 0.0, 0, 0.0, 0, 1, 0, 0),
-    (9, 0.2, 30, 0.0, 3, 1.0, 0, 1, 0, 0), (45, 0.0, 50, 0.0, 20, 0.0, 0, 1, 0, 0), (30, 0.5, 4, 1.0, 70, 0.0, 0, 1, 0, 0),
-    (4, 0.0, 5, 0.0, 2, 0.0, 0, 1, 0, 0), (80, 0.0, 80, 0.0, 80, 0.0, 0, 1, 0, 0), (15, 0.0, 40, 0.0, 40, 0.0, 1, 1, 0, 0),
-    (3, 0.7, 30, 0.0, 25, 0.0, 1, 1, 0, 0), (60, 0.0, 50, 0.0, 9, 0.0, 1, 1, 0, 0),
-    # adverts, notices, comments, by their names
-    (10, 0.0, 1, 1.0, 9, 0.0, 0, 0, 1, 0), (40, 0.0, 50, 0.0, 60, 0.0, 0, 0, 1, 0), (7, 0.3, 60, 0.0, 5, 0.0, 0, 0, 1, 0),
-    (120, 0.0, 8, 0.0, 30, 0.0, 0, 0, 1, 0), (22, 0.0, 60, 0.0, 45, 0.0, 1, 0, 1, 0), (5, 1.0, 60, 0.0, 5, 1.0, 1, 0, 1, 0),
-    (70, 0.0, 60, 0.0, 0, 0.0, 1, 0, 1, 0), (18, 0.0, 3, 1.0, 2, 0.0, 0, 1, 1, 0), (55, 0.1, 20, 0.0, 3, 0.0, 0, 1, 1, 0),
-    # pages without such elements: by length and links, and those of the neighbours
-    (60, 0.0, 40, 0.0, 55, 0.0, 0, 0, 0, 1), (35, 0.1, 3, 0.0, 50, 0.0, 0, 0, 0, 1), (18, 0.0, 60, 0.0, 45, 0.0, 0, 0, 0, 1),
-    (90, 0.2, 2, 1.0, 3, 1.0, 0, 0, 0, 1), (7, 0.0, 4, 1.0, 70, 0.0, 0, 0, 0, 1), (6, 0.0, 50, 0.0, 60, 0.0, 0, 0, 0, 1),
-    (16, 0.0, 30, 0.0, 2, 1.0, 0, 0, 0, 1), (12, 0.0, 25, 0.0, 30, 0.0, 0, 0, 0, 1), (45, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
-    (3, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0), (2, 0.0, 1, 0.0, 3, 0.0, 0, 0, 0, 0),
-    (20, 0.9, 3, 1.0, 15, 0.8, 0, 0, 0, 0), (5, 1.0, 60, 0.0, 3, 1.0, 0, 0, 0, 0), (8, 0.0, 2, 1.0, 4, 0.0, 0, 0, 0, 0),
-    (40, 0.8, 60, 0.0, 30, 0.9, 0, 0, 0, 0), (3, 0.0, 9, 0.5, 0, 0.0, 0, 0, 0, 0), (6, 0.5, 5, 0.6, 60, 0.0, 0, 0, 0, 0),
-]
+#: The labelled table, a page to a line: words/linked words of each block in page order, + where it belongs to the text, a inside an article or main
+#: element, f inside furniture, h where a name says so. Pages are made up after common layouts; most of them mark up nothing.
+LABELLED = """
+1/1f 1/1f 8h +6a +45a +1a +70a +30a 9f
+2/2f +9a +120a +40/30a +5/5a +60a 12f
+1/1f +4a +2/2a 2ah +50a 1ah 40ah 10/10f
+1/1f 45f 15af +44a 3/2af 60f
+1/1f +6a +1a +2a +1a +3a 2ah 1ah 9ah 5f
++9a
++1a +2/2a
++12a +3a +2/2a +1/1a 3/3ah 12ah 4f
+2f 12af +8a 20af
++5a +6/6a +12/12a 7/5ah +3a +30a 14af
++10a +11/9a +16/14a 30ah 8f
+2/2 1/1 +5a +33a +1a +28a 18h 60h
+20h 3/3h +7 +55 +40 25h 60h 7/2h
+1/1 2/2 +3 +80 +60 +6 +75 3/3 1/1 12
+18 2/2 1/1 +9 +45 +30 +12 +50 5/5 3/3 8
+1/1 3/3 1/1 +14 +95/4 +50/6 2/2 6/6 9/9 20/18
+2 5/5 4/4 +5 +38 +7 +42 +25 30/28 3
++60 +50 +9 +70
+6/6 8/8 12/12 9/9 3 10 5
++40
++5 +26 4
+1/1 1/1 +70 1/1
+3/3 +48 +33 2/2
+2/2 8/8 +55
+15 4 9 2/2 3/3 +8 +64 +18/2 +58 10 1/1 22 5
+30/22 2/2 +6 +130 +4 +20 +90 3 8
++2 +35 +28 40/33 60/55 9
+3 8 1/1 6 12
+1/1 6 1/1 +11 +46 +3 +49 +27 7/7 14 4
+16 7 4/4 +8 +85 +37 9 13
+"""
+_SKETCH = re.compile(r"(\+?)(\d+)(?:/(\d+))?([afh]*)")
 
 _BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,11 +75,13 @@ _FURNITURE = set("nav footer aside form menu dialog fieldset".split())
 _ARTICLE = set("article main".split())
 _ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _NAMES = set(
-    "ad ads adv advert adverts advertisement adsense adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr privacy notice notices "
-    "notification alert popup modal overlay newsletter subscribe subscription signup login sidebar side widget widgets menu nav navbar navigation breadcrumb "
-    "breadcrumbs footer masthead toolbar pagination pager comment comments commentlist disqus reply replies respond discussion share sharing social related recommended "
-    "recommendations trending teaser outbrain taboola skip search".split()
+    "ad ads adv advert adverts advertisement adsense adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
+    "newsletter subscribe signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead pagination comment comments disqus reply replies respond "
+    "share sharing social related recommended trending".split()
 )
+#: Words that may stand beside a name in a class or id.
+_FILLERS = set("area bar block box btn button buttons container content form group holder icons item items left link links list main message module panel post posts right section site slot text top bottom widget widgets wrap wrapper".split())
+_TEXT_TAGS = set("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption caption legend address span a b i em strong".split())
 _RAW = "script|style|textarea|iframe"
 _SKIPPED = set("noscript template select button svg object canvas".split())
 _IN_HEAD = set("title meta link base script style noscript template head html".split())
@@ -99,9 +115,24 @@ def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 7) -> tuple:
     return f, limit, grow(rows[low], labels[low], depth - 1), grow(rows[~low], labels[~low], depth - 1)
 
 
+def rows_of(found: list[tuple]) -> list[tuple]:
+    """FEATURES of each block of a page, from its (words, links, article, furniture, hinted)."""
+    near = [(0, 0.0), *(x[:2] for x in found), (0, 0.0)]
+    return [(*near[k + 1], *near[k], *near[k + 2], *x[2:]) for k, x in enumerate(found)]
+
+
+def labelled(table: str = LABELLED) -> tuple[np.ndarray, np.ndarray]:
+    """FEATURES and labels of a table like LABELLED."""
+    rows, labels = [], []
+    for line in table.strip().splitlines():
+        found = _SKETCH.findall(line)
+        labels += [plus == "+" for plus, *_ in found]
+        rows += rows_of([(int(n), int(linked or 0) / int(n), *(int(c in marks) for c in "afh")) for _, n, linked, marks in found])
+    return np.array(rows, float), np.array(labels, float)
+
+
 def trained() -> tuple:
-    data = np.array(LABELLED, float)
-    return grow(data[:, :-1], data[:, -1])
+    return grow(*labelled())
 
 
 def classify(tree: tuple, row: tuple) -> int:
@@ -110,7 +141,12 @@ def classify(tree: tuple, row: tuple) -> int:
     return tree[0]
 
 
-def _hint(name: str, attributes: str, holds: bool) -> tuple[bool, bool]:
+def _names_furniture(value: str) -> bool:
+    parts = _PARTS.findall(value)
+    return not _NAMES.isdisjoint(parts) and all(x in _NAMES or x in _FILLERS for x in parts)
+
+
+def _hint(name: str, attributes: str, holds: bool, inside: bool) -> tuple[bool, bool]:
     """Do the attributes name furniture, unless the element holds the text? Is the element hidden?"""
     hinted = hidden = False
     for key, value in _NAMED.findall(attributes):
@@ -122,7 +158,7 @@ def _hint(name: str, attributes: str, holds: bool) -> tuple[bool, bool]:
         elif key == "style":
             hidden |= "display:none" in value.replace(" ", "")
         elif key in ("class", "id") and not holds and name not in ("html", "body", "article", "main"):
-            hinted |= not _NAMES.isdisjoint(_PARTS.findall(value))
+            hinted |= not (inside and name in _TEXT_TAGS) and any(map(_names_furniture, value.split()))
     return hinted, hidden
 
 
@@ -251,7 +287,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
             stack.pop()
         state = stack[-1][1:] if stack else (0, 0, 0, 0, 0)
         a, f, h, links, hidden = state
-        hinted, hides = _hint(name, m[4], m.start() in holders) if m[4] else (False, False)
+        hinted, hides = _hint(name, m[4], m.start() in holders, a > 0) if m[4] else (False, False)
         if not m[4].endswith("/"):
             furniture = name in _FURNITURE or name == "header" and not a
             state = (a + (name in _ARTICLE), f + furniture, h + hinted, links + (name == "a"), hidden + hides)
@@ -264,13 +300,8 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
 
 def extract(page: str, tree: tuple) -> str:
     found = blocks(page)
-    kept = []
-    for k, (text, words, links, article, furniture, hinted) in enumerate(found):
-        before = found[k - 1][1:3] if k else (0, 0.0)
-        after = found[k + 1][1:3] if k + 1 < len(found) else (0, 0.0)
-        if classify(tree, (words, links, *before, *after, article, furniture, hinted)):
-            kept.append(text)
-    return "\n".join(kept)
+    rows = rows_of([x[1:] for x in found])
+    return "\n".join(x[0] for x, row in zip(found, rows, strict=True) if classify(tree, row))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
