@@ -160,20 +160,41 @@ def _contexts(texts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndar
         yield tuple(np.concatenate([h[k : len(h) - 2 + k] for h in held]) for k in range(3))
 
 
-def dealt(docs: DataFrame, lexicon, lots: int) -> DataFrame:
-    """lot, draw, doc_id, kinds (the classes of its words) of each training document."""
+PREPARED = "doc_id long, held_out boolean, lot int, draw long, n_tokens long, n_known long, base double, within double, rare array<string>, kinds array<short>"
+
+
+def prepared(docs: DataFrame, lexicon, lots: int) -> DataFrame:
+    """PREPARED and _row, a key of the row: all that the lexicon says of each document, so that texts are cut into words once.
+
+    kinds are the classes of its words, within the part of its score that lies inside tail classes, rare the words outside the lexicon.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lexicon.value
+        end_log = np.log10(known.docs + 1)
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
-                kinds = [lexicon.value.numbers(x.as_py())[2].astype(np.int16) for x in part.column("text")]
-                ends = np.cumsum([0, *map(len, kinds)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(kinds), pa.int16()))
-                yield pa.RecordBatch.from_arrays([part.column("lot"), part.column("draw"), part.column("doc_id"), lists], names=["lot", "draw", "doc_id", "kinds"])
+                n_tokens, n_known, base, inside, rare, ends, classes = [], [], [], [], [], [0], []
+                for text in part.column("text"):
+                    words, at, kinds = known.numbers(text.as_py())
+                    seen = at >= 0
+                    logs = known.logs[at[seen]]
+                    n_tokens.append(len(words) + 1)
+                    n_known.append(int((logs > 0).sum()) + (known.docs > 0))
+                    base.append(float(logs.sum() + end_log - known.norm * (len(words) + 1)))
+                    inside.append(float(logs[kinds[seen] > WORDS].sum() - known.tail_norm[kinds].sum()))
+                    rare += [words[k].decode() for k in np.flatnonzero(~seen).tolist()]
+                    ends.append(len(rare))
+                    classes.append(kinds.astype(np.int16))
+                missing = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare, pa.string()))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, classes)]), pa.int32()), pa.array(np.concatenate(classes), pa.int16()))
+                arrays = [*(part.column(c) for c in ("doc_id", "held_out", "lot", "draw")), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(inside), missing, lists]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "lot", "draw", "n_tokens", "n_known", "base", "within", "rare", "kinds"])
 
-    slim = docs.where("not held_out").withColumn("draw", F.xxhash64(F.lit(SEED), "doc_id", "text")).withColumn("lot", F.pmod("draw", F.lit(lots)).cast("int"))
-    return spool(slim.select("lot", "draw", "doc_id", "text").mapInArrow(run, "lot int, draw long, doc_id long, kinds array<short>"), "lots")
+    draw = F.xxhash64(F.lit(SEED), "doc_id", "text")
+    slim = docs.withColumn("draw", draw).withColumn("lot", F.pmod("draw", F.lit(lots)).cast("int")).select("doc_id", "held_out", "lot", "draw", "text")
+    return spool(slim.mapInArrow(run, PREPARED).withColumn("_row", F.monotonically_increasing_id()), "prepared")
 
 
 def _averaged(group: pa.Table) -> pa.Table:
@@ -184,9 +205,9 @@ def _averaged(group: pa.Table) -> pa.Table:
     return pa.table({"lot": pa.array([group.column("lot")[0].as_py() // FAN], pa.int32()), "n": pa.array([n.sum()], pa.int64()), "params": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
 
 
-def fit(lots_of: DataFrame, lexicon, lots: int) -> dict[str, np.ndarray]:
-    """ROUNDS rounds of training lot by lot and averaging; lots_of is what `dealt` gave, lots a multiple of ROUNDS."""
-    spark = lots_of.sparkSession
+def fit(ready: DataFrame, lexicon, lots: int) -> dict[str, np.ndarray]:
+    """ROUNDS rounds of training lot by lot and averaging; ready is what `prepared` gave, lots a multiple of ROUNDS."""
+    spark = ready.sparkSession
     params = fresh(lexicon.value)
     ends = np.cumsum([0, *(int(np.prod(s)) for s in _SHAPES.values())])
     for turn in range(ROUNDS):
@@ -206,8 +227,8 @@ def fit(lots_of: DataFrame, lexicon, lots: int) -> dict[str, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array([lot // ROUNDS], pa.int32()), pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["lot", "n", "params"])
 
         schema, left = "lot int, n long, params binary", lots // ROUNDS
-        mine = lots_of.where(F.col("lot") % ROUNDS == turn).repartition(left, "lot").sortWithinPartitions("lot", "draw", "doc_id", "kinds")
-        found = mine.mapInArrow(run, schema)
+        mine = ready.where(~F.col("held_out") & (F.col("lot") % ROUNDS == turn)).select("lot", "draw", "doc_id", "kinds").repartition(left, "lot").sortWithinPartitions("lot", "draw", "doc_id", "kinds")
+        found = mine.select("lot", "kinds").mapInArrow(run, schema)
         while left > 1:
             found, left = found.groupBy(F.expr(f"lot div {FAN}").alias("g")).applyInArrow(_averaged, schema), -(-left // FAN)
         for row in found.select("params").collect():  # one row, or none without training documents
@@ -241,8 +262,8 @@ def commonest(counts: DataFrame, most: int = KNOWN) -> list[tuple[str, int]]:
     return sorted(((r["word"], r["c"]) for r in first.collect()), key=lambda x: (-x[1], x[0]))
 
 
-def learned(docs: DataFrame) -> tuple[DataFrame, Lexicon, dict[str, np.ndarray]]:
-    """Counts (word, c, held), lexicon and parameters of docs(doc_id, text, held_out)."""
+def learned(docs: DataFrame) -> tuple[DataFrame, DataFrame, Lexicon, dict[str, np.ndarray]]:
+    """Counts (word, c, held), what `prepared` gives, lexicon and parameters of docs(doc_id, text, held_out)."""
     spark = docs.sparkSession
     counts = spool(docs.mapInArrow(_count, "word string, c long, held long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("held").alias("held")), "counts")
     n_docs = docs.where("not held_out").count()
@@ -255,7 +276,8 @@ def learned(docs: DataFrame) -> tuple[DataFrame, Lexicon, dict[str, np.ndarray]]
     lexicon = Lexicon(common, tails, n_docs, sums["n"] + n_docs, sums["v"] + (n_docs > 0))
     lots = ROUNDS * max(1, -(-lexicon.total // (ROUNDS * LOT)))
     sent = spark.sparkContext.broadcast(lexicon)
-    return counts, lexicon, fit(dealt(docs, sent, lots), sent, lots)
+    ready = prepared(docs, sent, lots)
+    return counts, ready, lexicon, fit(ready, sent, lots)
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -266,44 +288,27 @@ def marked(docs: DataFrame) -> DataFrame:
 
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs(doc_id, text)."""
-    spark = docs.sparkSession
-    docs = marked(docs)
-    counts, lexicon, params = learned(docs)
-    total = lexicon.total
-    lexicon = spark.sparkContext.broadcast(lexicon)
-    tables = spark.sparkContext.broadcast(normalised(params))
+    counts, ready, lexicon, params = learned(marked(docs))
+    tables = docs.sparkSession.sparkContext.broadcast(normalised(params))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (near, far, norm) = lexicon.value, tables.value
-        end_log = np.log10(known.docs + 1)
+        near, far, norm = tables.value
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                n_tokens, n_known, base, score, rare, ends = [], [], [], [], [], [0]
-                for text in part.column("text"):
-                    words, at, kinds = known.numbers(text.as_py())
-                    seen = at >= 0
-                    logs = known.logs[at[seen]]
-                    n_tokens.append(len(words) + 1)
-                    n_known.append(int((logs > 0).sum()) + (known.docs > 0))
-                    base.append(float(logs.sum() + end_log - known.norm * (len(words) + 1)))
-                    row = np.concatenate([[0, 0], kinds, [0]])
-                    j, i, w = row[:-2], row[1:-1], row[2:]
-                    p = (near[i, w] + far[j, w] - norm[i, j]).sum(dtype=np.float64)
-                    within = logs[kinds[seen] > WORDS].sum() - known.tail_norm[kinds].sum()
-                    score.append(float(p + within))
-                    rare += [words[k].decode() for k in np.flatnonzero(~seen).tolist()]
-                    ends.append(len(rare))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare, pa.string()))
-                arrays = [part.column("doc_id"), part.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(score), lists]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<string>"
-    partly = spool(docs.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "scores")
-    found = partly.select("_row", F.explode("rare").alias("word")).join(counts.where("c > 0"), "word").groupBy("_row").agg(F.sum(F.log10(F.col("c") + 1)).alias("logs"), F.count("*").alias("more"))
-    whole = partly.drop("rare").join(found, "_row", "left")
+            score = []
+            for kinds, within in zip(batch.column("kinds"), batch.column("within").to_pylist(), strict=True):
+                row = np.concatenate([[0, 0], kinds.values.to_numpy(), [0]])
+                j, i, w = row[:-2], row[1:-1], row[2:]
+                score.append(within + float((near[i, w] + far[j, w] - norm[i, j]).sum(dtype=np.float64)))
+            arrays = [*(batch.column(c) for c in ("_row", "doc_id", "held_out", "n_tokens", "n_known", "base")), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["_row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+
+    schema = "_row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+    partly = ready.select("_row", "doc_id", "held_out", "n_tokens", "n_known", "base", "within", "kinds").mapInArrow(run, schema)
+    found = ready.select("_row", F.explode("rare").alias("word")).join(counts.where("c > 0"), "word").groupBy("_row").agg(F.sum(F.log10(F.col("c") + 1)).alias("logs"), F.count("*").alias("more"))
+    whole = partly.join(found, "_row", "left")
     logs, more = F.coalesce("logs", F.lit(0.0)), F.coalesce("more", F.lit(0))
-    return whole.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + more).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + logs).alias("base_score"), (F.col("score") + logs).alias("score"))
+    total = F.lit(lexicon.total).cast("long").alias("train_tokens")
+    return whole.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + more).alias("n_known"), total, (F.col("base") + logs).alias("base_score"), (F.col("score") + logs).alias("score"))
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
