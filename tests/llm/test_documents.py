@@ -9,8 +9,10 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -115,8 +117,6 @@ def test_near_dedup_shared_ids(spark):
 
 
 def test_sketch_estimates():
-    import numpy as np
-
     draw = np.random.default_rng(3)
     for j in (0.5, 0.7, 0.85, 0.95):
         seen = []
@@ -154,6 +154,56 @@ def test_quality(spark, small, docs):
     assert sum(got[i]["kept"] for i in plain) == len(plain)
 
 
+def spark_hash(*parts):
+    """Spark's xxhash64 of texts and longs: each one's seed is the hash of those before it."""
+    h = 42
+    for x in parts:
+        h = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else (x % (1 << 64)).to_bytes(8, "little"), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_quality(rows, labels):
+    """(doc_id, text) -> (score, kept), from plain counts; labels: (doc_id, quality, toxic)."""
+    worst = {}
+    for i, q, t in labels:
+        if i is not None:
+            worst[i] = (min(q, worst.get(i, (9, 0))[0]), max(t, worst.get(i, (0, 0))[1]))
+    good, bad = {i for i, x in worst.items() if x == (1, 0)}, {i for i, x in worst.items() if x[0] == 0}
+    fits = {i for i in good if spark_hash(i, "half") % 2 == 0}
+
+    def grams(text):
+        h = [spark_hash(w) for w in WORD.findall(text)]
+        return [x % quality_rules.BUCKETS for x in h + [spark_hash(a, b) for a, b in itertools.pairwise(h)]]
+
+    raw, fit = Counter(), Counter()
+    for i, t in rows:
+        raw.update(grams(t))
+        if i in fits:
+            fit.update(grams(t))
+    n, k, size = sum(raw.values()), sum(fit.values()), quality_rules.BUCKETS
+    ratio = {b: math.log((fit[b] + 1) / (k + size)) - math.log((raw[b] + 1) / (n + size)) if k else 0.0 for b in raw}
+    score = {(i, t): sum(ratio[b] for b in grams(t)) / max(1, len(grams(t))) for i, t in rows}
+    known = {}
+    for i, t in rows:
+        if i in (good - fits) | bad:
+            s, f = known.get(i, (math.inf, False))
+            known[i] = min(s, score[i, t]), f or base_of(t)[5]
+    bar = quality_rules.bar_of(*(np.array([known[i][0] for i in ids & known.keys() if not known[i][1]]) for ids in (good - fits, bad)))
+    return {x: (s, not base_of(x[1])[5] and s >= bar) for x, s in score.items()}
+
+
+def test_quality_against_brute_force(spark, docs, odd, small):
+    labels = spark.read.parquet(f"{small}/labels.parquet").select("doc_id", "quality", "toxic")
+    some = spark.createDataFrame([(6, 1, 0), (6, 0, 0), (7, 1, 0), (10, 1, 0), (None, 1, 0), (14, 1, 0), (13, 0, 0)], labels.schema)
+    for df, given in ((docs, labels), (odd, some)):
+        expect = brute_quality(pairs_of(df), [tuple(r) for r in given.collect()])
+        got = quality_rules.judged(df, given)
+        assert got.where("kept").count() == sum(expect[x][1] for x in pairs_of(df))  # a filter on the verdicts ends
+        for r in got.collect():
+            score, kept = expect[r["doc_id"], r["text"] or ""]
+            assert math.isclose(r["score"], score, abs_tol=1e-9) and r["kept"] == kept
+
+
 def test_quality_odd(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(6, 1, 0), (6, 0, 0), (7, 1, 0), (None, 1, 0)], none.schema)
@@ -173,8 +223,6 @@ def test_quality_rejects_what_labels_call_bad(spark):
 
 
 def test_quality_bar():
-    import numpy as np
-
     draw = np.random.default_rng(2)
     good, bad = draw.normal(0.5, 0.1, 1000), draw.normal(-0.5, 0.1, 300)
     assert bad.max() < quality_rules.bar_of(good, bad) < good.min()
@@ -344,14 +392,12 @@ def test_lm(docs):
 
 def test_lm_repeats(spark, docs, monkeypatch):
     """The same scores whatever the partitions, with many lots and a tree of averages; and they are those of the fitted model, token by token."""
-    import numpy as np
-
     monkeypatch.setattr(lm_score, "LOT", 1 << 10)
     monkeypatch.setattr(lm_score, "FAN", 4)
     got = {r["doc_id"]: r["score"] for r in lm_score.scored(docs).collect()}
     again = {r["doc_id"]: r["score"] for r in lm_score.scored(docs.repartition(7)).collect()}
     assert got.keys() == again.keys() and all(math.isclose(got[i], again[i], rel_tol=1e-9) for i in got)
-    _, lexicon, p = lm_score.learned(lm_score.marked(docs))
+    _, _, _, p = lm_score.learned(lm_score.marked(docs))
     c = Counter(w for i, t in pairs_of(docs) if zlib.crc32(str(i).encode()) % 7 != 2 for w in WORD.findall(t.translate(FOLD)))
     own = {w: 1 + k for k, (w, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[: lm_score.WORDS])}
     tail = {}
@@ -385,8 +431,6 @@ def test_lm_odd(odd, empty):
 
 
 def test_lm_is_normalised():
-    import numpy as np
-
     draw = np.random.default_rng(1)
     params = {k: draw.normal(0, 1, s) for k, s in lm_score._SHAPES.items()}
     near, far, norm = lm_score.normalised(params)
@@ -394,34 +438,94 @@ def test_lm_is_normalised():
         assert abs((10.0 ** (near[i] + far[j] - norm[i, j]).astype(float)).sum() - 1) < 1e-3
 
 
-def test_pipeline(spark, small, docs, tokenizer):
-    """Each stage against brute force on what the one before it left."""
+def brute_copies(df):
+    """Checks the mix that a frame of (source, size, copies) rows stands for: rates from the dual, solved here by bisection, then copies size by size."""
+    sizes, docs_of = Counter(), {}
+    for source, size, _ in df:
+        sizes[source] += size
+        docs_of.setdefault(source, Counter())[size] += 1
+    order = sorted((x for x in sizes if x is not None), key=lambda x: x.encode()) + [None] * (None in sizes)
+    weight = {x: (5, 2, 1)[k % 3] for k, x in enumerate(order)}
+    low, high = 0.0, 2.0 * sum(sizes.values()) + 1
+    for _ in range(200):  # the water level
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * sizes[x], level * weight[x]) for x in order) < 1.5 * sum(sizes.values()) else (low, level)
+    for x in order:
+        target, docs_x = min(2 * sizes[x], low * weight[x]), docs_of[x]
+        total = sum(docs_x.values())
+        unit = sizes[x] / total if total else 0
+        words = lambda m: sum(n * z * min(2.0, math.exp(min(700.0, m * z / unit))) for z, n in docs_x.items())  # noqa: B023, E731
+        a, b = -60.0, 60.0
+        for _ in range(200):
+            m = (a + b) / 2
+            a, b = (m, b) if sizes[x] and words(m) < target else (a, m)
+        owed = 0.0
+        for z in sorted(docs_x, reverse=True):
+            rate = 2.0 if target >= 2 * sizes[x] * (1 - 1e-12) else min(2.0, math.exp(a * z / unit)) if z else 0.0
+            asked = docs_x[z] * rate * z + owed
+            k = min(max(round(asked / z), 0), 2 * docs_x[z]) if z else 0
+            owed = asked - k * z
+            got = sum(c for s, size, c in df if s == x and size == z)
+            assert abs(got - k) <= 1e-6 * k + 1, (x, z, got, k)  # a rate at the edge of a copy may round either way
+            assert max(c for s, size, c in df if s == x and size == z) - min(c for s, size, c in df if s == x and size == z) <= 1
+
+
+def test_mixing_rates(docs, odd):
+    for df in (docs, odd):
+        frame = df.withColumn("row", F.monotonically_increasing_id())
+        source = {r["row"]: r["source"] for r in frame.collect()}
+        brute_copies([(source[r["row"]], r["size"], r["copies"]) for r in mixing.mixed(frame, ("row",)).collect()])
+
+
+def check_stages(spark, folder, docs, tokenizer):
+    """Each stage against brute force on what the one before it left; none of the operators serves as its own measure."""
+    key = lambda rows: Counter((r["doc_id"], r["text"]) for r in rows)
     columns = docs.columns
-    kept = corpus_pipeline.quality(spark, docs, small).cache()
-    good = {r["doc_id"] for r in quality_rules.op3_quality_rules(spark, small).collect() if r["kept"]}
-    assert kept.columns == columns and {r["doc_id"] for r in kept.collect()} == good
-    unique = corpus_pipeline.near_dedup(spark, kept, small).cache()
-    groups = brute_components(pairs_of(kept))
-    assert unique.columns == columns and sorted(r["doc_id"] for r in unique.collect()) == sorted(set(groups.values()))
-    mix = corpus_pipeline.mix(spark, unique, small).cache()
-    copies = {r["doc_id"]: r["copies"] for r in mixing.mixed(unique).collect()}
-    assert mix.columns == columns and Counter(r["doc_id"] for r in mix.collect()) == Counter({i: k for i, k in copies.items() if k})
-    by = dict(pairs_of(docs))
-    out = Counter((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, small).collect())
-    assert out == Counter({(i, tuple(tokenizer.encode(by[i], add_special_tokens=False).ids)): k for i, k in copies.items() if k})
-
-
-def test_pipeline_odd(odd):
-    """Null, shared and repeated doc_ids: no row is lost or multiplied."""
-    more = odd.union(odd.where("doc_id = 9").withColumn("doc_id", F.lit(4).cast("long"))).cache()
-    near = corpus_pipeline.near_dedup(None, more, "")
-    got = Counter((r["doc_id"], r["text"]) for r in near.collect())
-    same = "a b c d e f g"
-    expect = Counter((i, t) for i, t, _ in ODD if i not in (5, 7, 8, 9))  # of five rows of equal text that of the smallest doc_id stays, and the one without
-    assert got == expect + Counter({(4, same): 1}) and near.columns == more.columns
-    copies = Counter()
-    for r in mixing.mixed(odd.withColumn("row", F.monotonically_increasing_id()), ("row",)).collect():
-        copies[r["doc_id"], r["size"]] += r["copies"]
-    mix = corpus_pipeline.mix(None, odd, "")
-    out = Counter((r["doc_id"], len(WORD.findall(r["text"]))) for r in mix.collect())
-    assert out == +copies and out[None, 7] > 0 and mix.columns == odd.columns
+    labels = [tuple(r) for r in spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality", "toxic").collect()]
+    rows = docs.collect()
+    verdict = brute_quality(pairs_of(docs), labels)
+    kept = corpus_pipeline.quality(spark, docs, folder)
+    assert kept.columns == columns and Counter(kept.collect()) == Counter(r for r in rows if verdict[r["doc_id"], r["text"] or ""][1])
+
+    unique = corpus_pipeline.near_dedup(spark, kept, folder)
+    rows = sorted(kept.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
+    groups = brute_components([(k, r["text"] or "") for k, r in enumerate(rows) if r["doc_id"] is not None])
+    first = [r for k, r in enumerate(rows) if groups.get(k, k) == k]
+    got = unique.collect()
+    assert unique.columns == columns and Counter(r["doc_id"] for r in got) == Counter(r["doc_id"] for r in first) and not Counter(got) - Counter(rows)
+
+    mix = corpus_pipeline.mix(spark, unique, folder)
+    copies = key(mix.collect())
+    assert mix.columns == columns and set(mix.collect()) <= set(got)
+    parts, size = key(got), lambda t: len(WORD.findall(t or ""))
+    shared = []  # rows that share doc_id and text come out together: deal their copies evenly
+    for r in {(r["doc_id"], r["text"]): r for r in got}.values():
+        n, c = parts[r["doc_id"], r["text"]], copies[r["doc_id"], r["text"]]
+        assert c <= 2 * n
+        shared += [(r["source"], size(r["text"]), c // n + (k < c % n)) for k in range(n)]
+    brute_copies(shared)
+    out = Counter((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.tokens(spark, mix, folder).collect())
+    expect = Counter()
+    for (i, t), n in copies.items():
+        expect[i, tuple(tokenizer.encode(t or "", add_special_tokens=False).ids)] += n
+    assert out == expect
+    return out
+
+
+def test_pipeline(spark, small, docs, tokenizer):
+    out = check_stages(spark, small, docs, tokenizer)
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, small).collect()) == out
+
+
+def test_pipeline_odd(spark, odd, empty, tokenizer, tmp_path):
+    """Null, shared and repeated doc_ids, repeated rows, columns with the stages' own names, and empty tables: no row is lost or multiplied."""
+    labels = spark.createDataFrame([(6, 1, 0), (10, 1, 0), (14, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    text = lambda k: " ".join(f"{k}q{j}" for j in range(80))
+    more = [(None, text(1), "a"), (None, text(1), "a"), (20, text(2), None), (20, text(2), None), (20, text(3), "b"), (21, text(3), "b"), (22, text(4), "c"), (6, text(4), "c"), (23, text(5), "")]
+    rows = odd.select("doc_id", "text", "source").union(spark.createDataFrame(more, SCHEMA)).withColumns({c: F.lit(c) for c in [*CLASH, "_all", "_row", "_comp", "_copies", "_words", "_hashes", "_good", "base_failed"]}).cache()
+    check_stages(spark, str(tmp_path), rows, tokenizer)
+    near = corpus_pipeline.near_dedup(spark, rows, "").collect()
+    assert sum(r["doc_id"] is None for r in near) == 3 and all(r["_row"] == "_row" for r in near)
+    for stage in (corpus_pipeline.quality, corpus_pipeline.near_dedup, corpus_pipeline.mix, corpus_pipeline.tokens):
+        assert stage(spark, empty, str(tmp_path)).count() == 0
