@@ -15,8 +15,10 @@ from mercadia.functions import scalars as sc
 from mercadia.functions import textnorm as tn
 from mercadia.lexicon import DEFAULT as LEXICON
 from mercadia.operators import compare, report, state
+from mercadia.operators import search as searching
 from mercadia.operators.relevance import for_product_pattern, match_queries, overlaps, relevant, relevant_offers, with_tokens
 from mercadia.plans import query as plans
+from mercadia.shared import spool
 from mercadia.sources import landed, payloads
 
 QUERY = "widget rojo"
@@ -393,6 +395,68 @@ def search_log_rows(spark, d):
     return ok.select(F.lit(QUERY).alias("query"), "stores_with_price", "cheapest")
 
 
+# Searches end to end, over landed payloads
+
+
+_landed: dict[tuple[str, str], DataFrame] = {}
+
+
+def _landings(spark: SparkSession, d: str) -> DataFrame:
+    """The landed payloads, as a table that all queries of a session share."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _landed:
+        _landed[key] = spool(fx.landings(spark, d), "landings")
+    return _landed[key]
+
+
+def _searched(spark: SparkSession, d: str, store: str | None = None) -> searching.Search:
+    plan = plans.QueryPlan(QUERY, QUERY, fx.TEXTS)
+    return searching.search(_landings(spark, d), fx.stores(spark, d), QUERY, store, plan)
+
+
+@query
+def search_status(spark, d):
+    return _searched(spark, d).fetches.select("store_key", "store_name", "ok", "error")
+
+
+@query
+def search_offers(spark, d):
+    return _searched(spark, d).offers.select("store_key", "name", "price", "available", "url", "image", F.col("pos.alias_ord").alias("alias_ord"))
+
+
+@query
+def search_cli(spark, d):
+    return searching.cli(_searched(spark, d))
+
+
+@query
+def search_rows(spark, d):
+    return searching.rows(_searched(spark, d)).select("rank", "store_key", "ok", "count", "name", "price", "available", "url", "image", "error", "found_without_price", F.to_json("items").alias("items"))
+
+
+@query
+def search_api(spark, d):
+    doc = searching.api(_searched(spark, d))
+    row = "array<struct<rank int, store_key string, ok boolean, count bigint, name string, price double, available boolean, url string, image string, error string, found_without_price boolean, items array<struct<name string, price double, available boolean, url string, image string>>>>"
+    each = doc.select("query", "normalized_query", "planner", "cheapest", F.inline(F.from_json("results", row)))
+    return each.select("query", "normalized_query", "planner", "cheapest", "rank", "store_key", "ok", "count", "name", "price", "available", "url", "image", "error", "found_without_price", F.size("items").cast("long").alias("n_items"))
+
+
+@query
+def search_one_store(spark, d):
+    return searching.rows(_searched(spark, d, "7")).select("rank", "store_key", "ok", "count", "name", "price", "error")
+
+
+@query
+def search_log(spark, d):
+    return searching.log_row(_searched(spark, d), ORIGIN)
+
+
+@query
+def search_batch(spark, d):
+    return compare.batch_total(searching.batch(_landings(spark, d), fx.stores(spark, d), [QUERY, "widget", "red widget", "no such thing"]))
+
+
 # State
 
 

@@ -60,3 +60,54 @@ def offers_dup(spark: SparkSession, d: str) -> DataFrame:
 def searches(spark: SparkSession, d: str) -> DataFrame:
     query = F.concat(F.lit("  "), F.upper("event_type"), F.lit("   "), (F.col("user_id") % 7).cast("string"), F.lit(" "))
     return _t(spark, d, "events").select("event_id", "ts", F.col("user_id").alias("client"), query.alias("query"))
+
+
+#: Texts asked for, the first of which finds nothing at every fifth store and is asked again as its first word.
+TEXTS = ["widget rojo", "red widget", "widget"]
+LANDED_SQL = """texts AS (SELECT * FROM (VALUES (0, 'widget rojo'), (1, 'red widget'), (2, 'widget')) v(k, text)),
+grid AS (
+  SELECT s_suppkey AS s, s_name AS store_name, s_suppkey % 2 AS odd, k, (s_suppkey + k) % 4 <> 0 AS ok0, k = 0 AND s_suppkey % 5 = 0 AS bare FROM supplier, texts),
+fetched AS (
+  SELECT *, CASE WHEN ok0 AND bare THEN (s + 2) % 4 <> 0 ELSE ok0 END AS ok, concat('e', CASE WHEN ok0 AND bare THEN 2 ELSE k END) AS error, CASE WHEN bare THEN 2 ELSE k END AS body FROM grid),
+landed_offers AS (
+  SELECT f.s, f.store_name, f.k, concat_ws(' ', p_brand, p_name, p_type, CAST(p_size AS VARCHAR)) AS name,
+         CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 THEN NULL ELSE round(l_extendedprice, 2) END AS price,
+         CASE WHEN l_linestatus <> 'O' THEN 0 WHEN f.odd = 1 THEN 1 ELSE CAST(l_quantity AS INTEGER) END AS available,
+         concat('https://shop/', CAST(l_partkey AS VARCHAR)) AS url, CASE WHEN f.odd = 1 THEN NULL ELSE 'i' || l_partkey END AS image,
+         row_number() OVER (PARTITION BY f.s, f.k ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_shipdate) AS pos
+  FROM fetched f JOIN lineitem ON l_suppkey = f.s AND l_linenumber % 3 IN (f.body, 0) JOIN part ON l_partkey = p_partkey WHERE f.ok AND l_suppkey = f.s)"""
+
+
+def landings(spark: SparkSession, d: str) -> DataFrame:
+    """What each supplier, as a store, answered to TEXTS: JSON listings of even keys, product grids of odd ones."""
+    part, line = _t(spark, d, "part"), _t(spark, d, "lineitem")
+    text = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("text")) for k, t in enumerate(TEXTS)]))
+    grid = _t(spark, d, "supplier").select("s_suppkey", text.alias("t")).select("s_suppkey", "t.k", "t.text")
+    name = F.concat_ws(" ", "p_brand", "p_name", "p_type", F.col("p_size").cast("string"))
+    price = F.when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7), None).otherwise(F.round("l_extendedprice", 2))
+    stock = F.when(F.col("l_linestatus") == "O", F.col("l_quantity").cast("int")).otherwise(0)
+    part_of = F.when(F.col("l_linenumber") % 3 == 0, F.array(*map(F.lit, range(3)))).otherwise(F.array(F.col("l_linenumber") % 3))
+    url = F.concat(F.lit("https://shop/"), F.col("l_partkey").cast("string"))
+    offer = F.struct(price.alias("Price"), stock.alias("AvailableQuantity"))
+    listed = F.struct(name.alias("productName"), url.alias("link"), F.array(F.struct(F.array(F.struct(F.concat(F.lit("i"), F.col("l_partkey").cast("string")).alias("imageUrl"))).alias("images"), F.array(F.struct(offer.alias("commertialOffer"))).alias("sellers"))).alias("items"))
+    shown = F.concat(
+        F.lit('<div class="product-item-info"><a class="product-item-link" href="'), url, F.lit('">'), name, F.lit("</a>"),
+        F.coalesce(F.concat(F.lit('<i data-price-amount="'), price.cast("decimal(18,2)").cast("string"), F.lit('"></i>')), F.lit("")), F.when(stock == 0, "Agotado").otherwise(""), F.lit("</div>"),
+    )
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_shipdate")
+    rows = line.join(part, line["l_partkey"] == part["p_partkey"]).select("l_suppkey", part_of.alias("ks"), F.struct(order.alias("o"), listed.alias("j"), shown.alias("h")).alias("x")).select("l_suppkey", F.explode("ks").alias("k"), "x")
+    of_store = rows.groupBy("l_suppkey", "k").agg(F.array_sort(F.collect_list("x")).alias("x"))  # a fixture: a store's listing is one payload
+    joined = grid.join(of_store, (F.col("s_suppkey") == F.col("l_suppkey")) & (grid["k"] == of_store["k"]), "left").select("s_suppkey", grid["k"], "text", "x")
+    filled = F.when((F.col("k") == 0) & (F.col("s_suppkey") % 5 == 0), F.slice("x", 1, 0)).otherwise(F.col("x"))
+    body = F.when(F.col("s_suppkey") % 2 == 0, F.coalesce(F.to_json(F.transform(filled, lambda v: v["j"])), F.lit("[]"))).otherwise(F.coalesce(F.array_join(F.transform(filled, lambda v: v["h"]), "\n"), F.lit("")))
+    ok = (F.col("s_suppkey") + F.col("k")) % 4 != 0
+    return joined.select(F.col("s_suppkey").cast("string").alias("store_key"), "text", ok.alias("ok"), F.when(~ok, F.concat(F.lit("e"), F.col("k").cast("string"))).alias("error"), F.when(ok, body).alias("body"))
+
+
+def stores(spark: SparkSession, d: str) -> DataFrame:
+    """Each supplier as a store; those in debt are switched off."""
+    s = _t(spark, d, "supplier")
+    return s.select(
+        F.col("s_suppkey").cast("string").alias("key"), F.col("s_name").alias("name"), F.lit("shop.example").alias("domain"), F.when(F.col("s_suppkey") % 2 == 0, "vtex").otherwise("magento").alias("kind"),
+        (F.col("s_acctbal") >= 0).alias("enabled"), F.lit(None).cast("string").alias("search_path"), F.col("s_suppkey").cast("int").alias("store_ord"),
+    )

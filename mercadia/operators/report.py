@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mercadia.functions.scalars import html_escape
+
 PAGE = "slug string, query string, title string, h1 string, description string"
 
 
@@ -32,3 +34,44 @@ def robots(site: str) -> str:
 
 def link_lines(pages: DataFrame, site: str) -> DataFrame:
     return pages.select(F.concat(F.lit("- ["), "h1", F.lit(f"]({site}/comparar/"), "slug", F.lit("): "), "description").alias("line"))
+
+
+def llms_text(pages: DataFrame, site: str, name: str, about: str) -> str:
+    """The overview for language models: a heading, what the site is, and its pages. The pages come from a config."""
+    lines = [r["line"] for r in link_lines(pages, site).collect()]
+    return "\n".join([f"# {name}", "", about, "", "## Paginas principales", "", f"- [Inicio]({site}/): {about}", *lines, ""])
+
+
+def not_found(pages: DataFrame) -> str:
+    """The body of a 404: links to the pages there are."""
+    shown = pages.select(F.concat(F.lit('<li><a href="/comparar/'), html_escape(F.col("slug")), F.lit('">'), html_escape(F.col("h1")), F.lit("</a></li>")).alias("x"))
+    links = "".join(r["x"] for r in shown.collect())
+    return f'<!DOCTYPE html><html lang="es"><head><meta charset="UTF-8"><title>Página no encontrada</title></head>\n<body><h1>Página no encontrada</h1><p>Comparaciones disponibles:</p><ul>{links}</ul></body></html>'
+
+
+def item_list(listed: DataFrame, currency: str = "GTQ") -> Column:
+    """One position of a JSON-LD item list, of compare.list_items."""
+    image = F.col("image") if "image" in listed.columns else F.lit(None).cast("string")
+    offer = F.struct(
+        F.lit("Offer").alias("@type"), F.lit(currency).alias("priceCurrency"), "price", F.concat(F.lit("https://schema.org/"), "availability").alias("availability"),
+        F.struct(F.lit("Organization").alias("@type"), F.col("store_name").alias("name")).alias("seller"), "url",
+    )
+    product = F.struct(F.lit("Product").alias("@type"), "name", image.alias("image"), offer.alias("offers"))
+    return F.struct(F.lit("ListItem").alias("@type"), "position", "name", "url", product.alias("item"))
+
+
+def page_report(page: DataFrame, pages: DataFrame, best: DataFrame, listed: DataFrame, site: str, today: str, planner: str = "local") -> DataFrame:
+    """What a page shows, as one row for the one row of `page`(PAGE): JSON-LD document, failures, related pages, cheapest offer and counts.
+
+    best is compare.best_per_store's answer to the page's query and listed compare.list_items of it; each is one row for a store at most.
+    """
+    items = listed.agg(F.transform(F.array_sort(F.collect_list(F.struct("position", item_list(listed).alias("x")))), lambda v: v["x"]).alias("items"))
+    failed = F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct("rank", F.col("store_name").alias("store"), "error"))))
+    first = F.min_by(F.when(F.col("ok"), F.struct("store_key", "store_name", "price")), F.when(F.col("ok"), F.col("rank")))
+    shown = best.agg(F.transform(failed, lambda v: F.struct(v["store"], v["error"])).alias("failures"), first.alias("best"), F.count("*").alias("stores"))
+    own = page.select(F.col("slug").alias("_slug"))
+    links = pages.join(F.broadcast(own), F.col("slug") == F.col("_slug"), "left_anti").agg(F.array_sort(F.collect_list(F.struct("slug", "h1"))).alias("related"))  # pages come from a config
+    whole = page.join(items).join(shown).join(links)  # one row each
+    url = F.concat(F.lit(f"{site}/comparar/"), "slug")
+    document = F.struct(F.lit("https://schema.org").alias("@context"), F.lit("ItemList").alias("@type"), F.col("h1").alias("name"), "description", url.alias("url"), F.lit(today).alias("dateModified"), F.col("items").alias("itemListElement"))
+    return whole.select("slug", "title", "h1", "description", url.alias("canonical"), F.to_json(document, {"ignoreNullFields": "false"}).alias("json_ld"), "failures", "best", "stores", "related", F.lit(planner).alias("planner"), F.lit(today).alias("updated"))

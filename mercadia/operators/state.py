@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +20,33 @@ def attempts_in_window(hits: DataFrame, seconds: int) -> DataFrame:
     return hits.withColumn("attempts", F.count("*").over(Window.partitionBy("client").orderBy("t").rangeBetween(-int(seconds), 0)))
 
 
+def _folded(rows: DataFrame, key: str, flag: str, span: float, start: Callable[[], Any], step: Callable[[Any, float], bool]) -> DataFrame:
+    """rows(key, t, id) with flag: step(state, t) for each key's rows in order of t and id, with a state made anew by start() after each pause longer than span.
+
+    Pauses are found by time slices as long as span, so a busy key, cut at its pauses, spreads over many tasks. Rows stream through
+    a task sorted, so none of them holds more than one state. Rows without t come out true and change nothing.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    slim = rows.select(F.col(key).alias("k"), F.col("t").cast("double").alias("t"), F.col("id").cast("long").alias("id")).withColumn("slice", F.floor(F.col("t") / float(span)))
+    slices = slim.where("t IS NOT NULL").groupBy("k", "slice").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+    order = Window.partitionBy("k").orderBy("slice")
+    begins = F.coalesce(F.col("low") - F.lag("high").over(order) > span, F.lit(True))
+    parts = slices.select(F.col("k").alias("_k"), F.col("slice").alias("_slice"), F.sum(begins.cast("long")).over(order).alias("part"))
+    cut = slim.join(parts, slim["k"].eqNullSafe(parts["_k"]) & (slim["slice"] == parts["_slice"]), "left").select("k", "part", "t", "id")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, start()
+        for batch in batches:
+            flags = []
+            for k, part, t in zip(*(batch.column(c).to_pylist() for c in ("k", "part", "t")), strict=True):
+                if (k, part) != current:
+                    current, state = (k, part), start()
+                flags.append(True if t is None else step(state, t))
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("id"), pa.array(flags, pa.bool_())], names=[key, "id", flag])
+
+    return cut.repartition("k", "part").sortWithinPartitions("k", "part", "t", "id").mapInArrow(walk, f"`{key}` {kind}, id long, {flag} boolean")
+
+
 def rate_limit(hits: DataFrame, seconds: float, limit: int) -> DataFrame:
     """hits(client, t, id) with accepted. A hit is accepted while fewer than `limit` accepted hits lie in the trailing window, ends included; rejected hits don't count.
 
@@ -23,33 +55,28 @@ def rate_limit(hits: DataFrame, seconds: float, limit: int) -> DataFrame:
     """
     if limit <= 0:
         return hits.withColumn("accepted", F.lit(True))
-    ordered = F.array_sort(F.collect_list(F.struct("t", "id")))
 
-    def step(acc, hit):
-        live = F.filter(acc["live"], lambda t: t >= hit["t"] - seconds)
-        fits = F.size(live) < limit
-        return F.struct(
-            F.when(fits, F.concat(live, F.array(hit["t"]))).otherwise(live).alias("live"),
-            F.concat(acc["done"], F.array(F.struct(hit["id"].alias("id"), fits.alias("accepted")))).alias("done"),
-        )
+    def step(live: deque, t: float) -> bool:
+        while live and live[0] < t - seconds:
+            live.popleft()
+        fits = len(live) < limit
+        if fits:
+            live.append(t)
+        return fits
 
-    start = F.struct(F.array().cast("array<double>").alias("live"), F.array().cast("array<struct<id:bigint,accepted:boolean>>").alias("done"))
-    slim = hits.select("client", F.col("t").cast("double").alias("t"), F.col("id").cast("long").alias("id"))
-    folded = slim.groupBy("client").agg(F.aggregate(ordered, start, step)["done"].alias("done"))
-    return folded.select("client", F.inline("done"))
+    return _folded(hits, "client", "accepted", seconds, deque, step)
 
 
 def cache_hits(requests: DataFrame, ttl_s: float) -> DataFrame:
     """requests(key, t, id) with hit: a miss writes, a hit doesn't renew, and an entry serves until it is older than the ttl."""
-    ordered = F.array_sort(F.collect_list(F.struct("t", "id")))
 
-    def step(acc, r):
-        hit = F.coalesce(r["t"] - acc["written"] <= ttl_s, F.lit(False))
-        return F.struct(F.when(hit, acc["written"]).otherwise(r["t"]).alias("written"), F.concat(acc["done"], F.array(F.struct(r["id"].alias("id"), hit.alias("hit")))).alias("done"))
+    def step(written: list[float], t: float) -> bool:
+        hit = bool(written) and t - written[0] <= ttl_s
+        if not hit:
+            written[:] = [t]
+        return hit
 
-    start = F.struct(F.lit(None).cast("double").alias("written"), F.array().cast("array<struct<id:bigint,hit:boolean>>").alias("done"))
-    slim = requests.select("key", F.col("t").cast("double").alias("t"), F.col("id").cast("long").alias("id"))
-    return slim.groupBy("key").agg(F.aggregate(ordered, start, step)["done"].alias("done")).select("key", F.inline("done"))
+    return _folded(requests, "key", "hit", ttl_s, list, step)
 
 
 def log_query():

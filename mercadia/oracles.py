@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from mercadia import samples
-from mercadia.fixtures import DUP_SQL, FETCHES_SQL, OFFERS_SQL, SEARCHES_SQL
+from mercadia.fixtures import DUP_SQL, FETCHES_SQL, LANDED_SQL, OFFERS_SQL, SEARCHES_SQL
 from mercadia.lexicon import ACCESSORIES, STOPWORDS, SYNONYMS
 
 
@@ -95,6 +95,33 @@ def _offer(kind: str) -> str:
     return _values({"name": "VARCHAR", "price": "DOUBLE", "available": "INTEGER", "url": "VARCHAR", "image": "VARCHAR"}, samples.PARSED[kind])
 
 
+_IS_PRICED = "coalesce(price > 0, FALSE)"
+SEARCHED = (
+    f"""WITH {LANDED_SQL}, shops AS (SELECT s_suppkey AS s, s_name AS store_name FROM supplier WHERE s_acctbal >= 0 {{where}}),
+once AS (
+  SELECT *, CAST(s AS VARCHAR) AS store_key FROM (SELECT *, row_number() OVER (PARTITION BY s, lower(url), coalesce(price, 0) ORDER BY k, pos) AS r FROM landed_offers WHERE s IN (SELECT s FROM shops)) WHERE r = 1),
+status AS (SELECT s, bool_or(ok) AS ok, CASE WHEN NOT bool_or(ok) THEN arg_min(error, k) END AS error FROM fetched GROUP BY s),
+named AS (SELECT *, {STRIP.format('name')} AS norm, {TOKENS.format('name')} AS toks FROM once),
+hit AS (SELECT * FROM named WHERE {WIDGET}), priced AS (SELECT * FROM hit WHERE price > 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY s ORDER BY {_IS_PRICED} DESC, CASE WHEN {_IS_PRICED} THEN available <= 0 END, CASE WHEN {_IS_PRICED} THEN price END, k, pos) AS n,
+         count(*) FILTER (price > 0) OVER (PARTITION BY s) AS n_priced, count(*) OVER (PARTITION BY s) AS n_all FROM hit),
+items AS (
+  SELECT s, any_value(n_priced) AS n_priced, any_value(n_all) AS n_all,
+         '[' || string_agg('{{{{"name":"' || name || '"' || coalesce(',"price":' || CAST(price AS VARCHAR), '') || ',"available":' || (available > 0) || ',"url":"' || url || '"' || coalesce(',"image":"' || image || '"', '') || '}}}}', ',' ORDER BY n) || ']' AS items,
+         count(*) AS n_items FROM ranked WHERE n <= 24 AND ({_IS_PRICED} OR n_priced = 0) GROUP BY s),
+anyp AS (SELECT s, bool_or({_IS_PRICED}) AS p FROM once GROUP BY s),
+best0 AS (
+  SELECT h.s, CAST(h.s AS VARCHAR) AS store_key, h.store_name, f.ok AND coalesce(i.n_priced, 0) > 0 AS ok, CASE WHEN i.n_priced > 0 THEN i.n_priced ELSE i.n_all END AS count, t.name, t.price, t.available > 0 AS available, t.url, t.image,
+         CASE WHEN i.n_priced > 0 THEN NULL WHEN i.n_all > 0 THEN 'productos encontrados sin precio público' WHEN NOT f.ok THEN coalesce(nullif(f.error, ''), 'sin resultados') WHEN a.p THEN 'sin coincidencia para tu búsqueda' ELSE 'sin resultados' END AS error,
+         CASE WHEN coalesce(i.n_priced, 0) = 0 AND i.n_all > 0 THEN TRUE END AS found_without_price, i.items, i.n_items
+  FROM shops h JOIN status f USING (s) LEFT JOIN items i USING (s) LEFT JOIN (SELECT * FROM ranked WHERE n = 1 AND price > 0) t USING (s) LEFT JOIN anyp a USING (s)),
+best AS (SELECT *, CAST(row_number() OVER (ORDER BY NOT ok, NOT coalesce(available, FALSE), coalesce(price, 'inf'::DOUBLE), s) AS INTEGER) AS rank FROM best0)
+"""
+)
+ALL_STORES = SEARCHED.format(where="")
+CHEAPEST_HIT = ", m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY price, k, pos) AS c FROM priced) WHERE c = 1)"
+
 _PLANS = [
     {"original_query": "tenis nike", "canonical_query": "tenis nike", "search_queries": ["Zapatos Nike", "TENIS NIKE"], "required_any_groups": [["tenis"]], "exclude_terms": [], "confidence": 1.0, "source": "local"},
     {"original_query": "tenis nike", "canonical_query": "nike", "search_queries": ["a", "b", "c", "d", "e", "f", "g", "h"], "required_any_groups": [], "exclude_terms": [], "confidence": 0.0, "source": "data"},
@@ -165,6 +192,17 @@ ORACLES: dict[str, str] = {
     "api_response": BEST + " SELECT 'widget rojo' AS query, count(*) AS n, count(*) FILTER (ok) AS n_ok, round(coalesce(sum(price ORDER BY rank), 0), 2) AS sum_price, arg_min(store_key, rank) FILTER (ok) AS cheapest FROM best",
     "jsonld_items": BEST + " SELECT rank AS position, store_key, name, price, CASE WHEN available THEN 'InStock' ELSE 'OutOfStock' END AS availability, url FROM best WHERE ok AND rank <= 10",
     "search_log_rows": BEST + " SELECT 'widget rojo' AS query, count(*) FILTER (ok) AS stores_with_price, arg_min(store_key, rank) FILTER (ok) AS cheapest FROM best",
+    "search_status": ALL_STORES + " SELECT CAST(s AS VARCHAR) AS store_key, store_name, ok, error FROM shops JOIN status USING (s)",
+    "search_offers": ALL_STORES + " SELECT store_key, name, price, available, url, image, CAST(k AS INTEGER) AS alias_ord FROM once",
+    "search_cli": ALL_STORES + CHEAPEST_HIT
+    + """, u AS (SELECT h.s, CAST(h.s AS VARCHAR) AS store_key, h.store_name, m.name, m.price, m.available > 0 AS in_stock,
+          CASE WHEN m.s IS NOT NULL THEN NULL WHEN NOT f.ok THEN coalesce(nullif(f.error, ''), 'sin resultados') WHEN a.p THEN 'sin coincidencia para tu búsqueda' ELSE 'sin resultados' END AS reason
+          FROM shops h JOIN status f USING (s) LEFT JOIN m USING (s) LEFT JOIN anyp a USING (s))
+        SELECT store_key, store_name, name, price, in_stock, reason, CAST(row_number() OVER (ORDER BY reason IS NOT NULL, price NULLS LAST, s) AS INTEGER) AS line_no FROM u""",
+    "search_rows": ALL_STORES + " SELECT rank, store_key, ok, count, name, price, available, url, image, error, found_without_price, items FROM best",
+    "search_api": ALL_STORES + " SELECT 'widget rojo' AS query, 'widget rojo' AS normalized_query, 'local' AS planner, (SELECT arg_min(store_key, rank) FILTER (ok) FROM best) AS cheapest, rank, store_key, ok, count, name, price, available, url, image, error, found_without_price, n_items FROM best",
+    "search_one_store": SEARCHED.format(where="OR s_suppkey = 7").replace("s_acctbal >= 0 OR s_suppkey = 7", "s_suppkey = 7") + " SELECT rank, store_key, ok, count, name, price, error FROM best",
+    "search_log": ALL_STORES + " SELECT 1704067200 AS ts, 'widget rojo' AS query, NULL::VARCHAR AS store, count(*) FILTER (ok) AS stores_with_price, arg_min(store_key, rank) FILTER (ok) AS cheapest FROM best",
     "popular_queries": f"WITH {SEARCHES_SQL} SELECT query, count FROM (SELECT {COLLAPSE} AS query, count(*) AS count, min(event_id) AS first FROM searches GROUP BY 1) WHERE query <> '' ORDER BY count DESC, first LIMIT 20",
     "popular_by_hour": f"WITH {SEARCHES_SQL} SELECT date_trunc('hour', ts) AS start, {COLLAPSE} AS query, count(*) AS count FROM searches GROUP BY 1, 2",
     "sessions": f"""WITH {SEARCHES_SQL}, a AS (SELECT client, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM searches WINDOW w AS (PARTITION BY client ORDER BY ts)),

@@ -66,3 +66,16 @@ def lookup(cache: DataFrame, now, ttl_s: float) -> DataFrame:
 def append_cache(rows: DataFrame, path: str) -> None:
     """Adds entries(key, ts, data); readers take the latest of each key."""
     rows.write.mode("append").parquet(path)
+
+
+def write_config(user: DataFrame, defaults: DataFrame, path: str) -> DataFrame:
+    """Merges the user's stores with the defaults, writes the result as the user's next configuration, and gives it back as read. The old folder is read in full before it is replaced."""
+    rows = merge_config(user, defaults).orderBy("part", "store_ord").collect()  # a store dimension, as it comes from a config
+    spark = user.sparkSession
+    merged = spark.createDataFrame([(*r[:6], k) for k, r in enumerate(rows)], f"{STORE}, store_ord int")
+    merged.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    return read_config(spark, path)
+
+
+def read_config(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{STORE}, store_ord int").json(path)

@@ -200,11 +200,12 @@ def kinds() -> list[str]:
     return sorted(_KINDS)
 
 
-def parse(payloads: DataFrame, *keep: str) -> DataFrame:
-    """Offers of all payloads(kind, store_key, store_name, domain, body): one parser for each kind, their rows together, with the payload's columns `keep`. Unknown kinds give none (see fetch_status)."""
+def parse(payloads: DataFrame, *keep: str, only: list[str] | None = None) -> DataFrame:
+    """Offers of all payloads(kind, store_key, store_name, domain, body): one parser for each kind (of `only`, where given), their rows together, with the payload's columns `keep`. Unknown kinds give none (see fetch_status)."""
     wrapped = payloads.select("kind", "domain", "body", F.struct("store_key", "store_name", *keep).alias("payload"))
+    chosen = [k for k in _KINDS if only is None or k in only]
     out = None
-    for kind, parser in _KINDS.items():
-        rows = parser(wrapped.where(wrapped["kind"] == kind)).select("payload.*", *ITEM)
+    for kind in chosen or list(_KINDS)[:1]:
+        rows = _KINDS[kind](wrapped.where(wrapped["kind"] == (kind if chosen else ""))).select("payload.*", *ITEM)
         out = rows if out is None else out.unionByName(rows)
     return out

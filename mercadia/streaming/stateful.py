@@ -48,6 +48,35 @@ def rate_limited(hits: DataFrame, seconds: float, limit: int) -> DataFrame:
     return slim.groupBy("client").transformWithStateInPandas(SlidingLimit(seconds, limit), outputStructType=DECISION, outputMode="Append", timeMode="None")
 
 
+class CacheEntry(StatefulProcessor):
+    """Keeps when a key's entry was written."""
+
+    def __init__(self, ttl_s: float) -> None:
+        self.ttl_s = ttl_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.written = handle.getValueState("written", StructType([StructField("t", DoubleType())]))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        written = self.written.get()[0] if self.written.exists() else None
+        requests = pd.concat(list(rows)).sort_values(["t", "id"])
+        hits = []
+        for t in requests["t"]:
+            hits.append(written is not None and t - written <= self.ttl_s)
+            written = written if hits[-1] else float(t)
+        self.written.update((written,))
+        yield pd.DataFrame({"key": [str(key[0])] * len(requests), "id": requests["id"], "t": requests["t"], "hit": hits})
+
+    def close(self) -> None:
+        pass
+
+
+def cached(requests: DataFrame, ttl_s: float) -> DataFrame:
+    """A stream of requests(key, t, id), in order of t for each key, with hit: a miss writes, a hit doesn't renew. Needs the RocksDB state store."""
+    slim = requests.select(F.col("key").cast("string").alias("key"), F.col("t").cast("double").alias("t"), F.col("id").cast("long").alias("id"))
+    return slim.groupBy("key").transformWithStateInPandas(CacheEntry(ttl_s), outputStructType="key string, id long, t double, hit boolean", outputMode="Append", timeMode="None")
+
+
 def popular_stream(log: DataFrame) -> DataFrame:
     """Running counts of a log stream(query), for complete or update mode."""
     return log.select(log_query().alias("query")).where("query <> ''").groupBy("query").count()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from mercadia import samples
 from mercadia.functions import scalars as sc
 from mercadia.operators import compare, report, state
 from mercadia.sources import landed, payloads
-from mercadia.streaming.stateful import popular_stream, rate_limited
+from mercadia.streaming.stateful import cached, popular_stream, rate_limited
 
 
 def column(spark, expression, *values, kind="string"):
@@ -77,8 +78,49 @@ def test_rate_limit_never_exceeds(spark):
     hits = [(f"c{draw.randrange(3)}", float(draw.randrange(500)), k) for k in range(300)]
     got = _limits(spark, hits, 60, 4)
     for client, t, _ in hits:
-        assert sum(got[k] for c, x, k in hits if c == client and t - 60 <= x <= t) <= 5  # the window includes both ends; hits at its first moment may have been accepted with it
-    assert len(got) == len(hits)
+        assert sum(got[k] for c, x, k in hits if c == client and t - 60 <= x <= t) <= 4
+    assert len(got) == len(hits) and got == brute_limits(hits, 60, 4)
+
+
+def brute_limits(hits, seconds, limit):
+    live, out = {}, {}
+    for client, t, k in sorted(hits, key=lambda h: (h[1], h[2])):
+        mine = live.setdefault(client, [])
+        out[k] = sum(x >= t - seconds for x in mine) < limit
+        if out[k]:
+            mine.append(t)
+    return out
+
+
+def test_rate_limit_of_a_busy_client(spark):
+    """Pauses of just the window and just above it, hits at one time, null clients and times, and a client with most of the hits."""
+    draw = random.Random(6)
+    times = [0.0, 60.0, 120.0, 180.1, 180.1, 240.0]
+    hits = [("edge", t, k) for k, t in enumerate(times)] + [("busy", float(draw.randrange(40_000)), 100 + k) for k in range(20_000)]
+    got = _limits(spark, hits + [(None, t, 50_000 + k) for k, t in enumerate(times)] + [("edge", None, 90_000)], 60, 2)
+    assert got.pop(90_000) and {k - 50_000: v for k, v in got.items() if k >= 50_000} == {k: got[k] for k in range(6)}
+    assert {k: v for k, v in got.items() if k < 50_000} == brute_limits(hits, 60, 2)
+
+
+def test_cache_of_a_busy_key(spark):
+    draw = random.Random(7)
+    requests = [("busy" if draw.random() < 0.8 else f"k{draw.randrange(9)}", float(draw.randrange(90_000)), k) for k in range(10_000)]
+    written, expect = {}, {}
+    for key, t, k in sorted(requests, key=lambda r: (r[1], r[2])):
+        expect[k] = key in written and t - written[key] <= 30
+        if not expect[k]:
+            written[key] = t
+    rows = state.cache_hits(spark.createDataFrame(requests, "key string, t double, id long"), 30).collect()
+    assert {r["id"]: r["hit"] for r in rows} == expect
+
+
+def test_streaming_cache_equals_batch(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    frame = spark.createDataFrame([("a" if k % 3 else "b", float(7 * k), k) for k in range(60)], "key string, t double, id long")
+    frame.coalesce(1).write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame.schema).json(str(tmp_path / "in"))
+    cached(stream, 30).writeStream.format("memory").queryName("cached").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert {r["id"]: r["hit"] for r in spark.table("cached").collect()} == {r["id"]: r["hit"] for r in state.cache_hits(frame, 30).collect()}
 
 
 def test_streaming_limit_equals_batch(spark, tmp_path):
@@ -138,6 +180,39 @@ def test_reports(spark):
     assert report.link_lines(pages, "https://x").first()[0] == "- [Televisores](https://x/comparar/tv-55): Precios de televisores"
 
 
+def test_page_report(spark):
+    offers = spark.createDataFrame([("s", "S", "tv 55 A", 100.0, 0, "u", "i", 0), ("s", "S", "tv 55 B", 120.0, 3, "v", None, 1)], "store_key string, store_name string, name string, price double, available int, url string, image string, pos int")
+    fetches = spark.createDataFrame([("s", "S", 0, True, None), ("f", "F", 1, False, "timeout")], "store_key string, store_name string, store_ord int, ok boolean, error string")
+    pages = spark.createDataFrame(samples.PAGES, report.PAGE)
+    best = compare.best_per_store(offers, fetches, "televisor 55")
+    row = report.page_report(pages.where("slug = 'tv-55'"), pages, best, compare.list_items(best), "https://x", "2024-01-31").first()
+    assert json.loads(row["json_ld"]) == {
+        "@context": "https://schema.org", "@type": "ItemList", "name": "Televisores", "description": "Precios de televisores", "url": "https://x/comparar/tv-55", "dateModified": "2024-01-31",
+        "itemListElement": [{"@type": "ListItem", "position": 1, "name": "tv 55 B", "url": "v", "item": {"@type": "Product", "name": "tv 55 B", "image": None, "offers": {
+            "@type": "Offer", "priceCurrency": "GTQ", "price": 120.0, "availability": "https://schema.org/InStock", "seller": {"@type": "Organization", "name": "S"}, "url": "v"}}}],
+    }
+    assert [tuple(x) for x in row["failures"]] == [("F", "timeout")] and tuple(row["best"]) == ("s", "S", 120.0) and row["stores"] == 2 and [x["slug"] for x in row["related"]] == ["ps5"]
+    assert '<a href="/comparar/ps5">Consolas</a>' in report.not_found(pages) and "(https://x/comparar/tv-55): Precios" in report.llms_text(pages, "https://x", "N", "A")
+
+
+def test_blank_search(spark, small):
+    from mercadia import catalog
+    from mercadia.operators import search as searching
+
+    found = searching.search(catalog._landings(spark, small), catalog.fx.stores(spark, small), "  ")
+    row = searching.api(found).first()
+    assert (row["query"], row["results"], row["cheapest"]) == ("", "[]", None)
+
+
+def test_config_write_back(spark, tmp_path):
+    defaults = landed.stores(spark, samples.DEFAULT_STORES).withColumn("replaces", F.when(F.col("key") == "max", "vtex"))
+    path = str(tmp_path / "config")
+    merged = landed.write_config(landed.stores(spark, samples.USER_STORES), defaults, path)
+    assert [(r["key"], r["name"], r["domain"], r["kind"], r["enabled"]) for r in merged.orderBy("store_ord").collect()] == samples.MERGED_STORES
+    again = landed.write_config(landed.read_config(spark, path), defaults, path)
+    assert [r["key"] for r in again.orderBy("store_ord").collect()] == [s[0] for s in samples.MERGED_STORES]
+
+
 def test_plans_stay_in_the_engine(spark, small):
     """No Python on the hot path; top-k per store is pruned before the sort; filters reach the scan."""
     from mercadia import catalog
