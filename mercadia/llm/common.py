@@ -1,41 +1,20 @@
-"""What the corpus operators share: the folder for intermediate tables and byte-level tokenising in numpy."""
+"""What the corpus operators share: joins that spread crowds, and byte-level tokenising in numpy. Intermediate tables are mercadia.shared's."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the contracts: a word is a run of anything else.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where a local test session has none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='mercadia-')}"
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from mercadia.shared import fresh_path, respool, shared_dir, spool
 
+__all__ = ["fresh_path", "respool", "shared_dir", "spool"]
 
-def spool(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and a lost executor costs only a re-read."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: White space of the contracts: a word is a run of anything else.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def broadcast_if(df: DataFrame, rows: int, limit: int) -> DataFrame:
@@ -51,6 +30,18 @@ def salted_join(many: DataFrame, few: DataFrame, rows: int, limit: int, keys: li
     return many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
 
 
+def hot_join(many: DataFrame, few: DataFrame, keys: list[str], hot: DataFrame, limit: int) -> DataFrame:
+    """many joined with few, which has each key once; hot(keys) are the keys that a crowd of many's rows share.
+
+    Their rows of few are broadcast if they are within the limit, so that a crowd stays where it lies; all other keys meet by a shuffle.
+    """
+    n = hot.count()
+    if n == 0 or n > limit:
+        return many.join(few, keys)
+    hot = F.broadcast(hot)
+    return many.join(hot, keys, "left_anti").join(few, keys).unionByName(many.join(F.broadcast(few.join(hot, keys, "left_semi")), keys))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

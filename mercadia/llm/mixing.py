@@ -27,13 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mercadia.llm.common import WORD, spool, table
+from mercadia.llm.common import WORD, respool, spool, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 SEED = 77_003
 BINS = 64
-STEPS = 60
+#: Each step halves the gap or the bracket, so this many are never needed.
+STEPS = 400
 CLOSE = 1e-9
 SLIM = ["doc_id", "source", "size"]
 
@@ -62,27 +63,28 @@ def multipliers(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
     """_s, unit, m: the dual's solution for each source whose target lies between 0 and twice its words."""
     mean = sizes.groupBy("_s").agg((F.sum("_words") / F.sum("docs")).alias("unit"))
     state = wanted.join(mean, wanted["_s"].eqNullSafe(mean["_s"])).select(wanted["_s"], "target", "unit").where("target > 0 and unit > 0")
-    state = spool(state.withColumns({"m": F.lit(0.0), "low": F.lit(-1e6), "high": F.lit(1e6), "gap": F.lit(1.0)}), "newton")
+    state = spool(state.withColumns({"m": F.lit(0.0), "low": F.lit(-1e6), "high": F.lit(1e6), "gap": F.lit(1e300)}), "newton")
+    path = None
     for _ in range(STEPS):
         joined = sizes.join(state, "_s")
         rate = F.exp(F.least(F.col("m") * F.col("size") / F.col("unit"), F.lit(float(700))))
         value = F.sum(F.col("_words") * F.least(F.lit(MOST), rate)).alias("value")
         slope = F.sum(F.when(rate < MOST, F.col("_words") * rate * F.col("size") / F.col("unit")).otherwise(0.0)).alias("slope")
-        now = joined.groupBy("_s", "target", "unit", "m", "low", "high").agg(value, slope)
+        now = joined.groupBy("_s", "target", "unit", "m", "low", "high", F.col("gap").alias("before")).agg(value, slope)
         now = now.withColumns({
             "gap": F.abs(F.col("value") - F.col("target")) / F.col("target"),
             "low": F.when(F.col("value") < F.col("target"), F.greatest("low", "m")).otherwise(F.col("low")),
             "high": F.when(F.col("value") > F.col("target"), F.least("high", "m")).otherwise(F.col("high")),
             "step": F.when(F.col("slope") > 0, F.col("m") + (F.col("target") - F.col("value")) / F.col("slope")),
         })
-        # a step that leaves the bracket: its middle, or twice as far where it has no end yet
+        # a step that leaves the bracket, or after one that did not halve the gap: the bracket's middle, or twice as far where it has no end yet
         middle = F.when(F.col("high") >= 1e6, F.greatest(2 * F.col("low"), F.lit(1.0))).when(F.col("low") <= -1e6, F.least(2 * F.col("high"), F.lit(-1.0))).otherwise((F.col("low") + F.col("high")) / 2)
-        inside = F.col("step").isNotNull() & (F.col("step") > F.col("low")) & (F.col("step") < F.col("high")) & (F.abs(F.col("step") - F.col("m")) < 20)
+        inside = F.col("step").isNotNull() & (F.col("step") > F.col("low")) & (F.col("step") < F.col("high")) & (F.abs(F.col("step") - F.col("m")) < 20) & (F.col("gap") <= F.col("before") / 2)
         moved = F.when(F.col("gap") <= CLOSE, F.col("m")).when(inside, F.col("step")).otherwise(middle)
-        state = spool(now.select("_s", "target", "unit", moved.alias("m"), "low", "high", "gap"), "newton")
-        if not state.where(F.col("gap") > CLOSE).limit(1).count():
-            break
-    return state.select("_s", "unit", "m")
+        state, path = respool(now.select("_s", "target", "unit", moved.alias("m"), "low", "high", "gap"), "newton", path)
+        if not state.where((F.col("gap") > CLOSE) & (F.col("high") - F.col("low") > 1e-14 * F.greatest(F.abs("m"), F.lit(1.0)))).limit(1).count():
+            return state.select("_s", "unit", "m")
+    raise RuntimeError(f"the rates of some sources have not converged in {STEPS} steps")
 
 
 def _dealt(cells: pd.DataFrame) -> pd.DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercadia.llm.common import broadcast_if, byte_table, slices, spool, table, utf8_of, word_spans
+from mercadia.llm.common import broadcast_if, byte_table, hot_join, respool, slices, spool, table, utf8_of, word_spans
 
 SHINGLE = 5
 BANDS, ROWS = 28, 5
@@ -40,6 +40,8 @@ SLACK = 0.15
 BLOCK = 1024
 CHUNK = 4 << 20
 ID_BROADCAST = 1_000_000
+#: Rows of one key that make a crowd; so many crowds' registers, or full sets, may be broadcast.
+CROWD, CROWD_BROADCAST, CROWD_SETS = 4096, 100_000, 64
 
 _IS_WORD = ~byte_table(r"[\x20\x09-\x0D]")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -275,17 +277,17 @@ def _forest(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, comp): comp is the smallest node that links (a, b) reach. Alternating large-star and small-star steps; each round is written to the shared folder."""
-    edges = spool(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+def components(links: DataFrame) -> DataFrame:
+    """(node, comp): comp is the smallest node that links (a, b) reach. Alternating large-star and small-star steps; each round is written to the shared folder, until nothing changes."""
+    edges, path = respool(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges", None)
     last = None
-    for _ in range(rounds):
+    while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u")
-        edges = spool(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small_least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        edges, path = respool(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small_least.select("u", F.col("m").alias("v"))).distinct(), "edges", path)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if tuple(now) == last:
             break
@@ -308,29 +310,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # classes of equal sets
     prints = ["n_shingles", "print_a", "print_b"]
     grouped = sketched.where("n_shingles > 0 and doc_id is not null").groupBy(*prints)
-    classes = spool(grouped.agg(F.min(F.struct("doc_id", "registers")).alias("r")).select(*prints, F.col("r.doc_id").alias("rep"), F.col("r.registers").alias("registers")), "classes")
+    classes = spool(grouped.agg(F.min(F.struct("doc_id", "registers")).alias("r"), F.count("*").alias("copies")).select(*prints, F.col("r.doc_id").alias("rep"), F.col("r.registers").alias("registers"), "copies"), "classes")
 
     # buckets of classes that agree in a band
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("registers", k * ROWS + 1, ROWS)) for k in range(BANDS)])
     members = classes.select("rep", F.explode(bands).alias("key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("size")).where("low < high")
-    crowded = spool(members.join(buckets, "key"), "crowded")
+    buckets = spool(buckets, "buckets")
+    crowded = spool(hot_join(members, buckets, ["key"], buckets.where(F.col("size") > CROWD).select("key"), CROWD_BROADCAST), "crowded")
 
     # members against the pivots
     pairs = crowded.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.a", "p.b").where("a < b").distinct()
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"registers_{x}"))
-    likely = spool(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "registers_a", "registers_b").mapInArrow(_likely, "a long, b long"), "likely")
+    pairs = spool(pairs, "pairs")
+    crowds = {x: spool(pairs.groupBy(x).count().where(F.col("count") > CROWD).select(x), "crowds") for x in ("a", "b")}
+    sided = hot_join(hot_join(pairs, side("a"), ["a"], crowds["a"], CROWD_BROADCAST), side("b"), ["b"], crowds["b"], CROWD_BROADCAST)
+    likely = spool(sided.select("a", "b", "n_a", "n_b", "registers_a", "registers_b").mapInArrow(_likely, "a long, b long"), "likely")
     ids = spool(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), "ids")
     sets = _sets_of(docs, ids)
     of = lambda x: sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"shingles_{x}"))
-    links = spool(likely.join(of("a"), "a").join(of("b"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirmed, "a long, b long"), "links")
+    whole = hot_join(hot_join(likely, of("a"), ["a"], crowds["a"], CROWD_SETS), of("b"), ["b"], crowds["b"], CROWD_SETS)
+    links = spool(whole.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirmed, "a long, b long"), "links")
 
     # doc_ids that rows with different sets share: one node, linked with the class of each
     prints_of = F.struct(*prints)
     several = sketched.where("doc_id is not null").groupBy("doc_id").agg(F.min(prints_of).alias("p0"), F.max(prints_of).alias("p1")).where("p0 < p1")
     shared = spool(several.select("doc_id"), "shared")
     shared = broadcast_if(shared, shared.count(), ID_BROADCAST)
-    own = sketched.join(shared, "doc_id", "left_semi").join(classes.drop("registers"), prints).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    own = sketched.join(shared, "doc_id", "left_semi").join(classes.drop("registers", "copies"), prints).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     links = spool(links.union(own.distinct()), "all-links")
     first = spool(components(links), "first")
 
@@ -350,7 +357,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     final = spool(components(links.union(more)), "final")
     named = classes.join(final, classes["rep"] == final["node"], "left").select(*prints, F.coalesce("comp", "rep").alias("comp"))
     placed = shared.join(final, shared["doc_id"] == final["node"]).select(F.col("doc_id").alias("_shared"), F.col("comp").alias("_comp"))
-    joined = sketched.drop("registers").join(named, prints, "left")
+    slim = sketched.drop("registers").where("n_shingles > 0 and doc_id is not null")
+    joined = hot_join(slim, named, prints, classes.where(F.col("copies") > CROWD).select(prints), CROWD_BROADCAST).select(*slim.columns, "comp")
+    joined = joined.unionByName(sketched.where("n_shingles = 0 or doc_id is null").select(*slim.columns, F.lit(None).cast("long").alias("comp")))
     joined = joined.join(broadcast_if(placed, placed.count(), ID_BROADCAST), joined["doc_id"] == F.col("_shared"), "left")  # a shared doc_id's empty rows too
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("_comp", "comp", "doc_id"))
     return joined.select("doc_id", "n_shingles", found.alias("component_id"), (F.col("doc_id") == found).alias("kept"))

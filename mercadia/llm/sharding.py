@@ -26,7 +26,8 @@ from mercadia.llm.common import fresh_path, spool, table
 
 SHARDS = 40
 SEED = 20_240_917
-BUCKET_BYTES = 32 << 20
+#: A bucket fits in memory many times over; a task takes several, so that what chance deals to it evens out.
+BUCKET_BYTES, TASK_BYTES = 4 << 20, 32 << 20
 #: Buckets at least, so that small inputs use all executors.
 LEAST_BUCKETS = 96
 #: Tasks among which the permutations are drawn; fixed, as the draw depends on it.
@@ -56,9 +57,10 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     started = spool(counted.select("_bucket", "_n", F.coalesce(start, F.lit(0)).cast("long").alias("_start")), "bucket-starts")
     drawn = started.repartition(DRAWS, "_bucket").sortWithinPartitions("_bucket").withColumn("_order", F.shuffle(F.sequence(F.lit(0), F.col("_n") - 1), seed=SEED))
     drawn = spool(drawn, "bucket-orders")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-at["b"] // TASK_BYTES))
     within = Window.partitionBy("_bucket").orderBy("_draw", "_doc", "_crc")
     whole = F.struct(*[c for c in docs.columns if c not in ("shard", "slot")]).alias("_all")
-    ranked = docs.select(whole, bucket.alias("_bucket"), _draw(1).alias("_draw"), F.col("doc_id").alias("_doc"), crc_of().alias("_crc")).withColumn("_rank", F.row_number().over(within) - 1)
+    ranked = docs.select(whole, bucket.alias("_bucket"), _draw(1).alias("_draw"), F.col("doc_id").alias("_doc"), crc_of().alias("_crc")).repartition(tasks, "_bucket").withColumn("_rank", F.row_number().over(within) - 1)
     placed = ranked.join(drawn, "_bucket").withColumn("_place", F.col("_start") + F.get("_order", F.col("_rank")))
     placed = placed.withColumn("shard", F.expr(f"(_place * {shards}) div {at['n'] or 1}").cast("int"))
     first = F.expr(f"(shard * {at['n']} + {shards - 1}) div {shards}")
