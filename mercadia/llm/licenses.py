@@ -1,8 +1,9 @@
 """License scans (operator 2).
 
-One Aho-Corasick automaton finds notice phrases and identifier tags in the words of a text. Behind each tag,
+One Aho-Corasick automaton finds notice phrases and identifier tags, and where they stand, in the words of a text. Behind each tag,
 a shunting-yard parser reads the licence expression (AND, OR, WITH, parentheses) and evaluates it against a policy:
-the set of identifiers that are allowed. OR needs one allowed side, AND both, WITH only its licence.
+the set of identifiers that are allowed. OR needs one allowed side, AND both, WITH only its licence. Operands are known licence
+identifiers, families of them by pattern, and LicenseRef names; WITH stands between a licence and an exception. All of this takes linear time.
 
 A text's words are runs of letters, digits and non-ASCII characters, in lower case for A-Z; everything else
 separates. Phrases match whole words that follow one another, whatever separates them.
@@ -13,22 +14,22 @@ allows; 0 where nothing is found.
 
 Defined results: a null text counts as empty: no words, no findings, null first_word and last_word, empty labels.
 An expression
-ends with its line or at the next tag. A tag without a valid expression adds neither label nor finding. Repeated rows each come out. Texts are scanned
+ends with its line or at the next tag, and before the first thing that can't go on a valid expression. A tag without a valid expression adds neither label nor finding. Repeated rows each come out. Texts are scanned
 whole. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercadia.llm.common import table
+from mercadia.llm.common import byte_table, table, word_spans
 
 #: Phrase and label, as given: these count as places.
 BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -53,56 +54,92 @@ TAG = "spdx license identifier"
 #: The default policy: identifiers and labels that are allowed.
 ALLOWED = frozenset("mit apache-2 apache-2.0 bsd bsd-2-clause bsd-3-clause isc cc0 cc0-1.0 unlicense zlib".split())
 
-_TAG_RAW = re.compile(r"(?<![a-z0-9\x80-\U0010ffff])spdx[^a-z0-9\x80-\U0010ffff]+license[^a-z0-9\x80-\U0010ffff]+identifier(?![a-z0-9\x80-\U0010ffff])(?:[ \t]*:)?", re.I)
-_LINE_END = re.compile(r"[\r\n]|\Z")
+_LINE_END = re.compile(rb"[\r\n]|\Z")
 _TOKEN = re.compile(r"\s*([A-Za-z0-9][A-Za-z0-9.+:-]*|\(|\))")
 _RANK = {"or": 1, "and": 2, "with": 3}
+_IS_WORD = byte_table(r"[0-9A-Za-z\x80-\xff]")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
-def postfix(text: str, at: int = 0, end: int | None = None) -> list[str] | None:
-    """The longest licence expression that text[at:end] starts with, in postfix order (shunting yard); None if there is none."""
-    out: list[str] = []
-    ops: list[str] = []
-    end, operand = len(text) if end is None else end, True
-    best: list[str] | None = None
-    while m := _TOKEN.match(text, at, end):
+# Identifiers that stand for themselves, and families of them: fixed values of the public licence list, in lower case.
+IDENTIFIERS = frozenset(
+    "0bsd aal adsl afl-1.1 amdplpa aml antlr-pd apafml artistic-1.0 artistic-1.0-perl artistic-2.0 beerware blessing blueoak-1.0.0 bzip2-1.0.6 catosl-1.1 cc0-1.0 cc-pddc clartistic cpal-1.0 cpl-1.0 "
+    "curl ecl-1.0 ecl-2.0 efl-1.0 efl-2.0 elastic-2.0 entessa fair fsfap fsful fsfullr ftl glide hpnd icu ijg imagemagick intel isc json latex2e libpng libpng-2.0 libtiff lpl-1.0 lpl-1.02 miros mit mit-0 "
+    "mit-advertising mit-cmu mit-feh mit-modern-variant ms-pl ms-rl mulanpsl-1.0 mulanpsl-2.0 naist-2003 nbpl-1.0 ncsa net-snmp netcdf nokia noweb openssl php-3.0 php-3.01 postgresql psf-2.0 python-2.0 "
+    "qpl-1.0 ruby sleepycat snia spencer-86 sspl-1.0 tcl tcp-wrappers tu-berlin-2.0 unicode-dfs-2015 unicode-dfs-2016 unicode-3.0 unlicense upl-1.0 vim w3c wtfpl x11 xfree86-1.1 xnet zlib zpl-2.0 zpl-2.1".split()
+)
+FAMILIES = re.compile(
+    r"(?:agpl|gpl|lgpl|gfdl)-\d\.\d(?:-only|-or-later)?\+?|(?:apache|apsl|epl|eupl|mpl|npl|osl|afl|cddl|ofl|ncgl-uk|ogl-uk|odbl|pddl|odc-by|bsl|busl|cecill|cecill-[bc]|lppl|ltsl|nosl|rpl|spl|ypl|zend|zimbra|sgi-b|lal|lpl|cua-opl|oclc|rpsl)-\d(?:\.\d)?[a-z]?(?:-no-copyleft-exception|-rfn|-no-rfn)?\+?"
+    r"|bsd-\d-clause(?:-[a-z-]+)?|cc-by(?:-nc)?(?:-sa|-nd)?-\d\.\d(?:-[a-z]{2,3})?|(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+"
+)
+EXCEPTIONS = re.compile(r"[a-z0-9.+-]*exception[a-z0-9.-]*|linux-syscall-note|(?:documentref-[a-z0-9.-]+:)?additionref-[a-z0-9.-]+")
+
+
+def is_licence(name: str) -> bool:
+    return name.removesuffix("+") in IDENTIFIERS or FAMILIES.fullmatch(name) is not None
+
+
+def _valid(text: str) -> list[str]:
+    """The tokens of the longest licence expression that the text starts with."""
+    tokens: list[str] = []
+    depth = at = best = 0
+    while m := _TOKEN.match(text, at):
         token = m[1].lower()
+        last = tokens[-1] if tokens else "("
+        if last == "with":
+            token = token.rstrip(".:")
+            good = EXCEPTIONS.fullmatch(token) is not None
+        elif last in _RANK or last == "(":
+            token = token if token in _RANK else token.rstrip(".:")
+            good = token == "(" or is_licence(token)
+        else:
+            good = token in ("and", "or") or token == ")" and depth > 0 or token == "with" and last != ")" and (len(tokens) < 2 or tokens[-2] != "with")
+        if not good:
+            break
+        tokens.append(token)
+        depth += (token == "(") - (token == ")")
         at = m.end()
-        if operand and token == "(":
-            ops.append(token)
-        elif operand and token != ")" and token not in _RANK:
-            out.append(token.rstrip(".:"))
-            operand = False
-        elif not operand and token in _RANK:
-            while ops and ops[-1] != "(" and _RANK[ops[-1]] >= _RANK[token]:
-                out.append(ops.pop())
+        if depth == 0 and token not in _RANK:
+            best = len(tokens)
+    return tokens[:best]
+
+
+def postfix(text: str) -> list[str] | None:
+    """The longest licence expression that the text starts with, in postfix order (shunting yard); None if there is none."""
+    out: list[str] = []
+    ops: list[str] = []
+    for token in _valid(text):
+        if token == "(":
             ops.append(token)
-            operand = True
-        elif not operand and token == ")" and "(" in ops:
+        elif token == ")":
             while ops[-1] != "(":
                 out.append(ops.pop())
             ops.pop()
+        elif token in _RANK:
+            while ops and ops[-1] != "(" and _RANK[ops[-1]] >= _RANK[token]:
+                out.append(ops.pop())
+            ops.append(token)
         else:
-            break
-        if not operand and "(" not in ops:
-            best = out + ops[::-1]
-    return best
+            out.append(token)
+    return out + ops[::-1] or None
 
 
 def evaluate(expression: list[str], allowed: frozenset[str] = ALLOWED) -> tuple[set[str], bool]:
     """The labels of a postfix expression, and whether the policy allows it."""
-    stack: list[tuple[set[str], bool]] = []
+    labels: set[str] = set()
+    stack: list[tuple[str, bool]] = []  # the name, of an operand that is still only a name, and whether it is allowed
     for token in expression:
         if token not in _RANK:
-            stack.append(({token}, token in allowed))
+            stack.append((token, token in allowed))
             continue
         (b, b_ok), (a, a_ok) = stack.pop(), stack.pop()
         if token == "with":
-            stack.append(({f"{x}-with-{y}" for x in a for y in b}, a_ok))
+            stack.append((f"{a}-with-{b}", a_ok))
         else:
-            stack.append((a | b, a_ok or b_ok if token == "or" else a_ok and b_ok))
-    return stack[0]
+            labels.update(x for x in (a, b) if x)
+            stack.append(("", a_ok or b_ok if token == "or" else a_ok and b_ok))
+    name, good = stack[0]
+    return labels | ({name} if name else set()), good
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -118,29 +155,36 @@ def automaton() -> ahocorasick.Automaton:
 
 def scan(text: str, find: ahocorasick.Automaton) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    words = text.encode().translate(_FOLD).split()
-    plain = " " + b" ".join(words).decode("latin-1") + " "
-    places: list[int] = []
+    raw = text.encode()
+    words = raw.translate(_FOLD).split()
+    plain = b" " + b" ".join(words) + b" "
+    hits: list[int] = []  # where phrases that count as places begin
+    tags: list[int] = []
     base: set[str] = set()
     labels: set[str] = set()
     findings: list[bool] = []
-    tagged = False
-    for end, (length, label, counts) in find.iter(plain):
+    for end, (length, label, counts) in find.iter(plain.decode("latin-1")):
         if not label:
-            tagged = True
+            tags.append(end + 1 - length)
             continue
         labels.add(label)
         findings.append(label in ALLOWED)
         if counts:
             base.add(label)
-            places.append(plain.count(" ", 0, end + 1 - length))
-    if tagged:
-        tags = [m.span() for m in _TAG_RAW.finditer(text)]
+            hits.append(end + 1 - length)
+    places: list[int] = []
+    if hits or tags:
+        blanks = np.flatnonzero(np.frombuffer(plain, np.uint8) == 32)  # a blank stands before each word
+        places = np.searchsorted(blanks, hits).tolist()
+    if tags:
+        starts, ends, _ = word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), _IS_WORD)
+        first = np.searchsorted(blanks, tags)
+        begins, behind = starts[first].tolist(), ends[first + TAG.count(" ")].tolist()
         line = -1
-        for (_, at), (following, _) in itertools.pairwise([*tags, (len(text), 0)]):
+        for at, following in zip(behind, [*begins[1:], len(raw)], strict=True):
             if line < at:
-                line = _LINE_END.search(text, at).start()
-            if expression := postfix(text, at, min(line, following)):
+                line = _LINE_END.search(raw, at).start()
+            if expression := postfix(raw[at : min(line, following)].decode().lstrip(" \t").removeprefix(":")):
                 named, good = evaluate(expression)
                 labels |= named
                 findings.append(good)
@@ -173,7 +217,7 @@ WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents
-), joined AS (SELECT doc_id, len(w) AS n_words, ' ' || array_to_string(w, ' ') || ' ' AS t, w FROM words),
+), joined AS (SELECT doc_id, len(w) AS n_words, ' ' || array_to_string(w, ' ') || ' ' AS t, ' ' || array_to_string(w, '  ') || ' ' AS t2, w FROM words),
 places AS (
   SELECT doc_id, label, i
   FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM joined WHERE t LIKE '% under the mit license %' OR t LIKE '% apache license version 2 %' OR t LIKE '% cc by nc %') p,
@@ -183,7 +227,7 @@ places AS (
   SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id
 ), notices(phrase, label, base) AS (VALUES {notices}
 ), found AS (
-  SELECT doc_id, label, (len(t) - len(replace(t, ' ' || phrase || ' ', ''))) // (len(phrase) + 2) AS n,
+  SELECT doc_id, label, (len(t2) - len(replace(t2, ' ' || replace(phrase, ' ', '  ') || ' ', ''))) // (len(replace(phrase, ' ', '  ')) + 2) AS n,
          label IN ({allowed}) AS good
   FROM joined, notices WHERE contains(t, ' ' || phrase || ' ')
 ), summed AS (
