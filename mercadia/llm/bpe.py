@@ -7,7 +7,7 @@ goes left to right, takes the longest token, checks it against the token before
 cannot have come from the merges. The result is that of the merges, in linear time. Decoding copies bytes out of
 one buffer by an offset table.
 
-Pieces repeat, so each worker keeps the ids of up to PIECES of them. The vocabulary file is read on the driver,
+Pieces repeat, so each worker keeps the ids of up to PIECES of them, none longer than KEPT characters. The vocabulary file is read on the driver,
 from a path that is a parameter, and broadcast: its size doesn't depend on the data.
 
 Defined results: a null text counts as empty: no tokens, the digests of an empty string. Special tokens of the
@@ -28,11 +28,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercadia.llm.common import table
+from mercadia.llm.common import spread, table
 
 #: The split of byte-level vocabularies of this kind; \s is Unicode white space.
 PIECE = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-PIECES = 1 << 18
+PIECES, KEPT = 1 << 18, 256
 _END = 1 << 40
 
 
@@ -139,14 +139,16 @@ class Bpe:
                 at -= length[k]
         return out
 
+    def _ids(self, piece: str) -> tuple[bytes, str]:
+        letters = piece.encode().decode("latin-1").translate(self.to_letters)
+        return self._packed([self.id[k] for k in self.piece(letters)])
+
     def _learn(self, pieces: set[str]) -> None:
         if len(self.known) + len(pieces) > PIECES:
             self.known.clear()
         for p in pieces:
-            if p in self.known:
-                continue
-            letters = p.encode().decode("latin-1").translate(self.to_letters)
-            self.known[p] = self._packed([self.id[k] for k in self.piece(letters)])
+            if len(p) <= KEPT and p not in self.known:
+                self.known[p] = self._ids(p)
 
     def encode(self, text: str) -> tuple[np.ndarray, str]:
         """The ids, and the same in decimals joined by commas."""
@@ -168,7 +170,7 @@ class Bpe:
             return [known[p] for p in pieces]
         except KeyError:
             self._learn(set(pieces))
-            return [known[p] for p in pieces]
+            return [known.get(p) or self._ids(p) for p in pieces]
 
     def decode(self, ids: np.ndarray) -> str:
         first = self.offset[ids]
@@ -195,8 +197,8 @@ def vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (array of int), ids_sha256, decoded_sha256 and decoded for each row of docs(doc_id, text)."""
+def encoded(docs: DataFrame, path: str, texts: bool = False) -> DataFrame:
+    """doc_id, ids (array of int), ids_sha256, decoded_sha256, and with `texts` the decoded text, for each row of docs(doc_id, text)."""
     spec = vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,24 +206,26 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                ids, hashes, texts, back = [], [], [], []
+                ids, hashes, decoded_texts, back = [], [], [], []
                 for text in part.column("text"):
                     found, decimals = bpe.encode(text.as_py() or "")
                     decoded = bpe.decode(found)
                     ids.append(found)
                     hashes.append(hashlib.sha256(decimals.encode()).hexdigest())
-                    texts.append(decoded)
+                    if texts:
+                        decoded_texts.append(decoded)
                     back.append(hashlib.sha256(decoded.encode()).hexdigest())
                 ends = np.cumsum([0, *map(len, ids)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(hashes), pa.array(back), pa.array(texts, pa.string())], names=["doc_id", "ids", "ids_sha256", "decoded_sha256", "decoded"])
+                arrays = [part.column("doc_id"), lists, pa.array(hashes, pa.string()), pa.array(back, pa.string())] + [pa.array(decoded_texts, pa.string())] * texts
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", "ids_sha256", "decoded_sha256", "decoded"][: len(arrays)])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, ids array<int>, ids_sha256 string, decoded_sha256 string, decoded string")
+    return slim.mapInArrow(run, "doc_id long, ids array<int>, ids_sha256 string, decoded_sha256 string" + ", decoded string" * texts)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    out = encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    out = encoded(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", "decoded_sha256")

@@ -247,7 +247,7 @@ def test_bpe(docs, odd, empty, tokenizer):
             ids = tokenizer.encode(t, add_special_tokens=False).ids
             back = tokenizer.decode(ids, skip_special_tokens=False)
             expect[i, tuple(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back] += 1
-        got = bpe.encoded(df, path).collect()
+        got = bpe.encoded(df, path, texts=True).collect()
         assert Counter((r["doc_id"], tuple(r["ids"]), r["ids_sha256"], r["decoded_sha256"], r["decoded"]) for r in got) == expect
     assert bpe.encoded(empty, path).count() == 0
 
