@@ -54,13 +54,22 @@ def test_top_k_odd(spark):
     assert topk.top_k(frame.limit(0)).count() == 0
 
 
-def test_block_reads_less_than_all():
+def test_reads_less_than_all():
     draw = np.random.default_rng(8)
     rows_, queries = draw.integers(-900, 900, (3000, 8)), draw.integers(-900, 900, (5, 8))
-    found = topk.best_of_block(np.arange(3000), rows_, np.arange(10_000, 10_005), queries)
-    for q, (_, ids, scores) in enumerate(found):
-        order = np.lexsort((np.arange(3000), -(rows_ @ queries[q])))[:10]
-        assert ids.tolist() == order.tolist() and scores.tolist() == (rows_ @ queries[q])[order].tolist()
+    below, above = topk.bounds(*topk.quantised(rows_), queries)
+    scores = queries @ rows_.T
+    assert (below <= scores).all() and (scores <= above).all()
+    huge = 10**15 + draw.integers(0, 999, (50, 3))
+    low, high = topk.bounds(*topk.quantised(huge), np.array([[3, -2, 1]]))
+    true = [3 * int(a) - 2 * int(b) + int(c) for a, b, c in huge]
+    assert all(int(x) <= t <= int(y) for x, t, y in zip(low[0], true, high[0], strict=True))
+    for q in range(5):
+        passing = np.flatnonzero(above[q] >= np.sort(below[q])[-10])
+        ids, found, read = topk.read_in_order(queries[q], passing, rows_[passing], above[q][passing], 10)
+        order = np.lexsort((np.arange(3000), -scores[q]))[:10]
+        assert ids.tolist() == order.tolist() and found.tolist() == scores[q][order].tolist()
+        assert read <= len(passing) < 300 and read < 3000
 
 
 PAGES = [(1, "http://a/ b\r\nX: y", "<p>x</p>"), (2, None, None), (3, "u", ""), (4, "u", "é\r\n\r\nWARC/1.1\r\nx"), (5, "u", "<p>x</p>"), (5, "u", "<p>x</p>"), (1, "http://a", "<p>x</p>"), (None, "n", "<p>x</p>"), (6, "l", "z" * 300_000)]
