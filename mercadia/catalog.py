@@ -17,6 +17,7 @@ from mercadia.lexicon import DEFAULT as LEXICON
 from mercadia.operators import compare, report, state
 from mercadia.operators import search as searching
 from mercadia.operators.relevance import for_product_pattern, match_queries, overlaps, relevant, relevant_offers, with_tokens
+from mercadia.plans import columns as plan_columns
 from mercadia.plans import query as plans
 from mercadia.shared import spool
 from mercadia.sources import landed, payloads
@@ -195,30 +196,42 @@ def relevant_offers_(spark, d):
 QUERIES["relevant_offers"] = QUERIES.pop("relevant_offers_")
 
 
+def _asked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(q,) for q in samples.ALIASES], "query string")
+
+
 @query
 def search_aliases(spark, d):
-    return spark.createDataFrame([(q, k, t) for q in samples.ALIASES for k, t in enumerate(plans.search_queries(q))], "query string, alias_ord int, text string")
+    return _asked(spark).select("query", F.posexplode(plan_columns.search_texts(F.col("query"))).alias("alias_ord", "text"))
 
 
 @query
 def query_variants(spark, d):
-    return spark.createDataFrame([(q, k, " ".join(v)) for q in samples.ALIASES for k, v in enumerate(plans.query_variants(q))], "query string, variant int, text string")
+    return _asked(spark).select("query", F.posexplode(plan_columns.variant_texts(F.col("query"))).alias("variant", "text"))
+
+
+def _plans(spark: SparkSession) -> DataFrame:
+    rows = [(k, json.dumps(p, ensure_ascii=False)) for k, p in enumerate(samples.PLANS)]
+    return spark.createDataFrame(rows, "id int, body string").select("id", plan_columns.sanitized(F.col("body")).alias("plan"))
 
 
 @query
 def plan_sanitize(spark, d):
-    return spark.createDataFrame([(k, json.dumps(vars(plans.sanitize(p)), ensure_ascii=False)) for k, p in enumerate(samples.PLANS)], "id int, plan string")
+    return _plans(spark).select("id", F.to_json("plan").alias("plan"))
 
 
 @query
 def plan_merge(spark, d):
-    merged = [plans.plan_for("tenis nike", p) for p in samples.PLANS]
-    return spark.createDataFrame([(k, n, t) for k, m in enumerate(merged) for n, t in enumerate(m.search_queries)], "id int, n int, text string")
+    asked = _plans(spark).withColumn("query", F.lit("tenis nike"))
+    asked = asked.withColumn("local", plan_columns.search_texts(F.col("query")))
+    texts = plan_columns.merged(F.col("query"), F.col("plan"), F.col("local"), F.lit("data"))["search_queries"]
+    return asked.select("id", F.posexplode(texts).alias("n", "text"))
 
 
 @query
 def plan_extract(spark, d):
-    return spark.createDataFrame([(k, plans.output_text(r)) for k, r in enumerate(samples.RESPONSES)], "id int, text string")
+    rows = spark.createDataFrame([(k, json.dumps(r, ensure_ascii=False)) for k, r in enumerate(samples.RESPONSES)], "id int, body string")
+    return rows.select("id", plan_columns.output_text(F.col("body")).alias("text"))
 
 
 # Sources

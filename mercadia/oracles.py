@@ -155,7 +155,8 @@ ORACLES: dict[str, str] = {
     "relevance_golden": _values({"id": "INTEGER", "fits": "BOOLEAN"}, [(k, v) for k, (_, _, v) in enumerate(samples.RELEVANCE)]),
     "relevant_offers": FOUND + " SELECT store_key, name, price, available, url FROM priced",
     "search_aliases": _values({"query": "VARCHAR", "alias_ord": "INTEGER", "text": "VARCHAR"}, [(q, k, t) for q, found in samples.SEARCHED.items() for k, t in enumerate(found)]),
-    "plan_sanitize": _values({"id": "INTEGER", "plan": "VARCHAR"}, [(k, json.dumps(p)) for k, p in enumerate(_PLANS)]),
+    "query_variants": _values({"query": "VARCHAR", "variant": "INTEGER", "text": "VARCHAR"}, [(q, k, t) for q, found in samples.VARIANTS.items() for k, t in enumerate(found)]),
+    "plan_sanitize": _values({"id": "INTEGER", "plan": "VARCHAR"}, [(k, json.dumps(p, separators=(",", ":"))) for k, p in enumerate(_PLANS)]),
     "plan_merge": _values(_INDEXED, [(k, n, t) for k, m in enumerate(samples.MERGED) for n, t in enumerate(m)]),
     "plan_extract": _values({"id": "INTEGER", "text": "VARCHAR"}, list(enumerate(samples.EXTRACTED))),
     "src_vtex": _offer("vtex"), "src_magento": _offer("magento"), "src_kemik": _offer("kemik"), "src_pricesmart": _offer("pricesmart"),

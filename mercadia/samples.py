@@ -64,6 +64,15 @@ SEARCHED = {
     "  ": [],
     "de la": ["de la"],
 }
+#: The token variants of each query, by hand from its alias group: the group's own order, then one more round of substitution.
+VARIANTS = {
+    "cafetera": ["cafetera", "percoladora", "coffee maker", "coffee machine", "maquina cafe"],
+    "ps5": ["ps5", "playstation 5", "play station 5", "playstation5", "play 5", "consola ps5", "consola playstation 5", "sony ps5"],
+    "televisor 55": ["televisor 55"],
+    "tenis nike": ["tenis nike", "zapatos deportivos nike", "sneakers nike", "zapatillas deportivas nike"],
+    "  ": [""],
+    "de la": [""],
+}
 PLANS = [
     {"original_query": "tenis nike", "search_queries": ["  Zapatos   Nike", "zapatos nike", "TENIS NIKE"], "required_any_groups": [["tenis", "Tenis"], []], "exclude_terms": "no list", "confidence": 1.7},
     {"original_query": "tenis nike", "canonical_query": "nike", "search_queries": ["a", "b", "c", "d", "e", "f", "g", "h", "i"], "confidence": "x", "source": "data"},

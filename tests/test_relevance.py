@@ -78,3 +78,32 @@ def test_normalized_column_agrees_with_python(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", token_list(normalized(F.col("t")))).collect()
     assert all(got == tokens(t) for t, got in rows)
     assert all(normalize(normalize(t)) == normalize(t) for t in texts)
+
+
+def test_plan_columns_equal_the_driver_forms(spark):
+    """The forms over tables of plans give what the forms for one query give."""
+    import json
+    from dataclasses import asdict
+
+    from pyspark.sql import functions as F
+
+    from mercadia import samples
+    from mercadia.plans import columns
+    from mercadia.plans import query as plans
+
+    odd = [
+        *samples.PLANS, {}, {"search_queries": ["", " a  b ", "A B", "á b", "x" * 81, "x" * 80, 5, None], "confidence": "0.4", "source": ""},
+        {"required_any_groups": [["a"], ["b", "B"], "c", ["d"], [], ["e"], ["f"]], "exclude_terms": [f"t{k}" for k in range(40)], "confidence": -3, "original_query": "q", "canonical_query": 0},
+        {"required_any_groups": "text", "search_queries": {"a": 1}, "confidence": None, "canonical_query": "c"},
+    ]
+    rows = spark.createDataFrame([(k, json.dumps(p)) for k, p in enumerate(odd)], "id int, body string")
+    fallback = F.array(*map(F.lit, plans.search_queries("tenis nike")))
+    clean = columns.sanitized(F.col("body"))
+    got = rows.select("id", clean.alias("p"), columns.merged(F.lit("tenis nike"), clean, fallback, F.lit("s")).alias("m")).collect()
+    for r in got:
+        plan = plans.sanitize(odd[r["id"]])
+        assert r["p"].asDict(True) == asdict(plan), odd[r["id"]]
+        assert r["m"].asDict(True) == asdict(plans.merge("tenis nike", plan, plans.local_plan("tenis nike"), "s"))
+    answers = [*samples.RESPONSES, {"output_text": 5, "output": [{"type": "message"}, {"type": "message", "content": [{"text": 3}, {"text": "x"}]}]}, {"output": None}]
+    texts = spark.createDataFrame([(k, json.dumps(a)) for k, a in enumerate(answers)] + [(99, "no json"), (98, None)], "id int, body string").select("id", columns.output_text(F.col("body")).alias("t"))
+    assert {r["id"]: r["t"] for r in texts.collect()} == {k: plans.output_text(a) for k, a in enumerate(answers)} | {98: "", 99: ""}
