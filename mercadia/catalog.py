@@ -109,6 +109,13 @@ def html_text(spark, d):
     return _table(spark, d, "pages").select("page_id", sc.html_text(F.col("html"), full=False).alias("text"))
 
 
+@query
+def html_text_full(spark, d):
+    """With every character reference of HTML, numbered ones among them."""
+    marked = F.concat("html", F.lit("<p>&#241;&#xF1;&ntilde; &hellip;&NotEqualTilde;&lt b&gt;</p>"))
+    return _table(spark, d, "pages").select("page_id", sc.html_text(marked).alias("text"))
+
+
 @query
 def html_chunks(spark, d):
     chunks = _table(spark, d, "pages").select("page_id", F.posexplode(F.split("html", "(?i)<li><a")).alias("pos", "chunk")).where("pos > 0")

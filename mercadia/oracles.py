@@ -139,6 +139,7 @@ ORACLES: dict[str, str] = {
     "price_minor_units": "SELECT p_partkey, round(round(p_retailprice * 100) / pow(10.0, CASE WHEN p_partkey % 3 = 0 OR p_partkey % 4 = 0 THEN 2 ELSE p_partkey % 4 END), 2) AS price FROM part",
     "stock_flag": "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag IN ('R', 'A') THEN 0 ELSE 1 END AS flag FROM lineitem",
     "html_text": f"SELECT page_id, {HTML.format(_replaced("regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g')", _ENTITIES))} AS text FROM pages",
+    "html_text_full": f"SELECT page_id, trim({HTML.format(_replaced("regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g')", _ENTITIES))} || ' ñññ …≂̸< b>') AS text FROM pages",
     "html_chunks": """SELECT page_id, CAST(pos AS INTEGER) AS pos, regexp_extract(chunk, 'href="([^"]+)"', 1) AS href, regexp_extract(chunk, '>([^<]*)</a>', 1) AS label
         FROM (SELECT page_id, unnest(c) AS chunk, unnest(range(len(c))) AS pos FROM (SELECT page_id, regexp_split_to_array(html, '(?i)<li><a') AS c FROM pages)) WHERE pos > 0""",
     "html_escape": "SELECT page_id, md5(" + _replaced("html", [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")]) + ") AS digest FROM pages",
