@@ -46,6 +46,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores where a few files of few row groups, each of which is one task, leave cores idle; larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    busy = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    return df.repartition(cores) if 0 < busy < cores else df
+
+
 def byte_table(pattern: str) -> np.ndarray:
     """256 flags: does the byte, as a Latin-1 character, match the pattern? Bytes from 0x80 on count as letters of UTF-8 text."""
     return np.array([bool(re.match(pattern, chr(b))) for b in range(256)], dtype=bool)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercadia.llm.common import table
+from mercadia.llm.common import spread, table
 
 FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "article", "furniture", "hinted"]
 #: The labelled table, a page to a line: words/linked words of each block in page order, + where it belongs to the text, a inside an article or main
@@ -320,4 +320,4 @@ def extracted(pages: DataFrame) -> DataFrame:
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extracted(table(spark, sf_dir, "pages"))
+    return extracted(spread(table(spark, sf_dir, "pages")))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercadia.llm.common import byte_table, table, word_spans
+from mercadia.llm.common import byte_table, spread, table, word_spans
 
 #: Phrase and label, as given: these count as places.
 BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -209,7 +209,7 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scanned(table(spark, sf_dir, "documents"))
+    return scanned(spread(table(spark, sf_dir, "documents")))
 
 
 ORACLE = r"""

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercadia.llm.common import spool, table
+from mercadia.llm.common import spool, spread, table
 
 WORDS, TAILS, KNOWN = 1023, 256, 65_536
 CLASSES = 1 + WORDS + TAILS
@@ -312,4 +312,4 @@ def scored(docs: DataFrame) -> DataFrame:
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(table(spark, sf_dir, "documents"))
+    return scored(spread(table(spark, sf_dir, "documents")))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercadia.llm.common import broadcast_if, byte_table, hot_join, respool, slices, spool, table, utf8_of, word_spans
+from mercadia.llm.common import broadcast_if, byte_table, hot_join, respool, slices, spool, spread, table, utf8_of, word_spans
 
 SHINGLE = 5
 BANDS, ROWS = 28, 5
@@ -366,4 +366,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(spread(table(spark, sf_dir, "documents")))

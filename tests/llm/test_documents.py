@@ -136,6 +136,20 @@ def test_sketch_estimates():
     assert (np.maximum(left, right) == whole).all()  # sketches merge by the greater register
 
 
+@pytest.mark.parametrize("size", [20, 200, 2000])
+def test_candidates_near_the_bound(size):
+    """Pairs of two sets of one size, at the least similarity that links and a little above: how many the bands and the likelihood let through. The README has the figures."""
+    draw, seen = np.random.default_rng(size), []
+    for aim in (0.85, 0.87, 0.90):
+        common = next(c for c in range(size + 1) if c >= aim * (2 * size - c))
+        for _ in range(60):
+            both = draw.integers(0, 1 << 63, 2 * size - common, dtype=np.uint64)
+            a, b = near_dedup.sketches([np.unique(both[:size]), np.unique(both[size - common :])])
+            meets = (a == b).reshape(near_dedup.BANDS, near_dedup.ROWS).all(axis=1).any()
+            seen.append(bool(meets and near_dedup._fits(a[None], b[None], np.array([float(size)]), np.array([float(size)]))[0]))
+    assert np.mean(seen) >= 0.99
+
+
 def base_of(text):
     w = WORD.findall(text)
     lines = [x for x in text.split("\n") if WORD.search(x)]
