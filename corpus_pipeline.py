@@ -42,7 +42,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays = grouped.groupBy("_comp").agg(F.min(F.struct("doc_id", "_row")).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_comp", F.col("_first._row").alias("_stays"))
     stays = spool(stays, "stays")
     gone = grouped.join(broadcast_if(stays, stays.count(), ID_BROADCAST), "_comp").where("_row <> _stays").select("_row")
-    return rows.join(gone, "_row", "left_anti").select("_all.*")
+    gone = spool(gone, "gone")
+    return rows.join(broadcast_if(gone, gone.count(), ID_BROADCAST), "_row", "left_anti").select("_all.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
