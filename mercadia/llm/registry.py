@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mercadia.llm import licenses, topk, warc
+from mercadia.llm import exact_dedup, licenses, topk, warc
 from mercadia.llm.bpe import op5_bpe
 from mercadia.llm.html_text import op8_html_text
 from mercadia.llm.lm_score import op10_lm_score
@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_sharding": op9_sharding,
     "op10_lm_score": op10_lm_score,
+    "op12_exact_dedup": exact_dedup.op12_exact_dedup,
 }
 
-ORACLES: dict[str, str] = {"op1_top_k": topk.ORACLE, "op2_licenses": licenses.ORACLE, "op6_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op1_top_k": topk.ORACLE, "op2_licenses": licenses.ORACLE, "op6_warc": warc.ORACLE, "op12_exact_dedup": exact_dedup.ORACLE}
