@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mercadia.llm import exact_dedup, licenses, merkle, topk, warc
+from mercadia.llm import exact_dedup, hard_negatives, licenses, merkle, topk, warc
 from mercadia.llm.bpe import op5_bpe
 from mercadia.llm.html_text import op8_html_text
 from mercadia.llm.lm_score import op10_lm_score
@@ -28,6 +28,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_score": op10_lm_score,
     "op11_merkle": merkle.op11_merkle,
     "op12_exact_dedup": exact_dedup.op12_exact_dedup,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
-ORACLES: dict[str, str] = {"op1_top_k": topk.ORACLE, "op2_licenses": licenses.ORACLE, "op6_warc": warc.ORACLE, "op11_merkle": merkle.ORACLE, "op12_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_top_k": topk.ORACLE,
+    "op2_licenses": licenses.ORACLE,
+    "op6_warc": warc.ORACLE,
+    "op11_merkle": merkle.ORACLE,
+    "op12_exact_dedup": exact_dedup.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
+}

@@ -38,9 +38,9 @@ QUERY_ROWS = 16_384
 QUERIES, WIDEN, READ = 64, 1 << 20, 32
 
 
-def integers(vector: Column) -> Column:
-    """floor(1024 * x) of each component; null where the vector takes no part."""
-    whole = F.transform(vector, lambda x: F.floor(F.lit(SCALE) * x.cast("double")))
+def integers(vector: Column, scale: int = SCALE) -> Column:
+    """floor(scale * x) of each component; null where the vector takes no part."""
+    whole = F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")))
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
     return F.when(vector.isNotNull() & (F.size(vector) > 0) & ~F.coalesce(bad, F.lit(True)), whole)
 
