@@ -161,8 +161,8 @@ def manifest(docs: DataFrame, found: Column | None = None, block: int = BLOCK) -
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified for each row of docs. found: the leaf as it is found now, null where nothing changed."""
     tree = F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("")).alias("tree")
     now = F.lit(None).cast("string") if found is None else found
-    leaves = docs.select("doc_id", tree, leaf_hash([F.col(c) for c in COLUMNS]).alias("leaf"), now.alias("found"))
-    leaves = spool(numbered(leaves, ["doc_id", "leaf"]), "leaves")
+    hashed = spool(docs.select("doc_id", tree, leaf_hash([F.col(c) for c in COLUMNS]).alias("leaf"), now.alias("found")), "hashed")  # before the range shuffle, which reads its input twice
+    leaves = spool(numbered(hashed, ["doc_id", "leaf"]), "leaves")
     within = spool(ways(spool(reduced(leaves, block, "leaf"), "superblocks"), block).withColumnRenamed("pos", "block"), "ways")
 
     subroots = within.where("block = 0").select(F.lit("").alias("tree"), F.col("tree").alias("of"), F.col("top").alias("digest"))
