@@ -19,7 +19,7 @@ from mercadia.functions.textnorm import content_tokens, normalize, normalized, t
 from mercadia.lexicon import DEFAULT, Lexicon
 from mercadia.plans.query import QueryPlan, alias_family, query_variants
 
-_NOT_UNIT = rf"(?!\s?(?:{'|'.join(words.UNITS)})\b)"
+NOT_UNIT = rf"(?!\s?(?:{'|'.join(words.UNITS)})\b)"
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -37,7 +37,7 @@ def overlaps(toks: Column, options) -> Column:
 def token_matches(token: str, norm: Column, toks: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """A number must stand alone and not before a unit; a word must meet a synonym, or contain one of five letters or more."""
     if token.isdigit():
-        return norm.rlike(rf"(?U)(?<!\d){token}(?!\d){_NOT_UNIT}")
+        return norm.rlike(rf"(?U)(?<!\d){token}(?!\d){NOT_UNIT}")
     group = sorted(lexicon.group(token))
     return _any([overlaps(toks, group), *(F.contains(norm, F.lit(g)) for g in group if len(g) >= 5)])
 
