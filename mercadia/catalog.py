@@ -14,7 +14,7 @@ from mercadia.config import EngineConfig
 from mercadia.functions import scalars as sc
 from mercadia.functions import textnorm as tn
 from mercadia.lexicon import DEFAULT as LEXICON
-from mercadia.operators import compare, report, state
+from mercadia.operators import compare, many, report, state
 from mercadia.operators import search as searching
 from mercadia.operators.relevance import for_product_pattern, match_queries, overlaps, relevant, relevant_offers, with_tokens
 from mercadia.plans import columns as plan_columns
@@ -167,6 +167,12 @@ def relevance_match(spark, d):
     return match_queries(_parts(spark, d), QUERIES_TO_MATCH).select("query_id", "p_partkey")
 
 
+@query
+def relevance_many(spark, d):
+    """Every query that is drawn from events, against every part."""
+    return many.match_table(_parts(spark, d), fx.drawn_queries(spark, d)).select(F.col("query_id").alias("query"), "p_partkey")
+
+
 @query
 def relevance_accessory(spark, d):
     named = with_tokens(_parts(spark, d).select("p_partkey", F.concat_ws(" ", F.when(F.col("p_partkey") % 3 == 0, "Soporte").when(F.col("p_partkey") % 3 == 1, "Kit"), "p_name").alias("name")))

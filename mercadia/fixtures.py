@@ -62,6 +62,23 @@ def searches(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").select("event_id", "ts", F.col("user_id").alias("client"), query.alias("query"))
 
 
+#: What drawn queries are made of; "de" and "para" are no content.
+FIRST = ["red", "rojo", "blue", "azul", "small", "large", "old", "hot", "de", "new", "brand"]
+SECOND = ["widget", "gizmo", "bolt", "ring", "plate", "anvil", "soporte", "para", "wid"]
+DRAWN_SQL = f"""drawn AS (
+  SELECT DISTINCT concat_ws(' ', {FIRST}[user_id % {len(FIRST)} + 1], {SECOND}[CAST(regexp_extract(props, '[0-9]+') AS INTEGER) % {len(SECOND)} + 1],
+    CASE WHEN event_type IN ('click', 'error') THEN CAST(CAST(floor(value) AS INTEGER) % 50 AS VARCHAR) END) AS query FROM events)"""
+
+
+def drawn_queries(spark: SparkSession, d: str) -> DataFrame:
+    """query_id, query: two words and, of some kinds of events, a number; each text once."""
+    word = lambda pool, k: F.element_at(F.array(*map(F.lit, pool)), (k % len(pool) + 1).cast("int"))
+    k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
+    number = F.when(F.col("event_type").isin("click", "error"), (F.floor("value").cast("int") % 50).cast("string"))
+    text = F.concat_ws(" ", word(FIRST, F.col("user_id")), word(SECOND, k), number)
+    return _t(spark, d, "events").select(text.alias("query")).distinct().select(F.col("query").alias("query_id"), "query")
+
+
 #: Texts asked for, the first of which finds nothing at every fifth store and is asked again as its first word.
 TEXTS = ["widget rojo", "red widget", "widget"]
 LANDED_SQL = """texts AS (SELECT * FROM (VALUES (0, 'widget rojo'), (1, 'red widget'), (2, 'widget')) v(k, text)),

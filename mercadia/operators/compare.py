@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 
 from mercadia.config import DEFAULT, EngineConfig
 from mercadia.functions.scalars import is_priced
-from mercadia.operators.relevance import match_queries, relevant, relevant_offers, with_tokens
+from mercadia.operators.many import cheapest
+from mercadia.operators.relevance import relevant_offers, tagged
 from mercadia.plans.query import QueryPlan
 
 NO_RESULTS = "sin resultados"
@@ -57,16 +58,15 @@ def unavailable() -> Column:
     return F.col("available") <= 0
 
 
-def _tagged(offers: DataFrame, query: str, plan: QueryPlan | None) -> DataFrame:
-    """offers with _fits and _priced. Kept as columns: as filters, the normalised name would be worked out once for each rule."""
-    return with_tokens(offers).withColumns({"_fits": relevant(query, F.col("name_norm"), F.col("name_toks"), plan), "_priced": is_priced(F.col("price"))})
+def _winners(offers: DataFrame, *order) -> DataFrame:
+    """The first offer of each store, by order."""
+    rank = F.row_number().over(Window.partitionBy("store_key").orderBy(*order))
+    return offers.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
 def best_match_per_store(offers: DataFrame, query: str, plan: QueryPlan | None = None) -> DataFrame:
     """The cheapest relevant offer of each store, whatever its stock; the first one on ties."""
-    good = F.col("_fits") & F.col("_priced")
-    best = F.min_by(F.when(good, F.struct("store_name", "name", "price", "available", "url")), F.when(good, F.struct("price", "pos")))
-    return _tagged(offers, query, plan).groupBy("store_key").agg(best.alias("b")).where("b IS NOT NULL").select("store_key", "b.*")
+    return _winners(tagged(offers, query, plan).where("_fits AND _priced"), "price", "pos").select("store_key", "store_name", "name", "price", "available", "url")
 
 
 def _reasons(offers: DataFrame) -> DataFrame:
@@ -88,11 +88,10 @@ def only_ok(offers: DataFrame, fetches: DataFrame) -> DataFrame:
 
 
 def cli_view(offers: DataFrame, fetches: DataFrame, query: str, plan: QueryPlan | None = None) -> DataFrame:
-    """Matches by price, then the other stores in their own order, numbered in line_no. One pass over the offers."""
-    good = F.col("_fits") & F.col("_priced")
-    best = F.min_by(F.when(good, F.struct("name", "price", (F.col("available") > 0).alias("in_stock"))), F.when(good, F.struct("price", "pos")))
-    found = _tagged(offers, query, plan).groupBy("store_key").agg(best.alias("b"), F.bool_or("_priced").alias("any_priced"))
-    rows = fetches.join(found, "store_key", "left").withColumn("b", F.when(F.col("ok"), F.col("b")))
+    """Matches by price, then the other stores in their own order, numbered in line_no."""
+    known = tagged(offers, query, plan)
+    best = _winners(known.where("_fits AND _priced"), "price", "pos").select("store_key", F.struct("name", "price", (F.col("available") > 0).alias("in_stock")).alias("b"))
+    rows = fetches.join(_reasons(offers), "store_key", "left").join(best, "store_key", "left").withColumn("b", F.when(F.col("ok"), F.col("b")))
     rows = rows.select("store_key", "store_name", "store_ord", "b.*", F.when(F.col("b").isNull(), reason()).alias("reason"))
     line = F.row_number().over(Window.orderBy(F.col("reason").isNotNull(), F.col("price").asc_nulls_last(), "store_ord"))  # one row for each store
     return rows.withColumn("line_no", line).select("store_key", "store_name", "name", "price", "in_stock", "reason", "line_no")
@@ -110,12 +109,11 @@ def rank_key() -> Column:
 
 
 def best_per_store(offers: DataFrame, fetches: DataFrame, query: str, plan: QueryPlan | None = None) -> DataFrame:
-    """One row for each store asked: its best priced relevant offer and how many there are, or why there is none. rank orders the stores. One pass over the offers."""
-    good = F.col("_fits") & F.col("_priced")
-    found = _tagged(offers, query, plan).groupBy("store_key").agg(
-        F.count_if(good).alias("n_priced"), F.count_if("_fits").alias("n_all"), F.min_by(F.when(good, item(offers)), F.when(good, rank_key())).alias("b"), F.bool_or("_priced").alias("any_priced")
-    )
-    rows = fetches.join(found, "store_key", "left")
+    """One row for each store asked: its best priced relevant offer and how many there are, or why there is none. rank orders the stores. Counts are of numbers alone, and the best is sought among fitting offers only."""
+    known = tagged(offers, query, plan)
+    counts = known.groupBy("store_key").agg(F.count_if(F.col("_fits") & F.col("_priced")).alias("n_priced"), F.count_if("_fits").alias("n_all"), F.bool_or("_priced").alias("any_priced"))
+    best = _winners(known.where("_fits AND _priced"), rank_key()).select("store_key", item(offers).alias("b"))
+    rows = fetches.join(counts, "store_key", "left").join(best, "store_key", "left")
     good, bare = F.col("ok") & F.coalesce(F.col("n_priced") > 0, F.lit(False)), F.col("ok") & F.coalesce(F.col("n_all") > 0, F.lit(False))
     rows = rows.select(
         "store_key", "store_name", "store_ord", good.alias("ok"), F.when(good, F.col("n_priced")).when(bare, F.col("n_all")).alias("count"), F.when(good, F.col("b")).alias("b"),
@@ -128,9 +126,9 @@ def best_per_store(offers: DataFrame, fetches: DataFrame, query: str, plan: Quer
 
 def items_of_stores(offers: DataFrame, fetches: DataFrame, query: str, plan: QueryPlan | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
     """store_key, items: the best priced relevant offers of each store that answered, at most config.items_per_store; of a store without public prices its first relevant ones."""
-    tagged = _tagged(only_ok(offers, fetches), query, plan).select("store_key", "_fits", "_priced", F.struct(~F.col("_priced"), F.when(F.col("_priced"), unavailable()), F.when(F.col("_priced"), F.col("price")), "pos").alias("_order"), item(offers).alias("item"))
+    shown = tagged(only_ok(offers, fetches), query, plan).where("_fits").select("store_key", "_priced", F.struct(~F.col("_priced"), F.when(F.col("_priced"), unavailable()), F.when(F.col("_priced"), F.col("price")), "pos").alias("_order"), item(offers).alias("item"))
     rank = F.row_number().over(Window.partitionBy("store_key").orderBy("_order"))
-    top = tagged.where("_fits").withColumn("item_no", rank).where(F.col("item_no") <= config.items_per_store)
+    top = shown.withColumn("item_no", rank).where(F.col("item_no") <= config.items_per_store)
     grouped = top.groupBy("store_key").agg(F.array_sort(F.collect_list(F.struct("item_no", "_priced", "item"))).alias("x"))  # items_per_store elements at most
     some = F.exists("x", lambda v: v["_priced"])
     return grouped.select("store_key", F.transform(F.filter("x", lambda v: v["_priced"] | ~some), lambda v: v["item"]).alias("items"))
@@ -166,12 +164,10 @@ def cheapest_store(best: DataFrame) -> DataFrame:
 
 
 def batch(offers: DataFrame, queries: list[str]) -> DataFrame:
-    """The cheapest match of each query over all stores, in one pass and without a shuffle of offers; queries without a match are left out. The queries are few: each is a column of the aggregation."""
-    tagged = with_tokens(offers).withColumns({f"_q{k}": relevant(q, F.col("name_norm"), F.col("name_toks")) & is_priced(F.col("price")) for k, q in enumerate(queries)})
-    what, order = F.struct("store_key", "store_name", "price"), F.struct("price", "store_key", "pos")
-    one = tagged.agg(*[F.min_by(F.when(F.col(f"_q{k}"), what), F.when(F.col(f"_q{k}"), order)).alias(f"b{k}") for k in range(len(queries))])
-    rows = one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("query_id"), F.lit(q).alias("query"), F.col(f"b{k}").alias("b")) for k, q in enumerate(queries)])).alias("r"))
-    return rows.where("r.b IS NOT NULL").select("r.query_id", "r.query", "r.b.*")
+    """The cheapest match of each query over all stores; queries without a match are left out."""
+    asked = offers.sparkSession.createDataFrame(list(enumerate(queries)), "query_id int, query string")
+    found = cheapest(offers.where(is_priced(F.col("price"))), asked, "price", "store_key", "pos")
+    return found.join(F.broadcast(asked), "query_id").select("query_id", "query", "store_key", "store_name", "price")  # both have a row for each query
 
 
 def batch_total(items: DataFrame) -> DataFrame:

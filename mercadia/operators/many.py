@@ -182,24 +182,33 @@ def match_names(names: DataFrame, queries: DataFrame, lexicon: Lexicon = DEFAULT
     return tested.where(fits(F.col("query"), F.col("norm"), F.col("name"))).select("query_id", "norm")
 
 
+def _named(offers: DataFrame, name: str) -> DataFrame:
+    return offers.withColumn("_name", F.coalesce(F.col(name), F.lit("")))
+
+
 def match_table(offers: DataFrame, queries: DataFrame, lexicon: Lexicon = DEFAULT, name: str = "name") -> DataFrame:
     """The rows of offers, each once for each of queries(query_id, query[, plan]) it fits, with query_id. Each distinct name is tested once."""
-    named = offers.withColumn("_norm", normalized(F.col(name)))
-    names = spool(named.groupBy(F.col("_norm").alias("norm")).agg(F.count("*").alias("_n")), "names")
-    found = spool(match_names(names.select("norm"), queries, lexicon).withColumnRenamed("norm", "_norm"), "matches")
+    named = _named(offers, name)
+    names = spool(named.groupBy("_name").agg(F.count("*").alias("_n")).withColumn("norm", normalized(F.col("_name"))), "names")
+    found = match_names(names.select("norm").distinct(), queries, lexicon)
+    found = spool(found.join(names, "norm").drop("norm"), "matches")
     if found.count() <= BROADCAST_ROWS:
-        return named.join(F.broadcast(found), "_norm").drop("_norm")
-    crowds = names.where(F.col("_n") > CROWD).select(F.col("norm").alias("_norm"))
-    of_crowds = spool(found.join(crowds, "_norm", "left_semi"), "crowd-matches")
+        return named.join(F.broadcast(found.drop("_n")), "_name").drop("_name")
+    crowds = spool(names.where(F.col("_n") > CROWD).select("_name"), "crowds")
+    of_crowds, rest = found.where(F.col("_n") > CROWD).drop("_n"), found.where(F.col("_n") <= CROWD).drop("_n")
     if of_crowds.count() > BROADCAST_ROWS:
-        return named.join(found, "_norm").drop("_norm")
-    lone = named.join(F.broadcast(crowds), "_norm", "left_anti").join(found, "_norm")
-    return lone.unionByName(named.join(F.broadcast(of_crowds), "_norm")).drop("_norm")
+        return named.join(found.drop("_n"), "_name").drop("_name")
+    lone = named.join(F.broadcast(crowds), "_name", "left_anti").join(rest, "_name")
+    return lone.unionByName(named.join(F.broadcast(of_crowds), "_name")).drop("_name")
+
+
+def _first(rows: DataFrame, key: str, order: tuple) -> DataFrame:
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r = 1").drop("_r")
 
 
-def cheapest(offers: DataFrame, queries: DataFrame, *order: str, lexicon: Lexicon = DEFAULT) -> DataFrame:
+def cheapest(offers: DataFrame, queries: DataFrame, *order: str, lexicon: Lexicon = DEFAULT, name: str = "name") -> DataFrame:
     """query_id and the first row of offers, by `order`, that fits each of queries; those without a fitting offer are left out. Of each distinct name only the first row takes part."""
-    first = lambda rows, key: rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r = 1").drop("_r")
-    best = spool(first(offers.withColumn("_norm", normalized(F.col("name"))), "_norm"), "best-of-names")
+    best = _first(_named(offers, name), "_name", order).withColumn("_norm", normalized(F.col("_name"))).drop("_name")
+    best = spool(_first(best, "_norm", order), "best-of-names")
     found = match_names(best.select(F.col("_norm").alias("norm")), queries, lexicon).withColumnRenamed("norm", "_norm")
-    return first(found.join(best, "_norm"), "query_id").drop("_norm")
+    return _first(found.join(best, "_norm"), "query_id", order).drop("_norm")

@@ -18,6 +18,7 @@ from mercadia.functions.scalars import is_priced
 from mercadia.functions.textnorm import content_tokens, normalize, normalized, token_list, tokens
 from mercadia.lexicon import DEFAULT, Lexicon
 from mercadia.plans.query import QueryPlan, alias_family, query_variants
+from mercadia.shared import spool
 
 NOT_UNIT = rf"(?!\s?(?:{'|'.join(words.UNITS)})\b)"
 
@@ -105,10 +106,23 @@ def with_tokens(df: DataFrame, name: str = "name") -> DataFrame:
     return df.withColumn("name_norm", normalized(F.col(name))).withColumn("name_toks", token_list(F.col("name_norm")))
 
 
+def verdicts(offers: DataFrame, query: str, plan: QueryPlan | None = None, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """_name, _fits: each distinct name of offers once, null as empty, with the verdict. Written, so that every use has it as a column."""
+    names = with_tokens(offers.select(F.coalesce("name", F.lit("")).alias("_name")).distinct(), "_name")
+    return spool(names.select("_name", relevant(query, F.col("name_norm"), F.col("name_toks"), plan, lexicon).alias("_fits")), "verdicts")
+
+
+def tagged(offers: DataFrame, query: str, plan: QueryPlan | None = None, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """offers with _fits and _priced; offers that have them already stay as they are."""
+    if "_fits" in offers.columns:
+        return offers
+    named = offers.withColumn("_name", F.coalesce("name", F.lit("")))
+    return named.join(verdicts(offers, query, plan, lexicon), "_name").drop("_name").withColumn("_priced", is_priced(F.col("price")))
+
+
 def relevant_offers(offers: DataFrame, query: str, plan: QueryPlan | None = None, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """Priced offers that fit the query."""
-    found = with_tokens(offers.where(is_priced(F.col("price")))).where(relevant(query, F.col("name_norm"), F.col("name_toks"), plan, lexicon))
-    return found.drop("name_norm", "name_toks")
+    return tagged(offers, query, plan, lexicon).where("_fits AND _priced").drop("_fits", "_priced")
 
 
 def match_queries(offers: DataFrame, queries: list[str], lexicon: Lexicon = DEFAULT) -> DataFrame:

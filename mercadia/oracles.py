@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from mercadia import samples
-from mercadia.fixtures import DUP_SQL, FETCHES_SQL, LANDED_SQL, OFFERS_SQL, SEARCHES_SQL
+from mercadia.fixtures import DRAWN_SQL, DUP_SQL, FETCHES_SQL, LANDED_SQL, OFFERS_SQL, SEARCHES_SQL
 from mercadia.lexicon import ACCESSORIES, STOPWORDS, SYNONYMS
 
 
@@ -150,6 +150,11 @@ ORACLES: dict[str, str] = {
     "cache_path": f"WITH {SEARCHES_SQL}, k AS (SELECT event_id, CAST(client AS VARCHAR) || '::' || lower(trim(query)) AS key FROM searches) SELECT event_id, key, substr(sha256(key), 1, 32) || '.json' AS file FROM k",
     "client_key": _values({"forwarded": "VARCHAR", "host": "VARCHAR", "client": "VARCHAR"}, [(*a, b) for a, b in zip(samples.CLIENTS, samples.CLIENT_KEYS, strict=True)]),
     "relevance_match": f"WITH {PARTS} " + " UNION ALL ".join(f"SELECT {k} AS query_id, p_partkey FROM named WHERE {m}" for k, m in enumerate(MATCHES)),
+    "relevance_many": f"""WITH {PARTS}, {DRAWN_SQL}, asked AS (SELECT query, list_filter({TOKENS.format('query')}, lambda x: NOT list_contains({_list(STOPWORDS)}, x)) AS w FROM drawn),
+        wanted AS (SELECT query, w, list_has_any(w, {_list(ACCESSORIES)}) AS asks, list_transform(w, lambda x: CASE WHEN list_contains({_list(RED)}, x) THEN {_list(RED)} WHEN list_contains({_list(BLUE)}, x) THEN {_list(BLUE)} ELSE [x] END) AS g FROM asked),
+        known AS (SELECT p_partkey, norm, toks, regexp_extract_all(norm, '[0-9]+') AS nums, {ACCESSORY} AS accessory FROM named)
+        SELECT query, p_partkey FROM wanted, known WHERE len(w) = 0 OR (asks OR NOT accessory) AND len(list_filter(g, lambda x: NOT CASE WHEN regexp_full_match(x[1], '[0-9]+') THEN list_contains(nums, x[1])
+          ELSE list_has_any(toks, x) OR len(list_filter(x, lambda y: length(y) >= 5 AND contains(norm, y))) > 0 END)) = 0""",
     "relevance_accessory": "SELECT p_partkey, p_partkey % 3 IN (0, 1) AS accessory FROM part",
     "relevance_para": "SELECT p_partkey, regexp_matches(p_name, '^(red|blue)') AS for_product FROM part",
     "relevance_plan": f"WITH {PARTS} SELECT p_partkey FROM named WHERE NOT {_word('small')} AND NOT {ACCESSORY} AND (({_word('widget')} AND {_word('rojo', RED)}) OR ({_word('gizmo')} AND {_word('azul', BLUE)}))",
