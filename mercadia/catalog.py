@@ -480,7 +480,8 @@ def search_log(spark, d):
 
 @query
 def search_batch(spark, d):
-    return compare.batch_total(searching.batch(_landings(spark, d), fx.stores(spark, d), [QUERY, "widget", "red widget", "no such thing"]))
+    asked = spark.createDataFrame(list(enumerate([*fx.TEXTS, "no such thing"])), "query_id int, query string")
+    return compare.batch_total(searching.batch(_landings(spark, d), fx.stores(spark, d), asked))
 
 
 # State

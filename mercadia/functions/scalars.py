@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import html
-from collections.abc import Iterator
+import json
+from functools import cache
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from mercadia.config import DEFAULT, EngineConfig
 from mercadia.functions.textnorm import collapsed
@@ -45,20 +44,53 @@ def stock_flag(text: Column, *marks: str) -> Column:
     return F.when(found, 0).otherwise(1)
 
 
-@F.pandas_udf(StringType())
-def _unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(html.unescape, na_action="ignore")
-
-
 #: Character references that need no table; the ampersand comes last.
 COMMON = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&ntilde;", "ñ"), ("&amp;", "&")]
 
 
+@cache
+def _references() -> tuple[str, str]:
+    """HTML's named references as a JSON map, from Python's table, and a pattern of those that need no semicolon, longest first."""
+    bare = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+    return json.dumps(html5), f"^({'|'.join(bare)})"
+
+
+# What numbered references of the C1 controls stand for, and numbers that stand for nothing.
+C1 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+NOTHING = [*range(1, 9), 11, *range(14, 32), *range(127, 160), *range(0xFDD0, 0xFDF0), *(p * 65536 + k for p in range(17) for k in (0xFFFE, 0xFFFF))]
+
+
+def _numbered(digits: Column, base: int) -> Column:
+    """The character of a numbered reference."""
+    short = F.regexp_replace(digits, "^0+", "")
+    n = F.conv(F.when(F.length(short) == 0, "0").otherwise(short), base, 10).cast("long")
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    bad = (F.length(short) > 7) | (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+    return F.when(bad, "\ufffd").when(n == 13, "\r").when(n.between(128, 159), F.substring(F.lit(C1), (n - 127).cast("int"), F.lit(1))).when(n.isin(NOTHING), "").otherwise(char)
+
+
+def _reference(part: Column) -> Column:
+    """What stands behind an ampersand, with the reference that it may begin with decoded, as browsers do."""
+    names, bare = _references()
+    decimal, hexadecimal = F.regexp_extract(part, "^#([0-9]+);?", 1), F.regexp_extract(part, "^#[xX]([0-9a-fA-F]+);?", 1)
+    name = F.regexp_extract(part, r"^[^\t\n\f <&#;]{1,32};?", 0)
+    known = F.try_element_at(F.from_json(F.lit(names), "map<string,string>"), name)
+    legacy = F.regexp_extract(name, bare, 1)
+    of_legacy = F.concat(F.try_element_at(F.from_json(F.lit(names), "map<string,string>"), legacy), F.substring(part, F.length(legacy) + 1, F.length(part)))
+    return (
+        F.when(decimal != "", F.concat(_numbered(decimal, 10), F.regexp_replace(part, "^#[0-9]+;?", "")))
+        .when(hexadecimal != "", F.concat(_numbered(hexadecimal, 16), F.regexp_replace(part, "^#[xX][0-9a-fA-F]+;?", "")))
+        .when(known.isNotNull(), F.concat(known, F.substring(part, F.length(name) + 1, F.length(part))))
+        .when(legacy != "", of_legacy)
+        .otherwise(F.concat(F.lit("&"), part))
+    )
+
+
 def unescape(text: Column, full: bool = True) -> Column:
-    """Character references to characters: all of HTML's by a pandas function, or only the COMMON ones without Python."""
+    """Character references to characters: all of HTML's, or only the COMMON ones."""
     if full:
-        return _unescape(text)
+        parts = F.split(text, "&", -1)
+        return F.when(F.contains(text, F.lit("&")), F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), _reference), ""))).otherwise(text)
     for name, char in COMMON:
         text = F.replace(text, F.lit(name), F.lit(char))
     return text

@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 
 from mercadia.config import DEFAULT, EngineConfig
 from mercadia.functions.scalars import is_priced
-from mercadia.operators.many import cheapest
-from mercadia.operators.relevance import relevant_offers, tagged
+from mercadia.operators.many import best_of_names
+from mercadia.operators.relevance import match_queries, relevant_offers, tagged
 from mercadia.plans.query import QueryPlan
 
 NO_RESULTS = "sin resultados"
@@ -28,16 +28,16 @@ def dedupe_key() -> list[Column]:
     return [F.col("store_key"), address, F.coalesce("price", F.lit(0.0))]
 
 
-def keep_first(offers: DataFrame, *order: str) -> DataFrame:
-    """The first offer of each dedupe key, in the given order."""
-    rank = F.row_number().over(Window.partitionBy(*dedupe_key()).orderBy(*order))
+def keep_first(offers: DataFrame, *order: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The first offer of each dedupe key (within `by`), in the given order."""
+    rank = F.row_number().over(Window.partitionBy(*by, *dedupe_key()).orderBy(*order))
     return offers.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
-def alias_union(fetched: DataFrame, *order: str) -> DataFrame:
+def alias_union(fetched: DataFrame, *order: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Offers of all alias fetches of a store(store_key, alias_ord, ok, n_aliases, ...): failed fetches out; deduped only where the store was asked more than once."""
     good = fetched.where("ok")
-    return good.where("n_aliases <= 1").unionByName(keep_first(good.where("n_aliases > 1"), "alias_ord", *order))
+    return good.where("n_aliases <= 1").unionByName(keep_first(good.where("n_aliases > 1"), "alias_ord", *order, by=by))
 
 
 def fetch_status(fetches: DataFrame, known_kinds: list[str] | None = None) -> DataFrame:
@@ -91,7 +91,7 @@ def cli_view(offers: DataFrame, fetches: DataFrame, query: str, plan: QueryPlan
     """Matches by price, then the other stores in their own order, numbered in line_no."""
     known = tagged(offers, query, plan)
     best = _winners(known.where("_fits AND _priced"), "price", "pos").select("store_key", F.struct("name", "price", (F.col("available") > 0).alias("in_stock")).alias("b"))
-    rows = fetches.join(_reasons(offers), "store_key", "left").join(best, "store_key", "left").withColumn("b", F.when(F.col("ok"), F.col("b")))
+    rows = fetches.join(_reasons(known), "store_key", "left").join(best, "store_key", "left").withColumn("b", F.when(F.col("ok"), F.col("b")))
     rows = rows.select("store_key", "store_name", "store_ord", "b.*", F.when(F.col("b").isNull(), reason()).alias("reason"))
     line = F.row_number().over(Window.orderBy(F.col("reason").isNotNull(), F.col("price").asc_nulls_last(), "store_ord"))  # one row for each store
     return rows.withColumn("line_no", line).select("store_key", "store_name", "name", "price", "in_stock", "reason", "line_no")
@@ -164,10 +164,10 @@ def cheapest_store(best: DataFrame) -> DataFrame:
 
 
 def batch(offers: DataFrame, queries: list[str]) -> DataFrame:
-    """The cheapest match of each query over all stores; queries without a match are left out."""
-    asked = offers.sparkSession.createDataFrame(list(enumerate(queries)), "query_id int, query string")
-    found = cheapest(offers.where(is_priced(F.col("price"))), asked, "price", "store_key", "pos")
-    return found.join(F.broadcast(asked), "query_id").select("query_id", "query", "store_key", "store_name", "price")  # both have a row for each query
+    """The cheapest match of each query over all stores, of the cheapest offers of the distinct names; queries without a match are left out. For a list of a few queries; many.cheapest takes a table of them."""
+    best = best_of_names(offers.where(is_priced(F.col("price"))).select("name", "store_key", "store_name", "price", "pos"), "store_key", "pos")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("price", "store_key", "pos"))
+    return match_queries(best, queries).withColumn("_rank", rank).where("_rank = 1").select("query_id", "query", "store_key", "store_name", "price")
 
 
 def batch_total(items: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ A key that many names share is spread over salts, and its queries go to each of
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,7 +43,7 @@ def _texts(values) -> Column:
 def _groups(lexicon: Lexicon) -> Column:
     """A map from each word with synonyms to its group."""
     group = {t: sorted(lexicon.group(t)) for g in lexicon.synonyms for t in g}
-    return F.create_map(*[x for t, g in group.items() for x in (F.lit(t), _texts(g))])
+    return F.from_json(F.lit(json.dumps(group)), "map<string,array<string>>")
 
 
 def _asked_word(token: Column, groups: Column) -> Column:
@@ -206,9 +208,16 @@ def _first(rows: DataFrame, key: str, order: tuple) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r = 1").drop("_r")
 
 
-def cheapest(offers: DataFrame, queries: DataFrame, *order: str, lexicon: Lexicon = DEFAULT, name: str = "name") -> DataFrame:
-    """query_id and the first row of offers, by `order`, that fits each of queries; those without a fitting offer are left out. Of each distinct name only the first row takes part."""
-    best = _first(_named(offers, name), "_name", order).withColumn("_norm", normalized(F.col("_name"))).drop("_name")
-    best = spool(_first(best, "_norm", order), "best-of-names")
+def best_of_names(offers: DataFrame, *ties: str, price: str = "price", name: str = "name") -> DataFrame:
+    """The cheapest row of each distinct name of offers, by `ties` among equal prices; rows without a price are left out. The least prices are found by a hash aggregation, so only rows of that price are sorted."""
+    named = _named(offers, name).where(F.col(price).isNotNull())
+    least = named.groupBy("_name").agg(F.min(price).alias("_least"))
+    return _first(named.join(least, "_name").where(F.col(price) == F.col("_least")).drop("_least"), "_name", (price, *ties)).drop("_name")
+
+
+def cheapest(offers: DataFrame, queries: DataFrame, *ties: str, price: str = "price", lexicon: Lexicon = DEFAULT, name: str = "name") -> DataFrame:
+    """query_id and the cheapest row of offers that fits each of queries, by `ties` among equal prices; queries without a fitting priced row are left out. Of each distinct name only its cheapest row takes part."""
+    best = best_of_names(offers, *ties, price=price, name=name).withColumn("_norm", normalized(F.col(name)))
+    best = spool(_first(best, "_norm", (price, *ties)), "best-of-names")
     found = match_names(best.select(F.col("_norm").alias("norm")), queries, lexicon).withColumnRenamed("norm", "_norm")
-    return _first(found.join(best, "_norm"), "query_id", order).drop("_norm")
+    return _first(found.join(best, "_norm"), "query_id", (price, *ties)).drop("_norm")

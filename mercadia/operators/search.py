@@ -8,18 +8,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mercadia.config import DEFAULT, EngineConfig
 from mercadia.functions.scalars import is_priced
+from mercadia.functions.textnorm import collapsed, normalized
 from mercadia.operators import compare
+from mercadia.operators.many import match_names
+from mercadia.operators.relevance import tagged
+from mercadia.plans import columns as plan_columns
 from mercadia.plans.query import QueryPlan, local_plan, search_queries
+from mercadia.shared import spool
 from mercadia.sources.landed import select_stores
-from mercadia.sources.payloads import ASK_AGAIN, kinds, parse
-
-FETCH = ["store_key", "alias_ord"]
-
+from mercadia.sources.payloads import ASK_AGAIN, items, kinds
 
 @dataclass(frozen=True)
 class Search:
@@ -38,47 +41,51 @@ def texts_of(query: str, plan: QueryPlan, config: EngineConfig = DEFAULT) -> lis
     return texts if len(texts) > 1 else [query]
 
 
-def fan_out(landings: DataFrame, stores: DataFrame, texts: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Offers(store_key, store_name, alias_ord, pos, ...) and fetches(store_key, store_name, store_ord, kind, alias_ord, ok, error) of all stores and texts.
+def first_word(text: Column) -> Column:
+    """What a text of several words is asked again as; null for one word."""
+    clean = collapsed(text)
+    return F.when(F.contains(F.trim(text), F.lit(" ")), F.split(clean, " ")[0])
+
+
+def opened(landings: DataFrame, stores: DataFrame, texts: DataFrame) -> DataFrame:
+    """store_key, text, ok, error, items, bare of the landings of these stores for texts(text), each there once. One scan of landings, one parse of each.
 
-    A text of several words that finds nothing is asked again by its first word, at stores of the kinds that do so. The texts
-    are few, so their filter reaches the scan of landings.
+    bare: does this kind ask again after such an answer? Listings do where the listing itself is empty, pages where nothing in them can be read.
     """
-    again = [t.split()[0] if " " in t.strip() else None for t in texts]
-    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("alias_ord"), F.lit(t).alias("text"), F.lit(a).cast("string").alias("again")) for k, (t, a) in enumerate(zip(texts, again, strict=True))]))
-    wanted = stores.select(F.col("key").alias("store_key"), F.col("name").alias("store_name"), "domain", "kind", "store_ord", asked.alias("a")).select("*", "a.*").drop("a")
-    landed = landings.where(F.col("text").isin(sorted({*texts, *filter(None, again)}))).select("store_key", "text", "ok", "error", "body")
-    first = wanted.join(landed, ["store_key", "text"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
     used = [r["kind"] for r in stores.select("kind").distinct().collect()]  # kinds of endpoint: a few
-    found = parse(first.where("ok"), "alias_ord", only=used)
-
-    # listings are asked again where the listing itself is empty, pages where nothing in them can be read
-    bare = first.where(F.col("ok") & F.col("again").isNotNull())
-    listings, pages = ([k for k in ASK_AGAIN if k in used and k.startswith("vtex") == x] for x in (True, False))
-    empty = bare.where(F.col("kind").isin(listings) & (F.json_array_length("body") == 0))
-    if pages:
-        shown = bare.where(F.col("kind").isin(pages))
-        empty = empty.unionByName(shown.join(parse(shown, "alias_ord", only=pages).select(FETCH).distinct(), FETCH, "left_anti").select(empty.columns))
-    second = empty.drop("ok", "error", "body", "text").withColumnRenamed("again", "text").join(landed, ["store_key", "text"])
-    found = found.unionByName(parse(second.where("ok"), "alias_ord", only=listings + pages))
-    later = second.where("not ok").select(*FETCH, F.col("error").alias("_error"), F.lit(True).alias("_failed"))
-    fetches = first.join(later, FETCH, "left").select(
-        "store_key", "store_name", "store_ord", "kind", "alias_ord", (F.col("ok") & F.col("_failed").isNull()).alias("ok"), F.when(F.col("_failed"), F.col("_error")).otherwise(F.col("error")).alias("error")
-    )
-    return found, fetches
+    asked = landings.join(texts, "text", "left_semi").join(stores.select(F.col("key").alias("store_key"), "kind", "domain"), "store_key")
+    read = asked.select("store_key", "text", "kind", F.coalesce("ok", F.lit(False)).alias("ok"), "error", "body", F.when(F.col("ok"), items(F.col("kind"), F.col("body"), F.col("domain"), used)).alias("items"))
+    none = F.when(F.startswith("kind", F.lit("vtex")), F.json_array_length("body") == 0).otherwise(F.coalesce(F.size("items"), F.lit(0)) <= 0)
+    bare = F.col("ok") & F.col("kind").isin(ASK_AGAIN) & F.coalesce(none, F.lit(False))
+    return spool(read.select("store_key", "text", "ok", "error", "items", bare.alias("bare")), "opened")
+
+
+def fan_out(wanted: DataFrame, answers: DataFrame) -> DataFrame:
+    """wanted(store_key, text, again, ...) with ok, error and items of opened landings. A text that finds nothing is asked again as `again`, where that isn't null and has landed; nothing landed counts as failed."""
+    second = answers.select("store_key", F.col("text").alias("again"), F.col("ok").alias("_ok"), F.col("error").alias("_error"), F.col("items").alias("_items"))
+    both = wanted.join(answers, ["store_key", "text"], "left").join(second, ["store_key", "again"], "left")
+    anew = F.coalesce("bare", F.lit(False)) & F.col("_ok").isNotNull()
+    done = {"error": F.when(anew & ~F.col("_ok"), F.col("_error")).otherwise(F.col("error")), "items": F.when(anew, F.col("_items")).otherwise(F.col("items")), "ok": F.when(anew, F.col("_ok")).otherwise(F.coalesce("ok", F.lit(False)))}
+    return both.select(*wanted.columns, *[v.alias(k) for k, v in done.items()])
 
 
 def search(landings: DataFrame, stores: DataFrame, query: str, store: str | None = None, plan: QueryPlan | None = None, config: EngineConfig = DEFAULT) -> Search:
-    """The offers of the enabled stores, or of the one named, to a query and its aliases, each offer once."""
+    """The offers of the enabled stores, or of the one named, to a query and its aliases, each offer once. Offers, with their verdicts, and status are written before the views are made of them."""
     plan = local_plan(query) if plan is None else plan
     texts = texts_of(query, plan, config)
     chosen = select_stores(stores, store)
-    found, asked = fan_out(landings, chosen, texts)
-    good = found.join(asked.where("ok").select(FETCH), FETCH, "left_semi").withColumns({"ok": F.lit(True), "n_aliases": F.lit(len(texts))})
-    offers = compare.alias_union(good, "pos").withColumn("pos", F.struct("alias_ord", "pos")).drop("ok", "n_aliases")
-    status = compare.fetch_status(asked, kinds())
+    spark = landings.sparkSession
+    asked = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "alias_ord int, text string").withColumn("again", first_word(F.col("text")))
+    heard = asked.select(F.explode(F.array("text", "again")).alias("text")).where("text IS NOT NULL").distinct()
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("alias_ord"), F.lit(t).alias("text")) for k, t in enumerate(texts)])).alias("a")
+    wanted = chosen.select(F.col("key").alias("store_key"), F.col("name").alias("store_name"), "store_ord", "kind", each).select("*", "a.*").drop("a").withColumn("again", first_word(F.col("text")))
+    fetched = fan_out(wanted, opened(landings, chosen, F.broadcast(heard)))  # heard: the query's texts, a few
+
+    found = fetched.where("ok").select("store_key", "store_name", "alias_ord", F.lit(True).alias("ok"), F.lit(len(texts)).alias("n_aliases"), F.inline("items"))
+    offers = spool(compare.alias_union(found, "pos").withColumn("pos", F.struct("alias_ord", "pos")).drop("ok", "n_aliases"), "offers")
+    status = compare.fetch_status(fetched.select("store_key", "kind", "alias_ord", "ok", "error"), kinds())
     names = chosen.select(F.col("key").alias("store_key"), F.col("name").alias("store_name"), "store_ord")
-    return Search(query, plan, store, offers, names.join(status, "store_key"))
+    return Search(query, plan, store, tagged(offers, query, plan), spool(names.join(status, "store_key"), "status"))
 
 
 def cli(found: Search) -> DataFrame:
@@ -105,14 +112,26 @@ def log_row(found: Search, ts: int) -> DataFrame:
     return compare.log_row(found.query, found.store, compare.best_per_store(found.offers, found.fetches, found.query, found.plan), ts)
 
 
-def batch(landings: DataFrame, stores: DataFrame, queries: list[str]) -> DataFrame:
-    """query_id, query, store_key, store_name, price: the cheapest match of each query, those without a match left out. For compare.batch_total."""
-    out = None
-    for k, query in enumerate(queries):  # a plan for each line of the list
-        found = search(landings, stores, query)
-        matched = compare.best_match_per_store(found.offers, query, found.plan).where(is_priced(F.col("price")))
-        names = found.fetches.select("store_key", "store_ord")
-        best = F.min_by(F.struct("store_key", "store_name", "price"), F.struct("price", "store_ord"))
-        one = matched.join(names, "store_key").agg(best.alias("b")).where("b IS NOT NULL").select(F.lit(k).alias("query_id"), F.lit(query).alias("query"), "b.*")
-        out = one if out is None else out.unionByName(one)
-    return out
+def batch(landings: DataFrame, stores: DataFrame, queries: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    """query_id, query, store_key, store_name, price: the cheapest match of each of queries(query_id, query[, plan]) at the enabled stores; those without a match are left out. For compare.batch_total.
+
+    One job for all queries: each landing is parsed once, whichever queries ask for its text, and each distinct name is tested once. plan is a struct of QueryPlan's fields; where it has no texts the query's aliases are asked for.
+    """
+    query = collapsed(F.col("query"))
+    local = F.slice(plan_columns.search_texts(query, config.aliases_without_plan), 1, config.aliases_without_plan)
+    planned = F.slice(F.col("plan.search_queries"), 1, config.aliases_with_plan) if "plan" in queries.columns else F.lit(None).cast("array<string>")
+    texts = F.when(F.coalesce(F.size(planned), F.lit(0)) > 0, planned).otherwise(local)
+    texts = F.when(F.size(texts) > 1, texts).otherwise(F.array(query))
+    asked = spool(queries.select("query_id", texts.alias("texts")).select("query_id", F.size("texts").alias("n_aliases"), F.posexplode("texts").alias("alias_ord", "text")).withColumn("again", first_word(F.col("text"))), "asked")
+    heard = asked.select(F.explode(F.array("text", "again")).alias("text")).where("text IS NOT NULL").distinct()
+    chosen = select_stores(stores)
+    answers = opened(landings, chosen, heard)
+    wanted = asked.join(answers.select("store_key", "text"), "text")  # what didn't land has no offers
+    found = fan_out(wanted, answers).where("ok").join(chosen.select(F.col("key").alias("store_key"), F.col("name").alias("store_name"), "store_ord"), "store_key")
+    found = found.select("query_id", "store_key", "store_name", "store_ord", "alias_ord", "ok", "n_aliases", F.inline("items")).where(is_priced(F.col("price")))
+    offers = compare.alias_union(found, "pos", by=("query_id",)).withColumn("norm", normalized(F.col("name")))
+    offers = spool(offers.select("query_id", "store_key", "store_name", "store_ord", "price", "alias_ord", "pos", "norm"), "batch-offers")
+    fits = match_names(offers.select("norm").distinct(), queries)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("price", "store_ord", "alias_ord", "pos"))
+    best = offers.join(fits, ["query_id", "norm"]).withColumn("_rank", rank).where("_rank = 1")
+    return best.join(queries.select("query_id", "query"), "query_id").select("query_id", "query", "store_key", "store_name", "price")

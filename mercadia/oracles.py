@@ -210,6 +210,9 @@ ORACLES: dict[str, str] = {
     "search_api": ALL_STORES + " SELECT 'widget rojo' AS query, 'widget rojo' AS normalized_query, 'local' AS planner, (SELECT arg_min(store_key, rank) FILTER (ok) FROM best) AS cheapest, rank, store_key, ok, count, name, price, available, url, image, error, found_without_price, n_items FROM best",
     "search_one_store": SEARCHED.format(where="OR s_suppkey = 7").replace("s_acctbal >= 0 OR s_suppkey = 7", "s_suppkey = 7") + " SELECT rank, store_key, ok, count, name, price, error FROM best",
     "search_log": ALL_STORES + " SELECT 1704067200 AS ts, 'widget rojo' AS query, NULL::VARCHAR AS store, count(*) FILTER (ok) AS stores_with_price, arg_min(store_key, rank) FILTER (ok) AS cheapest FROM best",
+    "search_batch": f"""WITH {LANDED_SQL}, named AS (SELECT *, {STRIP.format('name')} AS norm, {TOKENS.format('name')} AS toks FROM landed_offers WHERE s IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0)),
+        b AS (SELECT text AS query, store_name, price FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY price, s, pos) AS r FROM named JOIN texts USING (k) WHERE price > 0 AND CASE WHEN k = 2 THEN NOT {ACCESSORY} AND {_word('widget')} ELSE {WIDGET} END) WHERE r = 1)
+        SELECT * FROM b UNION ALL SELECT 'TOTAL', NULL, round(sum(price), 2) FROM b""",
     "popular_queries": f"WITH {SEARCHES_SQL} SELECT query, count FROM (SELECT {COLLAPSE} AS query, count(*) AS count, min(event_id) AS first FROM searches GROUP BY 1) WHERE query <> '' ORDER BY count DESC, first LIMIT 20",
     "popular_by_hour": f"WITH {SEARCHES_SQL} SELECT date_trunc('hour', ts) AS start, {COLLAPSE} AS query, count(*) AS count FROM searches GROUP BY 1, 2",
     "sessions": f"""WITH {SEARCHES_SQL}, a AS (SELECT client, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM searches WINDOW w AS (PARTITION BY client ORDER BY ts)),

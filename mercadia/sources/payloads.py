@@ -1,7 +1,8 @@
-"""Parsers of landed search payloads: one kind of retailer endpoint each, from (payload, domain, body) to offers.
+"""Parsers of landed search payloads: one kind of retailer endpoint each, from the columns (body, domain) to an array of offers.
 
-payload is a struct of the landed row's other columns, and comes out as it went in. Every parser yields payload, pos, name, price,
-available, url, image; pos is the order within the payload. A body that can't be read gives no rows, and an element that can't be read gives none of its own: other rows are untouched.
+Each parser is a Column expression, so payloads of all kinds are read in one scan: a dispatch by kind to one array, one explode. The
+offers are structs of the ITEM columns; pos is the order within the payload. A body that can't be read gives no offers, and an element that
+can't be read gives none of its own: others are untouched.
 """
 
 from __future__ import annotations
@@ -50,141 +51,135 @@ def _first(text: Column, pattern: str, group: int = 1) -> Column:
     return F.when(F.regexp_like(text, F.lit(pattern)), F.regexp_extract(text, pattern, group))
 
 
-def _each(df: DataFrame, items: Column) -> DataFrame:
-    return df.select("payload", "domain", F.posexplode(items).alias("pos", "x"))
-
-
-def _site(path: str, tail: Column) -> Column:
-    return F.concat(F.lit("https://"), F.col("domain"), F.lit(path), tail)
+def _site(domain: Column, path: str, tail: Column) -> Column:
+    return F.concat(F.lit("https://"), domain, F.lit(path), tail)
 
 
 def _number(text: Column) -> Column:
     return text.try_cast("double")
 
 
-def catalog(df: DataFrame) -> DataFrame:
+def _item(pos: Column, name: Column, price: Column, available: Column, url: Column, image: Column) -> Column:
+    columns = (pos.cast("int"), name.cast("string"), price.cast("double"), available.cast("int"), url.cast("string"), image.cast("string"))
+    return F.struct(*[c.alias(n) for c, n in zip(columns, ITEM, strict=True)])
+
+
+def catalog(body: Column, domain: Column) -> Column:
     """Catalog listings: first unit, first seller, first image; an item with an unreadable price or stock is dropped."""
-    x = F.col("x")
-    unit = F.get(x["items"], 0)
-    offer = F.get(unit["sellers"], 0)["commertialOffer"]
-    price, stock = offer["Price"], truthy(offer["AvailableQuantity"])
-    rows = _each(df, F.from_json("body", CATALOG)).where((price.isNull() | _number(price).isNotNull()) & (stock.isNull() | _number(stock).isNotNull()))
-    return rows.select(
-        "payload", "pos", F.coalesce(x["productName"], F.lit(NO_NAME)).alias("name"), normalize_price(_number(price)).alias("price"),
-        F.coalesce(_number(stock).cast("int"), F.lit(0)).alias("available"), F.coalesce(x["link"], F.lit("")).alias("url"), F.get(unit["images"], 0)["imageUrl"].alias("image"),
-    )
-
-
-def minor_unit_search(df: DataFrame, price_field: str = "P", stock_field: str = "I") -> DataFrame:
+    unit = lambda x: F.get(x["items"], 0)
+    offer = lambda x: F.get(unit(x)["sellers"], 0)["commertialOffer"]
+    stock = lambda x: truthy(offer(x)["AvailableQuantity"])
+    readable = lambda x: (offer(x)["Price"].isNull() | _number(offer(x)["Price"]).isNotNull()) & (stock(x).isNull() | _number(stock(x)).isNotNull())
+    return F.transform(
+        F.filter(F.from_json(body, CATALOG), readable),
+        lambda x, k: _item(k, F.coalesce(x["productName"], F.lit(NO_NAME)), normalize_price(_number(offer(x)["Price"])), F.coalesce(_number(stock(x)).cast("int"), F.lit(0)), F.coalesce(x["link"], F.lit("")), F.get(unit(x)["images"], 0)["imageUrl"]),
+    )
+
+
+def _text(value: Column, path: str) -> Column:
+    return F.try_variant_get(value, path, "string")
+
+
+def minor_unit_search(body: Column, domain: Column, price_field: str = "P", stock_field: str = "I") -> Column:
     """Search documents whose price, in minor units, is a field of the document or of one of its variants; which field depends on country and club."""
-    text = lambda v, path: F.try_variant_get(v, path, "string")
-    scalar = lambda v, name: F.coalesce(text(v, f"$.{name}[0]"), text(v, f"$.{name}"))
-    x = F.col("x")
-    master = truthy(text(x, "$.master_sku"))
-    variants = F.try_variant_get(x, "$.variants", "array<variant>")
-    own = F.get(F.filter(variants, lambda v: text(v, "$.skuid") == master), 0)
-    priced = F.get(F.filter(variants, lambda v: text(v, f"$.{price_field}").isNotNull()), 0)
-    rows = _each(df, F.try_variant_get(F.try_parse_json("body"), "$.response.docs", "array<variant>")).withColumn("v", F.coalesce(own, priced))
-    of = lambda name: F.coalesce(text(x, f"$.{name}"), scalar(F.col("v"), name))
-    pid = F.coalesce(text(x, "$.pid"), F.lit(""))
-    slug, sku = F.coalesce(truthy(text(x, "$.slug")), pid), F.coalesce(master, pid)
-    return rows.select(
-        "payload", "pos", F.coalesce(text(x, "$.title"), F.lit(NO_NAME)).alias("name"),
-        minor_units(_number(of(price_field)), text(x, "$.fractionDigits").try_cast("int")).alias("price"),
-        F.when(F.lower(of(stock_field)) == "in stock", 1).otherwise(0).alias("available"),
-        _site("/es-gt/producto/", F.concat(slug, F.lit("/"), sku)).alias("url"), text(x, "$.thumb_image").alias("image"),
-    )
-
-
-def stocked_products(df: DataFrame) -> DataFrame:
+
+    def one(x: Column, k: Column) -> Column:
+        master = truthy(_text(x, "$.master_sku"))
+        variants = F.try_variant_get(x, "$.variants", "array<variant>")
+        v = F.coalesce(F.get(F.filter(variants, lambda v: _text(v, "$.skuid") == master), 0), F.get(F.filter(variants, lambda v: _text(v, f"$.{price_field}").isNotNull()), 0))
+        of = lambda name: F.coalesce(_text(x, f"$.{name}"), _text(v, f"$.{name}[0]"), _text(v, f"$.{name}"))
+        pid = F.coalesce(_text(x, "$.pid"), F.lit(""))
+        slug, sku = F.coalesce(truthy(_text(x, "$.slug")), pid), F.coalesce(master, pid)
+        price = minor_units(_number(of(price_field)), _text(x, "$.fractionDigits").try_cast("int"))
+        return _item(k, F.coalesce(_text(x, "$.title"), F.lit(NO_NAME)), price, F.when(F.lower(of(stock_field)) == "in stock", 1).otherwise(0), _site(domain, "/es-gt/producto/", F.concat(slug, F.lit("/"), sku)), _text(x, "$.thumb_image"))
+
+    return F.transform(F.try_variant_get(F.try_parse_json(body), "$.response.docs", "array<variant>"), one)
+
+
+def stocked_products(body: Column, domain: Column) -> Column:
     """Products with stock by branch, in an optional wrapper; a discount above zero is the price. Without a code no row."""
-    parsed = F.from_json("body", f"STRUCT<Response STRUCT<Productos {PRODUCTS}>, Productos {PRODUCTS}>")
+    parsed = F.from_json(body, f"STRUCT<Response STRUCT<Productos {PRODUCTS}>, Productos {PRODUCTS}>")
     inner = F.when(parsed["Response"].isNotNull(), parsed["Response"]["Productos"]).otherwise(parsed["Productos"])
-    x = F.col("x")
     yes = lambda flag: F.when(F.coalesce(flag, F.lit("")).isin("", "false", "0"), 0).otherwise(1)
-    held = F.aggregate(F.coalesce(x["Existencia"], F.array()), F.lit(0.0), lambda acc, b: acc + F.coalesce(_number(truthy(b["Existencia"])), F.lit(0.0)))
-    discount = as_price(x["PrecioDescuento"])
-    rows = _each(df, inner).where(truthy(x["Codigo"]).isNotNull())
-    return rows.select(
-        "payload", "pos", F.trim(unescape(F.coalesce(truthy(x["Descripcion"]), x["Codigo"]))).alias("name"),
-        F.when(discount > 0, discount).otherwise(as_price(x["PrecioNormal"])).alias("price"), (held + yes(x["EnBodega"]) + yes(x["EnTransito"])).cast("int").alias("available"),
-        _site("/producto/", url_quote(x["Codigo"])).alias("url"), x["Imagen"].alias("image"),
-    )
 
+    def one(x: Column, k: Column) -> Column:
+        held = F.aggregate(F.coalesce(x["Existencia"], F.array()), F.lit(0.0), lambda acc, b: acc + F.coalesce(_number(truthy(b["Existencia"])), F.lit(0.0)))
+        discount = as_price(x["PrecioDescuento"])
+        name = F.trim(unescape(F.coalesce(truthy(x["Descripcion"]), x["Codigo"])))
+        return _item(k, name, F.when(discount > 0, discount).otherwise(as_price(x["PrecioNormal"])), held + yes(x["EnBodega"]) + yes(x["EnTransito"]), _site(domain, "/producto/", url_quote(x["Codigo"])), x["Imagen"])
 
-def first_price_search(df: DataFrame) -> DataFrame:
+    return F.transform(F.filter(inner, lambda x: truthy(x["Codigo"]).isNotNull()), one)
+
+
+def first_price_search(body: Column, domain: Column) -> Column:
     """Results with several prices: the first that is neither missing, empty nor the number 0 counts (the text "0" does)."""
-    x = F.col("x")
-    text = lambda name: F.try_variant_get(x, f"$.{name}", "string")
 
-    def given(name: str) -> Column:
-        value = F.try_variant_get(x, f"$.{name}", "variant")
-        return F.when(F.schema_of_variant(value) == "STRING", truthy(text(name))).when(_number(text(name)) != 0, text(name))
+    def one(x: Column, k: Column) -> Column:
+        text = lambda name: _text(x, f"$.{name}")
+
+        def given(name: str) -> Column:
+            value = F.try_variant_get(x, f"$.{name}", "variant")
+            return F.when(F.schema_of_variant(value) == "STRING", truthy(text(name))).when(_number(text(name)) != 0, text(name))
 
-    sku = F.trim(F.coalesce(given("id"), given("mpn"), truthy(text("id")), truthy(text("mpn")), F.lit("")))
-    sku = F.when(sku == "0", "").otherwise(sku)
-    rows = _each(df, F.try_variant_get(F.try_parse_json("body"), "$.results", "array<variant>")).withColumn("sku", sku)
-    return rows.select(
-        "payload", "pos", F.trim(unescape(F.coalesce(truthy(text("title")), F.col("sku")))).alias("name"),
-        as_price(F.coalesce(given("sale_price"), given("best_price"), text("price"))).alias("price"),
-        F.when(F.lower(text("availability")) == "in stock", 1).otherwise(0).alias("available"),
-        F.coalesce(truthy(text("link")), _site("/producto/", url_quote(F.col("sku")))).alias("url"), text("image_link").alias("image"),
-    )
+        sku = F.trim(F.coalesce(given("id"), given("mpn"), truthy(text("id")), truthy(text("mpn")), F.lit("")))
+        sku = F.when(sku == "0", "").otherwise(sku)
+        price = as_price(F.coalesce(given("sale_price"), given("best_price"), text("price")))
+        return _item(k, F.trim(unescape(F.coalesce(truthy(text("title")), sku))), price, F.when(F.lower(text("availability")) == "in stock", 1).otherwise(0), F.coalesce(truthy(text("link")), _site(domain, "/producto/", url_quote(sku))), text("image_link"))
 
+    return F.transform(F.try_variant_get(F.try_parse_json(body), "$.results", "array<variant>"), one)
 
-def faceted_search(df: DataFrame) -> DataFrame:
+
+def faceted_search(body: Column, domain: Column) -> Column:
     """Results with prices by purpose (the first that isn't zero once read) and stock by quantity, by facet, or else 1."""
-    x = F.col("x")
-    data = x["data"]
-    prices = [as_price(data[c]) for c in ("final_price", "special_price", "price", "regular_price")]
-    facet = F.get(F.filter(data["facets"], lambda f: f["name"] == "availability"), 0)
-    by_facet = F.when(facet.isNull(), 1).when(F.exists(F.coalesce(facet["values"], F.array()), lambda v: F.upper(v) == "IN_STOCK"), 1).otherwise(0)
-    address = F.coalesce(truthy(data["url"]), _site("/", truthy(data["url_key"])), F.lit(""))
-    return _each(df, F.from_json("body", RESULTS)["response"]["results"]).select(
-        "payload", "pos", F.coalesce(truthy(x["value"]), truthy(data["meta_title"]), F.lit(NO_NAME)).alias("name"),
-        F.coalesce(*(F.nullif(p, F.lit(0.0)) for p in prices[:-1]), prices[-1]).alias("price"),
-        F.coalesce(_number(data["salable_quantity"]).cast("int"), by_facet).alias("available"), address.alias("url"), data["image_url"].alias("image"),
-    )
-
-
-def grid_page(df: DataFrame) -> DataFrame:
+
+    def one(x: Column, k: Column) -> Column:
+        data = x["data"]
+        prices = [as_price(data[c]) for c in ("final_price", "special_price", "price", "regular_price")]
+        facet = F.get(F.filter(data["facets"], lambda f: f["name"] == "availability"), 0)
+        by_facet = F.when(facet.isNull(), 1).when(F.exists(F.coalesce(facet["values"], F.array()), lambda v: F.upper(v) == "IN_STOCK"), 1).otherwise(0)
+        address = F.coalesce(truthy(data["url"]), _site(domain, "/", truthy(data["url_key"])), F.lit(""))
+        price = F.coalesce(*(F.nullif(p, F.lit(0.0)) for p in prices[:-1]), prices[-1])
+        return _item(k, F.coalesce(truthy(x["value"]), truthy(data["meta_title"]), F.lit(NO_NAME)), price, F.coalesce(_number(data["salable_quantity"]).cast("int"), by_facet), address, data["image_url"])
+
+    return F.transform(F.from_json(body, RESULTS)["response"]["results"], one)
+
+
+def _named(items: Column) -> Column:
+    return F.filter(items, lambda o: o["name"] != "")
+
+
+def grid_page(body: Column, domain: Column) -> Column:
     """Pages of a product grid: a chunk from each item mark to the next; without link or name no row."""
-    x = F.col("x")
-    rows = _each(df, F.split("body", GRID_ITEM)).where("pos > 0").withColumn("name", html_text(_first(x, GRID_LINK, 2))).where("name <> ''")
-    return rows.select(
-        "payload", (F.col("pos") - 1).alias("pos"), "name", F.round(_number(_first(x, GRID_PRICE)), 2).alias("price"),
-        stock_flag(x, "agotado", "sin existencia").alias("available"), _first(x, GRID_LINK).alias("url"), _first(x, GRID_IMAGE).alias("image"),
-    )
+    chunks = F.split(body, GRID_ITEM)
+    return _named(F.transform(
+        F.slice(chunks, 2, F.size(chunks)),
+        lambda x, k: _item(k, html_text(_first(x, GRID_LINK, 2)), F.round(_number(_first(x, GRID_PRICE)), 2), stock_flag(x, "agotado", "sin existencia"), _first(x, GRID_LINK), _first(x, GRID_IMAGE)),
+    ))
 
 
-def card_page(df: DataFrame) -> DataFrame:
+def card_page(body: Column, domain: Column) -> Column:
     """Pages of titled cards: a segment from each card's anchor to the next, the last at most 4,000 characters; without price no row."""
-    x = F.col("x")
-    cut = df.withColumn("parts", F.split("body", f"(?={CARD})"))
-    rows = cut.select("payload", "domain", F.size("parts").alias("n"), F.posexplode("parts").alias("pos", "x")).where(F.regexp_like(x, F.lit(f"^{CARD}")))
-    anchor = F.regexp_extract(x, f"^{CARD}", 0)
-    segment = F.substring(x, F.length(anchor) + 1, F.when(F.col("pos") == F.col("n") - 1, 4000).otherwise(F.length(x)))
-    rows = rows.withColumn("segment", segment)
-    s = F.col("segment")
-    return rows.where(F.regexp_like(s, F.lit(CARD_PRICE))).select(
-        "payload", "pos", F.trim(unescape(F.regexp_extract(x, f"^{CARD}", 1))).alias("name"), as_price(_first(s, CARD_PRICE)).alias("price"),
-        stock_flag(s, "agotado", "sin stock").alias("available"), _site("", F.regexp_extract(x, f"^{CARD}", 2)).alias("url"), _first(s, CARD_IMAGE).alias("image"),
-    )
-
-
-def list_page(df: DataFrame) -> DataFrame:
+    parts = F.split(body, f"(?={CARD})")
+    cut = F.transform(parts, lambda x, k: F.struct(x.alias("x"), (k == F.size(parts) - 1).alias("last")))
+    cards = F.filter(cut, lambda c: F.regexp_like(c["x"], F.lit(f"^{CARD}")))
+    segment = lambda c: F.substring(c["x"], F.length(F.regexp_extract(c["x"], f"^{CARD}", 0)) + 1, F.when(c["last"], 4000).otherwise(F.length(c["x"])))
+    priced = F.filter(F.transform(cards, lambda c: F.struct(c["x"].alias("x"), segment(c).alias("s"))), lambda c: F.regexp_like(c["s"], F.lit(CARD_PRICE)))
+    return F.transform(
+        priced,
+        lambda c, k: _item(k, F.trim(unescape(F.regexp_extract(c["x"], f"^{CARD}", 1))), as_price(_first(c["s"], CARD_PRICE)), stock_flag(c["s"], "agotado", "sin stock"), _site(domain, "", F.regexp_extract(c["x"], f"^{CARD}", 2)), _first(c["s"], CARD_IMAGE)),
+    )
+
+
+def list_page(body: Column, domain: Column) -> Column:
     """Pages of product list items: link and title needed, the last amount is the price."""
-    x = F.col("x")
-    amounts = F.regexp_extract_all(x, F.lit(LIST_AMOUNT), F.lit(1))
-    rows = _each(df, F.regexp_extract_all("body", F.lit(LIST_ITEM), F.lit(1)))
-    rows = rows.where(_first(x, LIST_LINK).isNotNull()).withColumn("name", html_text(_first(x, LIST_TITLE))).where("name <> ''")
-    return rows.select(
-        "payload", "pos", "name", as_price(F.try_element_at(amounts, F.lit(-1))).alias("price"),
-        stock_flag(x, "outofstock", "agotado").alias("available"), _first(x, LIST_LINK).alias("url"), _first(x, LIST_IMAGE).alias("image"),
-    )
+    amounts = lambda x: F.regexp_extract_all(x, F.lit(LIST_AMOUNT), F.lit(1))
+    linked = F.filter(F.regexp_extract_all(body, F.lit(LIST_ITEM), F.lit(1)), lambda x: F.regexp_like(x, F.lit(LIST_LINK)))
+    return _named(F.transform(
+        linked, lambda x, k: _item(k, html_text(_first(x, LIST_TITLE)), as_price(F.try_element_at(amounts(x), F.lit(-1))), stock_flag(x, "outofstock", "agotado"), _first(x, LIST_LINK), _first(x, LIST_IMAGE))
+    ))
 
 
-Parser = Callable[[DataFrame], DataFrame]
+Parser = Callable[[Column, Column], Column]
 _KINDS: dict[str, Parser] = {
     "vtex": catalog, "vtex_manual": catalog, "pricesmart": minor_unit_search, "intelaf": stocked_products, "novex": first_price_search,
     "max_constructor": faceted_search, "magento": grid_page, "kemik": card_page, "woocommerce": list_page,
@@ -192,7 +187,7 @@ _KINDS: dict[str, Parser] = {
 
 
 def register_source(kind: str, parser: Parser) -> None:
-    """Adds a kind of payload; parser takes (payload, domain, body) and gives payload and the ITEM columns."""
+    """Adds a kind of payload; parser takes the columns (body, domain) and gives an array of structs of the ITEM columns."""
     _KINDS[kind] = parser
 
 
@@ -200,12 +195,19 @@ def kinds() -> list[str]:
     return sorted(_KINDS)
 
 
-def parse(payloads: DataFrame, *keep: str, only: list[str] | None = None) -> DataFrame:
-    """Offers of all payloads(kind, store_key, store_name, domain, body): one parser for each kind (of `only`, where given), their rows together, with the payload's columns `keep`. Unknown kinds give none (see fetch_status)."""
-    wrapped = payloads.select("kind", "domain", "body", F.struct("store_key", "store_name", *keep).alias("payload"))
-    chosen = [k for k in _KINDS if only is None or k in only]
-    out = None
-    for kind in chosen or list(_KINDS)[:1]:
-        rows = _KINDS[kind](wrapped.where(wrapped["kind"] == (kind if chosen else ""))).select("payload.*", *ITEM)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def items(kind: Column, body: Column, domain: Column, only: list[str] | None = None) -> Column:
+    """The offers of a payload: an array, by the parser of its kind (of `only`, where given). Unknown kinds have none (see fetch_status)."""
+    found = F.lit(None).cast("array<struct<pos:int,name:string,price:double,available:int,url:string,image:string>>")
+    by_parser: dict[Parser, list[str]] = {}
+    for k, parser in _KINDS.items():
+        if only is None or k in only:
+            by_parser.setdefault(parser, []).append(k)
+    for parser, named in by_parser.items():
+        found = F.when(kind.isin(named), parser(body, domain)).otherwise(found)
+    return found
+
+
+def parse(payloads: DataFrame, *keep: str) -> DataFrame:
+    """Offers of all payloads(kind, store_key, store_name, domain, body), with the payload's columns `keep`, in one scan."""
+    rows = payloads.select("store_key", "store_name", *keep, F.explode(items(F.col("kind"), F.col("body"), F.col("domain"))).alias("_item"))
+    return rows.select("store_key", "store_name", *keep, "_item.*")

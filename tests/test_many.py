@@ -76,6 +76,6 @@ def test_cheapest_and_empty(spark):
     rows = [(n, float(p), k) for k, (n, p) in enumerate(itertools.product(["red widget", "Red Widget", "blue widget", None], [3, 1, 2, 1]))]
     offers = spark.createDataFrame(rows, "name string, price double, pos int")
     queries = spark.createDataFrame([(1, "widget"), (2, "rojo"), (3, "azul"), (4, "none")], "query_id int, query string")
-    got = {r["query_id"]: (r["price"], r["pos"]) for r in many.cheapest(offers, queries, "price", "pos").collect()}
+    got = {r["query_id"]: (r["price"], r["pos"]) for r in many.cheapest(offers, queries, "pos").collect()}
     assert got == {1: (1.0, 1), 2: (1.0, 1), 3: (1.0, 9)}
     assert many.match_table(offers.limit(0), queries).count() == 0 == many.match_table(offers, queries.limit(0)).count()

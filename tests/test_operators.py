@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import html
+import html.entities
+import random
+
 import json
 import random
 
@@ -29,6 +33,16 @@ def test_html(spark):
     assert column(spark, sc.html_escape, "<a href=\"x\">'&'</a>", None) == ["&lt;a href=&quot;x&quot;&gt;&#x27;&amp;&#x27;&lt;/a&gt;", ""]
 
 
+def test_references_as_python_reads_them(spark):
+    draw = random.Random(9)
+    names = [f"&{n}" for n in draw.sample(sorted(html.entities.html5), 300)]
+    odd = ["&", "&&", "a&b;c", "&#;", "&#x;", "&#0;", "&#00065;&#x41", "&#128;&#150;&#129;", "&#55296;&#1114112;&#99999999999999999999;", "&#xFFFE;&#1;&#13;&#11;", "&notit;&notin;&amp&lt&copyx&ampamp;", "&#xZ;&#12a", "é&eacute;&EACUTE;", "&" * 50, "&nosuch;", "&Aacut", "&lt;&gt", "&amp;lt;"]
+    mixed = ["".join(draw.choices([*names, *odd, "x", " ", ";", "#"], k=6)) for _ in range(300)]
+    texts = [*names, *odd, *mixed, "plain", ""]
+    assert column(spark, sc.unescape, *texts) == [html.unescape(t) for t in texts]
+    assert column(spark, sc.unescape, None) == [None]
+
+
 def test_broken_payloads_are_isolated(spark):
     body = {k: samples.PAYLOADS[k] for k in samples.PAYLOADS}
     rows = [(k, f"{k}-{n}", "S", "shop.example", b) for k in body for n, b in enumerate([body[k], "{", "", None, "[1, 2]"])]
@@ -38,7 +52,7 @@ def test_broken_payloads_are_isolated(spark):
 
 
 def test_register_source(spark):
-    payloads.register_source("plain", lambda df: df.select("payload", F.lit(0).alias("pos"), F.col("body").alias("name"), F.lit(1.0).alias("price"), F.lit(1).alias("available"), F.lit("").alias("url"), F.lit(None).cast("string").alias("image")))
+    payloads.register_source("plain", lambda body, domain: F.array(payloads._item(F.lit(0), body, F.lit(1.0), F.lit(1), F.lit(""), F.lit(None))))
     try:
         row = payloads.parse(spark.createDataFrame([("plain", "s", "S", "d", "thing")], "kind string, store_key string, store_name string, domain string, body string")).first()
         assert row["name"] == "thing"
