@@ -14,7 +14,7 @@ from mercadia.config import EngineConfig
 from mercadia.functions import scalars as sc
 from mercadia.functions import textnorm as tn
 from mercadia.lexicon import DEFAULT as LEXICON
-from mercadia.operators import compare, many, report, state
+from mercadia.operators import asof, compare, many, report, state
 from mercadia.operators import search as searching
 from mercadia.operators.relevance import for_product_pattern, match_queries, overlaps, relevant, relevant_offers, with_tokens
 from mercadia.plans import columns as plan_columns
@@ -527,6 +527,26 @@ def cache_lookup(spark, d):
     return landed.lookup(entries, float(ORIGIN + 29 * 86_400), 86_400.0).select("key", "data", "file")
 
 
+@query
+def plan_resolution(spark, d):
+    """The plan of each search: the cached one of its time, merged, or the local one."""
+    found = asof.resolve_plans(fx.timed_searches(spark, d), fx.cached_plans(spark, d), EngineConfig(plan_ttl_s=fx.PLAN_TTL_S))
+    return found.select("event_id", "plan.source", "plan.canonical_query", F.array_join("plan.search_queries", "|").alias("texts"))
+
+
+@query
+def cached_searches(spark, d):
+    """Each request through the cache of its store and text, over what had landed at its time."""
+    return asof.answered(fx.requests(spark, d), fx.timed_landings(spark, d), F.json_array_length("body") == 0, 4 * 3_600 * asof.SECOND).select("id", "hit", "ok", "error", "landing")
+
+
+@query
+def cache_one_key(spark, d):
+    """All events as requests of one key, every third of which would fail."""
+    hits = fx.requests(spark, d).select(F.lit("all").alias("key"), "t", "id", (F.col("id") % 3 != 0).alias("ok"))
+    return asof.read_through(hits, 3_600 * asof.SECOND).select("id", "hit", "entry")
+
+
 # Reports
 
 

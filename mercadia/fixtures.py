@@ -79,6 +79,50 @@ def drawn_queries(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").select(text.alias("query")).distinct().select(F.col("query").alias("query_id"), "query")
 
 
+PLAN_TTL_S = 3 * 86_400
+#: Plans cached for the searches' texts: of every 11th event one that ends as it is asked, of every 17th one written right after it; some are no objects.
+CACHED_PLANS_SQL = f"""asked AS (SELECT *, epoch_us(ts) AS t, trim(regexp_replace(query, '\\s+', ' ', 'g')) AS clean FROM searches),
+cached AS (
+  SELECT lower(clean) AS key, t - {PLAN_TTL_S * 10**6} AS t, event_id * 2 AS id, event_id AS e FROM asked WHERE event_id % 11 = 0
+  UNION ALL SELECT lower(clean), t + 1, event_id * 2 + 1, event_id FROM asked WHERE event_id % 17 = 0)"""
+
+
+def timed_searches(spark: SparkSession, d: str) -> DataFrame:
+    return searches(spark, d).select("event_id", "query", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+
+
+def cached_plans(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    plan = F.to_json(F.struct(F.concat(F.lit("plan "), e.cast("string")).alias("canonical_query"), F.array(F.concat(F.lit(" Extra  "), (e % 9).cast("string"))).alias("search_queries"), F.lit("data").alias("source")))
+    body = F.when(e % 5 == 0, "[1]").when(e % 7 == 0, "{broken").otherwise(plan)
+    asked = timed_searches(spark, d)
+    ends = asked.where(e % 11 == 0).select(F.upper("query").alias("query"), (F.col("t") - PLAN_TTL_S * 10**6).alias("t"), (e * 2).alias("id"), body.alias("body"))
+    return ends.unionByName(asked.where(e % 17 == 0).select("query", (F.col("t") + 1).alias("t"), (e * 2 + 1).alias("id"), body.alias("body")))
+
+
+#: Requests and timed landings from events: two stores, six texts of two words and their first word; some landings fail, some are empty.
+TIMED_SQL = """requests AS (SELECT user_id % 2 AS store, user_id % 6 AS k, epoch_us(ts) AS t, event_id AS id FROM events),
+timed AS (
+  SELECT value_cents % 2 AS store, CASE WHEN event_id % 4 = 0 THEN -1 ELSE value_cents % 6 END AS k, t, event_id AS id, event_id % 7 <> 0 AS ok, event_id % 5 = 0 AS bare
+  FROM (SELECT event_id, epoch_us(ts) - 500000 AS t, CAST(round(value * 100) AS BIGINT) AS value_cents FROM events) WHERE event_id % 3 = 0)"""
+
+
+def requests(spark: SparkSession, d: str) -> DataFrame:
+    user = F.col("user_id")
+    return _t(spark, d, "events").select((user % 2).cast("string").alias("store_key"), F.concat(F.lit("item "), (user % 6).cast("string")).alias("text"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("event_id").alias("id"))
+
+
+def timed_landings(spark: SparkSession, d: str) -> DataFrame:
+    e, cents = F.col("event_id"), F.round(F.col("value") * 100).cast("long")
+    text = F.when(e % 4 == 0, "item").otherwise(F.concat(F.lit("item "), (cents % 6).cast("string")))
+    ok = e % 7 != 0
+    rows = _t(spark, d, "events").where(e % 3 == 0)
+    return rows.select(
+        (cents % 2).cast("string").alias("store_key"), text.alias("text"), (F.unix_micros(F.col("ts").cast("timestamp")) - 500_000).alias("t"), e.alias("id"), ok.alias("ok"), F.when(~ok, F.concat(F.lit("e"), e.cast("string"))).alias("error"),
+        F.when(e % 5 == 0, "[]").otherwise(F.concat(F.lit('[{"productName":"'), e.cast("string"), F.lit('"}]'))).alias("body"),
+    )
+
+
 #: Texts asked for, the first of which finds nothing at every fifth store and is asked again as its first word.
 TEXTS = ["widget rojo", "red widget", "widget"]
 LANDED_SQL = """texts AS (SELECT * FROM (VALUES (0, 'widget rojo'), (1, 'red widget'), (2, 'widget')) v(k, text)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from mercadia import samples
-from mercadia.fixtures import DRAWN_SQL, DUP_SQL, FETCHES_SQL, LANDED_SQL, OFFERS_SQL, SEARCHES_SQL
+from mercadia.fixtures import CACHED_PLANS_SQL, DRAWN_SQL, DUP_SQL, FETCHES_SQL, LANDED_SQL, OFFERS_SQL, PLAN_TTL_S, SEARCHES_SQL, TIMED_SQL
 from mercadia.lexicon import ACCESSORIES, STOPWORDS, SYNONYMS
 
 
@@ -95,6 +95,13 @@ def _offer(kind: str) -> str:
     return _values({"name": "VARCHAR", "price": "DOUBLE", "available": "INTEGER", "url": "VARCHAR", "image": "VARCHAR"}, samples.PARSED[kind])
 
 
+#: A walk over requests(key, t, id, ok) in order, with the last entry's id and time; one recursion a key.
+WALK = """o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, id) AS n FROM r),
+walk AS (
+  SELECT key, id, n, t, ok, FALSE AS hit, CASE WHEN ok THEN id END AS e, CASE WHEN ok THEN t END AS w FROM o WHERE n = 1
+  UNION ALL
+  SELECT o.key, o.id, o.n, o.t, o.ok, coalesce(o.t - w.w <= {ttl}, FALSE), CASE WHEN coalesce(o.t - w.w <= {ttl}, FALSE) THEN w.e WHEN o.ok THEN o.id END,
+         CASE WHEN coalesce(o.t - w.w <= {ttl}, FALSE) THEN w.w WHEN o.ok THEN o.t END FROM walk w JOIN o ON o.key = w.key AND o.n = w.n + 1)"""
 _IS_PRICED = "coalesce(price > 0, FALSE)"
 SEARCHED = (
     f"""WITH {LANDED_SQL}, shops AS (SELECT s_suppkey AS s, s_name AS store_name FROM supplier WHERE s_acctbal >= 0 {{where}}),
@@ -229,6 +236,16 @@ ORACLES: dict[str, str] = {
         SELECT CAST(client AS VARCHAR) AS key, id, hit FROM walk""",
     "cache_lookup": HITS + """, l AS (SELECT CAST(client AS VARCHAR) AS key, arg_max(CASE WHEN id % 7 = 0 THEN 'null' ELSE '[' || id || ']' END, t) AS data, max(t) AS ts FROM hits GROUP BY client)
         SELECT key, data, substr(sha256(key), 1, 32) || '.json' AS file FROM l WHERE 1704067200 + 29 * 86400 - ts <= 86400 AND data <> 'null'""",
+    "plan_resolution": f"""WITH {SEARCHES_SQL}, {CACHED_PLANS_SQL}, last AS (SELECT a.event_id, a.clean, arg_max(struct_pack(e := c.e, t := c.t), (c.t, c.id)) AS c, any_value(a.t) AS t FROM asked a LEFT JOIN cached c ON c.key = lower(a.clean) AND c.t <= a.t GROUP BY 1, 2),
+        f AS (SELECT *, coalesce(t - c.t <= {PLAN_TTL_S * 10**6} AND c.e % 5 <> 0 AND c.e % 7 <> 0, FALSE) AS fresh FROM last)
+        SELECT event_id, CASE WHEN fresh THEN 'data' ELSE 'local' END AS source, CASE WHEN fresh THEN 'plan ' || c.e ELSE clean END AS canonical_query, clean || CASE WHEN fresh THEN '|Extra ' || c.e % 9 ELSE '' END AS texts FROM f""",
+    "cached_searches": f"""WITH RECURSIVE {TIMED_SQL}, a AS (
+          SELECT q.store, q.k, q.t, q.id, arg_max(struct_pack(id := l.id, ok := l.ok, bare := l.bare), (l.t, l.id)) FILTER (l.k = q.k) AS f, arg_max(struct_pack(id := l.id, ok := l.ok, bare := l.bare), (l.t, l.id)) FILTER (l.k = -1) AS g
+          FROM requests q LEFT JOIN timed l ON l.store = q.store AND l.t <= q.t AND l.k IN (q.k, -1) GROUP BY 1, 2, 3, 4),
+        b AS (SELECT *, CASE WHEN coalesce(f.ok AND f.bare, FALSE) AND g IS NOT NULL THEN g ELSE f END AS own FROM a),
+        r AS MATERIALIZED (SELECT concat(store, '::', k) AS key, t, id, coalesce(own.ok, FALSE) AS ok, own.id AS landing FROM b), {WALK.format(ttl=4 * 3600 * 10**6)}
+        SELECT walk.id, hit, hit OR walk.ok AS ok, CASE WHEN NOT hit AND NOT walk.ok THEN 'e' || own.landing END AS error, wrote.landing FROM walk JOIN r own ON own.id = walk.id LEFT JOIN r wrote ON wrote.id = walk.e""",
+    "cache_one_key": f"WITH RECURSIVE r AS MATERIALIZED (SELECT 'all' AS key, epoch_us(ts) AS t, event_id AS id, event_id % 3 <> 0 AS ok FROM events), {WALK.format(ttl=3600 * 10**6)} SELECT id, hit, e AS entry FROM walk",
     "page_lookup": "SELECT lower(n_name) AS slug, CASE WHEN n_regionkey < 3 THEN 'q ' || n_name END AS query, CASE WHEN n_regionkey < 3 THEN 200 ELSE 404 END AS status FROM nation",
     "sitemap_rows": _values({"loc": "VARCHAR", "lastmod": "VARCHAR", "changefreq": "VARCHAR", "priority": "DOUBLE"}, [("https://shop.example/", "2024-01-31", "daily", 1.0), *((f"https://shop.example/comparar/{p[0]}", "2024-01-31", "daily", 0.9) for p in samples.PAGES)]),
 }
