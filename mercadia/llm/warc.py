@@ -10,11 +10,14 @@ digests that repeat, and the revisits, go back by broadcast if their counted row
 crowd is spread over SALTS tasks. An archive holds ARCHIVE_BYTES on average and never more than Spark's binary reader takes.
 
 Reading: archives come in whole, through Spark's binary reader, so a file may have 2 GB at most. Each record must start with a
-version line, have a length that ends where the next record or the file ends, and fit its block digest, or its payload digest where it
+version line, have a header of at most HEAD_BYTES and a length that ends where the next record or the file ends, and fit its block digest, or its payload digest where it
 has no block digest and its payload isn't chunked. Digests of other algorithms than SHA-1 are not checked, and an HTTP length
 that differs from the payload's is no damage. Where a check fails, the reader looks for the next valid record (the nearer of the
 next version line and the next gzip member, over the whole file), goes on there, and reports the bytes between as quarantined. A file
-may hold plain records and gzip members, in any mixture; a member may hold several records and gaps between them.
+may hold plain records and gzip members, in any mixture; a member may hold several records and gaps between them. Of a member that is damaged
+or cut, what decompresses before the damage is read for records, which pass their own checks, and the rest is a gap, as is a checksum
+that doesn't fit; the next record is looked for from the member's start on, since a cut may lie anywhere in it. Headers take linear time, however many
+version lines lead to none.
 
 Defined results: null html counts as an empty payload, which like any other can be revisited. Repeated rows of the
 smallest page_id are all responses. A null page_id comes last in the choice of the response. URLs are percent-encoded
@@ -47,8 +50,11 @@ READ_SCHEMA = "file string, at long, bytes long, inner long, kind string, page_i
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
-#: A gzip member is opened in steps of this many bytes.
-_FEED = 1 << 16
+_VERSION_END = (b"WARC/1.0", b"WARC/1.1")
+#: A record's header has this many bytes at most.
+HEAD_BYTES = 1 << 20
+#: A gzip member is opened in steps of this many bytes, a step that fails in smaller ones.
+_STEPS = (1 << 16, 256, 1)
 
 
 def base32_sha1(data: Column) -> Column:
@@ -124,23 +130,33 @@ def _stated(digest: str | None) -> str | None:
     return base64.b32encode(bytes.fromhex(value)).decode() if re.fullmatch(r"[0-9A-Fa-f]{40}", value) else value.upper()
 
 
+def _header(data: bytes, at: int) -> tuple[dict[str, str] | None, int]:
+    """The fields of the header at `at` and where it ends. It is read line by line and given up at the first line that can't be a field, a further version line among them."""
+    fields, start = {}, data.index(b"\r\n", at) + 2
+    while start - at <= HEAD_BYTES:
+        end = data.find(b"\r\n", start, at + HEAD_BYTES)
+        if end == start:
+            return fields, end + 2
+        line = data[start:end] if end > 0 else b""
+        name, found, value = line.partition(b":")
+        if not found or line.endswith(_VERSION_END):
+            break
+        fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        start = end + 2
+    return None, at
+
+
 def _record(data: bytes, at: int) -> tuple[dict | None, int]:
     """The record at `at` and where it ends; None if any check fails."""
-    if not _VERSION.match(data, at) or (head := data.find(b"\r\n\r\n", at)) < 0:
+    if not _VERSION.match(data, at):
         return None, at
-    fields = {}
-    for line in data[at:head].split(b"\r\n")[1:]:
-        name, found, value = line.partition(b":")
-        if not found:
-            return None, at
-        fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    length = fields.get("content-length", "")
-    if not length.isdigit() or head + 4 + int(length) > len(data):
+    fields, first = _header(data, at)
+    if fields is None or not re.fullmatch("[0-9]{1,18}", length := fields.get("content-length", "")):
         return None, at
-    end = head + 4 + int(length)
-    block = data[head + 4 : end]
+    end = first + int(length)
     if data[end : end + 4] != b"\r\n\r\n":
         return None, at
+    block = data[first:end]
     if (stated := _stated(fields.get("warc-block-digest"))) and stated != _sha1(block):
         return None, at
     kind, payload, http = fields.get("warc-type", ""), block, b""
@@ -148,31 +164,56 @@ def _record(data: bytes, at: int) -> tuple[dict | None, int]:
         http, _, payload = block.partition(b"\r\n\r\n")
     full, digest = len(payload), _stated(fields.get("warc-payload-digest"))
     if kind == "revisit":
-        size = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", http)
+        size = re.search(rb"(?im)^content-length:\s*([0-9]{1,18})\s*$", http)
         full = int(size[1]) if size else full
     else:
         own = _sha1(payload)
         if not stated and digest and digest != own and not re.search(rb"(?im)^transfer-encoding:", http):
             return None, at
         digest = own
-    number = lambda x: int(x) if x and re.fullmatch(r"-?\d+", x) else None
+    number = lambda x: int(x) if x and re.fullmatch(r"-?[0-9]{1,18}", x) else None
     return {
         "kind": kind, "page_id": number(fields.get("x-page-id")), "url": fields.get("warc-target-uri"), "payload_bytes": full,
         "payload_digest": digest, "refers_to": number(fields.get("x-refers-to-page")), "payload": payload if kind == "response" else None,
     }, end + 4
 
 
-def _member(data: bytes, at: int) -> tuple[list[tuple[dict | None, int, int]], int]:
-    """What the gzip member at `at` holds, as `_plain` gives it, and where the member ends; nothing if it can't be opened or holds no valid record."""
-    opened, view, body, end = zlib.decompressobj(31), memoryview(data), [], at
-    try:
-        while not opened.eof and end < len(data):
-            body.append(opened.decompress(view[end : end + _FEED]))
-            end = min(end + _FEED, len(data))
-    except zlib.error:
-        return [], at
-    found = list(_plain(b"".join(body))) if opened.eof else []
-    return (found, end - len(opened.unused_data)) if any(x[0] for x in found) else ([], at)
+def _deflated(data: bytes, at: int) -> int:
+    """Where the compressed data of the gzip member at `at` begin, behind its header; -1 if that is no header."""
+    flags, start = (data[at + 3] if at + 3 < len(data) else 0xFF), at + 10
+    if flags & 0xE0:
+        return -1
+    if flags & 4:
+        start += 2 + int.from_bytes(data[start : start + 2], "little")
+    for _ in range(bool(flags & 8) + bool(flags & 16)):  # name and comment
+        start = data.find(b"\0", start, start + HEAD_BYTES) + 1 or len(data)
+    return start + 2 * bool(flags & 2)
+
+
+def _member(data: bytes, at: int) -> tuple[list[tuple[dict | None, int, int]], int, bool]:
+    """What decompresses of the gzip member at `at`, as `_plain` gives it, where that ends (at the member's end, at the damage, or before a checksum that doesn't fit), and whether the member is whole. A whole member without records counts as read."""
+    end, opened, body = _deflated(data, at), zlib.decompressobj(-15), []
+    if end < 0:
+        return [], at, False
+    view, step = memoryview(data), 0
+    while not opened.eof and end < len(data):
+        before = opened.copy() if step < len(_STEPS) - 1 else None
+        fed = view[end : end + _STEPS[step]]
+        try:
+            body.append(opened.decompress(fed))
+            end += len(fed)
+        except zlib.error:
+            if before is None:
+                break
+            opened, step = before, step + 1
+    text = b"".join(body)
+    found = list(_plain(text))
+    good = any(x[0] for x in found)
+    if opened.eof:
+        end -= len(opened.unused_data)
+        if data[end : end + 8] == (zlib.crc32(text) | (len(text) & 0xFFFFFFFF) << 32).to_bytes(8, "little"):
+            return found if good else [], end + 8, True
+    return (found, end, False) if good else ([], at, False)
 
 
 def _plain(data: bytes) -> Iterator[tuple[dict | None, int, int]]:
@@ -196,23 +237,39 @@ def salvage(data: bytes) -> Iterator[tuple[dict | None, int, int, tuple[int, int
     """Every record that passes its checks, and every gap between them as None, each with where it starts and ends, in file order.
     What comes out of a gzip member has the member's place, and its own within the opened member last."""
     at = bad = 0
+    open_end: list[tuple[dict | None, int, int]] = []  # what a damaged member gave, which ends at `bad` or, if that is earlier, where the next record starts
+    start = 0
+
+    def close(until: int) -> Iterator[tuple[dict | None, int, int, tuple[int, int] | None]]:
+        nonlocal bad
+        if open_end:
+            bad = min(bad, until)
+            yield from ((record, start, bad, (a, b)) for record, a, b in open_end)
+            open_end.clear()
+        if bad < until:
+            yield None, bad, until, None
+
     while at < len(data):
         if data.startswith(_MEMBER, at):
-            inside, end = _member(data, at)
+            inside, end, whole = _member(data, at)
             found = [(record, at, end, (a, b)) for record, a, b in inside]
         else:
             record, end = _record(data, at)
+            inside, whole = [], True
             found = [(record, at, end, None)] if record else []
-        if not found:
-            m = _START.search(data, at + 1)
+        if found:
+            yield from close(at)
+            bad = end
+            if not whole:
+                open_end, start = inside, at
+            else:
+                yield from found
+        if found and whole:
+            at = end
+        else:
+            m = _START.search(data, max(at + 1, end if whole else 0))
             at = m.start() if m else len(data)
-            continue
-        if bad < at:
-            yield None, bad, at, None
-        yield from found
-        at = bad = end
-    if bad < at:
-        yield None, bad, at, None
+    yield from close(len(data))
 
 
 def read_archives(spark: SparkSession, path: str, names: str = "*") -> DataFrame:

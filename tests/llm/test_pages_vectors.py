@@ -118,10 +118,10 @@ def test_salvage(archive, pack):
     data = b"junk" * 5 + kept[0] + kept[1][:-9] + kept[2] + bytes(broken) + kept[4]
     found = list(warc.salvage(data if not pack else kept[5] + data))
     ok = [r["page_id"] for r, *_ in found if r]
-    at = [good[k][0]["page_id"] for k in ([5] if pack else []) + [0, 2, 4]]
+    at = [good[k][0]["page_id"] for k in ([5, 0, 1, 2, 4] if pack else [0, 2, 4])]  # of the cut member the record is whole, the checksum is not
     assert ok == at
     ends = 0
-    for _, a, b, _ in found:
+    for a, b in dict.fromkeys((a, b) for _, a, b, _ in found):  # what one member holds has one place
         assert a == ends and b > a
         ends = b
     assert ends == len(data) + (len(kept[5]) if pack else 0)
@@ -311,3 +311,66 @@ def test_html_odd(spark, small):
     assert sorted(got, key=repr) == sorted(expect, key=repr)
     pages = spark.read.parquet(f"{small}/pages.parquet")
     assert html_text.extracted(pages).where(F.col("n_chars") == F.length("text")).count() == pages.count()
+
+
+def many_records(n=1000):
+    """n plain records, end to end."""
+    out = []
+    for k in range(n):
+        block = f"HTTP/1.1 200 OK\r\n\r\npage {k} ".encode() + bytes(str(k * k), "ascii") * (k % 50)
+        digest = base64.b32encode(hashlib.sha1(block).digest()).decode()
+        out.append(b"WARC/1.1\r\nWARC-Type: response\r\nX-Page-Id: %d\r\nContent-Type: application/http\r\nWARC-Block-Digest: sha1:%s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (k, digest.encode(), len(block), block))
+    return out
+
+
+def salvaged(data):
+    found = list(warc.salvage(data))
+    spans = [(a, b) for _, a, b, inner in found if inner is None]
+    assert all(a < b for a, b in spans)
+    return [r["page_id"] for r, *_ in found if r], [(a, b) for r, a, b, inner in found if r is None and inner is None], [inner for r, _, _, inner in found if r is None and inner]
+
+
+def test_damaged_members():
+    records = many_records()
+    body = b"".join(records)
+    whole = gzip.compress(body, mtime=0)
+    everything = list(range(1000))
+    assert salvaged(whole) == (everything, [], [])
+    assert salvaged(whole[:-8]) == (everything, [], [])  # cut before the checksum
+    flipped = whole[:-6] + bytes([whole[-6] ^ 1]) + whole[-5:]
+    assert salvaged(flipped) == (everything, [(len(whole) - 8, len(whole))], [])
+    ids, gaps, inner = salvaged(whole[: len(whole) // 2])  # what came out before the cut, to the byte
+    opened = len(gzip_until(whole[: len(whole) // 2]))
+    assert ids == everything[: len(ids)] and sum(map(len, records[: len(ids)])) <= opened < sum(map(len, records[: len(ids) + 1])) and 300 < len(ids) < 700 and gaps == []
+    hurt = bytearray(whole)
+    hurt[len(whole) // 2] ^= 0xFF
+    ids, gaps, inner = salvaged(bytes(hurt) + gzip.compress(records[7], mtime=0) + records[8])
+    assert ids[-2:] == [7, 8] and len(ids) > 300 and gaps + inner
+    assert ids[:300] == everything[:300]
+    named = b"\x1f\x8b\x08\x1c" + whole[4:10] + b"\x03\x00abcname\x00comment\x00" + whole[10:]
+    assert salvaged(named)[0] == everything
+    assert salvaged(b"\x1f\x8b\x08\xff" + body) == (everything, [(0, 4)], [])
+    foreign = gzip.compress(b"no records here" * 100, mtime=0)
+    assert salvaged(foreign + records[3] + foreign) == ([3], [(0, len(foreign)), (len(foreign) + len(records[3]), 2 * len(foreign) + len(records[3]))], [])
+
+
+def gzip_until(data):
+    import zlib
+
+    out, opened = b"", zlib.decompressobj(-15)
+    for k in range(10, len(data)):
+        out += opened.decompress(data[k : k + 1])
+    return out
+
+
+def test_hostile_archives_take_linear_time():
+    import time
+
+    record = many_records(3)[2]
+    began = time.perf_counter()
+    for junk in (b"WARC/1.1\r\n" * 100_000, b"WARC/1.1\r\nContent-Length: 9\r\n" * 50_000, b"a:WARC/1.1\r\n" * 80_000, b"\x1f\x8b\x08\x00" * 100_000, b"WARC/1.1\r\n" + b"a" * 3_000_000, b"WARC/1.1\r\n" * 8000 + b"x" * 800_000):
+        ids, gaps, _ = salvaged(junk + b"\r\n" + record)
+        assert ids == [2] and gaps == [(0, len(junk) + 2)]
+    odd = b"WARC/1.1\r\nContent-Length: " + b"9" * 5000 + b"\r\n\r\n" + "WARC/1.1\r\nContent-Length: ²\r\n\r\n".encode()
+    assert salvaged(odd + record)[0] == [2]
+    assert time.perf_counter() - began < 20
