@@ -561,6 +561,14 @@ def page_lookup(spark, d):
     return report.page_lookup(pages, slugs)
 
 
+@query
+def page_documents(spark, d):
+    """The comparison page of each nation over all offers, the pages in one job."""
+    found = report.page_reports(fx.comparison_pages(spark, d), fx.offers(spark, d), fx.fetches(spark, d), "https://shop.example", "2024-01-31", EngineConfig(related=3))
+    failed = F.md5(F.array_join(F.transform("failures", lambda f: F.concat_ws(":", f["store"], f["error"])), ",").cast("binary"))
+    return found.select("slug", "json_ld", failed.alias("failures"), "best.store_key", "best.price", "stores", F.array_join(F.transform("related", lambda r: r["slug"]), ",").alias("related"))
+
+
 @query
 def sitemap_rows(spark, d):
     return report.sitemap_rows(_pages(spark), "https://shop.example", "2024-01-31")

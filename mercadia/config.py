@@ -22,6 +22,7 @@ class EngineConfig:
     popular_most: int = 50
     page_size: int = 15
     list_items: int = 10
+    related: int = 24
     normalize_cents: bool = False
     cents_threshold: float = 100_000.0
 

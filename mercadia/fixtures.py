@@ -123,6 +123,18 @@ def timed_landings(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: A page for each nation; the query is of two words of the pools.
+PAGES_SQL = f"""pages_ AS (
+  SELECT lower(n_name) AS slug, {FIRST}[n_nationkey % {len(FIRST)} + 1] || ' ' || {SECOND}[n_nationkey % {len(SECOND)} + 1] AS query, 'Precios ' || n_name AS h1, 'Ofertas "' || n_name || '"' AS description FROM nation)"""
+
+
+def comparison_pages(spark: SparkSession, d: str) -> DataFrame:
+    word = lambda pool: F.element_at(F.array(*map(F.lit, pool)), (F.col("n_nationkey") % len(pool) + 1).cast("int"))
+    return _t(spark, d, "nation").select(
+        F.lower("n_name").alias("slug"), F.concat_ws(" ", word(FIRST), word(SECOND)).alias("query"), F.col("n_name").alias("title"), F.concat(F.lit("Precios "), "n_name").alias("h1"), F.concat(F.lit('Ofertas "'), "n_name", F.lit('"')).alias("description")
+    )
+
+
 #: Texts asked for, the first of which finds nothing at every fifth store and is asked again as its first word.
 TEXTS = ["widget rojo", "red widget", "widget"]
 LANDED_SQL = """texts AS (SELECT * FROM (VALUES (0, 'widget rojo'), (1, 'red widget'), (2, 'widget')) v(k, text)),

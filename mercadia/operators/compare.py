@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from mercadia.config import DEFAULT, EngineConfig
 from mercadia.functions.scalars import is_priced
-from mercadia.operators.many import best_of_names
+from mercadia.operators.many import best_of_names, match_table
 from mercadia.operators.relevance import match_queries, relevant_offers, tagged
 from mercadia.plans.query import QueryPlan
 
@@ -108,22 +108,40 @@ def rank_key() -> Column:
     return F.struct(unavailable().alias("a"), F.coalesce("price", F.lit(FOREVER)).alias("b"), F.col("pos").alias("c"))
 
 
+def ranked_rows(asked: DataFrame, counts: DataFrame, best: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each of asked(*by, store_key, store_name, store_ord, ok, error, any_priced): the store's best priced relevant offer, best(*by, store_key, b), and how many there are, counts(*by, store_key, n_priced, n_all), or why there is none. rank orders the stores (within `by`)."""
+    keys = [*by, "store_key"]
+    rows = asked.join(counts, keys, "left").join(best, keys, "left")
+    good, bare = F.col("ok") & F.coalesce(F.col("n_priced") > 0, F.lit(False)), F.col("ok") & F.coalesce(F.col("n_all") > 0, F.lit(False))
+    rows = rows.select(
+        *keys, "store_name", "store_ord", good.alias("ok"), F.when(good, F.col("n_priced")).when(bare, F.col("n_all")).alias("count"), F.when(good, F.col("b")).alias("b"),
+        F.when(good, None).when(bare, NO_PRICE).otherwise(reason()).alias("error"), F.when(~good & bare, True).alias("found_without_price"),
+    )
+    order = Window.partitionBy(*by).orderBy(~F.col("ok"), ~F.coalesce("available", F.lit(False)), F.coalesce("price", F.lit(FOREVER)), "store_ord")  # one row for each store
+    return rows.select(*keys, "store_name", "store_ord", "ok", "count", "b.name", "b.price", "b.available", "b.url", "b.image", "error", "found_without_price").withColumn("rank", F.row_number().over(order)).drop("store_ord")
+
+
 def best_per_store(offers: DataFrame, fetches: DataFrame, query: str, plan: QueryPlan | None = None) -> DataFrame:
     """One row for each store asked: its best priced relevant offer and how many there are, or why there is none. rank orders the stores. Counts are of numbers alone, and the best is sought among fitting offers only."""
     known = tagged(offers, query, plan)
     counts = known.groupBy("store_key").agg(F.count_if(F.col("_fits") & F.col("_priced")).alias("n_priced"), F.count_if("_fits").alias("n_all"), F.bool_or("_priced").alias("any_priced"))
     best = _winners(known.where("_fits AND _priced"), rank_key()).select("store_key", item(offers).alias("b"))
-    rows = fetches.join(counts, "store_key", "left").join(best, "store_key", "left")
-    good, bare = F.col("ok") & F.coalesce(F.col("n_priced") > 0, F.lit(False)), F.col("ok") & F.coalesce(F.col("n_all") > 0, F.lit(False))
-    rows = rows.select(
-        "store_key", "store_name", "store_ord", good.alias("ok"), F.when(good, F.col("n_priced")).when(bare, F.col("n_all")).alias("count"), F.when(good, F.col("b")).alias("b"),
-        F.when(good, None).when(bare, NO_PRICE).otherwise(reason()).alias("error"), F.when(~good & bare, True).alias("found_without_price"),
-    )
-    order = Window.orderBy(~F.col("ok"), ~F.coalesce("available", F.lit(False)), F.coalesce("price", F.lit(FOREVER)), "store_ord")  # one row for each store
-    rows = rows.select("store_key", "store_name", "store_ord", "ok", "count", "b.name", "b.price", "b.available", "b.url", "b.image", "error", "found_without_price").withColumn("rank", F.row_number().over(order)).drop("store_ord")
+    rows = ranked_rows(fetches, counts, best)
     return rows if "image" in offers.columns else rows.drop("image")
 
 
+def best_per_page(offers: DataFrame, fetches: DataFrame, queries: DataFrame) -> DataFrame:
+    """best_per_store for each of queries(query_id, query[, plan]), in one job: query_id and its rows, one for each store. The offers of all queries are matched at once; the stores asked, a dimension, go to each query as one array."""
+    hits = match_table(offers, queries).withColumn("_priced", is_priced(F.col("price")))
+    by = ("query_id", "store_key")
+    counts = hits.groupBy(*by).agg(F.count_if("_priced").alias("n_priced"), F.count("*").alias("n_all"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(rank_key()))
+    best = hits.where("_priced").withColumn("_rank", rank).where("_rank = 1").select(*by, item(offers).alias("b"))
+    stores = fetches.join(_reasons(offers), "store_key", "left")
+    asked = queries.select("query_id").join(F.broadcast(stores.agg(F.collect_list(F.struct(*stores.columns)).alias("stores")))).select("query_id", F.inline("stores"))  # one row
+    return ranked_rows(asked, counts, best, ("query_id",))
+
+
 def items_of_stores(offers: DataFrame, fetches: DataFrame, query: str, plan: QueryPlan | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
     """store_key, items: the best priced relevant offers of each store that answered, at most config.items_per_store; of a store without public prices its first relevant ones."""
     shown = tagged(only_ok(offers, fetches), query, plan).where("_fits").select("store_key", "_priced", F.struct(~F.col("_priced"), F.when(F.col("_priced"), unavailable()), F.when(F.col("_priced"), F.col("price")), "pos").alias("_order"), item(offers).alias("item"))

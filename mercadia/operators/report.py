@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mercadia.config import DEFAULT, EngineConfig
 from mercadia.functions.scalars import html_escape
+from mercadia.operators.compare import best_per_page
+from mercadia.shared import spool
 
 PAGE = "slug string, query string, title string, h1 string, description string"
 
@@ -75,3 +78,32 @@ def page_report(page: DataFrame, pages: DataFrame, best: DataFrame, listed: Data
     url = F.concat(F.lit(f"{site}/comparar/"), "slug")
     document = F.struct(F.lit("https://schema.org").alias("@context"), F.lit("ItemList").alias("@type"), F.col("h1").alias("name"), "description", url.alias("url"), F.lit(today).alias("dateModified"), F.col("items").alias("itemListElement"))
     return whole.select("slug", "title", "h1", "description", url.alias("canonical"), F.to_json(document, {"ignoreNullFields": "false"}).alias("json_ld"), "failures", "best", "stores", "related", F.lit(planner).alias("planner"), F.lit(today).alias("updated"))
+
+
+#: Pages among which a page's related ones are sought.
+LINK_GROUP = 64
+
+
+def related_pages(pages: DataFrame, most: int) -> DataFrame:
+    """slug, related: at most `most` other pages, those that follow in order of slug and then from the start, within groups of about LINK_GROUP pages; where pages are fewer than that, of all."""
+    groups = max(1, -(-pages.count() // LINK_GROUP))
+    grouped = pages.withColumn("_group", F.pmod(F.xxhash64("slug"), F.lit(groups)))
+    lists = grouped.groupBy("_group").agg(F.array_sort(F.collect_list(F.struct("slug", "h1"))).alias("all"))
+    others = F.concat(F.filter("all", lambda x: x["slug"] > F.col("slug")), F.filter("all", lambda x: x["slug"] < F.col("slug")))
+    return grouped.select("slug", "_group").join(lists, "_group").select("slug", F.slice(others, 1, most).alias("related"))
+
+
+def page_reports(pages: DataFrame, offers: DataFrame, fetches: DataFrame, site: str, today: str, config: EngineConfig = DEFAULT, planner: str = "local") -> DataFrame:
+    """What each of pages(PAGE) shows, as page_report gives it for one: all pages in one job. slugs are unique; related has at most config.related pages."""
+    rows = spool(best_per_page(offers, fetches, pages.select(F.col("slug").alias("query_id"), "query")), "page-rows")
+    shown = rows if "image" in rows.columns else rows.withColumn("image", F.lit(None).cast("string"))
+    positions = shown.where((F.col("ok")) & (F.col("rank") <= config.list_items)).withColumns({"position": F.col("rank"), "availability": F.when(F.col("available"), "InStock").otherwise("OutOfStock")})
+    items = positions.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", item_list(positions).alias("x")))), lambda v: v["x"]).alias("items"))
+    failed = F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct("rank", F.col("store_name").alias("store"), "error"))))  # a page's stores
+    first = F.min_by(F.when(F.col("ok"), F.struct("store_key", "store_name", "price")), F.when(F.col("ok"), F.col("rank")))
+    sums = shown.groupBy("query_id").agg(F.transform(failed, lambda v: F.struct(v["store"], v["error"])).alias("failures"), first.alias("best"), F.count("*").alias("stores"))
+    whole = pages.join(sums.join(items, "query_id", "left").withColumnRenamed("query_id", "slug"), "slug").join(related_pages(pages, config.related), "slug")
+    url = F.concat(F.lit(f"{site}/comparar/"), "slug")
+    none = F.array().cast(items.schema["items"].dataType)
+    document = F.struct(F.lit("https://schema.org").alias("@context"), F.lit("ItemList").alias("@type"), F.col("h1").alias("name"), "description", url.alias("url"), F.lit(today).alias("dateModified"), F.coalesce("items", none).alias("itemListElement"))
+    return whole.select("slug", "title", "h1", "description", url.alias("canonical"), F.to_json(document, {"ignoreNullFields": "false"}).alias("json_ld"), "failures", "best", "stores", "related", F.lit(planner).alias("planner"), F.lit(today).alias("updated"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from mercadia import samples
-from mercadia.fixtures import CACHED_PLANS_SQL, DRAWN_SQL, DUP_SQL, FETCHES_SQL, LANDED_SQL, OFFERS_SQL, PLAN_TTL_S, SEARCHES_SQL, TIMED_SQL
+from mercadia.fixtures import CACHED_PLANS_SQL, DRAWN_SQL, DUP_SQL, FETCHES_SQL, LANDED_SQL, OFFERS_SQL, PAGES_SQL, PLAN_TTL_S, SEARCHES_SQL, TIMED_SQL
 from mercadia.lexicon import ACCESSORIES, STOPWORDS, SYNONYMS
 
 
@@ -247,5 +247,22 @@ ORACLES: dict[str, str] = {
         SELECT walk.id, hit, hit OR walk.ok AS ok, CASE WHEN NOT hit AND NOT walk.ok THEN 'e' || own.landing END AS error, wrote.landing FROM walk JOIN r own ON own.id = walk.id LEFT JOIN r wrote ON wrote.id = walk.e""",
     "cache_one_key": f"WITH RECURSIVE r AS MATERIALIZED (SELECT 'all' AS key, epoch_us(ts) AS t, event_id AS id, event_id % 3 <> 0 AS ok FROM events), {WALK.format(ttl=3600 * 10**6)} SELECT id, hit, e AS entry FROM walk",
     "page_lookup": "SELECT lower(n_name) AS slug, CASE WHEN n_regionkey < 3 THEN 'q ' || n_name END AS query, CASE WHEN n_regionkey < 3 THEN 200 ELSE 404 END AS status FROM nation",
+    "page_documents": f"""WITH {FETCHES_SQL}, {OFFERS_SQL}, {PAGES_SQL}, {NAMED}, w0 AS (SELECT *, list_filter({TOKENS.format('query')}, lambda x: NOT list_contains({_list(STOPWORDS)}, x)) AS w FROM pages_),
+        asked AS (SELECT *, list_has_any(w, {_list(ACCESSORIES)}) AS asks, list_transform(w, lambda x: CASE WHEN list_contains({_list(RED)}, x) THEN {_list(RED)} WHEN list_contains({_list(BLUE)}, x) THEN {_list(BLUE)} ELSE [x] END) AS g FROM w0),
+        names AS (SELECT DISTINCT name, norm, toks, {ACCESSORY} AS accessory FROM named),
+        pairs AS (SELECT slug, name FROM asked, names WHERE len(w) = 0 OR (asks OR NOT accessory) AND len(list_filter(g, lambda x: NOT (list_has_any(toks, x) OR len(list_filter(x, lambda y: length(y) >= 5 AND contains(norm, y))) > 0))) = 0),
+        hit AS (SELECT slug, o.* FROM pairs JOIN offers o USING (name)),
+        top AS (SELECT *, row_number() OVER (PARTITION BY slug, store_key ORDER BY (available <= 0), price, pos) AS r, count(*) OVER (PARTITION BY slug, store_key) AS n FROM hit WHERE price > 0),
+        bare AS (SELECT slug, store_key, count(*) AS n_all FROM hit GROUP BY 1, 2), anyp AS (SELECT store_key, bool_or({_IS_PRICED}) AS p FROM offers GROUP BY store_key),
+        b0 AS (SELECT p.slug, f.store_key, f.store_name, f.store_ord, f.ok AND t.store_key IS NOT NULL AS good, t.name, t.price, t.available > 0 AS available, t.url,
+               CASE WHEN NOT f.ok THEN coalesce(nullif(f.error, ''), 'sin resultados') WHEN b.n_all > 0 THEN 'productos encontrados sin precio público' WHEN a.p THEN 'sin coincidencia para tu búsqueda' ELSE 'sin resultados' END AS error
+          FROM pages_ p CROSS JOIN fetches f LEFT JOIN (SELECT * FROM top WHERE r = 1) t ON t.slug = p.slug AND t.store_key = f.store_key LEFT JOIN bare b ON b.slug = p.slug AND b.store_key = f.store_key LEFT JOIN anyp a ON a.store_key = f.store_key),
+        b1 AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY NOT good, NOT coalesce(good AND available, FALSE), CASE WHEN good THEN price ELSE 'inf'::DOUBLE END, store_ord) AS rank FROM b0),
+        s AS (SELECT slug, coalesce(md5(string_agg(concat(store_name, ':', error), ',' ORDER BY rank) FILTER (NOT good)), md5('')) AS failures, arg_min(store_key, rank) FILTER (good) AS store_key, arg_min(price, rank) FILTER (good) AS price, count(*) AS stores,
+          coalesce(string_agg('{{"@type":"ListItem","position":' || rank || ',"name":"' || name || '","url":"' || url || '","item":{{"@type":"Product","name":"' || name || '","image":null,"offers":{{"@type":"Offer","priceCurrency":"GTQ","price":' || CAST(price AS VARCHAR)
+            || ',"availability":"https://schema.org/' || CASE WHEN available THEN 'InStock' ELSE 'OutOfStock' END || '","seller":{{"@type":"Organization","name":"' || store_name || '"}},"url":"' || url || '"}}}}}}', ',' ORDER BY rank) FILTER (good AND rank <= 10), '') AS items FROM b1 GROUP BY slug),
+        l AS (SELECT p.slug, string_agg(q.slug, ',' ORDER BY q.slug < p.slug, q.slug) AS links FROM pages_ p JOIN pages_ q ON p.slug <> q.slug GROUP BY 1)
+        SELECT slug, '{{"@context":"https://schema.org","@type":"ItemList","name":"' || h1 || '","description":"' || replace(description, '"', '\\"') || '","url":"https://shop.example/comparar/' || slug || '","dateModified":"2024-01-31","itemListElement":[' || items || ']}}' AS json_ld,
+          failures, store_key, price, stores, array_to_string(string_split(links, ',')[1:3], ',') AS related FROM pages_ JOIN s USING (slug) JOIN l USING (slug)""",
     "sitemap_rows": _values({"loc": "VARCHAR", "lastmod": "VARCHAR", "changefreq": "VARCHAR", "priority": "DOUBLE"}, [("https://shop.example/", "2024-01-31", "daily", 1.0), *((f"https://shop.example/comparar/{p[0]}", "2024-01-31", "daily", 0.9) for p in samples.PAGES)]),
 }
