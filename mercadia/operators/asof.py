@@ -28,7 +28,7 @@ def as_of(asked: DataFrame, entries: DataFrame, keys: list[str], value: str, sli
     cut = F.expr(f"floor(t / {slice_})").alias("_slice")
     names = [F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)]
     by = [f"_k{n}" for n in range(len(keys))]
-    held = entries.select(*names, cut, "t", F.lit(0).alias("_ask"), F.col("id").cast("long").alias("_id"), F.struct(F.col("t").alias("t"), F.col(value).alias("v")).alias("_e")).where("t IS NOT NULL")
+    held = entries.select(*names, cut, "t", F.lit(0).alias("_ask"), F.col("id").cast("long").alias("_id"), F.struct(F.col("t").alias("t"), F.col(value).alias("v")).alias("_e")).where("t IS NOT NULL").dropna(subset=by)
     wants = asked.select(*names, cut, "t", F.lit(1).alias("_ask"), (F.col(order).cast("long") if before else F.lit(None).cast("long")).alias("_id"), F.struct("*").alias("_row"))
     # the last entry of each slice, and the last one before it
     left = held.groupBy(*by, "_slice").agg(F.max_by("_e", F.struct("t", "_id")).alias("_last"))

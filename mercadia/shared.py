@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def _on(spark: SparkSession, path: str):
+def on(spark: SparkSession, path: str):
     """The path as Hadoop has it, and its file system."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -33,7 +33,7 @@ def run_dir(spark: SparkSession) -> str:
     """This application's own folder in the shared one; it goes when the application ends."""
     path = f"{shared_dir(spark)}/mercadia-{spark.sparkContext.applicationId}"
     if path not in _made:
-        at, files = _on(spark, path)
+        at, files = on(spark, path)
         files.mkdirs(at)
         files.deleteOnExit(at)
         _made.add(path)
@@ -55,6 +55,6 @@ def respool(df: DataFrame, name: str, old: str | None) -> tuple[DataFrame, str]:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     if old is not None:
-        at, files = _on(spark, old)
+        at, files = on(spark, old)
         files.delete(at, True)
     return spark.read.schema(df.schema).parquet(path), path

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercadia.functions.scalars import cache_file
+from mercadia.shared import on, spool
 
 STORE = "key string, name string, domain string, kind string, enabled boolean, search_path string"
 LOG = "ts long, query string, store string, stores_with_price long, cheapest string"
@@ -68,14 +69,76 @@ def append_cache(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+CACHE = "key string, ts double, data string"
+
+
+def _generations(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """The complete generations of a cache table and their buckets."""
+    at, files = on(spark, path)
+    found: dict[int, list[int]] = {}
+    for folder in files.listStatus(at) if files.exists(at) else []:
+        if folder.getPath().getName().startswith("gen=") and files.exists(on(spark, f"{folder.getPath().toString()}/_SUCCESS")[0]):
+            names = [x.getPath().getName() for x in files.listStatus(folder.getPath())]
+            found[int(folder.getPath().getName().removeprefix("gen="))] = [int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=")]
+    return found
+
+
+def _current(found: dict[int, list[int]]) -> dict[int, int]:
+    """The newest generation of each bucket."""
+    return {bucket: gen for gen in sorted(found) for bucket in found[gen]}
+
+
+def read_cache(spark: SparkSession, path: str, buckets: list[int] | None = None) -> DataFrame:
+    """key, ts, data of a cache table (of some buckets), one row for each key."""
+    now = _current(_generations(spark, path))
+    folders = [f"{path}/gen={gen}/bucket={bucket}" for bucket, gen in now.items() if buckets is None or bucket in buckets]
+    return spark.read.schema(CACHE).parquet(*folders) if folders else spark.createDataFrame([], CACHE)
+
+
+def put_cache(rows: DataFrame, path: str, now: float, ttl_s: float, buckets: int = 64) -> None:
+    """Writes entries(key, ts, data) over those of the same keys; of one key the latest stays, of equal times the new one. Entries older than ttl_s at `now` are dropped from the buckets that are touched.
+
+    The touched buckets, by the key's hash, are written anew as a generation that counts once it is complete; what a reader has begun to read stays for one more round. One writer at a time.
+    """
+    spark = rows.sparkSession
+    cut = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
+    new = spool(rows.select("key", F.col("ts").cast("double").alias("ts"), "data", cut.alias("bucket")), "entries")
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # buckets at most
+    if not touched:
+        return
+    found = _generations(spark, path)
+    old = read_cache(spark, path, touched).withColumns({"bucket": cut, "_new": F.lit(0)})
+    both = old.unionByName(new.withColumn("_new", F.lit(1)))
+    best = both.groupBy("bucket", "key").agg(F.max_by(F.struct("ts", "data"), F.struct("ts", "_new")).alias("e"))
+    kept = best.select("bucket", "key", "e.*").where(F.lit(now) - F.col("ts") <= ttl_s)
+    kept.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/gen={max(found, default=0) + 1}")
+    live = _current(found)  # as readers saw it until now
+    for gen, held in found.items():
+        for bucket in held:
+            if live[bucket] != gen:
+                at, files = on(spark, f"{path}/gen={gen}/bucket={bucket}")
+                files.delete(at, True)
+        if held and all(live[bucket] != gen for bucket in held):
+            at, files = on(spark, f"{path}/gen={gen}")
+            files.delete(at, True)
+
+
 def write_config(user: DataFrame, defaults: DataFrame, path: str) -> DataFrame:
-    """Merges the user's stores with the defaults, writes the result as the user's next configuration, and gives it back as read. The old folder is read in full before it is replaced."""
+    """Merges the user's stores with the defaults, writes the result as the user's next configuration, and gives it back as read. It is written beside the old folder and renamed, so a failure leaves one of the two."""
     rows = merge_config(user, defaults).orderBy("part", "store_ord").collect()  # a store dimension, as it comes from a config
     spark = user.sparkSession
     merged = spark.createDataFrame([(*r[:6], k) for k, r in enumerate(rows)], f"{STORE}, store_ord int")
-    merged.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    (at, files), (new, _), (old, _) = (on(spark, x) for x in (path, f"{path}.new", f"{path}.old"))
+    merged.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}.new")
+    files.delete(old, True)
+    if files.exists(at):
+        files.rename(at, old)
+    files.rename(new, at)
+    files.delete(old, True)
     return read_config(spark, path)
 
 
 def read_config(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"{STORE}, store_ord int").json(path)
+    (at, files), (old, _) = on(spark, path), on(spark, f"{path}.old")
+    found = path if files.exists(at) or not files.exists(old) else f"{path}.old"  # between two renames
+    return spark.read.schema(f"{STORE}, store_ord int").json(found)

@@ -1,7 +1,8 @@
-"""Streaming forms: the rate limiter as keyed state, and counts of a search log with watermarks."""
+"""Streaming forms: the rate limiter and the cache as keyed state that ends, and counts of a search log with watermarks."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import Any
 
@@ -13,68 +14,97 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from mercadia.operators.state import log_query
 
+#: Event times are this much later than t: the first watermark is at 0, and what is not behind it counts.
+SHIFT_S = 1
 DECISION = "client string, id long, t double, accepted boolean"
 
 
-class SlidingLimit(StatefulProcessor):
-    """Keeps the times of a client's accepted hits within the window, never more than the limit."""
+class Expiring(StatefulProcessor):
+    """Keyed state that ends: `ends` says until when a key's state matters, and a timer in event time clears it once the watermark has passed that."""
 
-    def __init__(self, seconds: float, limit: int) -> None:
-        self.seconds, self.limit = seconds, limit
+    def __init__(self, span: float) -> None:
+        self.span = span
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.accepted = handle.getValueState("accepted", StructType([StructField("times", ArrayType(DoubleType()))]))
+        self.handle = handle
+        self.state = handle.getValueState("times", StructType([StructField("times", ArrayType(DoubleType()))]))
+
+    def load(self) -> list[float]:
+        return list(self.state.get()[0]) if self.state.exists() else []
+
+    def keep(self, times: list[float]) -> None:
+        """Stores the times and sets the one timer that clears them."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if times:
+            self.state.update((times,))
+            self.handle.registerTimer(int(math.ceil((max(times) + self.span + SHIFT_S) * 1000)) + 1)
+        else:
+            self.state.clear()
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+class SlidingLimit(Expiring):
+    """Keeps the times of a client's accepted hits within the window, never more than the limit."""
+
+    def __init__(self, seconds: float, limit: int) -> None:
+        super().__init__(seconds)
+        self.limit = limit
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        times = list(self.accepted.get()[0]) if self.accepted.exists() else []
+        times = self.load()
         hits = pd.concat(list(rows)).sort_values(["t", "id"])
         verdicts = []
         for t in hits["t"]:
-            times = [x for x in times if x >= t - self.seconds]
+            times = [x for x in times if x >= t - self.span]
             fits = self.limit <= 0 or len(times) < self.limit
             if fits and self.limit > 0:
                 times.append(float(t))
             verdicts.append(fits)
-        self.accepted.update((times,))
+        self.keep(times)
         yield pd.DataFrame({"client": [str(key[0])] * len(hits), "id": hits["id"], "t": hits["t"], "accepted": verdicts})
 
-    def close(self) -> None:
-        pass
-
 
-def rate_limited(hits: DataFrame, seconds: float, limit: int) -> DataFrame:
-    """A stream of hits(client, t, id), in order of t for each client, with accepted. Needs the RocksDB state store."""
-    slim = hits.select(F.col("client").cast("string").alias("client"), F.col("t").cast("double").alias("t"), F.col("id").cast("long").alias("id"))
-    return slim.groupBy("client").transformWithStateInPandas(SlidingLimit(seconds, limit), outputStructType=DECISION, outputMode="Append", timeMode="None")
-
-
-class CacheEntry(StatefulProcessor):
+class CacheEntry(Expiring):
     """Keeps when a key's entry was written."""
 
-    def __init__(self, ttl_s: float) -> None:
-        self.ttl_s = ttl_s
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.written = handle.getValueState("written", StructType([StructField("t", DoubleType())]))
-
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        written = self.written.get()[0] if self.written.exists() else None
+        written = self.load()
         requests = pd.concat(list(rows)).sort_values(["t", "id"])
         hits = []
         for t in requests["t"]:
-            hits.append(written is not None and t - written <= self.ttl_s)
-            written = written if hits[-1] else float(t)
-        self.written.update((written,))
+            hits.append(bool(written) and t - written[0] <= self.span)
+            written = written if hits[-1] else [float(t)]
+        self.keep(written)
         yield pd.DataFrame({"key": [str(key[0])] * len(requests), "id": requests["id"], "t": requests["t"], "hit": hits})
 
-    def close(self) -> None:
-        pass
 
+def _timed(rows: DataFrame, key: str, late: str) -> DataFrame:
+    """rows(key, t, id) with the event time of t and a watermark."""
+    slim = rows.select(F.col(key).cast("string").alias(key), F.col("t").cast("double").alias("t"), F.col("id").cast("long").alias("id"))
+    return slim.withColumn("ts", F.timestamp_micros(((F.col("t") + SHIFT_S) * 1_000_000).cast("long"))).withWatermark("ts", late)
+
+
+def rate_limited(hits: DataFrame, seconds: float, limit: int, late: str = "10 minutes") -> DataFrame:
+    """A stream of hits(client, t, id), in order of t for each client, with accepted. Needs the RocksDB state store.
+
+    A client's state goes when the watermark, `late` behind the latest hit of all, has passed the end of its window. Hits that come behind the watermark, or without t, are dropped."""
+    rows = _timed(hits, "client", late).where("t IS NOT NULL")
+    return rows.groupBy("client").transformWithStateInPandas(SlidingLimit(seconds, limit), outputStructType=DECISION, outputMode="Append", timeMode="EventTime")
+
+
+def cached(requests: DataFrame, ttl_s: float, late: str = "10 minutes") -> DataFrame:
+    """A stream of requests(key, t, id), in order of t for each key, with hit: a miss writes, a hit doesn't renew. Needs the RocksDB state store.
 
-def cached(requests: DataFrame, ttl_s: float) -> DataFrame:
-    """A stream of requests(key, t, id), in order of t for each key, with hit: a miss writes, a hit doesn't renew. Needs the RocksDB state store."""
-    slim = requests.select(F.col("key").cast("string").alias("key"), F.col("t").cast("double").alias("t"), F.col("id").cast("long").alias("id"))
-    return slim.groupBy("key").transformWithStateInPandas(CacheEntry(ttl_s), outputStructType="key string, id long, t double, hit boolean", outputMode="Append", timeMode="None")
+    A key's state goes when the watermark has passed its entry's end. Requests that come behind the watermark, or without t, are dropped."""
+    rows = _timed(requests, "key", late).where("t IS NOT NULL")
+    return rows.groupBy("key").transformWithStateInPandas(CacheEntry(ttl_s), outputStructType="key string, id long, t double, hit boolean", outputMode="Append", timeMode="EventTime")
 
 
 def popular_stream(log: DataFrame) -> DataFrame:
