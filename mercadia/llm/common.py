@@ -30,16 +30,25 @@ def salted_join(many: DataFrame, few: DataFrame, rows: int, limit: int, keys: li
     return many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
 
 
+#: Crowds whose keys may be broadcast, and parts that a crowd is spread over where its rows of few may not.
+HOT_KEYS, HOT_SALTS = 1_000_000, 32
+
+
 def hot_join(many: DataFrame, few: DataFrame, keys: list[str], hot: DataFrame, limit: int) -> DataFrame:
     """many joined with few, which has each key once; hot(keys) are the keys that a crowd of many's rows share.
 
-    Their rows of few are broadcast if they are within the limit, so that a crowd stays where it lies; all other keys meet by a shuffle.
+    Their rows of few are broadcast if they are within the limit, so that a crowd stays where it lies; beyond it they go to HOT_SALTS parts of each crowd. All other keys meet by a shuffle.
     """
     n = hot.count()
-    if n == 0 or n > limit:
+    if n == 0 or n > HOT_KEYS:
         return many.join(few, keys)
     hot = F.broadcast(hot)
-    return many.join(hot, keys, "left_anti").join(few, keys).unionByName(many.join(F.broadcast(few.join(hot, keys, "left_semi")), keys))
+    rest, crowds, theirs = many.join(hot, keys, "left_anti").join(few, keys), many.join(hot, keys, "left_semi"), few.join(hot, keys, "left_semi")
+    if n <= limit:
+        return rest.unionByName(crowds.join(F.broadcast(theirs), keys))
+    part = F.pmod(F.xxhash64(*[c for c in many.columns if c not in keys]), F.lit(HOT_SALTS)).cast("int")
+    spread_out = theirs.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))))
+    return rest.unionByName(crowds.withColumn("_part", part).join(spread_out, [*keys, "_part"]).drop("_part"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

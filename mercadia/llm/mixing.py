@@ -102,7 +102,7 @@ def _dealt(cells: pd.DataFrame) -> pd.DataFrame:
 def mixed(docs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken and the columns `keys` for each row of docs(doc_id, source, text, keys)."""
     key = F.struct(F.col("source").isNull().alias("missing"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name"))
-    sized = spool(docs.select("doc_id", key.alias("_s"), words_in().alias("size"), *keys), "sizes")
+    sized = spool(docs.select("doc_id", key.alias("_s"), words_in().alias("size"), F.xxhash64(F.col("text").cast("string")).alias("_text"), *keys), "sizes")
     sizes = spool(sized.groupBy("_s", "size").agg(F.count("*").alias("docs")).withColumn("_words", F.col("size") * F.col("docs")), "size-counts")
     wanted = spool(targets(sizes), "targets")
     tilt = multipliers(sizes, wanted.where(f"target < source_size * {MOST} * (1 - 1e-12)"))
@@ -117,7 +117,7 @@ def mixed(docs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     bins = binned.groupBy("_s", "size", "_bin").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("_s", "size").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bins = bins.withColumn("before", before).join(cells, ["_s", "size"])
-    rank = F.row_number().over(Window.partitionBy("_s", "size", "_bin").orderBy("_draw", "doc_id", *keys))
+    rank = F.row_number().over(Window.partitionBy("_s", "size", "_bin").orderBy("_draw", "doc_id", "_text", *keys))  # of rows that share a doc_id the text decides, not the order they came in
     ranked = binned.withColumn("_rank", rank).join(bins, ["_s", "size", "_bin"])
     extra = (F.col("before") + F.col("_rank") <= F.col("copies") % F.col("docs")).cast("long")
     each = F.expr("copies div docs") + extra

@@ -36,8 +36,8 @@ BASE, RATE, TOP = 1.1, 20.0, 254
 PERCENT = 85
 #: Pairs whose estimate is this far below the threshold are not verified: five standard errors of 140 registers.
 SLACK = 0.15
-#: Members of a bucket that one task compares with one another come in blocks of about this many.
-BLOCK = 1024
+#: Members of a bucket that one task compares with one another come in blocks of about this many, or of about this many bytes of full sets.
+BLOCK, BLOCK_BYTES = 1024, 64 << 20
 CHUNK = 4 << 20
 ID_BROADCAST = 1_000_000
 #: Rows of one key that make a crowd; so many crowds' registers, or full sets, may be broadcast.
@@ -314,10 +314,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # buckets of classes that agree in a band
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("registers", k * ROWS + 1, ROWS)) for k in range(BANDS)])
-    members = classes.select("rep", F.explode(bands).alias("key"))
-    buckets = members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("size")).where("low < high")
+    members = classes.select("rep", F.explode(bands).alias("key"), "n_shingles")
+    buckets = members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("size"), (8 * F.sum("n_shingles")).alias("bytes")).where("low < high")
     buckets = spool(buckets, "buckets")
-    crowded = spool(hot_join(members, buckets, ["key"], buckets.where(F.col("size") > CROWD).select("key"), CROWD_BROADCAST), "crowded")
+    crowded = spool(hot_join(members.drop("n_shingles"), buckets, ["key"], buckets.where(F.col("size") > CROWD).select("key"), CROWD_BROADCAST), "crowded")
 
     # members against the pivots
     pairs = crowded.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.a", "p.b").where("a < b").distinct()
@@ -342,9 +342,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = spool(components(links), "first")
 
     # buckets that still hold several components
-    placed = spool(crowded.join(first, crowded["rep"] == first["node"], "left").select("key", "size", "rep", F.coalesce("comp", "rep").alias("comp")), "placed")
+    placed = spool(crowded.join(first, crowded["rep"] == first["node"], "left").select("key", "size", "bytes", "rep", F.coalesce("comp", "rep").alias("comp")), "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     dealt = placed.join(mixed, "key").withColumn("mine", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("key", "rep", "comp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     sketch = classes.select("rep", "n_shingles", "registers")

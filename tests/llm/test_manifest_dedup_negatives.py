@@ -203,3 +203,30 @@ def test_the_tree_eliminates_and_loses_nothing():
         assert met[q, leaf_[r]].all() and len(q) > 500
     met = [len(w) for _, w in hard_negatives.surviving(nodes, anchors, np.arange(100), best, np.full(100, hard_negatives.OPEN))]
     assert sum(met) < 0.2 * 100 * (leaf_.max() + 1)  # the nearest rows are in few leaves
+
+
+# Joins that spread crowds
+
+
+def test_hot_join(spark):
+    from mercadia.llm.common import hot_join
+
+    many = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"))
+    few = spark.createDataFrame([(k, f"v{k}") for k in range(45)], "k long, v string")
+    hot = spark.createDataFrame([(0,), (7,)], "k long")
+    plain = sorted(map(tuple, many.join(few, ["k"]).select("k", "id", "v").collect()))
+    for limit in (2, 1, 0):
+        assert sorted(map(tuple, hot_join(many, few, ["k"], hot, limit).select("k", "id", "v").collect())) == plain
+    assert sorted(map(tuple, hot_join(many, few, ["k"], hot.limit(0), 5).select("k", "id", "v").collect())) == plain
+
+
+def test_the_mix_takes_the_same_text_however_rows_come(spark):
+    from mercadia.llm.mixing import mixed
+
+    rows_ = [(k % 7, "s" if k % 4 else "t", f"{'w ' * (3 + k % 5)}{k // 7}") for k in range(140)]
+    seen = set()
+    for parts in (1, 3, 5):
+        docs = spark.createDataFrame(rows_[::parts] + [r for k, r in enumerate(rows_) if k % parts], "doc_id long, source string, text string").repartition(parts).withColumn("_row", F.monotonically_increasing_id())
+        taken = docs.join(mixed(docs, ("_row",)).select("_row", "copies"), "_row")
+        seen.add(tuple(sorted((r["doc_id"], r["text"], r["copies"]) for r in taken.collect())))
+    assert len(seen) == 1
