@@ -19,7 +19,7 @@ from mercadia.operators import search as searching
 from mercadia.operators.relevance import for_product_pattern, match_queries, overlaps, relevant, relevant_offers, with_tokens
 from mercadia.plans import columns as plan_columns
 from mercadia.plans import query as plans
-from mercadia.shared import spool
+from mercadia.shared import file_states, spool
 from mercadia.sources import landed, payloads
 
 QUERY = "widget rojo"
@@ -52,6 +52,12 @@ def _best(spark: SparkSession, d: str) -> DataFrame:
     return compare.best_per_store(fx.offers(spark, d), fx.fetches(spark, d), QUERY)
 
 
+def _dealt(spark: SparkSession, d: str, name: str, id_: str, values: list) -> DataFrame:
+    """The rows of a table, each with one of the values in turn, by its id."""
+    texts = F.array(*[F.lit(v).cast("string") for v in values])
+    return _table(spark, d, name).select(id_, F.element_at(texts, (F.col(id_) % len(values) + 1).cast("int")).alias("value"))
+
+
 # Scalars
 
 
@@ -134,7 +140,8 @@ def money_format(spark, d):
 
 @query
 def url_encode(spark, d):
-    return spark.createDataFrame(samples.URLS, "raw string").select("raw", sc.url_quote(F.col("raw")).alias("strict"), sc.url_quote(F.col("raw"), True).alias("with_slash"))
+    raw = _table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit("/ñ&=?+*~"), "p_brand").alias("raw"))
+    return raw.select("p_partkey", sc.url_quote(F.col("raw")).alias("strict"), sc.url_quote(F.col("raw"), True).alias("with_slash"))
 
 
 @query
@@ -156,7 +163,10 @@ def cache_path(spark, d):
 
 @query
 def client_key(spark, d):
-    return spark.createDataFrame(samples.CLIENTS, "forwarded string, host string").select("forwarded", "host", sc.client_key(F.col("forwarded"), F.col("host")).alias("client"))
+    user, kind = F.col("user_id").cast("string"), F.col("user_id") % 5
+    sent = F.when(kind == 0, F.concat(F.lit(" 10.0.0."), user, F.lit(" , 1.1.1.1"))).when(kind == 1, "").when(kind == 2, ", x").when(kind == 3, F.concat(F.lit("10.1."), user))
+    host = F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("h"), user))
+    return _table(spark, d, "events").select("event_id", sc.client_key(sent, host).alias("client"))
 
 
 # Relevance
@@ -194,11 +204,13 @@ def relevance_plan(spark, d):
 
 @query
 def relevance_golden(spark, d):
-    names = with_tokens(spark.createDataFrame([(k, q, n) for k, (q, n, _) in enumerate(samples.RELEVANCE)], "id int, query string, name string"))
+    dealt = _dealt(spark, d, "part", "p_partkey", [n for _, n, _ in samples.RELEVANCE]).withColumn("k", F.col("p_partkey") % len(samples.RELEVANCE))
+    names = with_tokens(dealt, "value")
     verdict = F.lit(None).cast("boolean")
     for q in dict.fromkeys(q for q, _, _ in samples.RELEVANCE):
-        verdict = F.when(F.col("query") == q, relevant(q, F.col("name_norm"), F.col("name_toks"))).otherwise(verdict)
-    return names.select("id", verdict.alias("fits"))
+        mine = [k for k, (query_, _, _) in enumerate(samples.RELEVANCE) if query_ == q]
+        verdict = F.when(F.col("k").isin(mine), relevant(q, F.col("name_norm"), F.col("name_toks"))).otherwise(verdict)
+    return names.select("p_partkey", verdict.alias("fits"))
 
 
 @query
@@ -209,51 +221,56 @@ def relevant_offers_(spark, d):
 QUERIES["relevant_offers"] = QUERIES.pop("relevant_offers_")
 
 
-def _asked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(q,) for q in samples.ALIASES], "query string")
-
-
 @query
 def search_aliases(spark, d):
-    return _asked(spark).select("query", F.posexplode(plan_columns.search_texts(F.col("query"))).alias("alias_ord", "text"))
+    asked = _dealt(spark, d, "events", "event_id", samples.ALIASES)
+    return asked.select("event_id", F.posexplode(plan_columns.search_texts(F.col("value"))).alias("alias_ord", "text"))
 
 
 @query
 def query_variants(spark, d):
-    return _asked(spark).select("query", F.posexplode(plan_columns.variant_texts(F.col("query"))).alias("variant", "text"))
+    asked = _dealt(spark, d, "events", "event_id", samples.ALIASES)
+    return asked.select("event_id", F.posexplode(plan_columns.variant_texts(F.col("value"))).alias("variant", "text"))
 
 
-def _plans(spark: SparkSession) -> DataFrame:
-    rows = [(k, json.dumps(p, ensure_ascii=False)) for k, p in enumerate(samples.PLANS)]
-    return spark.createDataFrame(rows, "id int, body string").select("id", plan_columns.sanitized(F.col("body")).alias("plan"))
+def _plans(spark: SparkSession, d: str) -> DataFrame:
+    bodies = _dealt(spark, d, "events", "event_id", [json.dumps(p, ensure_ascii=False) for p in samples.PLANS])
+    return bodies.select("event_id", plan_columns.sanitized(F.col("value")).alias("plan"))
 
 
 @query
 def plan_sanitize(spark, d):
-    return _plans(spark).select("id", F.to_json("plan").alias("plan"))
+    return _plans(spark, d).select("event_id", F.to_json("plan").alias("plan"))
 
 
 @query
 def plan_merge(spark, d):
-    asked = _plans(spark).withColumn("query", F.lit("tenis nike"))
+    asked = _plans(spark, d).withColumn("query", F.lit("tenis nike"))
     asked = asked.withColumn("local", plan_columns.search_texts(F.col("query")))
     texts = plan_columns.merged(F.col("query"), F.col("plan"), F.col("local"), F.lit("data"))["search_queries"]
-    return asked.select("id", F.posexplode(texts).alias("n", "text"))
+    return asked.select("event_id", F.posexplode(texts).alias("n", "text"))
 
 
 @query
 def plan_extract(spark, d):
-    rows = spark.createDataFrame([(k, json.dumps(r, ensure_ascii=False)) for k, r in enumerate(samples.RESPONSES)], "id int, body string")
-    return rows.select("id", plan_columns.output_text(F.col("body")).alias("text"))
+    rows = _dealt(spark, d, "events", "event_id", [json.dumps(r, ensure_ascii=False) for r in samples.RESPONSES])
+    return rows.select("event_id", plan_columns.output_text(F.col("value")).alias("text"))
 
 
 # Sources
 
 
+def _answers(spark: SparkSession, d: str, kinds: list[str]) -> DataFrame:
+    """What each supplier, as a store of each kind, answers: the kind's sample with addresses of its own."""
+    s, own = _table(spark, d, "supplier"), F.col("s_suppkey").cast("string")
+    moved = lambda body: F.replace(F.replace(F.lit(body), F.lit("https://shop.example"), F.concat(F.lit("https://"), own, F.lit(".shop.example"))), F.lit("https://u"), F.concat(F.lit("https://u"), own))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), moved(samples.PAYLOADS[k]).alias("body")) for k in kinds])).alias("x")
+    return s.select(own.alias("store_key"), F.col("s_name").alias("store_name"), F.concat(own, F.lit(".shop.example")).alias("domain"), each).select("store_key", "store_name", "domain", "x.*")
+
+
 def _source(kind: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        landed_rows = spark.createDataFrame([(kind, "s", "S", "shop.example", samples.PAYLOADS[kind])], "kind string, store_key string, store_name string, domain string, body string")
-        return payloads.parse(landed_rows).select("name", "price", "available", "url", "image")
+        return payloads.parse(_answers(spark, d, [kind])).select("store_key", "name", "price", "available", "url", "image")
 
     return run
 
@@ -264,8 +281,7 @@ for _key, _kind in {"src_vtex": "vtex", "src_magento": "magento", "src_kemik": "
 
 @query
 def offers_union(spark, d):
-    rows = [(k, k, k.upper(), "shop.example", body) for k, body in samples.PAYLOADS.items()]
-    return payloads.parse(spark.createDataFrame(rows, "kind string, store_key string, store_name string, domain string, body string")).select("store_key", "name", "price", "available", "url")
+    return payloads.parse(_answers(spark, d, list(samples.PAYLOADS)), "kind").select("kind", "store_key", "name", "price", "available", "url")
 
 
 def _stores(spark: SparkSession, d: str) -> DataFrame:
@@ -285,13 +301,25 @@ def stores_only(spark, d):
 
 @query
 def config_merge(spark, d):
-    defaults = landed.stores(spark, samples.DEFAULT_STORES).withColumn("replaces", F.when(F.col("key") == "max", "vtex"))
-    return landed.merge_config(landed.stores(spark, samples.USER_STORES), defaults).select("key", "name", "domain", "kind", "enabled")
+    """The suppliers as the user's stores, the customers as the defaults."""
+    u, c = _table(spark, d, "supplier"), _table(spark, d, "customer")
+    path = F.lit(None).cast("string").alias("search_path")
+    user = u.select(
+        F.col("s_suppkey").cast("string").alias("key"), F.col("s_name").alias("name"), F.concat(F.lit("d"), F.col("s_suppkey") % 3).alias("domain"), F.when(F.col("s_suppkey") % 4 == 0, "kemik").when(F.col("s_suppkey") % 4 == 1, "vtex").alias("kind"),
+        (F.col("s_acctbal") >= 0).alias("enabled"), path, F.col("s_suppkey").cast("int").alias("store_ord"),
+    )
+    defaults = c.select(
+        F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("name"), F.concat(F.lit("d"), F.col("c_custkey") % 2).alias("domain"), F.lit("max_constructor").alias("kind"), F.lit(True).alias("enabled"), path,
+        F.lit("vtex").alias("replaces"), F.col("c_custkey").cast("int").alias("store_ord"),
+    )
+    return landed.merge_config(user, defaults).select("key", "name", "domain", "kind", "enabled")
 
 
 @query
 def batch_items(spark, d):
-    return landed.batch_items(spark.createDataFrame([(t,) for t in samples.LINES], "value string"))
+    """The lines of all documents as query lists."""
+    lines = _documents(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "value"))
+    return landed.batch_items(lines).select("doc_id", "line", "value")
 
 
 # Fetches, union, dedupe
@@ -424,12 +452,12 @@ def search_log_rows(spark, d):
 # Searches end to end, over landed payloads
 
 
-_landed: dict[tuple[str, str], DataFrame] = {}
+_landed: dict[tuple, DataFrame] = {}
 
 
 def _landings(spark: SparkSession, d: str) -> DataFrame:
     """The landed payloads, as a table that all queries of a session share."""
-    key = spark.sparkContext.applicationId, d
+    key = spark.sparkContext.applicationId, d, *(state for name in ("lineitem", "part", "supplier") for state in file_states(spark, f"{d}/{name}.parquet"))
     if key not in _landed:
         _landed[key] = spool(fx.landings(spark, d), "landings")
     return _landed[key]
@@ -550,10 +578,6 @@ def cache_one_key(spark, d):
 # Reports
 
 
-def _pages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(samples.PAGES, report.PAGE)
-
-
 @query
 def page_lookup(spark, d):
     slugs = _table(spark, d, "nation").select(F.lower("n_name").alias("slug"))
@@ -571,7 +595,7 @@ def page_documents(spark, d):
 
 @query
 def sitemap_rows(spark, d):
-    return report.sitemap_rows(_pages(spark), "https://shop.example", "2024-01-31")
+    return report.sitemap_rows(fx.comparison_pages(spark, d), "https://shop.example", "2024-01-31")
 
 
 ORACLES: dict[str, str] = oracles.ORACLES

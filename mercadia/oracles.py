@@ -91,8 +91,18 @@ def _digest(toks: str) -> str:
     return f"SELECT doc_id, len(w) AS n, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, {toks} AS w FROM documents)"
 
 
+def _dealt(table: str, id_: str, n: int, columns: dict[str, str], rows: list[tuple]) -> str:
+    """The rows of a table, each with those of the given rows (k, ...) whose k is its id modulo n."""
+    given = _values({"_k": "INTEGER"} | columns, rows)
+    return f"SELECT {id_}, {', '.join(columns)} FROM {table} JOIN ({given}) ON {id_} % {n} = _k"
+
+
+_OFFER = {"name": "VARCHAR", "price": "DOUBLE", "available": "INTEGER", "url": "VARCHAR", "image": "VARCHAR"}
+_OWN = "replace(replace(url, 'https://shop.example', 'https://' || s_suppkey || '.shop.example'), 'https://u', 'https://u' || s_suppkey) AS url"
+
+
 def _offer(kind: str) -> str:
-    return _values({"name": "VARCHAR", "price": "DOUBLE", "available": "INTEGER", "url": "VARCHAR", "image": "VARCHAR"}, samples.PARSED[kind])
+    return f"SELECT CAST(s_suppkey AS VARCHAR) AS store_key, name, price, available, {_OWN}, image FROM supplier CROSS JOIN ({_values(_OFFER, samples.PARSED[kind])})"
 
 
 #: A walk over requests(key, t, id, ok) in order, with the last entry's id and time; one recursion a key.
@@ -133,7 +143,6 @@ _PLANS = [
     {"original_query": "tenis nike", "canonical_query": "tenis nike", "search_queries": ["Zapatos Nike", "TENIS NIKE"], "required_any_groups": [["tenis"]], "exclude_terms": [], "confidence": 1.0, "source": "local"},
     {"original_query": "tenis nike", "canonical_query": "nike", "search_queries": ["a", "b", "c", "d", "e", "f", "g", "h"], "required_any_groups": [], "exclude_terms": [], "confidence": 0.0, "source": "data"},
 ]
-_INDEXED = {"id": "INTEGER", "n": "INTEGER", "text": "VARCHAR"}
 
 ORACLES: dict[str, str] = {
     "text_normalize": f"SELECT doc_id, {STRIP.format('text')} AS norm FROM documents",
@@ -151,11 +160,11 @@ ORACLES: dict[str, str] = {
         FROM (SELECT page_id, unnest(c) AS chunk, unnest(range(len(c))) AS pos FROM (SELECT page_id, regexp_split_to_array(html, '(?i)<li><a') AS c FROM pages)) WHERE pos > 0""",
     "html_escape": "SELECT page_id, md5(" + _replaced("html", [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")]) + ") AS digest FROM pages",
     "money_format": f"WITH {OFFERS_SQL} SELECT store_key, url, price, coalesce('Q' || format('{{:,.2f}}', price), 'N/D') AS web, coalesce('Q' || format('{{:,.2f}}', price), '—') AS cli FROM offers",
-    "url_encode": _values({"raw": "VARCHAR", "strict": "VARCHAR", "with_slash": "VARCHAR"}, samples.ENCODED),
+    "url_encode": "SELECT p_partkey, url_encode(p_name || '/ñ&=?+*~' || p_brand) AS strict, replace(url_encode(p_name || '/ñ&=?+*~' || p_brand), '%2F', '/') AS with_slash FROM part",
     "ws_collapse": f"WITH {SEARCHES_SQL} SELECT event_id, {HTML.format('query')} AS query FROM searches",
     "plan_clamp": "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 0.0::DOUBLE ELSE greatest(0.0, least(1.0, (p_retailprice - 1000) / 500)) END AS confidence FROM part",
     "cache_path": f"WITH {SEARCHES_SQL}, k AS (SELECT event_id, CAST(client AS VARCHAR) || '::' || lower(trim(query)) AS key FROM searches) SELECT event_id, key, substr(sha256(key), 1, 32) || '.json' AS file FROM k",
-    "client_key": _values({"forwarded": "VARCHAR", "host": "VARCHAR", "client": "VARCHAR"}, [(*a, b) for a, b in zip(samples.CLIENTS, samples.CLIENT_KEYS, strict=True)]),
+    "client_key": "SELECT event_id, CASE user_id % 5 WHEN 0 THEN '10.0.0.' || user_id WHEN 2 THEN '' WHEN 3 THEN '10.1.' || user_id ELSE CASE WHEN event_id % 4 = 0 THEN 'unknown' ELSE 'h' || user_id END END AS client FROM events",
     "relevance_match": f"WITH {PARTS} " + " UNION ALL ".join(f"SELECT {k} AS query_id, p_partkey FROM named WHERE {m}" for k, m in enumerate(MATCHES)),
     "relevance_many": f"""WITH {PARTS}, {DRAWN_SQL}, asked AS (SELECT query, list_filter({TOKENS.format('query')}, lambda x: NOT list_contains({_list(STOPWORDS)}, x)) AS w FROM drawn),
         wanted AS (SELECT query, w, list_has_any(w, {_list(ACCESSORIES)}) AS asks, list_transform(w, lambda x: CASE WHEN list_contains({_list(RED)}, x) THEN {_list(RED)} WHEN list_contains({_list(BLUE)}, x) THEN {_list(BLUE)} ELSE [x] END) AS g FROM asked),
@@ -165,20 +174,24 @@ ORACLES: dict[str, str] = {
     "relevance_accessory": "SELECT p_partkey, p_partkey % 3 IN (0, 1) AS accessory FROM part",
     "relevance_para": "SELECT p_partkey, regexp_matches(p_name, '^(red|blue)') AS for_product FROM part",
     "relevance_plan": f"WITH {PARTS} SELECT p_partkey FROM named WHERE NOT {_word('small')} AND NOT {ACCESSORY} AND (({_word('widget')} AND {_word('rojo', RED)}) OR ({_word('gizmo')} AND {_word('azul', BLUE)}))",
-    "relevance_golden": _values({"id": "INTEGER", "fits": "BOOLEAN"}, [(k, v) for k, (_, _, v) in enumerate(samples.RELEVANCE)]),
+    "relevance_golden": _dealt("part", "p_partkey", len(samples.RELEVANCE), {"fits": "BOOLEAN"}, [(k, v) for k, (_, _, v) in enumerate(samples.RELEVANCE)]),
     "relevant_offers": FOUND + " SELECT store_key, name, price, available, url FROM priced",
-    "search_aliases": _values({"query": "VARCHAR", "alias_ord": "INTEGER", "text": "VARCHAR"}, [(q, k, t) for q, found in samples.SEARCHED.items() for k, t in enumerate(found)]),
-    "query_variants": _values({"query": "VARCHAR", "variant": "INTEGER", "text": "VARCHAR"}, [(q, k, t) for q, found in samples.VARIANTS.items() for k, t in enumerate(found)]),
-    "plan_sanitize": _values({"id": "INTEGER", "plan": "VARCHAR"}, [(k, json.dumps(p, separators=(",", ":"))) for k, p in enumerate(_PLANS)]),
-    "plan_merge": _values(_INDEXED, [(k, n, t) for k, m in enumerate(samples.MERGED) for n, t in enumerate(m)]),
-    "plan_extract": _values({"id": "INTEGER", "text": "VARCHAR"}, list(enumerate(samples.EXTRACTED))),
+    "search_aliases": _dealt("events", "event_id", len(samples.ALIASES), {"alias_ord": "INTEGER", "text": "VARCHAR"}, [(k, n, t) for k, q in enumerate(samples.ALIASES) for n, t in enumerate(samples.SEARCHED[q])]),
+    "query_variants": _dealt("events", "event_id", len(samples.ALIASES), {"variant": "INTEGER", "text": "VARCHAR"}, [(k, n, t) for k, q in enumerate(samples.ALIASES) for n, t in enumerate(samples.VARIANTS[q])]),
+    "plan_sanitize": _dealt("events", "event_id", len(_PLANS), {"plan": "VARCHAR"}, [(k, json.dumps(p, separators=(",", ":"))) for k, p in enumerate(_PLANS)]),
+    "plan_merge": _dealt("events", "event_id", len(samples.MERGED), {"n": "INTEGER", "text": "VARCHAR"}, [(k, n, t) for k, m in enumerate(samples.MERGED) for n, t in enumerate(m)]),
+    "plan_extract": _dealt("events", "event_id", len(samples.EXTRACTED), {"text": "VARCHAR"}, list(enumerate(samples.EXTRACTED))),
     "src_vtex": _offer("vtex"), "src_magento": _offer("magento"), "src_kemik": _offer("kemik"), "src_pricesmart": _offer("pricesmart"),
     "src_intelaf": _offer("intelaf"), "src_novex": _offer("novex"), "src_woocommerce": _offer("woocommerce"), "src_max": _offer("max_constructor"),
-    "offers_union": _values({"store_key": "VARCHAR", "name": "VARCHAR", "price": "DOUBLE", "available": "INTEGER", "url": "VARCHAR"}, [(k, *r[:4]) for k, rows in samples.PARSED.items() for r in rows]),
+    "offers_union": f"SELECT kind, CAST(s_suppkey AS VARCHAR) AS store_key, name, price, available, {_OWN} FROM supplier CROSS JOIN ({_values({'kind': 'VARCHAR'} | _OFFER, [(k, *r) for k, rows in samples.PARSED.items() for r in rows])})",
     "stores_enabled": "SELECT CAST(s_suppkey AS VARCHAR) AS key, s_name AS name FROM supplier WHERE s_acctbal >= 0",
     "stores_only": "SELECT CAST(s_suppkey AS VARCHAR) AS key, s_name AS name, s_acctbal >= 0 AS enabled FROM supplier WHERE s_suppkey = 7",
-    "config_merge": _values({"key": "VARCHAR", "name": "VARCHAR", "domain": "VARCHAR", "kind": "VARCHAR", "enabled": "BOOLEAN"}, samples.MERGED_STORES),
-    "batch_items": _values({"value": "VARCHAR"}, [(t,) for t in samples.KEPT_LINES]),
+    "config_merge": """WITH u AS (SELECT CAST(s_suppkey AS VARCHAR) AS key, s_name AS name, 'd' || s_suppkey % 3 AS domain, CASE s_suppkey % 4 WHEN 0 THEN 'kemik' WHEN 1 THEN 'vtex' END AS kind, s_acctbal >= 0 AS enabled FROM supplier),
+        d AS (SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name, 'd' || c_custkey % 2 AS domain FROM customer),
+        j AS (SELECT u.*, d.name AS dn, d.domain AS dd, coalesce(u.domain = d.domain AND coalesce(u.kind, 'vtex') = 'vtex' AND NOT u.enabled, FALSE) AS old FROM u LEFT JOIN d USING (key))
+        SELECT key, CASE WHEN old THEN dn ELSE name END AS name, CASE WHEN old THEN dd ELSE domain END AS domain, CASE WHEN old THEN 'max_constructor' ELSE kind END AS kind, enabled OR old AS enabled FROM j
+        UNION ALL SELECT key, name, domain, 'max_constructor', TRUE FROM d WHERE key NOT IN (SELECT key FROM u)""",
+    "batch_items": "SELECT doc_id, CAST(line AS INTEGER) AS line, value FROM (SELECT doc_id, unnest(range(len(l))) AS line, trim(unnest(l)) AS value FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE value <> '' AND NOT starts_with(value, '#')",
     "fetch_status": """WITH f AS (SELECT DISTINCT l_suppkey AS store_key, l_linenumber AS alias_ord FROM lineitem),
         g AS (SELECT store_key, alias_ord, store_key % 50 <> 7 AND (store_key + alias_ord) % 3 <> 0 AS ok, CASE WHEN store_key % 50 = 7 THEN 'scraper no implementado' ELSE concat('e', alias_ord) END AS error FROM f)
         SELECT store_key, bool_or(ok) AS ok, CASE WHEN NOT bool_or(ok) THEN arg_min(error, alias_ord) END AS error FROM g GROUP BY store_key""",
@@ -264,5 +277,5 @@ ORACLES: dict[str, str] = {
         l AS (SELECT p.slug, string_agg(q.slug, ',' ORDER BY q.slug < p.slug, q.slug) AS links FROM pages_ p JOIN pages_ q ON p.slug <> q.slug GROUP BY 1)
         SELECT slug, '{{"@context":"https://schema.org","@type":"ItemList","name":"' || h1 || '","description":"' || replace(description, '"', '\\"') || '","url":"https://shop.example/comparar/' || slug || '","dateModified":"2024-01-31","itemListElement":[' || items || ']}}' AS json_ld,
           failures, store_key, price, stores, array_to_string(string_split(links, ',')[1:3], ',') AS related FROM pages_ JOIN s USING (slug) JOIN l USING (slug)""",
-    "sitemap_rows": _values({"loc": "VARCHAR", "lastmod": "VARCHAR", "changefreq": "VARCHAR", "priority": "DOUBLE"}, [("https://shop.example/", "2024-01-31", "daily", 1.0), *((f"https://shop.example/comparar/{p[0]}", "2024-01-31", "daily", 0.9) for p in samples.PAGES)]),
+    "sitemap_rows": "SELECT 'https://shop.example/' AS loc, '2024-01-31' AS lastmod, 'daily' AS changefreq, 1.0::DOUBLE AS priority UNION ALL SELECT 'https://shop.example/comparar/' || lower(n_name), '2024-01-31', 'daily', 0.9::DOUBLE FROM nation",
 }

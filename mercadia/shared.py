@@ -29,6 +29,12 @@ def on(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def file_states(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, size and time of the files at path, a file or a folder of files: the same as long as nobody has changed them."""
+    at, files = on(spark, path)
+    return [(x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in files.listStatus(at)]
+
+
 def run_dir(spark: SparkSession) -> str:
     """This application's own folder in the shared one; it goes when the application ends."""
     path = f"{shared_dir(spark)}/mercadia-{spark.sparkContext.applicationId}"

@@ -26,7 +26,7 @@ def select_stores(dimension: DataFrame, only: str | None = None) -> DataFrame:
 def merge_config(user: DataFrame, defaults: DataFrame) -> DataFrame:
     """User stores first, as they are, then defaults whose key is missing. A disabled store of an outdated kind takes the default's row, where the default names the kind it replaces (column replaces)."""
     d = defaults.select(F.col("key").alias("_key"), *[F.col(c).alias(f"_{c}") for c in ("name", "domain", "kind", "enabled", "search_path", "replaces")])
-    joined = user.join(F.broadcast(d), (F.col("key") == F.col("_key")), "left")
+    joined = user.join(d, (F.col("key") == F.col("_key")), "left")
     old = (F.col("domain") == F.col("_domain")) & (F.coalesce("kind", F.lit("vtex")) == F.col("_replaces")) & ~F.col("enabled")
     old = F.coalesce(old, F.lit(False))
     kept = joined.select("key", *[F.when(old, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("name", "domain", "kind", "enabled", "search_path")], F.lit(0).alias("part"), "store_ord")
@@ -34,6 +34,12 @@ def merge_config(user: DataFrame, defaults: DataFrame) -> DataFrame:
     return kept.unionByName(added)
 
 
+def merge_settings(user: DataFrame, defaults: DataFrame) -> DataFrame:
+    """name, value: the default settings(name, value) under the user's; a user's null counts, and names that only the user has stay."""
+    known = user.select("name", F.struct("value").alias("own"))
+    return defaults.select("name", F.struct("value").alias("given")).join(known, "name", "full").select("name", F.coalesce("own", "given")["value"].alias("value"))
+
+
 def batch_items(lines: DataFrame) -> DataFrame:
     """Lines(value, ...) of a query list that are neither blank nor comments, trimmed."""
     text = F.trim(F.col("value"))

@@ -234,3 +234,17 @@ def test_plans_stay_in_the_engine(spark, small):
     plan = lambda name: catalog.QUERIES[name](spark, small)._jdf.queryExecution().toString()
     assert not any(x in plan("best_per_store") for x in ("Python", "Arrow", "Cartesian"))
     assert "WindowGroupLimit" in plan("store_items")
+
+
+def test_samples_by_hand(spark):
+    urls = spark.createDataFrame(samples.URLS, "raw string").select("raw", sc.url_quote(F.col("raw")).alias("strict"), sc.url_quote(F.col("raw"), True).alias("with_slash"))
+    assert [tuple(r) for r in urls.collect()] == samples.ENCODED
+    clients = spark.createDataFrame(samples.CLIENTS, "forwarded string, host string").select(sc.client_key(F.col("forwarded"), F.col("host")).alias("client"))
+    assert [r["client"] for r in clients.collect()] == samples.CLIENT_KEYS
+    assert [r["value"] for r in landed.batch_items(spark.createDataFrame([(t,) for t in samples.LINES], "value string")).collect()] == samples.KEPT_LINES
+
+
+def test_settings_over_defaults(spark):
+    make = lambda rows: spark.createDataFrame(rows, "name string, value string")
+    merged = landed.merge_settings(make([("a", "1"), ("b", None), ("own", "x")]), make([("a", "0"), ("b", "2"), ("c", "3")]))
+    assert {r["name"]: r["value"] for r in merged.collect()} == {"a": "1", "b": None, "c": "3", "own": "x"}
