@@ -6,6 +6,9 @@ outcome is written before use). A record's place in the whole order is the numbe
 its permuted position; shard s of S takes places from ceil(s * N / S) on, so the law is `rows`: counts differ by one at
 most. Everything runs in DataFrame functions.
 
+A task takes buckets that follow each other, so its places lie in one or two shards where tasks are no fewer than shards,
+and all tasks together write at most one file for each task and each shard.
+
 The order depends on doc_id, the seed and the rows' number only, not on the files they came in.
 
 Skew: the scatter takes no notice of text or source, so groups of equal texts spread evenly. Rows that repeat one
@@ -26,7 +29,7 @@ from mercadia.llm.common import fresh_path, spool, table
 
 SHARDS = 40
 SEED = 20_240_917
-#: A bucket fits in memory many times over; a task takes several, so that what chance deals to it evens out.
+#: A bucket fits in memory many times over; a task takes several that follow each other.
 BUCKET_BYTES, TASK_BYTES = 4 << 20, 32 << 20
 #: Buckets at least, so that small inputs use all executors.
 LEAST_BUCKETS = 96
@@ -58,10 +61,14 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     drawn = started.repartition(DRAWS, "_bucket").sortWithinPartitions("_bucket").withColumn("_order", F.shuffle(F.sequence(F.lit(0), F.col("_n") - 1), seed=SEED))
     drawn = spool(drawn, "bucket-orders")
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-at["b"] // TASK_BYTES))
-    within = Window.partitionBy("_bucket").orderBy("_draw", "_doc", "_crc")
+    # buckets follow each other in a task; both sides of the join are dealt so, and the texts move once
+    task = F.expr(f"cast(_bucket * {tasks} div {buckets} as int)")
+    within = Window.partitionBy("_task", "_bucket").orderBy("_draw", "_doc", "_crc")
     whole = F.struct(*[c for c in docs.columns if c not in ("shard", "slot")]).alias("_all")
-    ranked = docs.select(whole, bucket.alias("_bucket"), _draw(1).alias("_draw"), F.col("doc_id").alias("_doc"), crc_of().alias("_crc")).repartition(tasks, "_bucket").withColumn("_rank", F.row_number().over(within) - 1)
-    placed = ranked.join(drawn, "_bucket").withColumn("_place", F.col("_start") + F.get("_order", F.col("_rank")))
+    dealt = docs.select(whole, bucket.alias("_bucket"), _draw(1).alias("_draw"), F.col("doc_id").alias("_doc"), crc_of().alias("_crc")).withColumn("_task", task)
+    ranked = dealt.repartitionById(tasks, "_task").withColumn("_rank", F.row_number().over(within) - 1)
+    orders = drawn.withColumn("_task", task).repartitionById(tasks, "_task")
+    placed = ranked.join(orders, ["_task", "_bucket"]).withColumn("_place", F.col("_start") + F.get("_order", F.col("_rank")))
     placed = placed.withColumn("shard", F.expr(f"(_place * {shards}) div {at['n'] or 1}").cast("int"))
     first = F.expr(f"(shard * {at['n']} + {shards - 1}) div {shards}")
     return placed.select("_all.*", "shard", (F.col("_place") - first).alias("slot"))

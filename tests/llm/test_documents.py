@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -441,6 +442,27 @@ def test_sharding(spark, small, docs):
     assert all(r["size"] == len(by[r["doc_id"]].encode()) + 16 and r["text_crc32"] == zlib.crc32(by[r["doc_id"]].encode()) for r in rows)
 
 
+def test_sharding_files(spark, docs, tmp_path):
+    """A task's rows lie in shards that follow each other, in slot order; where nothing is small enough to broadcast, the texts are shuffled once."""
+    sharding.write_shards(docs, f"file://{tmp_path}/out", 6)
+    files = [(int(f.name.split("-")[1]), int(f.parent.name.removeprefix("shard="))) for f in (tmp_path / "out").glob("shard=*/*.parquet")]
+    tasks = sorted({t for t, _ in files})
+    assert len(files) <= len(tasks) + 6 - 1 and {s for _, s in files} == set(range(6))
+    assert sorted(files) == sorted(files, key=lambda f: (f[1], f[0]))
+    for f in (tmp_path / "out").glob("shard=*/*.parquet"):
+        slots = pq.ParquetFile(f).read(columns=["slot"])["slot"].to_pylist()
+        assert slots == sorted(slots)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        placed = sharding.sharded(docs, 6)
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+        assert sum("Exchange" in line for line in plan.splitlines()) == 2  # the texts, and the orders of the buckets
+        assert Counter(r["shard"] for r in placed.collect()) == Counter(s for f in (tmp_path / "out").glob("shard=*/*.parquet") for s in [int(f.parent.name[6:])] * pq.ParquetFile(f).metadata.num_rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_sharding_odd(odd, empty):
     out = check_shards(odd, 3)
     assert Counter((r["doc_id"], r["text"], r["n_words"]) for r in out) == Counter((r[0], r[1], 1) for r in ODD)
