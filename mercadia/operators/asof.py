@@ -70,8 +70,10 @@ def _next(requests: DataFrame, ttl: int) -> DataFrame:
     ends = good.select("key", cut(f"(t + {ttl})"), (F.col("t") + ttl).alias("t"), F.lit(1).alias("probe"), "id", F.lit(None).cast("struct<t:bigint,id:bigint>").alias("e"))
     firsts = events.groupBy("key", "slice").agg(F.min("e").alias("first"))
     slices = firsts.unionByName(ends.select("key", "slice").distinct().withColumn("first", F.lit(None).cast("struct<t:bigint,id:bigint>"))).groupBy("key", "slice").agg(F.min("first").alias("first"))
-    later = slices.withColumn("later", F.first("first", ignorenulls=True).over(Window.partitionBy("key").orderBy("slice").rowsBetween(1, Window.unboundedFollowing))).drop("first")
-    after = F.first("e", ignorenulls=True).over(Window.partitionBy("key", "slice").orderBy("t", "probe", "id").rowsBetween(1, Window.unboundedFollowing))  # a probe stands behind the requests of its own time
+    # read backwards, so that a frame grows with each row: Spark works out one that ends with its partition anew for every row
+    before = (Window.unboundedPreceding, -1)
+    later = slices.withColumn("later", F.last("first", ignorenulls=True).over(Window.partitionBy("key").orderBy(F.desc("slice")).rowsBetween(*before))).drop("first")
+    after = F.last("e", ignorenulls=True).over(Window.partitionBy("key", "slice").orderBy(F.desc("t"), F.desc("probe"), F.desc("id")).rowsBetween(*before))  # a probe stands behind the requests of its own time
     found = events.unionByName(ends).withColumn("after", after).where("probe = 1").join(later, ["key", "slice"], "left")
     return found.select("id", F.coalesce("after.id", "later.id").alias("to"))
 
@@ -83,12 +85,13 @@ def writers(requests: DataFrame, ttl: int) -> DataFrame:
     A key's requests need not be in one task.
     """
     step = spool(_next(requests, ttl).where("to IS NOT NULL"), "next")
-    roots = requests.where("ok").groupBy("key").agg(F.min(F.struct("t", "id")).alias("s")).select(F.col("s.id").alias("id"))
+    roots = spool(requests.where("ok").groupBy("key").agg(F.min(F.struct("t", "id")).alias("s")).select(F.col("s.id").alias("id")), "roots")
+    step = spool(step.join(roots.union(step.select("to")).distinct(), "id", "left_semi"), "links")  # a chain goes through no others
     leaps = []
     while not step.isEmpty():  # as many rounds as the longest chain has binary digits
         leaps.append(step)
         step = spool(step.join(step.select(F.col("id").alias("to"), F.col("to").alias("beyond")), "to").select("id", F.col("beyond").alias("to")), "leap")
-    reached, path = respool(roots, "writers", None)
+    reached, path = roots, None
     for leap in reversed(leaps):
         reached, path = respool(reached.unionByName(reached.join(leap, "id").select(F.col("to").alias("id"))), "writers", path)
     return reached

@@ -59,6 +59,19 @@ def test_one_busy_key_runs_in_several_tasks(spark):
     assert len(tasks) > 1 and max(r["count"] for r in tasks) < 4000
 
 
+def test_no_frame_ends_with_its_partition(spark):
+    """Spark works out a frame up to the partition's end anew for every row, so a busy slice would cost its square."""
+    frame = spark.range(10).select(F.lit("all").alias("key"), (F.col("id") * 10).alias("t"), "id", F.lit(True).alias("ok"))
+    for found in (asof._next(frame, 500), asof.read_through(frame, 500)):
+        assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+
+
+def test_a_chain_goes_through_writers_only(spark):
+    frame = spark.range(2000).select((F.col("id") % 2).cast("string").alias("key"), F.floor(F.col("id") / 100).alias("t"), "id", (F.col("id") % 3 > 0).alias("ok"))
+    got = {r["id"]: (r["hit"], r["entry"]) for r in asof.read_through(frame, 2).collect()}
+    assert got == walk([tuple(r) for r in frame.collect()], 2)
+
+
 def test_resolve_plans(spark):
     plan = lambda name: json.dumps({"canonical_query": name, "search_queries": ["uno"], "source": "data"})
     s = asof.SECOND
