@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 from mercadia.config import DEFAULT as CONFIG
 from mercadia.functions.scalars import clamp
@@ -15,6 +15,7 @@ from mercadia.functions.textnorm import collapsed, normalized
 from mercadia.plans import query as plans
 
 LONGEST = 80
+END = "\x1f"
 
 
 def _at(value: Column, path: str, kind: str = "variant") -> Column:
@@ -31,10 +32,10 @@ def _elements(value: Column) -> Column:
 
 
 def unlike(texts: Column) -> Column:
-    """Non-empty texts that differ once normalised, in order."""
-    some = F.filter(texts, lambda t: t != "")
-    norms = F.transform(some, normalized)
-    return F.filter(some, lambda t, k: F.array_position(norms, F.get(norms, k)) == k + 1)
+    """Non-empty texts that differ once normalised, in order. Each is normalised once: inside an array function Spark works out an expression anew at each use, so the pairs are bound to a name."""
+    pairs = F.transform(F.filter(texts, lambda t: t != ""), lambda t: F.struct(normalized(t).alias("norm"), t.alias("text")))
+    firsts = lambda p: F.transform(F.filter(p, lambda x, k: F.array_position(p["norm"], x["norm"]) == k + 1), lambda x: x["text"])
+    return F.get(F.transform(F.array(pairs), firsts), 0)
 
 
 def clean_list(value: Column, limit: int, longest: int = LONGEST) -> Column:
@@ -54,7 +55,11 @@ def _said(value: Column, *names: str) -> Column:
 
 def sanitized(body: Column) -> Column:
     """A plan, as a struct of QueryPlan's fields, from untrusted JSON: wrong types give defaults, lists are capped."""
-    v = F.try_parse_json(body)
+    return sanitized_variant(F.try_parse_json(body))
+
+
+def sanitized_variant(v: Column) -> Column:
+    """sanitized() of parsed JSON; of a column of it, so that each body is parsed once for all fields."""
     groups = F.filter(F.transform(_elements(_at(v, "$.required_any_groups")), lambda g: clean_list(g, 12)), lambda g: F.size(g) > 0)
     return F.struct(
         F.coalesce(_said(v, "original_query"), F.lit("")).alias("original_query"), F.coalesce(_said(v, "canonical_query", "original_query"), F.lit("")).alias("canonical_query"),
@@ -85,17 +90,23 @@ def output_text(body: Column) -> Column:
     return F.when(_is_text(said), _at(said, "$", "string")).otherwise(F.coalesce(_at(first, "$", "string"), F.lit("")))
 
 
-def _expanded(one) -> Column:
-    """A pandas function over a column of queries; each distinct one of a batch is expanded once, from the lexicon alone."""
+def _expanded(one) -> Callable[[Column], Column]:
+    """A pandas function over a column of queries; each distinct one of a batch is expanded once, from the lexicon alone. The texts come back as one string, each ended by END, which is white space to Python and so in none of them."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for queries in batches:
             texts = queries.fillna("")
-            known = {q: one(q) for q in texts.unique()}
+            known = {q: "".join(t + END for t in one(q)) for q in texts.unique()}
             yield texts.map(known)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, ArrayType(StringType()))
+    joined = F.pandas_udf(run, StringType())
+
+    def texts(query: Column) -> Column:
+        parts = F.split(joined(query), END, -1)
+        return F.slice(parts, 1, F.size(parts) - 1)
+
+    return texts
 
 
 def search_texts(query: Column, limit: int = CONFIG.search_queries) -> Column:

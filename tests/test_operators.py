@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from mercadia import samples
 from mercadia.functions import scalars as sc
 from mercadia.operators import compare, report, state
+from mercadia.plans import columns as plan_columns
 from mercadia.sources import landed, payloads
 from mercadia.streaming.stateful import cached, popular_stream, rate_limited
 
@@ -248,3 +249,10 @@ def test_settings_over_defaults(spark):
     make = lambda rows: spark.createDataFrame(rows, "name string, value string")
     merged = landed.merge_settings(make([("a", "1"), ("b", None), ("own", "x")]), make([("a", "0"), ("b", "2"), ("c", "3")]))
     assert {r["name"]: r["value"] for r in merged.collect()} == {"a": "1", "b": None, "c": "3", "own": "x"}
+
+
+def test_texts_are_normalised_once(spark):
+    """Inside an array function Spark works out an expression at each use: a list of n texts would be normalised 2 n times n."""
+    frame = spark.createDataFrame([(["Á b", "a  b", "", "a B", None, "c", "Á B"],), ([],), (None,)], "v array<string>").select(plan_columns.unlike(F.col("v")).alias("v"))
+    assert [r["v"] for r in frame.collect()] == [["Á b", "a  b", "c"], [], None]
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
