@@ -154,27 +154,40 @@ landed_offers AS (
 def landings(spark: SparkSession, d: str) -> DataFrame:
     """What each supplier, as a store, answered to TEXTS: JSON listings of even keys, product grids of odd ones."""
     part, line = _t(spark, d, "part"), _t(spark, d, "lineitem")
-    text = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("text")) for k, t in enumerate(TEXTS)]))
-    grid = _t(spark, d, "supplier").select("s_suppkey", text.alias("t")).select("s_suppkey", "t.k", "t.text")
     name = F.concat_ws(" ", "p_brand", "p_name", "p_type", F.col("p_size").cast("string"))
-    price = F.when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7), None).otherwise(F.round("l_extendedprice", 2))
-    stock = F.when(F.col("l_linestatus") == "O", F.col("l_quantity").cast("int")).otherwise(0)
-    part_of = F.when(F.col("l_linenumber") % 3 == 0, F.array(*map(F.lit, range(3)))).otherwise(F.array(F.col("l_linenumber") % 3))
-    url = F.concat(F.lit("https://shop/"), F.col("l_partkey").cast("string"))
-    offer = F.struct(price.alias("Price"), stock.alias("AvailableQuantity"))
-    listed = F.struct(name.alias("productName"), url.alias("link"), F.array(F.struct(F.array(F.struct(F.concat(F.lit("i"), F.col("l_partkey").cast("string")).alias("imageUrl"))).alias("images"), F.array(F.struct(offer.alias("commertialOffer"))).alias("sellers"))).alias("items"))
-    shown = F.concat(
-        F.lit('<div class="product-item-info"><a class="product-item-link" href="'), url, F.lit('">'), name, F.lit("</a>"),
-        F.coalesce(F.concat(F.lit('<i data-price-amount="'), price.cast("decimal(18,2)").cast("string"), F.lit('"></i>')), F.lit("")), F.when(stock == 0, "Agotado").otherwise(""), F.lit("</div>"),
-    )
-    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_shipdate")
-    rows = line.join(part, line["l_partkey"] == part["p_partkey"]).select("l_suppkey", part_of.alias("ks"), F.struct(order.alias("o"), listed.alias("j"), shown.alias("h")).alias("x")).select("l_suppkey", F.explode("ks").alias("k"), "x")
-    of_store = rows.groupBy("l_suppkey", "k").agg(F.array_sort(F.collect_list("x")).alias("x"))  # a fixture: a store's listing is one payload
-    joined = grid.join(of_store, (F.col("s_suppkey") == F.col("l_suppkey")) & (grid["k"] == of_store["k"]), "left").select("s_suppkey", grid["k"], "text", "x")
-    filled = F.when((F.col("k") == 0) & (F.col("s_suppkey") % 5 == 0), F.slice("x", 1, 0)).otherwise(F.col("x"))
-    body = F.when(F.col("s_suppkey") % 2 == 0, F.coalesce(F.to_json(F.transform(filled, lambda v: v["j"])), F.lit("[]"))).otherwise(F.coalesce(F.array_join(F.transform(filled, lambda v: v["h"]), "\n"), F.lit("")))
-    ok = (F.col("s_suppkey") + F.col("k")) % 4 != 0
-    return joined.select(F.col("s_suppkey").cast("string").alias("store_key"), "text", ok.alias("ok"), F.when(~ok, F.concat(F.lit("e"), F.col("k").cast("string"))).alias("error"), F.when(ok, body).alias("body"))
+    hidden = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7)
+    # a line goes to its store once, as numbers and a name; the markup is made there
+    row = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_shipdate", hidden.alias("hidden"), (F.col("l_linestatus") == "O").alias("open"), "name")
+    lines = line.join(part.select("p_partkey", name.alias("name")), line["l_partkey"] == part["p_partkey"]).select("l_suppkey", row.alias("x"))
+    of_store = lines.groupBy("l_suppkey").agg(F.sort_array(F.collect_list("x")).alias("x"))  # a fixture: a store's listing is one payload
+
+    price = lambda x: F.when(x["hidden"], None).otherwise(F.round(x["l_extendedprice"], 2))
+    stock = lambda x: F.when(x["open"], x["l_quantity"].cast("int")).otherwise(0)
+    key = lambda x: x["l_partkey"].cast("string")
+    url = lambda x: F.concat(F.lit("https://shop/"), key(x))
+
+    def listed(x):
+        offer = F.struct(price(x).alias("Price"), stock(x).alias("AvailableQuantity"))
+        unit = F.struct(F.array(F.struct(F.concat(F.lit("i"), key(x)).alias("imageUrl"))).alias("images"), F.array(F.struct(offer.alias("commertialOffer"))).alias("sellers"))
+        return F.struct(x["name"].alias("productName"), url(x).alias("link"), F.array(unit).alias("items"))
+
+    def shown(x):
+        return F.concat(
+            F.lit('<div class="product-item-info"><a class="product-item-link" href="'), url(x), F.lit('">'), x["name"], F.lit("</a>"),
+            F.coalesce(F.concat(F.lit('<i data-price-amount="'), price(x).cast("decimal(18,2)").cast("string"), F.lit('"></i>')), F.lit("")), F.when(stock(x) == 0, "Agotado").otherwise(""), F.lit("</div>"),
+        )
+
+    s = F.col("s_suppkey")
+    joined = _t(spark, d, "supplier").select("s_suppkey").join(of_store, s == F.col("l_suppkey"), "left")
+
+    def answer(k: int, text: str):
+        ok = (s + k) % 4 != 0
+        mine = lambda x: (x["l_linenumber"] % 3).isin(0, k)
+        kept = F.filter("x", (lambda x: mine(x) & (s % 5 != 0)) if k == 0 else mine)
+        body = F.when(s % 2 == 0, F.coalesce(F.to_json(F.transform(kept, listed)), F.lit("[]"))).otherwise(F.coalesce(F.array_join(F.transform(kept, shown), "\n"), F.lit("")))
+        return F.struct(F.lit(text).alias("text"), ok.alias("ok"), F.when(~ok, f"e{k}").alias("error"), F.when(ok, body).alias("body"))
+
+    return joined.select(s.cast("string").alias("store_key"), F.inline(F.array(*[answer(k, t) for k, t in enumerate(TEXTS)])))
 
 
 def stores(spark: SparkSession, d: str) -> DataFrame:

@@ -89,8 +89,9 @@ def _reference(part: Column) -> Column:
 def unescape(text: Column, full: bool = True) -> Column:
     """Character references to characters: all of HTML's, or only the COMMON ones."""
     if full:
-        parts = F.split(text, "&", -1)
-        return F.when(F.contains(text, F.lit("&")), F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), _reference), ""))).otherwise(text)
+        # the text, and its parts, are worked out once: inside another array function Spark would do so at each use
+        decoded = lambda p: F.concat(F.get(p, 0), F.array_join(F.transform(F.slice(p, 2, F.size(p)), _reference), ""))
+        return F.get(F.transform(F.array(text), lambda t: F.when(F.contains(t, F.lit("&")), F.get(F.transform(F.array(F.split(t, "&", -1)), decoded), 0)).otherwise(t)), 0)
     for name, char in COMMON:
         text = F.replace(text, F.lit(name), F.lit(char))
     return text

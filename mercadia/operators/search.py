@@ -61,12 +61,23 @@ def opened(landings: DataFrame, stores: DataFrame, texts: DataFrame) -> DataFram
 
 
 def fan_out(wanted: DataFrame, answers: DataFrame) -> DataFrame:
-    """wanted(store_key, text, again, ...) with ok, error and items of opened landings. A text that finds nothing is asked again as `again`, where that isn't null and has landed; nothing landed counts as failed."""
-    second = answers.select("store_key", F.col("text").alias("again"), F.col("ok").alias("_ok"), F.col("error").alias("_error"), F.col("items").alias("_items"))
-    both = wanted.join(answers, ["store_key", "text"], "left").join(second, ["store_key", "again"], "left")
+    """wanted(store_key, text, again, ...) with ok and error, and `heard`, the text whose items of opened landings count; null where it failed. A text that finds nothing is asked again as `again`, where that isn't null and has landed; nothing
+    landed counts as failed. Items stay where they are."""
+    told = answers.select("store_key", "text", "ok", "error", "bare")
+    second = told.select("store_key", F.col("text").alias("again"), F.col("ok").alias("_ok"), F.col("error").alias("_error"))
+    both = wanted.join(told, ["store_key", "text"], "left").join(second, ["store_key", "again"], "left")
     anew = F.coalesce("bare", F.lit(False)) & F.col("_ok").isNotNull()
-    done = {"error": F.when(anew & ~F.col("_ok"), F.col("_error")).otherwise(F.col("error")), "items": F.when(anew, F.col("_items")).otherwise(F.col("items")), "ok": F.when(anew, F.col("_ok")).otherwise(F.coalesce("ok", F.lit(False)))}
-    return both.select(*wanted.columns, *[v.alias(k) for k, v in done.items()])
+    done = {"error": F.when(anew & ~F.col("_ok"), F.col("_error")).otherwise(F.col("error")), "ok": F.when(anew, F.col("_ok")).otherwise(F.coalesce("ok", F.lit(False)))}
+    both = both.withColumn("heard", F.when(anew, F.col("again")).otherwise(F.col("text")))
+    return both.select(*wanted.columns, *[v.alias(k) for k, v in done.items()], F.when(done["ok"], F.col("heard")).alias("heard"))
+
+
+def with_items(fetched: DataFrame, answers: DataFrame) -> DataFrame:
+    """The offers of one query's fetched(store_key, heard, ...): the few rows of a store, one for each alias, are one array, so an answer moves once, to its store's others, where the union of aliases finds them."""
+    asked = fetched.where("ok").groupBy("store_key").agg(F.collect_list(F.struct(*[c for c in fetched.columns if c not in ("store_key", "ok")])).alias("_asked"))  # as many as a query has aliases
+    held = answers.where("ok").select("store_key", "text", "items").join(asked, "store_key")
+    mine = F.explode(F.filter("_asked", lambda a: a["heard"] == F.col("text"))).alias("_a")
+    return held.select("store_key", mine, "items").select("store_key", "_a.*", "items").select("*", F.inline("items")).drop("heard", "items")
 
 
 def search(landings: DataFrame, stores: DataFrame, query: str, store: str | None = None, plan: QueryPlan | None = None, config: EngineConfig = DEFAULT) -> Search:
@@ -79,9 +90,10 @@ def search(landings: DataFrame, stores: DataFrame, query: str, store: str | None
     heard = asked.select(F.explode(F.array("text", "again")).alias("text")).where("text IS NOT NULL").distinct()
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("alias_ord"), F.lit(t).alias("text")) for k, t in enumerate(texts)])).alias("a")
     wanted = chosen.select(F.col("key").alias("store_key"), F.col("name").alias("store_name"), "store_ord", "kind", each).select("*", "a.*").drop("a").withColumn("again", first_word(F.col("text")))
-    fetched = fan_out(wanted, opened(landings, chosen, F.broadcast(heard)))  # heard: the query's texts, a few
+    answers = opened(landings, chosen, F.broadcast(heard))  # heard: the query's texts, a few
+    fetched = spool(fan_out(wanted, answers), "fetched")
 
-    found = fetched.where("ok").select("store_key", "store_name", "alias_ord", F.lit(True).alias("ok"), F.lit(len(texts)).alias("n_aliases"), F.inline("items"))
+    found = with_items(fetched.select("store_key", "store_name", "alias_ord", "ok", "heard"), answers).withColumns({"ok": F.lit(True), "n_aliases": F.lit(len(texts))})
     offers = spool(compare.alias_union(found, "pos").withColumn("pos", F.struct("alias_ord", "pos")).drop("ok", "n_aliases"), "offers")
     status = compare.fetch_status(fetched.select("store_key", "kind", "alias_ord", "ok", "error"), kinds())
     names = chosen.select(F.col("key").alias("store_key"), F.col("name").alias("store_name"), "store_ord")
@@ -127,11 +139,15 @@ def batch(landings: DataFrame, stores: DataFrame, queries: DataFrame, config: En
     chosen = select_stores(stores)
     answers = opened(landings, chosen, heard)
     wanted = asked.join(answers.select("store_key", "text"), "text")  # what didn't land has no offers
-    found = fan_out(wanted, answers).where("ok").join(chosen.select(F.col("key").alias("store_key"), F.col("name").alias("store_name"), "store_ord"), "store_key")
+    told = fan_out(wanted, answers).where("ok").drop("text").join(chosen.select(F.col("key").alias("store_key"), F.col("name").alias("store_name"), "store_ord"), "store_key")
+    found = told.join(answers.select("store_key", F.col("text").alias("heard"), "items"), ["store_key", "heard"])
     found = found.select("query_id", "store_key", "store_name", "store_ord", "alias_ord", "ok", "n_aliases", F.inline("items")).where(is_priced(F.col("price")))
     offers = compare.alias_union(found, "pos", by=("query_id",)).withColumn("norm", normalized(F.col("name")))
-    offers = spool(offers.select("query_id", "store_key", "store_name", "store_ord", "price", "alias_ord", "pos", "norm"), "batch-offers")
+    order = ("price", "store_ord", "alias_ord", "pos")
+    named = F.row_number().over(Window.partitionBy("query_id", "norm").orderBy(*order))  # only the first of a name can be the first of those that fit
+    offers = offers.select("query_id", "store_key", "store_name", "store_ord", "price", "alias_ord", "pos", "norm").withColumn("_rank", named).where("_rank = 1").drop("_rank")
+    offers = spool(offers, "batch-offers")
     fits = match_names(offers.select("norm").distinct(), queries)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("price", "store_ord", "alias_ord", "pos"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
     best = offers.join(fits, ["query_id", "norm"]).withColumn("_rank", rank).where("_rank = 1")
     return best.join(queries.select("query_id", "query"), "query_id").select("query_id", "query", "store_key", "store_name", "price")

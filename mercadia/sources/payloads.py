@@ -48,7 +48,7 @@ LIST_IMAGE = r'(?i)\b(?:data-lazy-src|src)="(https?://[^"]+)"'
 
 def _first(text: Column, pattern: str, group: int = 1) -> Column:
     """The group at the first match, or null without one."""
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.regexp_extract(text, pattern, group))
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), 0)
 
 
 def _site(domain: Column, path: str, tail: Column) -> Column:

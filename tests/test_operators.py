@@ -11,9 +11,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from mercadia import fixtures as fx
 from mercadia import samples
 from mercadia.functions import scalars as sc
-from mercadia.operators import compare, report, state
+from mercadia.operators import compare, report, search, state
 from mercadia.plans import columns as plan_columns
 from mercadia.sources import landed, payloads
 from mercadia.streaming.stateful import cached, popular_stream, rate_limited
@@ -256,3 +257,16 @@ def test_texts_are_normalised_once(spark):
     frame = spark.createDataFrame([(["Á b", "a  b", "", "a B", None, "c", "Á B"],), ([],), (None,)], "v array<string>").select(plan_columns.unlike(F.col("v")).alias("v"))
     assert [r["v"] for r in frame.collect()] == [["Á b", "a  b", "c"], [], None]
     assert frame._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+
+
+def test_answers_stay_where_they_are_until_they_are_asked_for(spark):
+    answers = spark.createDataFrame([("1", "a b", True, None, [7], True), ("1", "a", True, None, [8, 9], False), ("1", "c", False, "e", None, False), ("2", "a b", True, None, [1], False)], "store_key string, text string, ok boolean, error string, items array<int>, bare boolean")
+    wanted = spark.createDataFrame([("1", "a b", "a"), ("1", "c", None), ("2", "a b", "a"), ("2", "c", None)], "store_key string, text string, again string")
+    got = search.fan_out(wanted, answers)
+    assert "items" not in got.columns
+    assert sorted((r["store_key"], r["text"], r["ok"], r["error"], r["heard"]) for r in got.collect()) == [("1", "a b", True, None, "a"), ("1", "c", False, "e", None), ("2", "a b", True, None, "a b"), ("2", "c", False, None, None)]
+
+
+def test_a_line_goes_to_its_store_once(spark, small):
+    plan = fx.landings(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan.lower() and "productName" not in plan[plan.index("Aggregate") :]
