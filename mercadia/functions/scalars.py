@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
-from functools import cache
+from collections.abc import Callable
+from functools import cache, reduce
 from html.entities import html5
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,13 +37,15 @@ def is_priced(price: Column) -> Column:
     return F.coalesce((price > 0) & ~F.isnan(price), F.lit(False))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once: inside an array function Spark would do so at each use."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def stock_flag(text: Column, *marks: str) -> Column:
     """0 if one of the marks occurs in the text, in any case, else 1."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    found = F.lit(False)
-    for m in marks:
-        found = found | F.contains(low, F.lit(m))
-    return F.when(found, 0).otherwise(1)
+    found = lambda low: reduce(or_, [F.contains(low, F.lit(m)) for m in marks], F.lit(False))
+    return F.when(once(F.lower(F.coalesce(text, F.lit(""))), found), 0).otherwise(1)
 
 
 #: Character references that need no table; the ampersand comes last.
@@ -89,17 +93,18 @@ def _reference(part: Column) -> Column:
 def unescape(text: Column, full: bool = True) -> Column:
     """Character references to characters: all of HTML's, or only the COMMON ones."""
     if full:
-        # the text, and its parts, are worked out once: inside another array function Spark would do so at each use
         decoded = lambda p: F.concat(F.get(p, 0), F.array_join(F.transform(F.slice(p, 2, F.size(p)), _reference), ""))
-        return F.get(F.transform(F.array(text), lambda t: F.when(F.contains(t, F.lit("&")), F.get(F.transform(F.array(F.split(t, "&", -1)), decoded), 0)).otherwise(t)), 0)
+        return once(text, lambda t: F.when(F.contains(t, F.lit("&")), once(F.split(t, "&", -1), decoded)).otherwise(t))
     for name, char in COMMON:
         text = F.replace(text, F.lit(name), F.lit(char))
     return text
 
 
 def html_text(markup: Column, full: bool = True) -> Column:
-    """Tags to spaces, references decoded, white space collapsed."""
-    return collapsed(unescape(F.regexp_replace(F.coalesce(markup, F.lit("")), "<[^>]+>", " "), full))
+    """Tags to spaces, references decoded, white space collapsed. Printable ASCII without either is only trimmed."""
+    read = lambda t: collapsed(unescape(F.regexp_replace(t, "<[^>]+>", " "), full))
+    marked = lambda t: reduce(or_, [F.contains(t, F.lit(m)) for m in ("<", "&", "  ")]) | F.regexp_like(t, F.lit("[^ -~]"))
+    return once(F.coalesce(markup, F.lit("")), lambda t: F.when(marked(t), read(t)).otherwise(F.trim(t)))
 
 
 def html_escape(text: Column) -> Column:

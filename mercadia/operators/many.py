@@ -156,7 +156,7 @@ def needs(queries: DataFrame) -> DataFrame:
     return rows.select("query_id", "alt", "need", F.posexplode("x").alias("part", "x")).select("query_id", "alt", "need", "part", F.explode("x").alias("key"))
 
 
-def _few(df: DataFrame) -> DataFrame:
+def few(df: DataFrame) -> DataFrame:
     """Broadcast where the counted rows are few."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
@@ -168,7 +168,7 @@ def match_names(names: DataFrame, queries: DataFrame, lexicon: Lexicon = DEFAULT
     wanted = spool(needs(asked), "needs")
     keys = wanted.select("key").distinct()
     held = known.select("name_id", F.explode(name_keys(F.col("norm"), F.col("name.toks"))).alias("key"))
-    held = spool(held.join(_few(keys), "key", "left_semi"), "postings")
+    held = spool(held.join(few(keys), "key", "left_semi"), "postings")
 
     counted = held.groupBy("key").agg(F.count("*").alias("n"))
     part = wanted.join(counted, "key", "left").groupBy("query_id", "alt", "need", "part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("k"))
@@ -178,9 +178,9 @@ def match_names(names: DataFrame, queries: DataFrame, lexicon: Lexicon = DEFAULT
     salts = chosen.where("salts > 1").select("key", "salts").distinct()  # few: each has more than SALT_ROWS names
     spread = held.join(F.broadcast(salts), "key", "left").withColumn("salt", F.pmod(F.xxhash64("name_id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
     leads = chosen.select("query_id", "key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    pairs = spread.join(_few(leads), ["key", "salt"]).select("query_id", "name_id").distinct()
+    pairs = spread.join(few(leads), ["key", "salt"]).select("query_id", "name_id").distinct()
     whole = asked.select("query_id", F.struct("*").alias("query"))
-    tested = pairs.join(known, "name_id").join(_few(whole), "query_id")
+    tested = pairs.join(known, "name_id").join(few(whole), "query_id")
     return tested.where(fits(F.col("query"), F.col("norm"), F.col("name"))).select("query_id", "norm")
 
 

@@ -16,7 +16,7 @@ from mercadia.config import DEFAULT, EngineConfig
 from mercadia.functions.scalars import is_priced
 from mercadia.functions.textnorm import collapsed, normalized
 from mercadia.operators import compare
-from mercadia.operators.many import match_names
+from mercadia.operators.many import few, match_names
 from mercadia.operators.relevance import tagged
 from mercadia.plans import columns as plan_columns
 from mercadia.plans.query import QueryPlan, local_plan, search_queries
@@ -48,16 +48,16 @@ def first_word(text: Column) -> Column:
 
 
 def opened(landings: DataFrame, stores: DataFrame, texts: DataFrame) -> DataFrame:
-    """store_key, text, ok, error, items, bare of the landings of these stores for texts(text), each there once. One scan of landings, one parse of each.
+    """store_key, store_ord, text, ok, error, items, bare of the landings of these stores for texts(text), each there once. One scan of landings, one parse of each.
 
-    bare: does this kind ask again after such an answer? Listings do where the listing itself is empty, pages where nothing in them can be read.
+    bare: has the answer no items, and does this kind ask again after such an answer? Listings do where the listing itself is empty, pages where nothing in them can be read.
     """
     used = [r["kind"] for r in stores.select("kind").distinct().collect()]  # kinds of endpoint: a few
-    asked = landings.join(texts, "text", "left_semi").join(stores.select(F.col("key").alias("store_key"), "kind", "domain"), "store_key")
-    read = asked.select("store_key", "text", "kind", F.coalesce("ok", F.lit(False)).alias("ok"), "error", "body", F.when(F.col("ok"), items(F.col("kind"), F.col("body"), F.col("domain"), used)).alias("items"))
+    asked = landings.join(texts, "text", "left_semi").join(stores.select(F.col("key").alias("store_key"), "store_ord", "kind", "domain"), "store_key")
+    read = asked.select("store_key", "store_ord", "text", "kind", F.coalesce("ok", F.lit(False)).alias("ok"), "error", "body", F.when(F.col("ok"), items(F.col("kind"), F.col("body"), F.col("domain"), used)).alias("items"))
     none = F.when(F.startswith("kind", F.lit("vtex")), F.json_array_length("body") == 0).otherwise(F.coalesce(F.size("items"), F.lit(0)) <= 0)
     bare = F.col("ok") & F.col("kind").isin(ASK_AGAIN) & F.coalesce(none, F.lit(False))
-    return spool(read.select("store_key", "text", "ok", "error", "items", bare.alias("bare")), "opened")
+    return spool(read.select("store_key", "store_ord", "text", "ok", "error", "items", bare.alias("bare")), "opened")
 
 
 def fan_out(wanted: DataFrame, answers: DataFrame) -> DataFrame:
@@ -138,16 +138,26 @@ def batch(landings: DataFrame, stores: DataFrame, queries: DataFrame, config: En
     heard = asked.select(F.explode(F.array("text", "again")).alias("text")).where("text IS NOT NULL").distinct()
     chosen = select_stores(stores)
     answers = opened(landings, chosen, heard)
-    wanted = asked.join(answers.select("store_key", "text"), "text")  # what didn't land has no offers
-    told = fan_out(wanted, answers).where("ok").drop("text").join(chosen.select(F.col("key").alias("store_key"), F.col("name").alias("store_name"), "store_ord"), "store_key")
-    found = told.join(answers.select("store_key", F.col("text").alias("heard"), "items"), ["store_key", "heard"])
-    found = found.select("query_id", "store_key", "store_name", "store_ord", "alias_ord", "ok", "n_aliases", F.inline("items")).where(is_priced(F.col("price")))
-    offers = compare.alias_union(found, "pos", by=("query_id",)).withColumn("norm", normalized(F.col("name")))
-    order = ("price", "store_ord", "alias_ord", "pos")
-    named = F.row_number().over(Window.partitionBy("query_id", "norm").orderBy(*order))  # only the first of a name can be the first of those that fit
-    offers = offers.select("query_id", "store_key", "store_name", "store_ord", "price", "alias_ord", "pos", "norm").withColumn("_rank", named).where("_rank = 1").drop("_rank")
-    offers = spool(offers, "batch-offers")
-    fits = match_names(offers.select("norm").distinct(), queries)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    best = offers.join(fits, ["query_id", "norm"]).withColumn("_rank", rank).where("_rank = 1")
-    return best.join(queries.select("query_id", "query"), "query_id").select("query_id", "query", "store_key", "store_name", "price")
+    offers = heard_offers(asked, answers)
+    names = spool(answers.where("ok").select(F.inline("items")).where(is_priced(F.col("price"))).select(F.coalesce("name", F.lit("")).alias("_name")).distinct().withColumn("norm", normalized(F.col("_name"))), "batch-names")
+    fits = spool(match_names(names.select("norm").distinct(), queries).join(names, "norm").select("query_id", "_name"), "batch-fits")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("price", "store_ord", "alias_ord", "pos"))
+    best = offers.withColumn("_name", F.coalesce("name", F.lit(""))).join(few(fits), ["query_id", "_name"]).select("query_id", "store_key", "store_ord", "alias_ord", "pos", "price").withColumn("_rank", rank).where("_rank = 1")
+    named = best.join(chosen.select(F.col("key").alias("store_key"), F.col("name").alias("store_name")), "store_key")
+    return named.join(queries.select("query_id", "query"), "query_id").select("query_id", "query", "store_key", "store_name", "price")
+
+
+def heard_offers(asked: DataFrame, answers: DataFrame) -> DataFrame:
+    """query_id, store_key, store_ord, alias_ord, pos, name, url, price: the priced offers of asked(query_id, alias_ord, n_aliases, text, again) in opened landings, each once for a query of several aliases.
+
+    The texts go to the answers, whose items stay where they are: a bare answer has none, so only what is asked again in its place is sought by store and text, where it is kept.
+    """
+    kept = answers.where("ok").select("store_key", "store_ord", "text", "items")
+    bare = answers.where("bare").select("store_key", "text")
+
+    def found(some: DataFrame) -> DataFrame:
+        again = spool(bare.join(few(some.where("again IS NOT NULL")), "text").select("store_key", F.col("again").alias("text"), "query_id", "alias_ord"), "again")
+        both = kept.join(few(some.select("text", "query_id", "alias_ord")), "text").unionByName(kept.join(few(again), ["store_key", "text"]))
+        return both.select("query_id", "store_key", "store_ord", "alias_ord", F.inline("items")).where(is_priced(F.col("price"))).drop("available", "image")
+
+    return found(asked.where("n_aliases <= 1")).unionByName(compare.keep_first(found(asked.where("n_aliases > 1")), "alias_ord", "pos", by=("query_id",)))

@@ -33,7 +33,7 @@ RESULTS = (
     "facets ARRAY<STRUCT<name STRING, values ARRAY<STRING>>>>>>>>"
 )
 GRID_ITEM = r"(?i)product-item-info"
-GRID_LINK = r'(?is)<a\b[^>]*class="[^"]*product-item-link[^"]*"[^>]*href="([^"]+)"[^>]*>(.*?)</a>'
+GRID_LINK = r'(?is)<a\b[^>]*class="[^"]*product-item-link[^"]*"[^>]*href="([^"]+"[^>]*>.*?)</a>'  # address, quote, rest of the tag, text
 GRID_PRICE = r'(?i)data-price-amount="([\d.]+)"'
 GRID_IMAGE = r'(?i)class="product-image-photo"[^>]*\ssrc="([^"]+)"'
 CARD = r'(?i)<a title="([^"]*)"[^>]*href="(/[a-z0-9][a-z0-9\-]{20,})"'
@@ -149,11 +149,13 @@ def _named(items: Column) -> Column:
 
 
 def grid_page(body: Column, domain: Column) -> Column:
-    """Pages of a product grid: a chunk from each item mark to the next; without link or name no row."""
-    chunks = F.split(body, GRID_ITEM)
+    """Pages of a product grid: a chunk from each item mark to the next; without link or name no row. The link is sought once for its address and text."""
+    chunks = F.slice(F.split(body, GRID_ITEM), 2, F.length(body))  # there are no more of them; their number would split the page twice
+    linked = F.transform(chunks, lambda x: F.struct(x.alias("x"), _first(x, GRID_LINK).alias("link")))
+    split = F.transform(linked, lambda c: F.struct(c["x"].alias("x"), c["link"].alias("link"), F.substring_index(c["link"], '"', 1).alias("url")))
+    text = lambda c: F.substring(c["link"], F.position(F.lit(">"), c["link"], F.length(c["url"]) + 1) + 1, F.length(c["link"]))
     return _named(F.transform(
-        F.slice(chunks, 2, F.size(chunks)),
-        lambda x, k: _item(k, html_text(_first(x, GRID_LINK, 2)), F.round(_number(_first(x, GRID_PRICE)), 2), stock_flag(x, "agotado", "sin existencia"), _first(x, GRID_LINK), _first(x, GRID_IMAGE)),
+        split, lambda c, k: _item(k, html_text(text(c)), F.round(_number(_first(c["x"], GRID_PRICE)), 2), stock_flag(c["x"], "agotado", "sin existencia"), c["url"], _first(c["x"], GRID_IMAGE))
     ))
 
 

@@ -9,6 +9,7 @@ import random
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from mercadia import fixtures as fx
@@ -270,3 +271,45 @@ def test_answers_stay_where_they_are_until_they_are_asked_for(spark):
 def test_a_line_goes_to_its_store_once(spark, small):
     plan = fx.landings(spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "explode" not in plan.lower() and "productName" not in plan[plan.index("Aggregate") :]
+
+
+ITEMS = "array<struct<pos:int,name:string,price:double,available:int,url:string,image:string>>"
+ANSWERS = f"store_key string, store_ord int, text string, ok boolean, error string, items {ITEMS}, bare boolean"
+
+
+def _items(*offers):
+    return [(k, name, price, 1, url, None) for k, (name, price, url) in enumerate(offers)]
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables beyond the threshold
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_offers_of_a_batch_are_met_where_they_are(spark, no_broadcast):
+    answers = spark.createDataFrame(
+        [
+            ("s", 0, "a b", True, None, [], True), ("s", 0, "a", True, None, _items(("A", 3.0, "/1"), ("B", None, "/2"), (None, 2.0, "/3")), False),
+            ("t", 1, "a b", True, None, _items(("C", 1.0, "/1")), False), ("t", 1, "a", False, "e", None, False),
+            ("u", 2, "a b", True, None, [], True), ("u", 2, "p", True, None, _items(("P", 1.0, "/1"), ("Q", 1.0, " /1")), False), ("u", 2, "q", True, None, _items(("R", 1.0, "/1"), ("R", 4.0, "/1")), False),
+        ],
+        ANSWERS,
+    )
+    asked = spark.createDataFrame([(1, 1, 0, "a b", "a"), (2, 1, 0, "a", None), (3, 2, 0, "p", None), (3, 2, 1, "q", None)], "query_id int, n_aliases int, alias_ord int, text string, again string")
+    found = search.heard_offers(asked, answers)
+    got = sorted(tuple(r) for r in found.select("query_id", "store_key", "alias_ord", "pos", F.coalesce("name", F.lit("")), "price").collect())
+    assert got == [(1, "s", 0, 0, "A", 3.0), (1, "s", 0, 2, "", 2.0), (1, "t", 0, 0, "C", 1.0), (2, "s", 0, 0, "A", 3.0), (2, "s", 0, 2, "", 2.0), (3, "u", 0, 0, "P", 1.0), (3, "u", 1, 1, "R", 4.0)]
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_text_of_markup_and_links_of_a_grid(spark):
+    texts = ["", "a b", " a  b ", "a\tb\n", "a &amp; b", "x<b>y</b>", "é  ü", "a b", "a;b", None, "<", "a > b"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", sc.html_text(F.col("t")).alias("t")).orderBy("k").collect()
+    assert [r["t"] for r in rows] == ["", "a b", "a b", "a b", "a & b", "x y", "é ü", "a b", "a;b", "", "<", "a > b"]
+    link = '<div class="product-item-info"><a id="1" class="c product-item-link" href="{}" rel="n">{}</a>'
+    body = "x" + link.format("/1?a>b", " One  <i>1</i>") + link.format("/2", "Two > 1") + link.format("/3", "") + '<div class="product-item-info"><a href="/4">Four</a>' + link.format("/5", "Five") + "AGOTADO"
+    got = spark.createDataFrame([(body,)], "body string").select(F.inline(payloads.grid_page(F.col("body"), F.lit("d")))).collect()
+    assert [(r["pos"], r["name"], r["url"], r["available"]) for r in got] == [(0, "One 1", "/1?a>b", 1), (1, "Two > 1", "/2", 1), (4, "Five", "/5", 0)]
