@@ -23,14 +23,14 @@ FOREVER = float("inf")
 
 
 def dedupe_key() -> list[Column]:
-    """Store, address (or name where that is empty), price; a missing price and 0 are the same."""
+    """Price, address (or name where that is empty), store; a missing price and 0 are the same. The price comes first, since a sort tells numbers apart faster than texts."""
     address = F.when(F.coalesce(F.col("url"), F.lit("")) != "", F.lower(F.trim("url"))).otherwise(F.lower(F.trim("name")))
-    return [F.col("store_key"), address, F.coalesce("price", F.lit(0.0))]
+    return [F.coalesce("price", F.lit(0.0)), address, F.col("store_key")]
 
 
 def keep_first(offers: DataFrame, *order: str, by: tuple[str, ...] = ()) -> DataFrame:
     """The first offer of each dedupe key (within `by`), in the given order."""
-    rank = F.row_number().over(Window.partitionBy(*by, *dedupe_key()).orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy(*dedupe_key(), *by).orderBy(*order))
     return offers.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 

@@ -112,12 +112,12 @@ def verdicts(offers: DataFrame, query: str, plan: QueryPlan | None = None, lexic
     return spool(names.select("_name", relevant(query, F.col("name_norm"), F.col("name_toks"), plan, lexicon).alias("_fits")), "verdicts")
 
 
-def tagged(offers: DataFrame, query: str, plan: QueryPlan | None = None, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """offers with _fits and _priced; offers that have them already stay as they are."""
+def tagged(offers: DataFrame, query: str, plan: QueryPlan | None = None, lexicon: Lexicon = DEFAULT, names: DataFrame | None = None) -> DataFrame:
+    """offers with _fits and _priced; offers that have them already stay as they are. names(name): where to find all the offers' names, if more cheaply than in the offers."""
     if "_fits" in offers.columns:
         return offers
     named = offers.withColumn("_name", F.coalesce("name", F.lit("")))
-    return named.join(verdicts(offers, query, plan, lexicon), "_name").drop("_name").withColumn("_priced", is_priced(F.col("price")))
+    return named.join(verdicts(offers if names is None else names, query, plan, lexicon), "_name").drop("_name").withColumn("_priced", is_priced(F.col("price")))
 
 
 def relevant_offers(offers: DataFrame, query: str, plan: QueryPlan | None = None, lexicon: Lexicon = DEFAULT) -> DataFrame:

@@ -73,9 +73,9 @@ def fan_out(wanted: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def with_items(fetched: DataFrame, answers: DataFrame) -> DataFrame:
-    """The offers of one query's fetched(store_key, heard, ...): the few rows of a store, one for each alias, are one array, so an answer moves once, to its store's others, where the union of aliases finds them."""
+    """The offers of one query's fetched(store_key, heard, ...): the few rows of a store, one for each alias, are one array, so an answer moves once, whole, to its store's others, where the union of aliases finds its items: they needn't move."""
     asked = fetched.where("ok").groupBy("store_key").agg(F.collect_list(F.struct(*[c for c in fetched.columns if c not in ("store_key", "ok")])).alias("_asked"))  # as many as a query has aliases
-    held = answers.where("ok").select("store_key", "text", "items").join(asked, "store_key")
+    held = answers.where("ok").select("store_key", "text", "items").join(asked, "store_key").repartition("store_key")
     mine = F.explode(F.filter("_asked", lambda a: a["heard"] == F.col("text"))).alias("_a")
     return held.select("store_key", mine, "items").select("store_key", "_a.*", "items").select("*", F.inline("items")).drop("heard", "items")
 
@@ -94,10 +94,11 @@ def search(landings: DataFrame, stores: DataFrame, query: str, store: str | None
     fetched = spool(fan_out(wanted, answers), "fetched")
 
     found = with_items(fetched.select("store_key", "store_name", "alias_ord", "ok", "heard"), answers).withColumns({"ok": F.lit(True), "n_aliases": F.lit(len(texts))})
-    offers = spool(compare.alias_union(found, "pos").withColumn("pos", F.struct("alias_ord", "pos")).drop("ok", "n_aliases"), "offers")
+    once = compare.alias_union(found, "pos").withColumn("pos", F.struct("alias_ord", "pos")).drop("ok", "n_aliases")
+    offers = spool(tagged(once, query, plan, names=answers.where("ok").select(F.inline("items"))), "offers")
     status = compare.fetch_status(fetched.select("store_key", "kind", "alias_ord", "ok", "error"), kinds())
     names = chosen.select(F.col("key").alias("store_key"), F.col("name").alias("store_name"), "store_ord")
-    return Search(query, plan, store, tagged(offers, query, plan), spool(names.join(status, "store_key"), "status"))
+    return Search(query, plan, store, offers, spool(names.join(status, "store_key"), "status"))
 
 
 def cli(found: Search) -> DataFrame:

@@ -313,3 +313,24 @@ def test_text_of_markup_and_links_of_a_grid(spark):
     body = "x" + link.format("/1?a>b", " One  <i>1</i>") + link.format("/2", "Two > 1") + link.format("/3", "") + '<div class="product-item-info"><a href="/4">Four</a>' + link.format("/5", "Five") + "AGOTADO"
     got = spark.createDataFrame([(body,)], "body string").select(F.inline(payloads.grid_page(F.col("body"), F.lit("d")))).collect()
     assert [(r["pos"], r["name"], r["url"], r["available"]) for r in got] == [(0, "One 1", "/1?a>b", 1), (1, "Two > 1", "/2", 1), (4, "Five", "/5", 0)]
+
+
+def test_items_of_a_store_move_once_as_whole_answers(spark, no_broadcast):
+    answers = spark.createDataFrame([("s", 0, "p", True, None, _items(("P", 1.0, "/1"), ("Q", 1.0, " /1")), False), ("s", 0, "q", True, None, _items(("R", 1.0, "/1"), ("R", 4.0, "/1")), False)], ANSWERS)
+    fetched = spark.createDataFrame([("s", "S", 0, True, "p"), ("s", "S", 1, True, "q")], "store_key string, store_name string, alias_ord int, ok boolean, heard string")
+    found = search.with_items(fetched, answers).withColumns({"ok": F.lit(True), "n_aliases": F.lit(2)})
+    once = compare.alias_union(found, "pos")
+    assert sorted((r["alias_ord"], r["pos"], r["name"]) for r in once.collect()) == [(0, 0, "P"), (1, 1, "R")]
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [store_key" in plan
+    initial = once._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in initial[: initial.index("Generate inline")]
+
+
+def test_verdicts_are_written_with_the_offers(spark, small):
+    from mercadia import catalog
+
+    found = catalog._searched(spark, small)
+    assert {"_fits", "_priced"} <= set(found.offers.columns)
+    plan = found.offers._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
