@@ -42,10 +42,14 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def stock_in(low: Column, *marks: str) -> Column:
+    """0 if one of the marks occurs in the text, which is in lower case, else 1."""
+    return F.when(reduce(or_, [F.contains(low, F.lit(m)) for m in marks], F.lit(False)), 0).otherwise(1)
+
+
 def stock_flag(text: Column, *marks: str) -> Column:
     """0 if one of the marks occurs in the text, in any case, else 1."""
-    found = lambda low: reduce(or_, [F.contains(low, F.lit(m)) for m in marks], F.lit(False))
-    return F.when(once(F.lower(F.coalesce(text, F.lit(""))), found), 0).otherwise(1)
+    return once(F.lower(F.coalesce(text, F.lit(""))), lambda low: stock_in(low, *marks))
 
 
 #: Character references that need no table; the ampersand comes last.
@@ -100,11 +104,15 @@ def unescape(text: Column, full: bool = True) -> Column:
     return text
 
 
+def text_of_markup(markup: Column, full: bool = True) -> Column:
+    """html_text of a column that isn't null and needs no working out."""
+    marked = reduce(or_, [F.contains(markup, F.lit(m)) for m in ("<", "&", "  ")]) | F.regexp_like(markup, F.lit("[^ -~]"))
+    return F.when(marked, collapsed(unescape(F.regexp_replace(markup, "<[^>]+>", " "), full))).otherwise(F.trim(markup))
+
+
 def html_text(markup: Column, full: bool = True) -> Column:
     """Tags to spaces, references decoded, white space collapsed. Printable ASCII without either is only trimmed."""
-    read = lambda t: collapsed(unescape(F.regexp_replace(t, "<[^>]+>", " "), full))
-    marked = lambda t: reduce(or_, [F.contains(t, F.lit(m)) for m in ("<", "&", "  ")]) | F.regexp_like(t, F.lit("[^ -~]"))
-    return once(F.coalesce(markup, F.lit("")), lambda t: F.when(marked(t), read(t)).otherwise(F.trim(t)))
+    return once(F.coalesce(markup, F.lit("")), lambda t: text_of_markup(t, full))
 
 
 def html_escape(text: Column) -> Column:

@@ -130,6 +130,16 @@ def best_per_store(offers: DataFrame, fetches: DataFrame, query: str, plan: Quer
     return rows if "image" in offers.columns else rows.drop("image")
 
 
+def ranks(offers: DataFrame, fetches: DataFrame, query: str, plan: QueryPlan | None = None) -> DataFrame:
+    """store_key, ok, rank (among ok rows, by its order alone) of best_per_store, for what shows no offers: one aggregation of numbers, which reads the offers once."""
+    known = tagged(offers, query, plan)
+    least = lambda stock: F.min(F.when(F.col("_fits") & F.col("_priced") & stock, F.col("price")))
+    prices = known.groupBy("store_key").agg(least(F.col("available").isNull()).alias("_unknown"), least(~unavailable()).alias("_in"), least(unavailable()).alias("_out"))
+    price = F.coalesce("_unknown", "_in", "_out")  # the order of rank_key
+    order = F.struct((F.col("_unknown").isNotNull() | F.col("_in").isNull()).alias("a"), price.alias("b"), F.col("store_ord").alias("c"))
+    return fetches.join(prices, "store_key", "left").select("store_key", (F.col("ok") & price.isNotNull()).alias("ok"), order.alias("rank"))
+
+
 def best_per_page(offers: DataFrame, fetches: DataFrame, queries: DataFrame) -> DataFrame:
     """best_per_store for each of queries(query_id, query[, plan]), in one job: query_id and its rows, one for each store. The offers of all queries are matched at once; the stores asked, a dimension, go to each query as one array."""
     hits = match_table(offers, queries).withColumn("_priced", is_priced(F.col("price")))

@@ -7,6 +7,7 @@ stores: the store dimension of sources.landed (key, name, domain, kind, enabled,
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,14 +27,19 @@ from mercadia.sources.payloads import ASK_AGAIN, items, kinds
 
 @dataclass(frozen=True)
 class Search:
-    """A query's offers, with pos as their order of arrival, and one row of status for each store asked."""
+    """A query's offers, with their verdicts and with pos as their order of arrival, and one row of status for each store asked. live: the offers as they are worked out anew at each use."""
 
     query: str
     plan: QueryPlan
     store: str | None
-    offers: DataFrame
+    live: DataFrame
     fetches: DataFrame
 
+    @cached_property
+    def offers(self) -> DataFrame:
+        """The offers, written once, for views that read them more than once."""
+        return spool(self.live, "offers")
+
 
 def texts_of(query: str, plan: QueryPlan, config: EngineConfig = DEFAULT) -> list[str]:
     """The texts to ask each store for: the plan's, or else the query's aliases; the query as it is where there is one at most."""
@@ -55,7 +61,8 @@ def opened(landings: DataFrame, stores: DataFrame, texts: DataFrame) -> DataFram
     used = [r["kind"] for r in stores.select("kind").distinct().collect()]  # kinds of endpoint: a few
     asked = landings.join(texts, "text", "left_semi").join(stores.select(F.col("key").alias("store_key"), "store_ord", "kind", "domain"), "store_key")
     read = asked.select("store_key", "store_ord", "text", "kind", F.coalesce("ok", F.lit(False)).alias("ok"), "error", "body", F.when(F.col("ok"), items(F.col("kind"), F.col("body"), F.col("domain"), used)).alias("items"))
-    none = F.when(F.startswith("kind", F.lit("vtex")), F.json_array_length("body") == 0).otherwise(F.coalesce(F.size("items"), F.lit(0)) <= 0)
+    some = F.coalesce(F.size("items"), F.lit(0)) > 0
+    none = F.when(some, False).when(F.startswith("kind", F.lit("vtex")), F.json_array_length("body") == 0).otherwise(True)  # a listing is read again only where it gave no offers
     bare = F.col("ok") & F.col("kind").isin(ASK_AGAIN) & F.coalesce(none, F.lit(False))
     return spool(read.select("store_key", "store_ord", "text", "ok", "error", "items", bare.alias("bare")), "opened")
 
@@ -81,7 +88,7 @@ def with_items(fetched: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def search(landings: DataFrame, stores: DataFrame, query: str, store: str | None = None, plan: QueryPlan | None = None, config: EngineConfig = DEFAULT) -> Search:
-    """The offers of the enabled stores, or of the one named, to a query and its aliases, each offer once. Offers, with their verdicts, and status are written before the views are made of them."""
+    """The offers of the enabled stores, or of the one named, to a query and its aliases, each offer once. What the stores answered, verdicts and status are written before the views are made of them."""
     plan = local_plan(query) if plan is None else plan
     texts = texts_of(query, plan, config)
     chosen = select_stores(stores, store)
@@ -95,10 +102,10 @@ def search(landings: DataFrame, stores: DataFrame, query: str, store: str | None
 
     found = with_items(fetched.select("store_key", "store_name", "alias_ord", "ok", "heard"), answers).withColumns({"ok": F.lit(True), "n_aliases": F.lit(len(texts))})
     once = compare.alias_union(found, "pos").withColumn("pos", F.struct("alias_ord", "pos")).drop("ok", "n_aliases")
-    offers = spool(tagged(once, query, plan, names=answers.where("ok").select(F.inline("items"))), "offers")
+    live = tagged(once, query, plan, names=answers.where("ok").select(F.inline("items")))
     status = compare.fetch_status(fetched.select("store_key", "kind", "alias_ord", "ok", "error"), kinds())
     names = chosen.select(F.col("key").alias("store_key"), F.col("name").alias("store_name"), "store_ord")
-    return Search(query, plan, store, offers, spool(names.join(status, "store_key"), "status"))
+    return Search(query, plan, store, live, spool(names.join(status, "store_key"), "status"))
 
 
 def cli(found: Search) -> DataFrame:
@@ -122,7 +129,7 @@ def api(found: Search) -> DataFrame:
 
 
 def log_row(found: Search, ts: int) -> DataFrame:
-    return compare.log_row(found.query, found.store, compare.best_per_store(found.offers, found.fetches, found.query, found.plan), ts)
+    return compare.log_row(found.query, found.store, compare.ranks(found.live, found.fetches, found.query, found.plan), ts)
 
 
 def batch(landings: DataFrame, stores: DataFrame, queries: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:

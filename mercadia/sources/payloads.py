@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercadia.functions.scalars import NO_NAME, as_price, html_text, minor_units, normalize_price, stock_flag, truthy, unescape, url_quote
+from mercadia.functions.scalars import NO_NAME, as_price, html_text, minor_units, normalize_price, stock_flag, stock_in, text_of_markup, truthy, unescape, url_quote
 
 ITEM = ["pos", "name", "price", "available", "url", "image"]
 #: Kinds that are asked again for the first word where a text of several words finds nothing.
@@ -33,8 +33,9 @@ RESULTS = (
     "facets ARRAY<STRUCT<name STRING, values ARRAY<STRING>>>>>>>>"
 )
 GRID_ITEM = r"(?i)product-item-info"
-GRID_LINK = r'(?is)<a\b[^>]*class="[^"]*product-item-link[^"]*"[^>]*href="([^"]+"[^>]*>.*?)</a>'  # address, quote, rest of the tag, text
-GRID_PRICE = r'(?i)data-price-amount="([\d.]+)"'
+# address, quote, rest of the tag, text; a tag of these two attributes alone, which can be read in one way only, is read without trying others
+GRID_LINK = r'(?is)<a\b(?: class="product-item-link" href="(?=[^"<>=]+">)|[^>]*class="[^"]*product-item-link[^"]*"[^>]*href=")([^"]+"[^>]*>[^<]*+(?:<(?!/a>)[^<]*+)*+)</a>'
+GRID_PRICE = r'data-price-amount="([\d.]+)"'  # in lower case
 GRID_IMAGE = r'(?i)class="product-image-photo"[^>]*\ssrc="([^"]+)"'
 CARD = r'(?i)<a title="([^"]*)"[^>]*href="(/[a-z0-9][a-z0-9\-]{20,})"'
 CARD_PRICE = r'(?i)data-component="Price"[^>]*>\s*<div>Q\s?([\d,]+)</div>'
@@ -47,8 +48,8 @@ LIST_IMAGE = r'(?i)\b(?:data-lazy-src|src)="(https?://[^"]+)"'
 
 
 def _first(text: Column, pattern: str, group: int = 1) -> Column:
-    """The group at the first match, or null without one."""
-    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), 0)
+    """The group at the first match, or null without one. The first match takes the rest of the text, so no others are sought."""
+    return F.get(F.regexp_extract_all(text, F.lit(f"{pattern}(?s:.*)"), F.lit(group)), 0)
 
 
 def _site(domain: Column, path: str, tail: Column) -> Column:
@@ -149,14 +150,26 @@ def _named(items: Column) -> Column:
 
 
 def grid_page(body: Column, domain: Column) -> Column:
-    """Pages of a product grid: a chunk from each item mark to the next; without link or name no row. The link is sought once for its address and text."""
-    chunks = F.slice(F.split(body, GRID_ITEM), 2, F.length(body))  # there are no more of them; their number would split the page twice
-    linked = F.transform(chunks, lambda x: F.struct(x.alias("x"), _first(x, GRID_LINK).alias("link")))
-    split = F.transform(linked, lambda c: F.struct(c["x"].alias("x"), c["link"].alias("link"), F.substring_index(c["link"], '"', 1).alias("url")))
+    """Pages of a product grid: a chunk from each item mark to the next; without link or name no row. The link is sought once for its address and text, the image only where its mark is."""
+    chunks = F.slice(F.split(body, GRID_ITEM), 2, 1 << 30)  # all from the second on
+    linked = F.transform(chunks, lambda x: F.struct(x.alias("x"), F.lower(x).alias("low"), _first(x, GRID_LINK).alias("link")))
+    split = F.transform(linked, lambda c: F.struct(c["x"].alias("x"), c["low"].alias("low"), c["link"].alias("link"), F.substring_index(c["link"], '"', 1).alias("url")))
     text = lambda c: F.substring(c["link"], F.position(F.lit(">"), c["link"], F.length(c["url"]) + 1) + 1, F.length(c["link"]))
-    return _named(F.transform(
-        split, lambda c, k: _item(k, html_text(text(c)), F.round(_number(_first(c["x"], GRID_PRICE)), 2), stock_flag(c["x"], "agotado", "sin existencia"), c["url"], _first(c["x"], GRID_IMAGE))
-    ))
+    price = lambda c: F.round(_number(_first(c["low"], GRID_PRICE)), 2)
+    image = lambda c: F.when(F.contains(c["low"], F.lit("product-image-photo")), _first(c["x"], GRID_IMAGE))
+    return _named(F.transform(split, lambda c, k: _item(k, html_text(text(c)), price(c), stock_in(c["low"], "agotado", "sin existencia"), c["url"], image(c))))
+
+
+def card_page(body: Column, domain: Column) -> Column:
+    """Pages of titled cards: a segment from each card's anchor to the next, the last at most 4,000 characters; without price no row."""
+    parts = F.split(body, f"(?={CARD})")
+    cut = F.transform(chunks, lambda x: F.struct(x.alias("x"), F.lower(x).alias("low")))
+    image = lambda c: F.when(F.contains(c["low"], F.lit("product-image-photo")), _first(c["x"], GRID_IMAGE))
+    price = lambda c: F.round(_number(_first(c["low"], GRID_PRICE)), 2)
+    read = F.transform(cut, lambda c: F.struct(_first(c["x"], GRID_LINK).alias("link"), price(c).alias("price"), stock_in(c["low"], "agotado", "sin existencia").alias("available"), image(c).alias("image")))
+    text = lambda link: F.substring(link, F.position(F.lit(">"), link, F.instr(link, '"')) + 1, F.length(link))
+    split = F.transform(read, lambda c: F.struct(F.coalesce(text(c["link"]), F.lit("")).alias("text"), F.substring_index(c["link"], '"', 1).alias("url"), c["price"].alias("price"), c["available"].alias("available"), c["image"].alias("image")))
+    return _named(F.transform(split, lambda c, k: _item(k, text_of_markup(c["text"]), c["price"], c["available"], c["url"], c["image"])))
 
 
 def card_page(body: Column, domain: Column) -> Column:

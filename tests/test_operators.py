@@ -8,6 +8,7 @@ import random
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -334,3 +335,46 @@ def test_verdicts_are_written_with_the_offers(spark, small):
     assert {"_fits", "_priced"} <= set(found.offers.columns)
     plan = found.offers._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_log_row_reads_offers_once_and_writes_none(spark, small, monkeypatch):
+    from mercadia import catalog
+    from mercadia.operators import search as searching
+
+    written, spool = [], searching.spool
+    monkeypatch.setattr(searching, "spool", lambda df, name: written.append(name) or spool(df, name))
+    found = catalog._searched(spark, small)
+    row = searching.log_row(found, 5)
+    assert row._jdf.queryExecution().optimizedPlan().toString().count("Generate inline") == 1
+    assert tuple(row.first())[:3] == (5, "widget rojo", None) and "offers" not in written
+    best = compare.best_per_store(found.offers, found.fetches, found.query, found.plan)
+    assert tuple(row.first()) == tuple(compare.log_row(found.query, None, best, 5).first()) and written.count("offers") == 1
+
+
+def test_ranks_are_those_of_the_best_offers(spark):
+    nan = float("nan")
+    rows = [
+        ("a", "mesa", 9.0, 1), ("a", "mesa", 3.0, 0), ("b", "mesa", 8.0, None), ("b", "mesa", 1.0, 1), ("c", "mesa", nan, 1), ("c", "mesa", 0.0, 1), ("c", "silla", 1.0, 1), ("d", "mesa", 2.0, 0), ("d", "mesa", 7.0, -1),
+        ("e", "mesa", 9.0, 1), ("e", "mesa", None, 1), ("f", "mesa", 1.0, 1), ("g", None, 1.0, 1), ("i", "mesa", float("inf"), 0),
+    ]
+    offers = spark.createDataFrame([(s, s, n, p, v, "/x", k) for k, (s, n, p, v) in enumerate(rows)], "store_key string, store_name string, name string, price double, available int, url string, pos int")
+    fetches = spark.createDataFrame([(s, s, k, s != "f", None if s != "f" else "e") for k, s in enumerate("abcdefghi")], "store_key string, store_name string, store_ord int, ok boolean, error string")
+    order = lambda df: [r["store_key"] for r in df.where("ok").orderBy("rank").collect()]
+    assert order(compare.ranks(offers, fetches, "mesa")) == order(compare.best_per_store(offers, fetches, "mesa")) == ["a", "e", "d", "b", "i"]
+    got = {r["store_key"]: r["ok"] for r in compare.ranks(offers, fetches, "mesa").collect()}
+    assert got == {r["store_key"]: r["ok"] for r in compare.best_per_store(offers, fetches, "mesa").collect()}
+
+
+def test_grid_links_are_those_of_the_plain_pattern(spark):
+    plain = re.compile(r'(?is)<a\b[^>]*class="[^"]*product-item-link[^"]*"[^>]*href="([^"]+"[^>]*>.*?)</a>')
+    tag = '<a class="product-item-link" href="{}">{}</a>'
+    texts = [
+        tag.format("/1", "One"), tag.format("/1", "x <b>1</b>\n<"), tag.format("/1", "x") + tag.format("/2", "y"), tag.format("", "x"), tag.format("/a?b=c", "x"), tag.format("/href=", "x") + '<i data="1">z</i></a>', tag.format("/1", "x")[:-4],
+        tag.format("/1", "x")[:-4] + tag.format("/2", "y"), tag.format("/a>b", "x"), tag.format("/1", "x").upper(), tag.format("/1", "x").replace('">', '" title="t">'), '<a class="product-item-link" href="/1" href="/2">x</a>',
+        '<a class="product-item-link" class="product-item-link b" href="/1">x</a>', '<a href="/0">o</a>' + tag.format("/1", "<A>x</A>"), '<abbr class="product-item-link" href="/1">x</a>', '<a  class="product-item-link" href="/1">x</a>', "",
+    ]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", payloads._first(F.col("t"), payloads.GRID_LINK).alias("link")).orderBy("k").collect()
+    assert [r["link"] for r in rows] == [m[1] if (m := plain.search(t)) else None for t in texts]
+    page = '<div class="PRODUCT-item-info">' + tag.format("/1", "One") + '<i DATA-price-AMOUNT="12.345"></i><img CLASS="product-IMAGE-photo" alt="" SRC="/I.png"/>Sin EXISTENCIA'
+    got = spark.createDataFrame([(page,)], "body string").select(F.inline(payloads.grid_page(F.col("body"), F.lit("d")))).first()
+    assert tuple(got) == (0, "One", 12.35, 0, "/1", "/I.png")
